@@ -49,7 +49,7 @@ def byte_alphabet() -> list[str]:
 class Words(dict):
     """Packed ids by word, filled on demand; emptied when full, so memory stays bounded."""
 
-    def __init__(self, bpe: Bpe, limit: int = 1 << 19) -> None:
+    def __init__(self, bpe: Bpe, limit: int = 1 << 17) -> None:
         super().__init__()
         self.bpe, self.limit = bpe, limit
 

@@ -56,7 +56,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256) -> DataFrame:
+#: Rows of an Arrow batch: they are documents, up to megabytes each, and a batch is held by the JVM and by Python.
+ARROW_ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches brought down to ARROW_ROWS rows if they were larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows, so that what one call holds stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +76,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

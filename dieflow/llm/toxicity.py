@@ -49,7 +49,7 @@ class Model:
     def word(self, word: str) -> float:
         w = self._words.get(word)
         if w is None:
-            if len(self._words) > 1 << 19:
+            if len(self._words) > 1 << 17:
                 self._words.clear()
             w = self._words[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return w
