@@ -154,7 +154,7 @@ def _scored(wafers: DataFrame, model: Model, fn, name: str, keep: tuple[str, ...
 
     from dieflow.operators.signatures import _by_shape
 
-    given = wafers.select(*keep, F.col("rows").cast("int"), F.col("cols").cast("int"), "bins")
+    given = wafers.select(*keep, F.col("rows").cast("int").alias("__rows"), F.col("cols").cast("int").alias("__cols"), F.col("bins").alias("__bins"))
 
     def run(batches):
         for whole in batches:

@@ -39,7 +39,7 @@ def _by_shape(batch: pa.RecordBatch, at: int, fn) -> dict[str, list]:
 
 def map_signatures(wafers: DataFrame, fn, names: dict[str, str], keep: tuple[str, ...], rows: int = 512) -> DataFrame:
     """The kept columns and columns of fn, which takes an array of equal-shaped maps; names give Spark types."""
-    given = wafers.select(*keep, F.col("rows").cast("int"), F.col("cols").cast("int"), "bins")
+    given = wafers.select(*keep, F.col("rows").cast("int").alias("__rows"), F.col("cols").cast("int").alias("__cols"), F.col("bins").alias("__bins"))
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
 
     def run(batches):

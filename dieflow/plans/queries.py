@@ -64,9 +64,9 @@ def commonest_shapes(spark, sf_dir):
     return longs(tables.commonest_shapes(wafers(spark, sf_dir)))
 
 
-@query(f"WITH {WAFERS_SQL} SELECT truth, list_sort(list(tested_at_us))[count(*) // 2 + 1] AS upper_us, round(median(tested_at_us), 6) AS middle_us FROM w GROUP BY truth")
+@query(f"WITH {WAFERS_SQL} SELECT truth, list_sort(list(tested_at_us))[count(*) // 2 + 1] AS upper_us, floor(median(tested_at_us))::BIGINT AS middle_us FROM w GROUP BY truth")
 def medians_by_truth(spark, sf_dir):
-    return wafers(spark, sf_dir).groupBy("truth").agg(metrics.median_upper("tested_at_us").alias("upper_us"), r6(metrics.median("tested_at_us")).alias("middle_us"))
+    return wafers(spark, sf_dir).groupBy("truth").agg(metrics.median_upper("tested_at_us").alias("upper_us"), F.floor(metrics.median("tested_at_us")).alias("middle_us"))
 
 
 @query(f"WITH {WAFERS_SQL} SELECT wafer_id, lot_id, truth FROM w WHERE split = 'test'")
@@ -101,11 +101,11 @@ def _fab(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("wafer_id"))
     lots = p.select("wafer_id", F.expr("wafer_id div 25").alias("lot_id"))
     excursions = spark.createDataFrame([(1, "scratch"), (2, "donut"), (3, "center")], "excursion_id bigint, spatial_pattern string")
-    of = p.where("wafer_id % 7 in (1, 2, 3)").select("wafer_id", F.expr("wafer_id % 7").alias("excursion_id"))
+    of = table(spark, sf_dir, "part").where("p_size <= 30").select(F.col("p_partkey").alias("wafer_id"), F.expr("cast((p_size - 1) div 10 + 1 as bigint)").alias("excursion_id"))
     return p, lots, excursions, of
 
 
-@query("SELECT p_partkey AS wafer_id, p_partkey // 25 AS lot_id, CASE WHEN p_partkey % 7 IN (1, 2, 3) THEN p_partkey % 7 END AS excursion_id, CASE p_partkey % 7 WHEN 1 THEN 'scratch' WHEN 2 THEN 'donut' WHEN 3 THEN 'center' ELSE 'none' END AS truth FROM part")
+@query("SELECT p_partkey AS wafer_id, p_partkey // 25 AS lot_id, CASE WHEN p_size <= 30 THEN (p_size - 1) // 10 + 1 END::BIGINT AS excursion_id, CASE WHEN p_size <= 10 THEN 'scratch' WHEN p_size <= 20 THEN 'donut' WHEN p_size <= 30 THEN 'center' ELSE 'none' END AS truth FROM part")
 def fab_labels(spark, sf_dir):
     return tables.label_wafers(*_fab(spark, sf_dir)).select("wafer_id", "lot_id", "excursion_id", "truth")
 
@@ -128,10 +128,11 @@ def _dies(spark, sf_dir):
     return signatures.dies(wafers(spark, sf_dir))
 
 
-@query(f"WITH {DIE_SQL} SELECT wafer_id, r, c, bin, bin <> 0 AS on_wafer, bin >= 2 AS fails FROM die WHERE wafer_id % 50 = 0 OR bin >= 4")
+@query(f"WITH {DIE_SQL} SELECT wafer_id, bin, bin <> 0 AS on_wafer, bin >= 2 AS fails, count(*) AS n, sum(r)::BIGINT AS sum_r, sum(r * c)::BIGINT AS sum_rc FROM die GROUP BY wafer_id, bin")
 def exploded_dies(spark, sf_dir):
-    d = _dies(spark, sf_dir).where("wafer_id % 50 = 0 or bin >= 4")
-    return d.select(F.col("wafer_id").cast("bigint"), "r", "c", "bin", signatures.on_wafer(F.col("bin")).alias("on_wafer"), signatures.is_fail(F.col("bin")).alias("fails"))
+    bin_ = F.col("bin")
+    d = _dies(spark, sf_dir).groupBy("wafer_id", "bin").agg(F.count("*").alias("n"), F.sum("r").alias("sum_r"), F.sum(F.col("r") * F.col("c")).alias("sum_rc"))
+    return longs(d.select("wafer_id", "bin", signatures.on_wafer(bin_).alias("on_wafer"), signatures.is_fail(bin_).alias("fails"), "n", "sum_r", "sum_rc"))
 
 
 def _counts(name: str, n: int) -> str:
@@ -222,14 +223,14 @@ def hough_lines(spark, sf_dir):
     return longs(signatures.hough_lines(wafers(spark, sf_dir)).where("votes > 0"))
 
 
-@query(f"WITH {DIE_SQL}, {OD_SQL}, {HOUGH_SQL} SELECT wafer_id, angle::BIGINT AS angle, rho::BIGINT AS rho, votes, line_dies FROM ln WHERE wafer_id < 200")
+@query(f"WITH {DIE_SQL}, {OD_SQL}, {HOUGH_SQL} SELECT wafer_id, angle::BIGINT AS angle, rho::BIGINT AS rho, votes, line_dies FROM ln")
 def hough_lines_relational(spark, sf_dir):
-    return longs(signatures.hough_peaks(signatures.dies(wafers(spark, sf_dir).where("wafer_id < 200"))))
+    return longs(signatures.hough_peaks(_dies(spark, sf_dir)))
 
 
-@query(f"WITH {DIE_SQL}, {OD_SQL}, {HOUGH_SQL} SELECT angle::BIGINT AS angle, count(*) AS bins, sum(votes)::BIGINT AS votes, max(votes) AS most FROM vt WHERE wafer_id < 200 GROUP BY angle")
+@query(f"WITH {DIE_SQL}, {OD_SQL}, {HOUGH_SQL} SELECT angle::BIGINT AS angle, count(*) AS bins, sum(votes)::BIGINT AS votes, max(votes) AS most FROM vt GROUP BY angle")
 def hough_accumulator(spark, sf_dir):
-    votes = signatures.hough_votes(signatures.dies(wafers(spark, sf_dir).where("wafer_id < 200")))
+    votes = signatures.hough_votes(_dies(spark, sf_dir))
     return longs(votes.groupBy("angle").agg(F.count("*").alias("bins"), F.sum("votes").alias("votes"), F.max("votes").alias("most")))
 
 
@@ -490,11 +491,11 @@ def held_lots(spark, sf_dir):
     return hold.held(v, hold.holds(v, HOLD)).groupBy("lot").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot')}, bad AS (SELECT DISTINCT lot FROM v WHERE pattern = 'scratch' AND pos % 5 = 0) SELECT (SELECT count(*) FROM hd) AS held, (SELECT count(*) FROM bad) AS bad, (SELECT count(*) FROM hd JOIN bad USING (lot)) AS both")
+@query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot')}, bad AS (SELECT DISTINCT lot FROM v WHERE pattern = 'scratch' AND (" + " OR ".join(f"pos >= {a} AND pos < {a + n}" for _, _, a, n in EXCURSIONS) + f")) SELECT (SELECT count(*) FROM hd) AS held, (SELECT count(*) FROM bad) AS bad, (SELECT count(*) FROM hd JOIN bad USING (lot)) AS both")
 def lot_precision(spark, sf_dir):
     v = verdicts(spark, sf_dir)
     h = hold.holds(v, HOLD).select("lot", F.lit(1).alias("h"))
-    bad = v.where("pattern = 'scratch' and pos % 5 = 0").select("lot", F.lit(1).alias("b")).distinct()
+    bad = v.where("pattern = 'scratch'").join(_excursion_of(v), "wafer_id", "left_semi").select("lot", F.lit(1).alias("b")).distinct()
     return h.join(bad, "lot", "full").agg(F.count("h").alias("held"), F.count("b").alias("bad"), F.count_if(F.col("h").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
@@ -655,9 +656,9 @@ def decoded_reports(spark, sf_dir):
     return longs(r.select("wafer_id", "d.data_id", "d.lot", "d.wafer", "d.rows", "d.cols", (F.col("d.bins") == F.col("bins")).alias("same")))
 
 
-@query(f"WITH {WAFERS_SQL}, n(format) AS (VALUES ('L'), ('U4'), ('U2'), ('U1'), ('A')) SELECT format, (CASE format WHEN 'L' THEN 4 WHEN 'U4' THEN 4 WHEN 'U2' THEN 2 ELSE 1 END) * (SELECT count(*) FROM w WHERE wafer_id < 100) AS n FROM n")
+@query(f"WITH {WAFERS_SQL}, n(format) AS (VALUES ('L'), ('U4'), ('U2'), ('U1'), ('A')) SELECT format, (CASE format WHEN 'L' THEN 4 WHEN 'U4' THEN 4 WHEN 'U2' THEN 2 ELSE 1 END) * (SELECT count(*) FROM w) AS n FROM n")
 def report_nodes(spark, sf_dir):
-    nodes = messages.node_rows(_reports(spark, sf_dir).where("wafer_id < 100"), keep=("wafer_id",))
+    nodes = messages.node_rows(_reports(spark, sf_dir), keep=("wafer_id",))
     return nodes.groupBy("format").agg(F.count("*").alias("n"))
 
 
@@ -670,5 +671,5 @@ def invalid_reports(spark, sf_dir):
 
 @query()
 def report_text(spark, sf_dir):
-    return _reports(spark, sf_dir).where("wafer_id < 50").select("wafer_id", messages.to_sml("body").alias("sml"))
+    return _reports(spark, sf_dir).select("wafer_id", messages.to_sml("body").alias("sml"))
 
