@@ -3,7 +3,8 @@
 Every page is cut into text lines.  Within each host the pages are put in the
 order of their paths, each is paired with the neighbour that shares the longer
 path prefix, the two are aligned by the longest common subsequence of their
-lines, and lines that both have go, as menus, notices and footers do.
+lines, and lines that both have go, as menus, notices and footers do.  An empty
+neighbour, or one with the very same lines, says nothing and isn't paired.
 
 Differencing alone errs in two ways: adverts that rotate differ from page to
 page, and articles that are copied from page to page agree.  A check of the
@@ -225,7 +226,7 @@ def shared_masks(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         masks = []
         for r in batch.to_pylist():
-            near = [(len(commonprefix([r["path"], r[f"p{k}"]])), -k, r[f"l{k}"]) for k in (0, 1) if r[f"h{k}"] == r["host"]]
+            near = [(len(commonprefix([r["path"], r[f"p{k}"]])), -k, r[f"l{k}"]) for k in (0, 1) if r[f"h{k}"] == r["host"] and r[f"l{k}"] and r[f"l{k}"] != r["lines"]]
             other = max(near)[2] if near else []
             masks.append(shared_lines(np.array(r["lines"], dtype=np.int64), np.array(other, dtype=np.int64)).tolist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.bool_()))], names=["key", "shared"])

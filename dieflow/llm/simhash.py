@@ -83,6 +83,7 @@ def _signed(x: int) -> int:
 def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph that links values at up to `radius` bits."""
     parent = list(range(len(values)))
+    bits = values.view(np.uint64)  # counted as unsigned: a signed count takes absolute values
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -92,7 +93,7 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
     edges = []
     for i in range(1, len(values)):
-        for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= radius):
+        for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= radius):
             a, b = root(i), root(int(j))
             if a != b:
                 parent[max(a, b)] = min(a, b)
