@@ -96,7 +96,7 @@ def with_buckets(die):
 
 @lru_cache(maxsize=512)
 def tables(rows: int, cols: int) -> dict[str, np.ndarray]:
-    """The same buckets as arrays over the flattened grid, with the rho bin of every (angle, die)."""
+    """The same buckets as arrays over the flattened grid, with the rho bin of every (angle, die) and the accumulator's places by die."""
     r, c = np.divmod(np.arange(rows * cols, dtype=np.int64), cols)
     x, y = 2 * c - (cols - 1), (rows - 1) - 2 * r
     num, den = x * x * rows * rows + y * y * cols * cols, rows * rows * cols * cols
@@ -106,12 +106,15 @@ def tables(rows: int, cols: int) -> dict[str, np.ndarray]:
     octant = np.where((u == 0) & (v == 0), 0, 2 * quadrant + (b >= a))
     cos, sin = hough_table()
     offset = (rows + cols) // 2 + 1
+    rho = ((cos[:, None] * x + sin[:, None] * y) >> (FRACTION_BITS + 1)) + offset
     return {
         "r": r,
         "c": c,
         "zone": np.minimum(ZONES - 1, ZONES * num // den),
         "sector": octant,
         "ring": sum((k * k * den <= RINGS * RINGS * num).astype(np.int64) for k in range(1, RINGS)),
-        "rho": ((cos[:, None] * x + sin[:, None] * y) >> (FRACTION_BITS + 1)) + offset,
+        "rho": rho,
+        # A die's 180 places in the flattened accumulator lie together.
+        "votes": np.ascontiguousarray((np.arange(ANGLES)[:, None] * (2 * offset + 1) + rho).T),
         "offset": np.int64(offset),
     }

@@ -68,13 +68,12 @@ def hough(bins: np.ndarray) -> dict[str, np.ndarray]:
     offset = int(t["offset"])
     width = 2 * offset + 1
     out = {k: np.zeros(m, dtype=np.int64) for k in ("angle", "rho", "votes", "line_dies")}
-    base = np.arange(ANGLES)[:, None] * width + t["rho"]
     flat = bins.reshape(m, -1)
     for i in range(m):
         fails = np.flatnonzero(flat[i] >= 2)
         if not len(fails):
             continue
-        votes = np.bincount(base[:, fails].ravel(), minlength=ANGLES * width)
+        votes = np.bincount(t["votes"][fails].ravel(), minlength=ANGLES * width)
         best = int(votes.argmax())
         angle, rho = divmod(best, width)
         out["angle"][i], out["rho"][i], out["votes"][i] = angle, rho - offset, votes[best]
@@ -86,23 +85,29 @@ def labels(bins: np.ndarray) -> np.ndarray:
     """The first die (row-major index) of each failing die's 8-connected cluster; -1 elsewhere.
 
     Every die takes the least label around it and then the label its label has,
-    which shortens chains, until nothing changes.
+    which shortens chains.  Maps in which nothing changes any more drop out.
     """
     m, rows, cols = bins.shape
-    bad = bins >= 2
     far = rows * cols
-    now = np.where(bad, np.arange(far).reshape(rows, cols), far)
-    while True:
-        pad = np.full((m, rows + 2, cols + 2), far)
+    kind = np.int16 if far < 1 << 15 else np.int32
+    bad = bins >= 2
+    out = np.where(bad, np.arange(far, dtype=kind).reshape(rows, cols), kind(far))
+    active = np.flatnonzero(bad.any(axis=(1, 2)))
+    while len(active):
+        now = out[active]
+        pad = np.full((len(active), rows + 2, cols + 2), far, dtype=kind)
         pad[:, 1:-1, 1:-1] = now
         least = np.minimum(np.minimum(pad[:, :, :-2], pad[:, :, 1:-1]), pad[:, :, 2:])
         least = np.minimum(np.minimum(least[:, :-2], least[:, 1:-1]), least[:, 2:])
-        new = np.where(bad, least, far).reshape(m, -1)
-        reach = np.concatenate([new, np.full((m, 1), far)], axis=1)
-        new = np.take_along_axis(reach, new, axis=1).reshape(m, rows, cols)
-        if np.array_equal(new, now):
-            return np.where(bad, now, -1)
-        now = new
+        new = np.where(bad[active], least, kind(far)).reshape(len(active), far)
+        # One place more in each row, so that `far` refers to itself.
+        reach = np.full((len(active), far + 1), far, dtype=kind)
+        reach[:, :far] = new
+        new = reach.ravel()[new + np.arange(len(active))[:, None] * (far + 1)].reshape(now.shape)
+        moved = (new != now).any(axis=(1, 2))
+        out[active] = new
+        active = active[moved]
+    return np.where(bad, out, -1).astype(np.int64)
 
 
 def clusters(bins: np.ndarray) -> dict[str, np.ndarray]:

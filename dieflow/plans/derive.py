@@ -107,8 +107,11 @@ die AS (SELECT *, CASE WHEN num > den THEN 0 WHEN h < lim THEN 2 + h % 4 ELSE 1
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts_of(table(spark, sf_dir, "events"))
+
+
+def verdicts_of(e: DataFrame) -> DataFrame:
     """(pos, lot, wafer_id, pattern, at_us) of events; types without a pattern of their own are none."""
-    e = table(spark, sf_dir, "events")
     pattern = F.lit("none")
     for t, p in VERDICT_OF.items():
         pattern = F.when(F.col("event_type") == t, p).otherwise(pattern)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dieflow.functions import geometry
 from dieflow.operators import fit as fitting
-from dieflow.operators import hold, messages, metrics, replay, rules, signatures
+from dieflow.operators import cnn, hold, messages, metrics, replay, rules, signatures
 from dieflow.patterns import PATTERNS, SIGNALS, guard, lot_name, pattern_code, pattern_name
-from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL, scored, table, verdicts, wafers
+from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL, scored, table, verdicts, verdicts_of, wafers
 from dieflow.sources import tables
 from dieflow.streaming.emulator import schedule
+from dieflow.streaming.pipeline import decide
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,3 +677,61 @@ def invalid_reports(spark, sf_dir):
 def report_text(spark, sf_dir):
     return _reports(spark, sf_dir).select("wafer_id", messages.to_sml("body").alias("sml"))
 
+
+
+@query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot OR tool')} SELECT lot, at_us, pos AS seq, pattern, by_tool FROM hd")
+def holds_streamed(spark, sf_dir):
+    """The stateful stream over the events file, run until it has read all of it; its holds are the result."""
+    given = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    stream = verdicts_of(given).select(F.lit("tool").alias("tool"), "lot", "pattern", "at_us", F.col("pos").alias("seq"))
+    name = f"holds_{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dieflow-stream-")
+    q = decide(stream, TOOL).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("lot", "at_us", "seq", "pattern", "by_tool")
+
+
+@query(f"WITH {VERDICTS_SQL}, s AS (SELECT wafer_id, pos, (round((row_number() OVER (ORDER BY at_us, pos) - 1) * 1e6 / 1000.0))::BIGINT AS scheduled_us FROM v WHERE pattern <> 'unknown') SELECT v.pos, s.scheduled_us, v.pattern <> 'none' AS says FROM v JOIN s USING (wafer_id)")
+def verdicts_on_schedule(spark, sf_dir):
+    """Verdicts joined to the schedule by wafer; those without a slot drop out."""
+    v = verdicts(spark, sf_dir)
+    sent = schedule(v.where("pattern <> 'unknown'"), rate=1000.0).select("wafer_id", "scheduled_us")
+    return v.join(sent, "wafer_id").select("pos", "scheduled_us", (F.col("pattern") != "none").alias("says"))
+
+
+@query(f"WITH {WAFERS_SQL}, {SCORED_SQL} SELECT w.wafer_id, w.truth, list_position(l, list_max(l)) - 1 AS pred FROM w LEFT JOIN s ON w.wafer_id = s.id")
+def wafers_with_logits(spark, sf_dir):
+    logits = scored(spark, sf_dir).select(F.col("id").alias("wafer_id"), "logits")
+    both = tables.join_logits(wafers(spark, sf_dir), logits, strict=False)
+    return longs(both.select("wafer_id", "truth", metrics.argmax(F.col("logits")).alias("pred")))
+
+
+@query('SELECT n, i, least(floor(i * (1.0::DOUBLE / (64.0::DOUBLE / n)))::BIGINT, n - 1) AS source FROM (SELECT unnest(range(1, 513)) AS n), (SELECT unnest(range(64)) AS i)')
+def nearest_index(spark, sf_dir):
+    """Where each of 64 places of a resize reads, for sizes 1 to 512."""
+    grid = spark.range(1, 513).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("i"))
+    return grid.select("n", "i", F.least(F.floor(F.col("i") * (1.0 / (F.lit(64.0) / F.col("n")))), F.col("n") - 1).alias("source"))
+
+
+@query()
+def cnn_logits(spark, sf_dir):
+    """Every wafer scored by a network with weights from a fixed seed: there are no trained ones here."""
+    rng = np.random.default_rng(5)
+    t = [rng.normal(0, 0.05, s).astype(np.float32) for s in cnn.Model.shapes()]
+    model = cnn.Model([(t[2 * k], t[2 * k + 1]) for k in range(len(cnn.CONVS))], t[-2], t[-1])
+    return cnn.logits(wafers(spark, sf_dir), model)
+
+
+@query()
+def fab_import(spark, sf_dir):
+    """Maps as nested lists, imported: rows, cols and bins, lots and truths."""
+    _, lots, excursions, of = _fab(spark, sf_dir)
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length("bins")), lambda i: F.conv(F.hex(F.substring("bins", i, F.lit(1))), 16, 10).cast("int"))
+    rows_of = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.slice("flat", r * F.col("cols") + 1, F.col("cols")))
+    maps = wafers(spark, sf_dir).select("wafer_id", F.col("tested_at_us").alias("tested_at"), "rows", "cols", codes.alias("flat")).select("wafer_id", "tested_at", rows_of.alias("bin_map"))
+    done = tables.import_fab(maps, lots, excursions, of)
+    return longs(done.select("wafer_id", "lot_id", "truth", "rows", "cols", F.md5("bins").alias("bins")))
+
+
+ORACLE_SQL["fab_import"] = f"""WITH {DIE_SQL}, b AS (SELECT wafer_id, lot_id, "rows", cols, string_agg(printf('%02X', bin), '' ORDER BY r, c) AS bins FROM die GROUP BY ALL)
+SELECT b.wafer_id, b.lot_id, CASE WHEN p_size <= 10 THEN 'scratch' WHEN p_size <= 20 THEN 'donut' WHEN p_size <= 30 THEN 'center' ELSE 'none' END AS truth, "rows", cols, md5(unhex(bins)) AS bins FROM b JOIN part ON p_partkey = wafer_id"""

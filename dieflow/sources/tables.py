@@ -47,6 +47,18 @@ def bins_of_lists(bin_map: Column) -> tuple[Column, Column, Column]:
     return F.size(bin_map), F.size(F.get(bin_map, 0)), F.unhex(F.array_join(flat, ""))
 
 
+def import_fab(maps: DataFrame, lots: DataFrame, excursions: DataFrame, wafer_excursion: DataFrame) -> DataFrame:
+    """Fab tables as wafers: maps (wafer_id, tested_at, bin_map) with their bins, lots and truths.
+
+    tested_at is a time or microseconds; the split is unsplit.
+    """
+    rows, cols, bins = bins_of_lists(F.col("bin_map"))
+    at = F.unix_micros(F.col("tested_at").cast("timestamp")) if dict(maps.dtypes)["tested_at"].startswith(("timestamp", "date")) else F.col("tested_at").cast("bigint")
+    flat = maps.select("wafer_id", at.alias("tested_at_us"), rows.alias("rows"), cols.alias("cols"), bins.alias("bins"))
+    labelled = label_wafers(flat, lots, excursions, wafer_excursion)
+    return labelled.select("wafer_id", "lot_id", "tested_at_us", "truth", F.lit("unsplit").alias("split"), "rows", "cols", "bins")
+
+
 def dense_lots(maps: DataFrame, name: str = "lot_name") -> DataFrame:
     """maps plus lot_id, 0 up in the order of lot names.  Lots are numbered as a table of distinct names."""
     ids = maps.select(name).distinct().withColumn("lot_id", F.dense_rank().over(W.orderBy(name)) - 1)

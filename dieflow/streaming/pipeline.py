@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dieflow.operators import messages
-from dieflow.operators.hold import HoldConfig, HoldRule
+from dieflow.operators.hold import HoldConfig, HoldRule, holds_in_order
 from dieflow.operators.rules import Classifier
 from dieflow.operators.signatures import signals
 from dieflow.patterns import MAX_DIES, MAX_LOT_CHARS
@@ -120,6 +120,8 @@ def decide(verdicts: DataFrame, config: HoldConfig) -> DataFrame:
     State is a few lots' windows and a few times for each tool.
     """
     given = verdicts.select(F.coalesce(F.col("tool").cast("string"), F.lit("")).alias("tool"), "lot", "pattern", F.col("at_us").cast("bigint"), F.col("seq").cast("bigint"))
+    if not verdicts.isStreaming:
+        return holds_in_order(given.withColumnRenamed("seq", "pos"), config, "tool").withColumnRenamed("pos", "seq")
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rule = restore(config, state.get[0] if state.exists else None)
