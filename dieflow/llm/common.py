@@ -90,7 +90,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's scan; dealt out anew if its files give fewer tasks than there are cores, which only small tables do."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 class Shared:
