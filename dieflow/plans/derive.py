@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out anew if it has fewer partitions than the session has cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def hash_of(wafer: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     h = (wafer[:, None] * 1000003 + r * 4099 + c * 131) % 2147483647 * 2654435761 % 4294967296
     return ((h >> 7) * 40503 >> 9) % 1000
@@ -74,7 +80,8 @@ def wafers(spark: SparkSession, sf_dir: str) -> DataFrame:
                         names=["wafer_id", "lot_id", "tested_at_us", "truth", "split", "rows", "cols", "bins"],
                     )
 
-    parts = table(spark, sf_dir, "part").select("p_partkey")
+    # Ids are a few bytes and become maps of hundreds: they are spread before, if the scan gives few tasks.
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"))
     return parts.mapInArrow(run, WAFERS)
 
 

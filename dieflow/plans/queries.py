@@ -211,7 +211,12 @@ z AS (SELECT *, CASE WHEN fails >= 2 AND variance > 1e-9 THEN (fail_joins - expe
 
 @query(f"WITH {DIE_SQL}, {OD_SQL}, {JOINS_SQL}, {Z_SQL} SELECT wafer_id, dies, fails, joins, join_pairs, fail_joins, round(expected, 6) AS expected, round(variance, 6) AS variance, round(z, 6) AS z FROM z")
 def join_count_z(spark, sf_dir):
-    return longs(signatures.join_z(signatures.join_counts(_dies(spark, sf_dir))))
+    return longs(signatures.join_z(signatures.join_counts_of_maps(wafers(spark, sf_dir))))
+
+
+@query(f"WITH {DIE_SQL}, {OD_SQL}, {JOINS_SQL} SELECT * FROM jc")
+def join_counts_relational(spark, sf_dir):
+    return longs(signatures.join_counts(_dies(spark, sf_dir)))
 
 
 _COS, _SIN = geometry.hough_table()

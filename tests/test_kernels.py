@@ -132,6 +132,7 @@ def test_relational_forms_equal_kernels(spark):
         k = want[r.wafer_id]
         assert (r.dies, r.fails, r.joins, r.join_pairs, r.fail_joins) == (k.dies, k.fails, k.joins, k.join_pairs, k.fail_joins)
         assert r.z == pytest.approx(k.z)
+    assert sorted(signatures.join_counts_of_maps(w).collect()) == sorted(signatures.join_counts(die).collect())
     for r in signatures.hough_peaks(die).collect():
         k = want[r.wafer_id]
         assert (r.angle, r.rho, r.votes, r.line_dies) == (k.angle, k.rho, k.votes, k.line_dies)
