@@ -151,8 +151,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     return out
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: bool = False) -> DataFrame:
-    """The kept columns and `score`; with sentences, also `offending`: struct(start, end, score) of sentences at or over the threshold.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: bool = False, name: str = "score") -> DataFrame:
+    """The kept columns and the score, under a name; with sentences, also `offending`: struct(start, end, score) of sentences at or over the threshold.
 
     Null texts score as empty.  Every row stays, repeated ones too.
     """
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     # A few thousand weights: their number follows the bounded sample.
     shared = Shared(docs.sparkSession, (model.bias, model.weights))
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    names = [*keep, "score", *(["offending"] if sentences else [])]
+    names = [*keep, name, *(["offending"] if sentences else [])]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.build(lambda x: Model(*x))
@@ -172,5 +172,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[: len(keep)])
-    return map_batches(given, run, f"{schema}{', ' * bool(keep)}score double" + ", offending array<struct<start:int,end:int,score:double>>" * sentences)
+    return map_batches(given, run, f"{schema}{', ' * bool(keep)}`{name}` double" + ", offending array<struct<start:int,end:int,score:double>>" * sentences)
 

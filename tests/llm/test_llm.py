@@ -516,3 +516,13 @@ def test_pipeline(spark, docs):
     for r in kept["tokens"]:
         assert "".join(bpe.decode(mine, [mine.pack(r.ids)])) == text[r.doc_id] and r.n_tokens == len(r.ids)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(text)
+
+
+def test_pipeline_on_odd_rows(spark, odd, none):
+    for given, left in ((odd.withColumn("score", F.lit(2)).withColumn("ids", F.lit("x")).withColumn("fp", F.lit(0)), 6), (none, 0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, SF)
+            assert name == "tokens" or now.columns == given.columns
+            now = spark.createDataFrame(now.collect(), now.schema)
+        assert now.count() == left
