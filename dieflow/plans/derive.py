@@ -122,7 +122,7 @@ def verdicts_of(e: DataFrame) -> DataFrame:
     pattern = F.lit("none")
     for t, p in VERDICT_OF.items():
         pattern = F.when(F.col("event_type") == t, p).otherwise(pattern)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = micros("ts", e)
     return e.select(F.col("event_id").alias("pos"), F.format_string("LOT-%06d", "user_id").alias("lot"), F.col("event_id").alias("wafer_id"), pattern.alias("pattern"), at.alias("at_us"))
 
 
@@ -141,5 +141,9 @@ SCORED_SQL = """s AS (SELECT vec_id AS id, list_transform(embedding[1:9], lambda
 p AS (SELECT *, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda y: exp(y - list_max(l))))) AS p FROM s)"""
 
 
-def micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+def micros(name: str, of: DataFrame) -> Column:
+    """Microseconds since 1970 of a time; one without a zone is in UTC, whatever the session's zone."""
+    ts = F.col(name)
+    if dict(of.dtypes)[name] == "timestamp_ntz":
+        ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
+    return F.unix_micros(ts.cast("timestamp"))

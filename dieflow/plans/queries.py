@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from dieflow.operators import fit as fitting
 from dieflow.operators import cnn, hold, messages, metrics, replay, rules, signatures
 from dieflow.patterns import PATTERNS, SIGNALS, guard, lot_name, pattern_code, pattern_name
 from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL, scored, table, verdicts, verdicts_of, wafers
+from dieflow.session import shared_dir
 from dieflow.sources import tables
 from dieflow.streaming.emulator import schedule
 from dieflow.streaming.pipeline import decide
@@ -690,8 +690,7 @@ def holds_streamed(spark, sf_dir):
     given = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     stream = verdicts_of(given).select(F.lit("tool").alias("tool"), "lot", "pattern", "at_us", F.col("pos").alias("seq"))
     name = f"holds_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dieflow-stream-")
-    q = decide(stream, TOOL).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q = decide(stream, TOOL).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("lot", "at_us", "seq", "pattern", "by_tool")
 
