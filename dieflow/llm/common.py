@@ -8,6 +8,7 @@ executor costs a reread and never a wrong or missing row.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,21 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, A-Z lower-cased, by stretches of about `size` bytes that end between words."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            m = _SPACE.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end].translate(LOWER).split()
+        at = end
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once for the row, however often body and its lambdas refer to it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -39,7 +39,7 @@ BOUND_BLOCK, COMMON = 1, 0.6
 #: Bounds of one block of the index.
 MAX_ITEMS, MAX_CHARS = 4_000, 8 << 20
 
-_WORD = re.compile(r"\w+")
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 _LAST_SENTENCE = re.compile(r"(?s)^(.*[.!?\n])\s*(\S.*)$")
 
 
@@ -127,13 +127,6 @@ class Index:
         """The windows of a text's term ids in which the upper bounds of some block reach the threshold."""
         if not self.n_blocks:
             return []
-        found: dict[tuple[int, int], None] = {}
-        for at in range(0, max(1, len(ids) - self.stride), CELLS * self.stride):
-            part = ids[at : at + (CELLS + 1) * self.stride]
-            found.update(((at + s, at + e), None) for s, e in self._windows(part, threshold))
-        return [*found]
-
-    def _windows(self, ids: np.ndarray, threshold: float) -> list[tuple[int, int]]:
         n = -(-len(ids) // self.stride)
         cell = np.flatnonzero(self.sizes[ids])
         # A term counts once in a cell of half a window.
@@ -198,16 +191,32 @@ class Index:
         there = set(window)
         return len(wanted & given) / len(wanted), (len(set(answer) & there) / len(set(answer)) if answer else 1.0)
 
+    def _stretches(self, text: str) -> Iterator[list[str]]:
+        """The text's words, CELLS half-windows and one at a time; the next stretch begins with that one, so windows stay as they were."""
+        held: list[str] = []
+        at = 0
+        while at < len(text):
+            end = at + (1 << 20)
+            if end < len(text):
+                m = _GAP.search(text, end)
+                end = m.start() if m else len(text)
+            held += words(text[at:end])
+            at = end
+            while len(held) > (CELLS + 1) * self.stride:
+                yield held[: (CELLS + 1) * self.stride]
+                held = held[CELLS * self.stride :]
+        yield held
+
     def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, float, float, float]]:
         """(item_id, score, question overlap, answer overlap) of every item found in the text, the best window's, in item order."""
-        of = words(text)
-        ids = np.fromiter(map(self.terms.get, of, repeat(0)), dtype=np.int64, count=len(of))
         best: dict[int, tuple[float, float, float]] = {}
-        for start, end in self.windows(ids, threshold):
-            for item, score in self.search([int(t) for t in np.unique(ids[start:end]) if t], threshold):
-                q, a = self.overlap(item, of[start:end])
-                if q >= overlap and a >= overlap and (q, a, score) > best.get(item, (0, 0, 0)):
-                    best[item] = (q, a, score)
+        for of in self._stretches(text or ""):
+            ids = np.fromiter(map(self.terms.get, of, repeat(0)), dtype=np.int64, count=len(of))
+            for start, end in self.windows(ids, threshold):
+                for item, score in self.search([int(t) for t in np.unique(ids[start:end]) if t], threshold):
+                    q, a = self.overlap(item, of[start:end])
+                    if q >= overlap and a >= overlap and (q, a, score) > best.get(item, (0, 0, 0)):
+                        best[item] = (q, a, score)
         return sorted((self.ids[i], score, q, a) for i, (q, a, score) in best.items())
 
 

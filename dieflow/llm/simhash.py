@@ -27,34 +27,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import LOWER, cut, map_batches, utf8
+from dieflow.llm.common import cut, map_batches, utf8, word_blocks
 from dieflow.llm.components import connected_components
 
 SEED = 42
-#: Words a fingerprint takes up at once, which bounds memory on very long texts.
-BLOCK = 1 << 16
 
 
 def _counts(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
-    ones, total = np.zeros(64, dtype=np.int64), 0
-    for at in range(0, max(1, len(words) - size + 1), BLOCK):
-        part = words[at : at + BLOCK + size - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(size)))) if len(part) >= size else [b" ".join(part)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(h)
-    return ones, total
+    """How often each bit is set in the hashes of the shingles of at least `size` words, and how many those are."""
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64), len(h)
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
     """SimHash of a UTF-8 text: A-Z lower-cased, `size`-word shingles with repeats, a bit set where over half the hashes set it.
 
-    Fewer words than `size` make one shingle; no words (or null) give 0.
+    Fewer words than `size` make one shingle; no words (or null) give 0.  A
+    very long text is read a stretch at a time.
     """
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return 0
-    ones, total = _counts(words, size)
+    ones, total, held = np.zeros(64, dtype=np.int64), 0, []
+    for words in word_blocks(text or b""):
+        held += words
+        if len(held) >= size:
+            more, n = _counts(held, size)
+            ones, total = ones + more, total + n
+            held = held[len(held) - size + 1 :]
+    if not total:
+        if not held:
+            return 0
+        ones, total = _counts([b" ".join(held)], 1)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 

@@ -56,9 +56,12 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """Noisy-or over sentences, 0 to 1; an empty text has one empty sentence."""
-        keep, low = 0.0, (text or "").lower()
-        for sentence in _SENTENCE.findall(low) or [""]:
-            keep += _log_keep(self.bias + sum(map(self.word, set(_WORD.findall(sentence)))))
+        keep, some = 0.0, False
+        for m in _SENTENCE.finditer((text or "").lower()):
+            some = True
+            keep += _log_keep(self.bias + sum(map(self.word, set(_WORD.findall(m[0])))))
+        if not some:
+            keep = _log_keep(self.bias)
         return float(min(1.0, max(0.0, 1.0 - np.exp(keep))))
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:

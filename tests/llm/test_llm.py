@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dieflow.llm import bpe, decontam, html_main, ngram_lm, quality, queries, secret_scan, sharding, simhash, toxicity, urlfilter
+from dieflow.llm.common import word_blocks
 from dieflow.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -91,6 +92,17 @@ def test_simhash(spark, docs, odd, none, bucket):
     assert simhash.groups(none).count() == 0
 
 
+def test_texts_are_read_by_stretches(monkeypatch):
+    text = ("Ünï  A b\tc\n" * 40 + "x").encode()
+    whole = [w for b in word_blocks(text) for w in b]
+    want = [simhash.fingerprint(text, n) for n in (1, 3, 5)]
+    for size in (1, 5, 64):
+        assert [w for b in word_blocks(text, size) for w in b] == whole
+        monkeypatch.setattr(simhash, "word_blocks", lambda t, size=size: word_blocks(t, size))
+        assert [simhash.fingerprint(text, n) for n in (1, 3, 5)] == want
+        assert simhash.fingerprint(b"a b", 3) == simhash.fingerprint(b" A\nb ", 3) != 0
+
+
 def test_covering_masks_cover():
     rng = random.Random(1)
     for radius in (1, 2, 3):
