@@ -19,6 +19,8 @@ import codecs
 import hashlib
 import heapq
 import json
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,16 +49,22 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """Packed ids by word, filled on demand; emptied when full, so memory stays bounded."""
+    """Packed ids by word, filled on demand.
+
+    When full it becomes the older generation, from which words in use come
+    back; so memory stays bounded and frequent words stay known.
+    """
 
     def __init__(self, bpe: Bpe, limit: int = 1 << 17) -> None:
         super().__init__()
         self.bpe, self.limit = bpe, limit
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.bpe.pack(self.bpe.merge(word.encode()))
+        ids = self.older.get(word) or self.bpe.pack(self.bpe.merge(word.encode()))
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -77,7 +85,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rules = [tuple(bytes(back[c] for c in side) for side in pair) for pair in pairs]
-        self.rank = {(self.ids[u], self.ids[v]): (r, self.ids[u + v]) for r, (u, v) in reversed([*enumerate(self.rules)])}
+        self.rank = {(self.ids[u], self.ids[v]): r for r, (u, v) in reversed([*enumerate(self.rules)])}
+        self.made = [self.ids[u + v] for u, v in self.rules]
         self.byte_ids = [self.ids.get(bytes([b])) for b in range(256)]
         n = max([*self.ids.values(), *self.special.values()]) + 1
         table = [b""] * n
@@ -109,23 +118,26 @@ class Bpe:
 
     @staticmethod
     def pack(ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, dtype="<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word, of any length."""
         if len(word) > 64:
             return self._merge_long(word)
         ids = [self.byte_ids[b] for b in word]
-        none = (1 << 30, 0)
-        get = self.rank.get
+        none = len(self.made)
+        get, made = self.rank.get, self.made
         ranks = [get(p, none) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best is none or best[0] == none[0]:
+            if best == none:
                 break
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = get((ids[i - 1], ids[i]), none)
             if i < len(ranks):
@@ -140,17 +152,17 @@ class Bpe:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := self.rank.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if j < n and (rank := self.rank.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j], after[i] = new, None, after[j]
+            ids[i], ids[j], after[i] = self.made[rank], None, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(i)
