@@ -89,11 +89,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A table smaller than this for each core, in fewer files than cores, is dealt out anew.
+SMALL_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's scan; dealt out anew if its files give fewer tasks than there are cores, which only small tables do."""
+    """A table's scan; a small one in few files gives few tasks, and is dealt out over the cores."""
     scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * SMALL_BYTES and len(scan.inputFiles()) < cores else scan
 
 
 class Shared:
