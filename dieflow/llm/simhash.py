@@ -18,7 +18,7 @@ radius, and a key has at most 2^r of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -152,13 +152,13 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs that stand for their group: those with the group's smallest id, repeated ids once.
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", grouped: Callable[..., DataFrame] = groups, **settings) -> DataFrame:
+    """The rows of docs that stand for their group, as `grouped` finds them: those with the group's smallest id, repeated ids once.
 
     Rows without an id can't be named by a group and stay.  Texts are dealt out
     once, by id, and met by a hash of the chosen ids, so they aren't sorted for
     the join; rows of one id then lie together, and the first of them is kept.
     """
-    chosen = groups(docs, text, doc_id, **settings).select(F.col("component_id").alias("__kept")).where("__kept is not null").distinct()
+    chosen = grouped(docs, text, doc_id, **settings).select(F.col("component_id").alias("__kept")).where("__kept is not null").distinct()
     kept = docs.join(chosen.hint("shuffle_hash"), F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
     return kept.unionAll(docs.where(F.col(doc_id).isNull()))
