@@ -374,9 +374,9 @@ def weighted_confusion(spark, sf_dir):
 
 @query()
 def fit_thresholds(spark, sf_dir):
-    """Two sweeps over the train split with a coarse grid; the fitted table as rows."""
+    """The operator's own grid over the train split, sweep after sweep until one changes nothing; the fitted table as rows."""
     train = _signals(spark, sf_dir).where("split = 'train'").persist()
-    fitted, _ = fitting.fit(train, options=fitting.FitOptions(candidates=20, sweeps=1))
+    fitted, _ = fitting.fit(train)
     train.unpersist()
     return spark.createDataFrame([(r.name, c.signal, c.op, c.threshold) for r in fitted.rules for c in r.conditions], "rule string, signal string, op string, threshold double")
 
