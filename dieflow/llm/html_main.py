@@ -3,8 +3,9 @@
 Every page is cut into text lines.  Within each host the pages are put in the
 order of their paths, each is paired with the neighbour that shares the longer
 path prefix, the two are aligned by the longest common subsequence of their
-lines, and lines that both have go, as menus, notices and footers do.  An empty
-neighbour, or one with the very same lines, says nothing and isn't paired.
+lines, and lines that both have go, as menus, notices and footers do.  Empty
+pages say nothing and are left out, and pages of a host with the very same
+lines count as one, so every neighbour differs.
 
 Differencing alone errs in two ways: adverts that rotate differ from page to
 page, and articles that are copied from page to page agree.  A check of the
@@ -194,15 +195,19 @@ def _hashes(page: str | None) -> list[int]:
     return [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, _ in lines(page or "")]
 
 
-def _ordered(pages: DataFrame) -> DataFrame:
-    """key, host, path, lines and n, a gapless number in the order of host, path and key."""
+def _hashed(pages: DataFrame) -> DataFrame:
+    """key, host, path and lines' hashes of every row that has lines."""
     keyed = pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashed = [_hashes(p) for p in batch.column(3).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashed, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
-    hashed = map_batches(keyed, run, "key long, host string, path string, lines array<bigint>")
+    return map_batches(keyed, run, "key long, host string, path string, lines array<bigint>").where(F.size("lines") > 0)
+
+
+def _ordered(hashed: DataFrame) -> DataFrame:
+    """key, host, path, lines and n, a gapless number in the order of host, path and key."""
     part = F.spark_partition_id()
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = cut(hashed.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").select("*", part.alias("part"), place.alias("place")), "pages")
@@ -211,13 +216,19 @@ def _ordered(pages: DataFrame) -> DataFrame:
     for r in sorted(counts.collect()):
         offsets.append((r[0], first))
         first += r[1]
-    start = pages.sparkSession.createDataFrame(offsets, "part int, first long")
+    start = hashed.sparkSession.createDataFrame(offsets, "part int, first long")
     return placed.join(F.broadcast(start), "part").select("key", "host", "path", "lines", (F.col("first") + F.col("place")).alias("n"))
 
 
 def shared_masks(pages: DataFrame) -> DataFrame:
-    """(key, shared): for each page with neighbours in its host, which of its lines the nearer one shares."""
-    ordered = _ordered(pages)
+    """(key, shared): for each page that has lines, which of them the nearer differing neighbour in its host shares.
+
+    Pages of a host with the very same lines are one page, at the first of
+    their paths, before any are numbered; its mask goes to all of them.
+    """
+    hashed = cut(_hashed(pages), "hashed")
+    least = hashed.groupBy("host", "lines").agg(F.min(F.struct("path", "key")).alias("at"))
+    ordered = _ordered(least.select("at.key", "host", "at.path", "lines"))
     near = ordered.select("n", "host", "path", "lines")
     before = near.select((F.col("n") + 1).alias("n"), F.col("host").alias("h0"), F.col("path").alias("p0"), F.col("lines").alias("l0"))
     after = near.select((F.col("n") - 1).alias("n"), F.col("host").alias("h1"), F.col("path").alias("p1"), F.col("lines").alias("l1"))
@@ -226,12 +237,13 @@ def shared_masks(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         masks = []
         for r in batch.to_pylist():
-            near = [(len(commonprefix([r["path"], r[f"p{k}"]])), -k, r[f"l{k}"]) for k in (0, 1) if r[f"h{k}"] == r["host"] and r[f"l{k}"] and r[f"l{k}"] != r["lines"]]
+            near = [(len(commonprefix([r["path"], r[f"p{k}"]])), -k, r[f"l{k}"]) for k in (0, 1) if r[f"h{k}"] == r["host"]]
             other = max(near)[2] if near else []
             masks.append(shared_lines(np.array(r["lines"], dtype=np.int64), np.array(other, dtype=np.int64)).tolist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.bool_()))], names=["key", "shared"])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(masks, pa.list_(pa.bool_()))], names=["host", "lines", "shared"])
 
-    return map_batches(beside, run, "key long, shared array<boolean>")
+    masks = map_batches(beside, run, "host string, lines array<bigint>, shared array<boolean>")
+    return hashed.select("key", "host", "lines").join(masks, ["host", "lines"]).select("key", "shared")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str = "page_id") -> DataFrame:
@@ -243,7 +255,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str
     """
     key = F.xxhash64(F.col(page_id), F.col(url), F.col(page))
     given = pages.select(key.alias("key"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
-    masks = shared_masks(given.select("key", "url", "html")).groupBy("key").agg(F.first("shared").alias("shared"))
+    masks = shared_masks(given.select("key", "url", "html")).dropDuplicates(["key"])
     joined = given.join(masks, "key", "left").select("page_id", "url", "html", "shared")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
