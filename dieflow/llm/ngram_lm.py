@@ -1,18 +1,16 @@
 """Language-model scores from a weighted backoff automaton.
 
-Tokens are words and one end for each text.  Unigrams are counted exactly over
-the whole training corpus.  The STATES commonest tokens are states of the
-automaton: a state's arcs carry the log-probabilities of the bigrams seen
-after it, smoothed by absolute discounting, and its failure arc carries the
-backoff weight and leads to the root, whose arcs are the unigrams.  A text is
-read once from left to right, carrying the state and adding up weights.
-
-Sizes.  States and their arcs are a dense table of STATES squared numbers, and
-the root's commonest HEAD words travel with it; both bounds are parameters and
-hold for any corpus.  All other root arcs stay in the distributed count table:
-a traversal leaves its rare words as a bag, and one equi-join with the counts
-adds their weights.  So no word is dropped, and nothing that grows with the
-corpus is broadcast or collected.
+Tokens are words and one end for each text.  Unigrams and pairs are counted
+exactly over the whole training corpus.  Every token is a state: its arcs carry
+the log-probabilities of the pairs seen after it, smoothed by absolute
+discounting, and its failure arc carries the backoff weight and leads to the
+root, whose arcs are the unigrams.
+
+Sizes.  The arcs between the STATES commonest tokens are a dense table, a cache,
+and the root's commonest HEAD words travel with it; both bounds hold for any
+corpus.  All other arcs, states and root arcs stay in distributed tables: a
+text leaves its other pairs and rare words as bags, which equi-joins meet with
+their weights.  Words outside the head are named in pairs by 63 bits of hash.
 """
 
 from __future__ import annotations
@@ -23,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +159,50 @@ def traverse(words: list[bytes], ids: np.ndarray, root: np.ndarray, arcs: np.nda
     return weight, alone, known, rare
 
 
+def named(words: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """ids with a negative number made of the word's hash in place of each -1."""
+    for i in np.flatnonzero(ids < 0):
+        ids[i] = (xxhash.xxh64_intdigest(words[i], 42) | 1 << 63) - (1 << 64)
+    return ids
+
+
+def name_of(word: Column) -> Column:
+    """The same number in Spark."""
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def _followed(ids: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's predecessor, the token, and whether the dense table has the pair."""
+    before = np.concatenate([[0], ids[:-1]])
+    return before, ids, (before >= 0) & (before < states) & (ids >= 0) & (ids < states)
+
+
+def _grouped(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    return a[first], b[first], np.diff(np.append(first, len(a)))
+
+
+def count_pairs(texts: DataFrame, head: Shared, root, states: int) -> DataFrame:
+    """(a, b, c, r): how often each pair that the dense table doesn't hold occurs, and the root's probability of b, null outside the head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, known = head.build(Reader), root.value
+        for batch in batches:
+            found = []
+            for text in utf8(batch.column(0)):
+                before, ids, dense = _followed(named(*reader.read(text)), states)
+                found.append((before[~dense], ids[~dense]))
+            if found:
+                a, b, c = _grouped(*(np.concatenate(x) for x in zip(*found)))
+                r = pa.array(np.where(b >= 0, known[np.maximum(b, 0)], 0.0), mask=b < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int64)), r], names=["a", "b", "c", "r"])
+
+    return small_batches(texts).mapInArrow(run, "a long, b long, c long, r double").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("r").alias("r"))
+
+
 def _head(counts: DataFrame, head_words: int) -> tuple[list[bytes], np.ndarray]:
     """The commonest words of at most MAX_WORD_BYTES, commonest first, and their counts: all whose count lies over a level that at most head_words reach.
 
@@ -179,9 +222,123 @@ def _head(counts: DataFrame, head_words: int) -> tuple[list[bytes], np.ndarray]:
     return [w for _, w in rows], np.array([c for c, _ in rows], dtype=np.int64)
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, head_words: int = HEAD) -> DataFrame:
+def walk(words: list[bytes], ids: np.ndarray, root: np.ndarray, arcs: np.ndarray, failure: np.ndarray, own: np.ndarray) -> tuple[float, float, int, list[bytes], tuple[np.ndarray, ...]]:
+    """traverse()'s four, with the dense pairs' weight alone, and (a, b, n, k, u) of the others.
+
+    k is what a state of the head adds to a seen pair's weight, u what head
+    state and head token give together if the pair is unseen.
+    """
+    states = len(arcs)
+    rare = [words[i] for i in np.flatnonzero(ids < 0)]
+    before, to, dense = _followed(named(words, ids), states)
+    x, y = before[dense], to[dense]
+    step = arcs[x, y].astype(np.float64)
+    weight = float(np.where(np.isnan(step), failure[x] + root[y], step).sum())
+    at_head = to[to >= 0]
+    a, b, n = _grouped(before[~dense], to[~dense])
+    k = np.where(a >= 0, -own[np.maximum(a, 0)], 0.0)
+    u = np.where(a >= 0, failure[np.maximum(a, 0)], 0.0) + np.where(b >= 0, root[np.maximum(b, 0)], 0.0)
+    return weight, float(root[at_head].sum()), len(at_head), rare, (a, b, n.astype(np.int64), k, u)
+
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD, cached: int = STATES, states: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
+    Every token is a state and every pair seen in training an arc; `cached`
+    states have theirs at hand.  A number of `states` asks for bounded()'s
+    smaller model.  The model learns from the rows that aren't held out.
+    """
+    if states is not None:
+        return bounded(docs, text, doc_id, states, head_words)
+    spark = docs.sparkSession
+    given = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
+    train = given.where(~F.col("held_out")).select("text")
+    counts = cut(count_words(train), "unigrams")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    words, own = _head(counts, head_words)
+    head_counts = np.concatenate([[ends], own])
+    head = Shared(spark, words)
+    chance = (head_counts + 1) / (total + distinct + 1)
+    dense = count_arcs(train, head, cached).toArrow()  # at most `cached` squared rows
+    at, often = dense.column("arc").to_numpy(), dense.column("c").to_numpy()
+    arcs, _ = build(head_counts, total, distinct, at, often, cached)
+
+    # All other pairs, with the root's probability of the second.
+    pairs = cut(count_pairs(train, head, spark.sparkContext.broadcast(chance), cached), "pairs")
+    by_name = counts.select(name_of(F.col("word")).alias("b"), ((F.col("c") + 1) / F.lit(total + distinct + 1).cast("double")).alias("r"))
+    full = cut(pairs.where("b >= 0").select("a", "b", "c", "r").unionAll(pairs.where("b < 0").drop("r").join(by_name, "b").select("a", "b", "c", "r")), "arcs")
+    state = cut(full.groupBy("a").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.sum("r").alias("covered")), "states")
+    seen, covered = np.bincount(at // cached, minlength=len(chance)).astype(float), np.bincount(at // cached, weights=chance[at % cached], minlength=len(chance)).astype(float)
+    rows = state.where("a >= 0").toArrow()  # at most the head's words and the end
+    a = rows.column("a").to_numpy()
+    seen[a] += rows.column("n").to_numpy()
+    covered[a] += rows.column("covered").to_numpy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        failure = np.where(head_counts > 0, np.log10(DISCOUNT * seen / head_counts / (1 - covered)), 0.0)
+        logs = np.where(head_counts > 0, np.log10(head_counts), 0.0)
+    rare = state.where("a < 0").select("a", F.log10("c").alias("own"), F.log10(F.lit(DISCOUNT) * F.col("n") / F.col("c") / (1 - F.col("covered"))).alias("fail"))
+    # A rare token's root weight is added with the others of its text, so an arc to one leaves it out.
+    w = F.log10(F.col("c") - F.lit(DISCOUNT)) - F.when(F.col("b") < 0, F.log10("r")).otherwise(0.0)
+    model = full.where("a >= 0").select("a", "b", w.alias("w")).unionAll(full.where("a < 0").join(rare, "a").select("a", "b", (w - F.col("own")).alias("w")))
+
+    # A corpus without training texts knows not even the end.
+    automaton = spark.sparkContext.broadcast((np.log10(chance), arcs, failure, logs, ends > 0))
+    item = pa.struct([("word", pa.binary()), ("n", pa.int32())])
+    kind = given.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = head.build(Reader)
+        root, arcs, failure, logs, ended = automaton.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows, lists = [], []
+                for t in utf8(batch.column(2)):
+                    words, ids = reader.read(t)
+                    weight, alone, known, rare, found = walk(words, ids, root, arcs, failure, logs)
+                    rows.append((len(ids), known - (not ended), weight, alone, [{"word": w, "n": n} for w, n in Counter(rare).items()]))
+                    lists.append(found)
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(item))
+                more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*lists)], names=["a", "b", "n", "k", "u"])
+                more.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in lists)]), pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=["doc_id", "held_out", "n_tokens", "known", "weight", "alone", "rare", "pairs"])
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, weight double, alone double, rare array<struct<word:binary,n:int>>, pairs array<struct<a:long,b:long,n:long,k:double,u:double>>"
+    read = cut(small_batches(given).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "read")
+    unseen = F.col("w").isNull()
+    value = F.col("n") * F.when(unseen, F.col("u")).otherwise(F.col("k") + F.col("w"))
+    met = read.select("row", F.explode("pairs").alias("p")).select("row", "p.*").join(model, ["a", "b"], "left")
+    met = cut(met.groupBy("row", F.when(unseen & (F.col("a") < 0), F.col("a")).alias("a")).agg(F.sum(value).alias("v"), F.sum("n").alias("n")), "met")
+    fallen = met.where("a is not null").join(rare, "a").select("row", (F.col("n") * F.col("fail")).alias("v"))
+    stepped = met.select("row", "v").unionAll(fallen).groupBy("row").agg(F.sum("v").alias("v"))
+    return _finished(read, counts, total, distinct, stepped)
+
+
+def _finished(read: DataFrame, counts: DataFrame, total: int, distinct: int, stepped: DataFrame | None = None) -> DataFrame:
+    """The rows of read with their rare words' root weights from the count table, and what `stepped` adds to a row's score."""
+    bags = read.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    c = F.coalesce("c", F.lit(0))
+    own = F.log10((c + 1) / F.lit(total + distinct + 1).cast("double")) * F.col("n")
+    tails = bags.join(counts, "word", "left").groupBy("row").agg(F.sum(own).alias("tail"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
+    tail = F.coalesce("tail", F.lit(0.0))
+    joined = read.select("row", "doc_id", "held_out", "n_tokens", "known", "weight", "alone").join(tails, "row", "left")
+    joined = joined.join(stepped, "row", "left") if stepped is not None else joined.withColumn("v", F.lit(0.0))
+    return joined.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("alone") + tail).alias("base_score"),
+        (F.col("weight") + F.coalesce("v", F.lit(0.0)) + tail).alias("score"),
+    )
+
+
+def bounded(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, head_words: int = HEAD) -> DataFrame:
+    """score() with arcs between the `states` commonest tokens alone.  One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
     The model learns from the rows that aren't held out.  base_score adds the
     root's weights alone, score the automaton's.  Null and empty texts are
     their end.  Repeated rows count and come out repeatedly.  If nothing is
@@ -221,17 +378,4 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: i
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, weight double, alone double, rare array<struct<word:binary,n:int>>"
     read = cut(small_batches(given).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "read")
-    bags = read.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    c = F.coalesce("c", F.lit(0))
-    own = F.log10((c + 1) / F.lit(total + distinct + 1).cast("double")) * F.col("n")
-    tails = bags.join(counts, "word", "left").groupBy("row").agg(F.sum(own).alias("tail"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
-    tail = F.coalesce("tail", F.lit(0.0))
-    return read.select("row", "doc_id", "held_out", "n_tokens", "known", "weight", "alone").join(tails, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("alone") + tail).alias("base_score"),
-        (F.col("weight") + tail).alias("score"),
-    )
+    return _finished(read, counts, total, distinct)
