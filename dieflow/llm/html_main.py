@@ -10,7 +10,8 @@ lines count as one, so every neighbour differs.
 Differencing alone errs in two ways: adverts that rotate differ from page to
 page, and articles that are copied from page to page agree.  A check of the
 markup follows and settles both: lines inside an article or main element stay
-though shared, and lines in landmarks of other kinds go though unshared.
+though shared, and lines in landmarks of other kinds go though unshared.  All
+other lines stay if they aren't shared, whether or not the page has an article.
 
 Only hashes of lines travel between pages: the neighbours are found on a table
 of page keys by range-sorting, numbering and two joins on unique numbers, so a
@@ -186,8 +187,7 @@ def main_text(page: str | None, shared: list[bool] | None = None) -> str:
     """The main text, given which lines the neighbour shares."""
     found = lines(page or "")
     shared = shared or [False] * len(found)
-    central = any(inside and not off for _, inside, off in found)
-    kept = (t for (t, inside, off), s in zip(found, shared) if not off and (inside if central else not s))
+    kept = (t for (t, inside, off), s in zip(found, shared) if not off and (inside or not s))
     return " ".join(kept)
 
 

@@ -17,3 +17,12 @@ def test_runs_of_equal_pages_are_differenced(spark):
     got = Counter((r.page_id, r.text) for r in html_main.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
     alone = "Site name Gamma All rights reserved"
     assert got == Counter({(1, "Alpha"): 1, (2, "Alpha"): 1, (3, "Alpha"): 3, (4, "Alpha"): 1, (5, "Alpha"): 1, (6, ""): 1, (7, "Beta"): 1, (9, alone): 1, (10, alone): 1})
+
+
+def test_differencing_decides_beside_an_article(spark):
+    def teaser(*own):
+        return body("<article>Teaser</article>", *own)
+
+    rows = [(1, "http://h/1", teaser("The story itself", "<nav>Links of one</nav>")), (2, "http://h/2", teaser("Another story"))]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "Teaser The story itself", 2: "Teaser Another story"}
