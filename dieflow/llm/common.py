@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +30,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/dieflow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths[out := spark.read.schema(df.schema).parquet(path)] = path
+    return out
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() wrote, once nothing reads them any more."""
+    for df in tables:
+        _remove(df.sparkSession, _paths.pop(df))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

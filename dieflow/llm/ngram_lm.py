@@ -1,42 +1,64 @@
 """Language-model scores from a weighted backoff automaton.
 
-Tokens are words and one end for each text.  Unigrams and pairs are counted
-exactly over the whole training corpus.  Every token is a state: its arcs carry
-the log-probabilities of the pairs seen after it, smoothed by absolute
-discounting, and its failure arc carries the backoff weight and leads to the
-root, whose arcs are the unigrams.
-
-Sizes.  The arcs between the STATES commonest tokens are a dense table, a cache,
-and the root's commonest HEAD words travel with it; both bounds hold for any
-corpus.  All other arcs, states and root arcs stay in distributed tables: a
-text leaves its other pairs and rare words as bags, which equi-joins meet with
-their weights.  Words outside the head are named in pairs by 63 bits of hash.
+Tokens are words and one end for each text.  Every token is a state, every pair
+seen in training an arc.  From state a, with c the training counts,
+
+    arc to b      (c(ab) + m(a) p(b)) / (c(a) + m(a))
+    failure arc   m(a) / (c(a) + m(a)), to the root, whose arcs are
+                  p(b) = (c(b) + 1) / (N + V + 1)
+
+where m(a), the weight of the prior, grows with c(a) as the number of words
+that follow a does.  The weights of a state sum to 1 over all known tokens and
+one unknown.  A text is walked from left to right.  A walk that always failed
+would weigh every token w by p(w) m(w) / (c(w) + m(w)), since each token is
+left once as often as it is entered; an arc that exists adds the logarithm of
+its weight over that of the failing way, its gain.
+
+Sizes.  The commonest HEAD tokens (commonest by count, whatever their length)
+travel with the walk, and the gains between the CACHED commonest of them in a
+dense table: a cache, whose bound holds for any corpus.  All other pairs and
+words go through one exchange, each occurrence once, packed by blocks of texts
+and dealt out by a hash of the pair, or of the word that is entered if that is
+outside the head.  A bucket thus has all there is to know of its pairs and
+words: it counts them over the training texts and adds up what each text gains.
+A second exchange, by block, brings the sums back to their texts.
+
+The largest group that can't be split is a pair outside the dense table or a
+word outside the head: under 1 / CACHED or 1 / HEAD of all tokens.  Words
+outside the head, and pairs with them, are told apart by 64 bits of hash, words
+over MAX_WORD_BYTES everywhere by 128 bits.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import LOWER, Shared, cut, small_batches, utf8
+from dieflow.llm.common import Shared, cut, discard, small_batches, utf8, word_blocks
 
-STATES = 2048
+CACHED = 2048
 HEAD = 1 << 18
-#: Longer words aren't sent with the root, so HEAD bounds its bytes; they score through the join.
 MAX_WORD_BYTES = 48
-DISCOUNT = 0.75
+#: m(a) = KAPPA * max(c(a), FLOOR) ** BETA for tokens of the head, and its least value for all others.
+KAPPA, BETA, FLOOR = 10.0, 0.7, 3
 #: The end of a text as a token: no word is empty.
 END = b""
 #: Distinct words a task counts before it passes its counts on.
 FLUSH = 1 << 19
-BLOCK = 1 << 16
+#: Tokens of a block of texts, texts of one at most, and tokens of a bucket on average: raise the first and the last with the memory of a task.
+BLOCK, BLOCK_TEXTS, BUCKET = 1 << 20, 1 << 16, 1 << 22
+#: Bytes of a pair of head tokens: two ids of 20 bits.
+ID_BITS, PAIR_BYTES = 20, 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,55 +66,89 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(7)) == 2, F.lit(False))
 
 
-def _split(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER).split()
+def short(word: bytes) -> bytes:
+    """The word, or a space and its digest if it is long; no word has a space."""
+    return word if len(word) <= MAX_WORD_BYTES else b" " + xxhash.xxh3_128_digest(word)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c): how often each token occurs in a one-column table of texts; the end counts once a row."""
+    """(word, c): how often each token, shortened, occurs in a one-column table of texts; the end counts once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
         def passed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            both: Counter[bytes] = Counter()
+            for w, n in seen.items():
+                both[short(w)] += n
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(list(both), pa.binary()), pa.array(list(both.values()), pa.int64())], names=["word", "c"])
 
         for batch in batches:
             for text in utf8(batch.column(0)):
-                seen.update(_split(text))
+                for words in word_blocks(text or b""):
+                    seen.update(words)
+                    if len(seen) >= FLUSH:
+                        yield passed()
                 seen[END] += 1
-                if len(seen) >= FLUSH:
-                    yield passed()
         yield passed()
 
     return small_batches(texts).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """At most `most` words and their counts, commonest first.
+
+    A table of words by 16ths of octaves of their count, some hundreds of rows,
+    says which levels fit whole; of the next level, words are taken by their
+    hash as far as there is room.  Nothing is sorted and no task sees all words.
+    """
+    fits = counts.where(F.length("word") > 0).withColumn("level", F.floor(F.log2("c") * 16).cast("int"))
+    levels = sorted(((r.level, r.n) for r in fits.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    low, left, share = 1 << 30, most, 0.0
+    for at, n in levels:
+        if n > left:
+            share = left / n
+            break
+        low, left = at, left - n
+    part = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(0.98 * share * (1 << 20))
+    next_level = F.lit(False) if not share else (F.col("level") == at) & part
+    top = fits.where((F.col("level") >= low) | next_level).select("word", "c").toArrow()  # about `most` rows
+    rows = sorted(zip(top.column("c").to_pylist(), map(bytes, top.column("word").to_pylist())), key=lambda r: (-r[0], r[1]))[:most]
+    return [w for _, w in rows], np.array([c for c, _ in rows], dtype=np.int64)
+
+
 class Reader:
-    """Token ids of texts: 0 is the end, then the head words, commonest first; others have -1."""
+    """Token ids of texts: 0 is the end, then the head's words, commonest first; others have -1."""
 
     def __init__(self, head: list[bytes]) -> None:
         self.ids = {w: i + 1 for i, w in enumerate(head)}
 
-    def read(self, text: bytes | None) -> tuple[list[bytes], np.ndarray]:
-        """The words, and the ids of words and end."""
-        words = _split(text)
-        ids = np.zeros(len(words) + 1, dtype=np.int64)
-        ids[:-1] = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        return words, ids
+    def read(self, text: bytes | None, named: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text's words and of its end, and the hashes of the words without one, if `named`."""
+        parts, hashes = [], []
+        for words in word_blocks(text or b""):
+            ids = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            for i in np.flatnonzero(ids < 0).tolist():
+                w = words[i]
+                if len(w) > MAX_WORD_BYTES:
+                    w = short(w)
+                    ids[i] = self.ids.get(w, -1)
+                if named and ids[i] < 0:
+                    hashes.append(xxhash.xxh64_intdigest(w, 42))
+            parts.append(ids)
+        return np.concatenate([*parts, np.zeros(1, dtype=np.int64)]), np.array(hashes, dtype=np.uint64)
 
 
 def count_arcs(texts: DataFrame, head: Shared, states: int) -> DataFrame:
-    """(arc, c): how often each pair of states follows one another, as from * states + to; a text starts in the end's state."""
+    """(arc, c): how often each pair of the `states` commonest tokens follows one another, as from * states + to; a text starts in the end's state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = head.build(Reader)
         total, held, n = np.zeros(states * states, dtype=np.int64), [], 0
         for batch in batches:
             for text in utf8(batch.column(0)):
-                ids = reader.read(text)[1]
+                ids = reader.read(text)[0]
                 before = np.concatenate([[0], ids[:-1]])
                 both = (before >= 0) & (before < states) & (ids >= 0) & (ids < states)
                 held.append(before[both] * states + ids[both])
@@ -103,279 +159,297 @@ def count_arcs(texts: DataFrame, head: Shared, states: int) -> DataFrame:
         if held:
             total += np.bincount(np.concatenate(held), minlength=states * states)
         found = np.flatnonzero(total)
-        for at in range(0, len(found), BLOCK):
-            part = found[at : at + BLOCK]
+        for at in range(0, len(found), 1 << 16):
+            part = found[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["arc", "c"])
 
     return small_batches(texts).mapInArrow(run, "arc long, c long").groupBy("arc").agg(F.sum("c").alias("c"))
 
 
-def build(unigrams: np.ndarray, total: int, distinct: int, arcs: np.ndarray, counts: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray]:
-    """Arc weights (states x states, NaN where the failure arc is taken) and failure weights, log10.
+class Weights:
+    """What a state and the root weigh, from the counts of the end and the head's words."""
 
-    unigrams are the counts of end and head words.  The root gives a token
-    (c + 1) / (total + distinct + 1), which sums to 1 over all known tokens
-    and one unknown.  Every state's weights then also sum to 1.
-    """
-    n = min(states, len(unigrams))
-    root = (unigrams[:n] + 1) / (total + distinct + 1)
-    pairs = np.zeros((states, states))
-    pairs.ravel()[arcs] = counts
-    # The end's state begins texts, so every token is followed as often as it occurs.
-    context = np.zeros(states)
-    context[:n] = unigrams[:n]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(pairs > 0, (pairs - DISCOUNT) / context[:, None], np.nan)
-        seen = pairs > 0
-        covered = np.where(seen, np.pad(root, (0, states - n))[None, :], 0).sum(axis=1)
-        failure = (1 - np.nansum(p, axis=1)) / (1 - covered)
-        return np.log10(p).astype(np.float32), np.log10(np.where(context > 0, failure, 1.0))
-
-
-def traverse(words: list[bytes], ids: np.ndarray, root: np.ndarray, arcs: np.ndarray, failure: np.ndarray) -> tuple[float, float, int, list[bytes]]:
-    """(model weight, root weight, head tokens, rare words) of one text.
-
-    The state enters each block from the one before.  A token that the root
-    doesn't have at hand adds the failure weight here and its own by the join.
-    """
-    states = len(failure)
-    weight = alone = 0.0
-    known, rare, state = 0, [], 0
-    for at in range(0, len(ids), BLOCK):
-        to = ids[at : at + BLOCK]
-        before = np.concatenate([[state], to[:-1]])
-        state = int(to[-1])
-        has = (before >= 0) & (before < states)
-        step = np.full(len(to), np.nan)
-        both = has & (to >= 0) & (to < states)
-        step[both] = arcs[before[both], to[both]]
-        fails = np.isnan(step)
-        head = to >= 0
-        own = root[to[head]]
-        weight += float(step[~fails].sum()) + float(failure[before[fails & has]].sum()) + float(root[to[fails & head]].sum())
-        alone += float(own.sum())
-        known += int(head.sum())
-        rare += [words[at + int(i)] for i in np.flatnonzero(~head)]
-    return weight, alone, known, rare
-
-
-def named(words: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """ids with a negative number made of the word's hash in place of each -1."""
-    for i in np.flatnonzero(ids < 0):
-        ids[i] = (xxhash.xxh64_intdigest(words[i], 42) | 1 << 63) - (1 << 64)
-    return ids
-
-
-def name_of(word: Column) -> Column:
-    """The same number in Spark."""
-    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
-
-
-def _followed(ids: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's predecessor, the token, and whether the dense table has the pair."""
-    before = np.concatenate([[0], ids[:-1]])
-    return before, ids, (before >= 0) & (before < states) & (ids >= 0) & (ids < states)
-
-
-def _grouped(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each occurs."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
-    return a[first], b[first], np.diff(np.append(first, len(a)))
-
-
-def count_pairs(texts: DataFrame, head: Shared, root, states: int) -> DataFrame:
-    """(a, b, c, r): how often each pair that the dense table doesn't hold occurs, and the root's probability of b, null outside the head."""
+    def __init__(self, counts: np.ndarray, total: int, distinct: int) -> None:
+        self.size = total + distinct + 1
+        self.prior = KAPPA * np.maximum(counts, FLOOR).astype(float) ** BETA
+        self.least = KAPPA * float(FLOOR) ** BETA
+        self.chance = (counts + 1) / self.size
+        self.fall = np.log10(self.prior / (counts + self.prior))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known = head.build(Reader), root.value
-        for batch in batches:
-            found = []
-            for text in utf8(batch.column(0)):
-                before, ids, dense = _followed(named(*reader.read(text)), states)
-                found.append((before[~dense], ids[~dense]))
-            if found:
-                a, b, c = _grouped(*(np.concatenate(x) for x in zip(*found)))
-                r = pa.array(np.where(b >= 0, known[np.maximum(b, 0)], 0.0), mask=b < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int64)), r], names=["a", "b", "c", "r"])
+    def rare(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Root weight and failure weight, log10, of tokens outside the head with these counts."""
+        return np.log10((c + 1) / self.size), np.log10(self.least / (c + self.least))
 
-    return small_batches(texts).mapInArrow(run, "a long, b long, c long, r double").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("r").alias("r"))
+    def gain(self, pairs: np.ndarray, before: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """What arcs with these counts add to the failing way, given their first tokens (-1 outside the head) and the root's probabilities of the second."""
+        prior = np.where(before >= 0, self.prior[np.maximum(before, 0)], self.least)
+        return np.log10(1 + pairs / (prior * chance))
 
 
-def _head(counts: DataFrame, head_words: int) -> tuple[list[bytes], np.ndarray]:
-    """The commonest words of at most MAX_WORD_BYTES, commonest first, and their counts: all whose count lies over a level that at most head_words reach.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-    The level comes from a table of words by 16ths of octaves of their count,
-    some hundreds of rows, so nothing is sorted and no task sees all words.
-    """
-    level = F.floor(F.log2("c") * 16).cast("int")
-    fits = counts.where(F.length("word").between(1, MAX_WORD_BYTES)).withColumn("level", level)
-    low, left = 1 << 30, head_words
-    for at, n in sorted(((r.level, r.n) for r in fits.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
-        left -= n
-        if left < 0:
-            break
-        low = at
-    top = fits.where(F.col("level") >= low).select("word", "c").toArrow()  # at most head_words rows
-    rows = sorted(zip(top.column("c").to_pylist(), map(bytes, top.column("word").to_pylist())), key=lambda r: (-r[0], r[1]))
-    return [w for _, w in rows], np.array([c for c, _ in rows], dtype=np.int64)
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of unsigned numbers, all first bytes first: equal high bytes then compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-def walk(words: list[bytes], ids: np.ndarray, root: np.ndarray, arcs: np.ndarray, failure: np.ndarray, own: np.ndarray) -> tuple[float, float, int, list[bytes], tuple[np.ndarray, ...]]:
-    """traverse()'s four, with the dense pairs' weight alone, and (a, b, n, k, u) of the others.
 
-    k is what a state of the head adds to a seen pair's weight, u what head
-    state and head token give together if the pair is unseen.
-    """
-    states = len(arcs)
-    rare = [words[i] for i in np.flatnonzero(ids < 0)]
-    before, to, dense = _followed(named(words, ids), states)
-    x, y = before[dense], to[dense]
-    step = arcs[x, y].astype(np.float64)
-    weight = float(np.where(np.isnan(step), failure[x] + root[y], step).sum())
-    at_head = to[to >= 0]
-    a, b, n = _grouped(before[~dense], to[~dense])
-    k = np.where(a >= 0, -own[np.maximum(a, 0)], 0.0)
-    u = np.where(a >= 0, failure[np.maximum(a, 0)], 0.0) + np.where(b >= 0, root[np.maximum(b, 0)], 0.0)
-    return weight, float(root[at_head].sum()), len(at_head), rare, (a, b, n.astype(np.int64), k, u)
-
-
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD, cached: int = STATES, states: int | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+def _whole(data: memoryview, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+    return out.reshape(-1).view("<u8"), at + n * width
+
 
-    Every token is a state and every pair seen in training an arc; `cached`
-    states have theirs at hand.  A number of `states` asks for bounded()'s
-    smaller model.  The model learns from the rows that aren't held out.
+class Block:
+    """Occurrences of pairs of a number of texts, packed for their buckets.
+
+    Three kinds: pairs of head tokens; pairs into a head token from outside the
+    head; and pairs into a word outside the head.
     """
-    if states is not None:
-        return bounded(docs, text, doc_id, states, head_words)
-    spark = docs.sparkSession
-    given = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    train = given.where(~F.col("held_out")).select("text")
-    counts = cut(count_words(train), "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words, own = _head(counts, head_words)
-    head_counts = np.concatenate([[ends], own])
-    head = Shared(spark, words)
-    chance = (head_counts + 1) / (total + distinct + 1)
-    dense = count_arcs(train, head, cached).toArrow()  # at most `cached` squared rows
-    at, often = dense.column("arc").to_numpy(), dense.column("c").to_numpy()
-    arcs, _ = build(head_counts, total, distinct, at, often, cached)
-
-    # All other pairs, with the root's probability of the second.
-    pairs = cut(count_pairs(train, head, spark.sparkContext.broadcast(chance), cached), "pairs")
-    by_name = counts.select(name_of(F.col("word")).alias("b"), ((F.col("c") + 1) / F.lit(total + distinct + 1).cast("double")).alias("r"))
-    full = cut(pairs.where("b >= 0").select("a", "b", "c", "r").unionAll(pairs.where("b < 0").drop("r").join(by_name, "b").select("a", "b", "c", "r")), "arcs")
-    state = cut(full.groupBy("a").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.sum("r").alias("covered")), "states")
-    seen, covered = np.bincount(at // cached, minlength=len(chance)).astype(float), np.bincount(at // cached, weights=chance[at % cached], minlength=len(chance)).astype(float)
-    rows = state.where("a >= 0").toArrow()  # at most the head's words and the end
-    a = rows.column("a").to_numpy()
-    seen[a] += rows.column("n").to_numpy()
-    covered[a] += rows.column("covered").to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        failure = np.where(head_counts > 0, np.log10(DISCOUNT * seen / head_counts / (1 - covered)), 0.0)
-        logs = np.where(head_counts > 0, np.log10(head_counts), 0.0)
-    rare = state.where("a < 0").select("a", F.log10("c").alias("own"), F.log10(F.lit(DISCOUNT) * F.col("n") / F.col("c") / (1 - F.col("covered"))).alias("fail"))
-    # A rare token's root weight is added with the others of its text, so an arc to one leaves it out.
-    w = F.log10(F.col("c") - F.lit(DISCOUNT)) - F.when(F.col("b") < 0, F.log10("r")).otherwise(0.0)
-    model = full.where("a >= 0").select("a", "b", w.alias("w")).unionAll(full.where("a < 0").join(rare, "a").select("a", "b", (w - F.col("own")).alias("w")))
-
-    # A corpus without training texts knows not even the end.
-    automaton = spark.sparkContext.broadcast((np.log10(chance), arcs, failure, logs, ends > 0))
-    item = pa.struct([("word", pa.binary()), ("n", pa.int32())])
-    kind = given.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = head.build(Reader)
-        root, arcs, failure, logs, ended = automaton.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows, lists = [], []
-                for t in utf8(batch.column(2)):
-                    words, ids = reader.read(t)
-                    weight, alone, known, rare, found = walk(words, ids, root, arcs, failure, logs)
-                    rows.append((len(ids), known - (not ended), weight, alone, [{"word": w, "n": n} for w, n in Counter(rare).items()]))
-                    lists.append(found)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(item))
-                more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*lists)], names=["a", "b", "n", "k", "u"])
-                more.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in lists)]), pa.int32()), flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=["doc_id", "held_out", "n_tokens", "known", "weight", "alone", "rare", "pairs"])
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, weight double, alone double, rare array<struct<word:binary,n:int>>, pairs array<struct<a:long,b:long,n:long,k:double,u:double>>"
-    read = cut(small_batches(given).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "read")
-    unseen = F.col("w").isNull()
-    value = F.col("n") * F.when(unseen, F.col("u")).otherwise(F.col("k") + F.col("w"))
-    met = read.select("row", F.explode("pairs").alias("p")).select("row", "p.*").join(model, ["a", "b"], "left")
-    met = cut(met.groupBy("row", F.when(unseen & (F.col("a") < 0), F.col("a")).alias("a")).agg(F.sum(value).alias("v"), F.sum("n").alias("n")), "met")
-    fallen = met.where("a is not null").join(rare, "a").select("row", (F.col("n") * F.col("fail")).alias("v"))
-    stepped = met.select("row", "v").unionAll(fallen).groupBy("row").agg(F.sum("v").alias("v"))
-    return _finished(read, counts, total, distinct, stepped)
-
-
-def _finished(read: DataFrame, counts: DataFrame, total: int, distinct: int, stepped: DataFrame | None = None) -> DataFrame:
-    """The rows of read with their rare words' root weights from the count table, and what `stepped` adds to a row's score."""
-    bags = read.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    c = F.coalesce("c", F.lit(0))
-    own = F.log10((c + 1) / F.lit(total + distinct + 1).cast("double")) * F.col("n")
-    tails = bags.join(counts, "word", "left").groupBy("row").agg(F.sum(own).alias("tail"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
-    tail = F.coalesce("tail", F.lit(0.0))
-    joined = read.select("row", "doc_id", "held_out", "n_tokens", "known", "weight", "alone").join(tails, "row", "left")
-    joined = joined.join(stepped, "row", "left") if stepped is not None else joined.withColumn("v", F.lit(0.0))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("alone") + tail).alias("base_score"),
-        (F.col("weight") + F.coalesce("v", F.lit(0.0)) + tail).alias("score"),
-    )
-
-
-def bounded(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, head_words: int = HEAD) -> DataFrame:
-    """score() with arcs between the `states` commonest tokens alone.  One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    #: Bytes of the columns of each kind, the text's number in the block last.
+    WIDTHS = ((PAIR_BYTES, 2), (8, 3, 2), (8, 8, 3, 2))
+
+    def __init__(self, buckets: int, cached: int) -> None:
+        self.buckets, self.cached = buckets, cached
+        self.ids, self.hashes, self.sizes, self.held = [], [], [], []
+        self.tokens = 0
+
+    def add(self, ids: np.ndarray, hashes: np.ndarray, held: bool) -> None:
+        self.ids.append(ids)
+        self.hashes.append(hashes)
+        self.sizes.append(len(ids))
+        self.held.append(held)
+        self.tokens += len(ids)
+
+    def full(self) -> bool:
+        return self.tokens >= BLOCK or len(self.sizes) >= BLOCK_TEXTS
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token, its predecessor and its text's number."""
+        to = np.concatenate(self.ids)
+        sizes = np.array(self.sizes)
+        before = np.concatenate([[0], to[:-1]])
+        before[np.cumsum(sizes)[:-1]] = 0  # a text starts in the end's state
+        return to, before, np.repeat(np.arange(len(sizes)), sizes)
+
+    def packed(self, to: np.ndarray, before: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, data) of all pairs that the dense table doesn't hold."""
+        name = np.zeros(len(to), dtype=np.uint64)
+        name[to < 0] = np.concatenate(self.hashes)
+        name_before = np.concatenate([np.zeros(1, dtype=np.uint64), name[:-1]])
+        u = np.uint64
+        kinds = []
+        head = (before >= 0) & (to >= 0)
+        at = np.flatnonzero(head & ((before >= self.cached) | (to >= self.cached)))
+        pair = (before[at].astype(u) << u(ID_BITS)) | to[at].astype(u)
+        kinds.append((_mix(pair), [pair, text[at]]))
+        at = np.flatnonzero((before < 0) & (to >= 0))
+        pair = _mix(name_before[at] ^ _mix(to[at].astype(u) + u(1)))
+        kinds.append((pair, [pair, to[at], text[at]]))
+        at = np.flatnonzero(to < 0)
+        second = np.where(before[at] < 0, name_before[at], _mix(before[at].astype(u) + u(2)))
+        pair = _mix(name[at] ^ _mix(second + u(1)))
+        kinds.append((_mix(name[at]), [name[at], pair, before[at] + 1, text[at]]))  # 0 for a predecessor outside the head
+        dealt = []
+        for (key, columns), widths in zip(kinds, self.WIDTHS):
+            bucket = key % u(self.buckets)
+            # Sorted by what comes first too, so that its high bytes compress.
+            order = np.lexsort((columns[0], bucket))
+            ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=u))
+            dealt.append((ends, [c[order].astype(u) for c in columns], widths))
+        bits = np.packbits(np.array(self.held, dtype=bool)).tobytes()
+        for k in range(self.buckets):
+            sizes = [int(ends[k + 1] - ends[k]) for ends, _, _ in dealt]
+            if any(sizes):
+                parts = [_planes(c[ends[k] : ends[k + 1]], w) for ends, columns, widths in dealt for c, w in zip(columns, widths)]
+                yield k, b"".join([struct.pack("<4I", len(self.sizes), *sizes), bits, *parts])
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, where each run of equal ones begins, and each sorted one's run."""
+    order = np.argsort(keys, kind="stable")
+    given = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], given[1:] != given[:-1]])[: len(given)])
+    return order, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(given))))
+
+
+def judged(rows: list[tuple[int, bytes]], w: Weights) -> Iterator[tuple[int, bytes]]:
+    """(block, data) from a bucket's (block, data): what its texts gain and, for words outside the head, their root weight and how many are known."""
+    held, first, columns = [], [0], [[[] for _ in x] for x in Block.WIDTHS]
+    for _, data in rows:
+        texts, *sizes = struct.unpack_from("<4I", data)
+        at = 16 + -(-texts // 8)
+        held.append(np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=at - 16, offset=16), count=texts).astype(bool))
+        for k, (n, widths) in enumerate(zip(sizes, Block.WIDTHS)):
+            for i, width in enumerate(widths):
+                x, at = _whole(data, at, n, width)
+                columns[k][i].append(x + np.uint64(first[-1]) if i == len(widths) - 1 else x)
+        first.append(first[-1] + texts)
+    learnt, n = ~np.concatenate(held), first[-1]
+    (pair, pair_text), (near, near_to, near_text), (word, into, into_before, into_text) = ([np.concatenate(x).astype(np.uint64) for x in c] for c in columns)
+
+    def counted(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order, at, run = _runs(keys)
+        return order, at, np.add.reduceat(learnt[text[order]].astype(np.int64), at)[run] if len(at) else run
+
+    gain = np.zeros(n)
+    order, _, c = counted(pair, pair_text)
+    a, b = (pair[order] >> np.uint64(ID_BITS)).astype(np.int64), (pair[order] & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
+    gain += np.bincount(pair_text[order].astype(np.int64), w.gain(c, a, w.chance[b]), minlength=n)
+    order, _, c = counted(near, near_text)
+    b = near_to[order].astype(np.int64)
+    gain += np.bincount(near_text[order].astype(np.int64), w.gain(c, np.full(len(b), -1), w.chance[b]), minlength=n)
+    # Into words outside the head: first their own counts, then those of the pairs.
+    order, _, own = counted(word, into_text)
+    text = into_text[order].astype(np.int64)
+    root, fall = w.rare(own)
+    alone, known = np.bincount(text, root, minlength=n), np.bincount(text, own > 0, minlength=n)
+    more, _, c = counted(into[order], into_text[order])
+    gain += np.bincount(text, root + fall, minlength=n)
+    gain += np.bincount(text[more], w.gain(c, into_before[order][more].astype(np.int64) - 1, 10.0 ** root[more]), minlength=n)
+    for (block, _), start, end in zip(rows, first, first[1:]):
+        some = np.flatnonzero(gain[start:end])
+        rare = np.flatnonzero(alone[start:end])
+        yield block, b"".join([struct.pack("<2I", len(some), len(rare)), some.astype("<u2").tobytes(), gain[start:end][some].astype("<f8").tobytes(), rare.astype("<u2").tobytes(), alone[start:end][rare].astype("<f8").tobytes(), known[start:end][rare].astype("<u4").tobytes()])
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of each value of a column, which come sorted by it."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD, cached: int = CACHED, buckets: int | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from the rows that aren't held out.  base_score adds the
     root's weights alone, score the automaton's.  Null and empty texts are
     their end.  Repeated rows count and come out repeatedly.  If nothing is
-    left to learn from, every token is unknown.
+    left to learn from, every token is unknown.  Other columns of docs are
+    ignored, so their names can't clash.  A very long text is read a stretch at
+    a time and held as 8 bytes a token.
+
+    docs is read three times and must give the same rows in the same order when
+    a lost task runs again, as a scan or a written table does; a block whose
+    parts don't all come back ends the query with an error.
     """
+    if head_words + 1 >= 1 << ID_BITS:
+        raise ValueError(f"head_words must be under {(1 << ID_BITS) - 1}")
     spark = docs.sparkSession
     given = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
     train = given.where(~F.col("held_out")).select("text")
     counts = cut(count_words(train), "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words, own = _head(counts, head_words)
-    head_counts = np.concatenate([[ends], own])
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
+    words, own = commonest(counts, head_words)
+    discard(counts)
     head = Shared(spark, words)
-    pairs = count_arcs(train, head, states).toArrow()  # at most STATES squared rows
-    arcs, failure = build(head_counts, total, distinct, pairs.column("arc").to_numpy(), pairs.column("c").to_numpy(), states)
-    weights = np.log10((head_counts + 1) / (total + distinct + 1))
-    # A corpus without training texts knows not even the end.
-    automaton = spark.sparkContext.broadcast((weights, arcs, failure, ends > 0))
-    item = pa.struct([("word", pa.binary()), ("n", pa.int32())])
+    w = Weights(np.concatenate([[ends], own]), total, distinct)
+    arcs = count_arcs(train, head, cached).toArrow()  # at most `cached` squared rows
+    at, often = arcs.column("arc").to_numpy(), arcs.column("c").to_numpy()
+    dense = np.zeros(cached * cached, dtype=np.float32)
+    dense[at] = w.gain(often, at // cached, w.chance[at % cached])
+    automaton = spark.sparkContext.broadcast((w, dense.reshape(cached, cached), ends > 0))
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(parts, -(-total // BUCKET))
     kind = given.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id:{kind},held_out:boolean,n_tokens:bigint,known:bigint,alone:double,weight:double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = head.build(Reader)
-        root, arcs, failure, ended = automaton.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows = []
-                for t in utf8(batch.column(2)):
-                    words, ids = reader.read(t)
-                    weight, alone, known, rare = traverse(words, ids, root, arcs, failure)
-                    rows.append((len(ids), known - (not ended), weight, alone, [{"word": w, "n": n} for w, n in Counter(rare).items()]))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(item))
-                more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=["doc_id", "held_out", "n_tokens", "known", "weight", "alone", "rare"])
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, weight double, alone double, rare array<struct<word:binary,n:int>>"
-    read = cut(small_batches(given).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "read")
-    return _finished(read, counts, total, distinct)
+        w, dense, ended = automaton.value
+        root, fall = np.log10(w.chance), w.fall
+        task, n = TaskContext.get().partitionId(), 0
+
+        def closed(block: Block, ids: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            to, before, text = block.walk()
+            name = (task << 32) + n
+            texts = len(block.sizes)
+            known = to >= 0
+            own = to[known]
+            both = known & (before >= 0) & (before < cached) & (to < cached)
+            alone = np.bincount(text[known], root[own], minlength=texts)
+            weight = np.bincount(text[known], root[own] + fall[own], minlength=texts) + np.bincount(text[both], dense[before[both], to[both]], minlength=texts)
+            sizes = np.bincount(text, minlength=texts)
+            has = np.bincount(text[known], minlength=texts) - (not ended)
+            sent = 0
+            schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("parts", pa.int32()), ("data", pa.binary()), ("texts", pa.list_(pa.struct([("doc_id", ids[0].type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("alone", pa.float64()), ("weight", pa.float64())])))])
+            for k, data in block.packed(to, before, text):
+                sent += 1
+                yield pa.RecordBatch.from_pylist([{"bucket": k, "block": name, "parts": None, "data": data, "texts": None}], schema)
+            listed = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(block.held, pa.bool_()), *map(pa.array, (sizes, has, alone, weight))], fields=list(schema.field("texts").type.value_type))
+            row = [pa.array([name % buckets]), pa.array([name]), pa.array([sent], pa.int32()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, texts], pa.int32()), listed)]
+            yield pa.RecordBatch.from_arrays(row, schema=schema)
+
+        block, ids = Block(buckets, cached), []
+        for batch in batches:
+            for i, (t, h) in enumerate(zip(utf8(batch.column(2)), batch.column(1).to_pylist())):
+                block.add(*reader.read(t, named=True), h)
+                ids.append(batch.column(0).slice(i, 1))
+                if block.full():
+                    yield from closed(block, ids)
+                    block, ids, n = Block(buckets, cached), [], n + 1
+        if ids:
+            yield from closed(block, ids)
+
+    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = automaton.value[0]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            # Blocks' lists of texts pass through as they are.
+            for batch in batches:
+                through = batch.filter(pc.is_valid(batch.column("texts")))
+                if through.num_rows:
+                    passed.append(through)
+                yield batch.filter(pc.is_valid(batch.column("data"))).select(["bucket", "block", "data"])
+
+        passed: list[pa.RecordBatch] = []
+        for group in _sorted_groups(rows(), "bucket"):
+            yield from passed
+            passed.clear()
+            k = group[0]["bucket"]
+            made = list(judged([(r["block"], r["data"]) for r in group], w))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(made), pa.int64()), pa.array([b for b, _ in made], pa.int64()), pa.nulls(len(made), pa.int32()), pa.array([d for _, d in made], pa.binary()), pa.nulls(len(made), texts_type)], names=["bucket", "block", "parts", "data", "texts"])
+        yield from passed
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _sorted_groups(batches, "block"):
+            whole = [r for r in group if r["texts"] is not None]
+            found = sorted((r["bucket"], r["data"]) for r in group if r["texts"] is None)
+            if len(whole) != 1 or whole[0]["parts"] != len(found):
+                raise RuntimeError("a block of texts changed while a lost task ran again")
+            texts = whole[0]["texts"]
+            gain, alone, known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            for _, data in found:
+                a, b = struct.unpack_from("<2I", data)
+                x = np.frombuffer(data, "<u2", a, 8)
+                gain[x] += np.frombuffer(data, "<f8", a, 8 + 2 * a)
+                y, off = np.frombuffer(data, "<u2", b, 8 + 10 * a), 8 + 10 * a + 2 * b
+                alone[y] += np.frombuffer(data, "<f8", b, off)
+                known[y] += np.frombuffer(data, "<u4", b, off + 8 * b)
+            rows = pa.array([t["doc_id"] for t in texts], texts_type.value_type.field("doc_id").type)
+            more = [pa.array([t[c] for t in texts], k) for c, k in (("held_out", pa.bool_()), ("n_tokens", pa.int64()))]
+            more.append(pa.array(known + np.array([t["known"] for t in texts])))
+            more.append(pa.array([total] * len(texts), pa.int64()))
+            more += [pa.array(np.array([t[c] for t in texts]) + x) for c, x in (("alone", alone), ("weight", gain))]
+            yield pa.RecordBatch.from_arrays([rows, *more], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = f"bucket bigint, block bigint, parts int, data binary, texts array<struct<{columns}>>"
+    walked = small_batches(given).mapInArrow(walk, schema)
+    texts_type = to_arrow_type(walked.schema["texts"].dataType)
+    few = min(buckets, 20_000)
+    dealt = walked.repartitionById(few, F.pmod("bucket", F.lit(few)).cast("int")).sortWithinPartitions("bucket")
+    back = dealt.mapInArrow(in_buckets, schema).repartition("block").sortWithinPartitions("block")
+    return back.mapInArrow(summed, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -1,9 +1,10 @@
-"""The whole backoff model, every pair an arc, against brute force."""
+"""The whole backoff automaton, every pair an arc, against brute force."""
 
 import math
+import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,31 +15,87 @@ SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def scores_by_hand(rows):
-    rows = [(d, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), ""]) for d, t in rows]
-    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
-    c = Counter(w for d, ws in rows if not out(d) for w in ws)
-    z = sum(c.values()) + len(c) + 1
-    pairs = Counter(p for d, ws in rows if not out(d) for p in zip(["", *ws], ws))
-    after = defaultdict(list)
-    for (a, b), x in pairs.items():
-        after[a].append((b, x))
-    p1 = lambda w: (c[w] + 1) / z
-    fail = {a: 0.75 * len(bs) / c[a] / (1 - sum(p1(b) for b, _ in bs)) for a, bs in after.items()}
-    weight = lambda a, b: math.log10((pairs[a, b] - 0.75) / c[a] if pairs[a, b] else fail.get(a, 1) * p1(b))
-    return sorted((str(d), sum(weight(a, b) for a, b in zip(["", *ws], ws))) for d, ws in rows)
+def tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), ""]
 
 
-@pytest.mark.parametrize("sizes", [{"cached": 16, "head_words": 100}, None])
-def test_every_pair_is_an_arc(spark, sizes):
+def is_out(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+
+
+def scores_by_hand(rows, head=()):
+    """What score() returns, given the head's words."""
+    rows = [(d, tokens(t)) for d, t in rows]
+    c = Counter(w for d, ws in rows if not is_out(d) for w in ws)
+    n, z = sum(c.values()), sum(c.values()) + len(c) + 1
+    pairs = Counter(p for d, ws in rows if not is_out(d) for p in zip(["", *ws], ws))
+    root = lambda w: (c[w] + 1) / z
+
+    def arc(a, b):
+        m = 10 * max(c[a], 3) ** 0.7 if a in head or a == "" else 10 * 3**0.7
+        return math.log10((pairs[a, b] + m * root(b)) / (c[a] + m))
+
+    return sorted((str(d), is_out(d), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10(root(w)) for w in ws), sum(arc(*p) for p in zip(["", *ws], ws))) for d, ws in rows)
+
+
+def same(got, want):
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got.collect())
+    want = sorted(want)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-6, atol=1e-4)
+
+
+@pytest.mark.parametrize("sizes", [{"cached": 16, "head_words": 100, "buckets": 3}, {"cached": 2, "head_words": 1}, None])
+def test_every_pair_is_an_arc(spark, sizes, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = queries.op6_backoff_lm(spark, SF) if sizes is None else ngram_lm.score(docs, **sizes)
-    got = sorted((str(r.doc_id), r.score) for r in got.collect())
-    want = scores_by_hand([(r.doc_id, r.text) for r in docs.collect()])
-    assert [d for d, _ in got] == [d for d, _ in want]
-    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-5, atol=1e-3)
+    counts = ngram_lm.count_words(docs.where(~ngram_lm.held_out(docs.doc_id)).select("text"))
+    head = {w.decode() for w in ngram_lm.commonest(counts, (sizes or {}).get("head_words", ngram_lm.HEAD))[0]}
+    same(got, scores_by_hand(rows, head))
+
+
+def test_odd_rows_and_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    long = "L" * 100
+    rows = [(i, " ".join(rng.choice(["the", "Cat", long, "sat", f"r{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))) for i in range(200)]
+    rows += [(None, "the cat"), (None, None), (300, None), (301, ""), (302, " \t\n"), (303, "né   é"), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("bucket", ngram_lm.F.lit(1)).withColumn("block", ngram_lm.F.lit("x"))
+    monkeypatch.setattr(ngram_lm, "BLOCK", 64)
+    monkeypatch.setattr(ngram_lm, "FLUSH", 8)
+    everything = {w for _, t in rows for w in tokens(t)}
+    same(ngram_lm.score(df.repartition(3), cached=4, buckets=5), scores_by_hand(rows, everything))
 
 
 def test_nothing_to_learn_from(spark):
-    df = spark.createDataFrame([(2, "a b")], "doc_id bigint, text string").limit(0)
-    assert ngram_lm.score(df).count() == 0
+    held = next(i for i in range(100) if is_out(i))
+    rows = [(held, "a b"), (held, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(ngram_lm.score(df), scores_by_hand(rows))
+    assert ngram_lm.score(df.limit(0)).count() == 0
+
+
+def test_states_sum_to_one():
+    counts, pairs = np.array([40, 900, 70, 5, 3, 1]), {1: {0: 30, 2: 50, 5: 1}, 0: {1: 40}, 4: {3: 2}}
+    w = ngram_lm.Weights(counts, int(counts.sum()), len(counts))
+    unknown = 1 / w.size
+    for a in range(len(counts)):
+        c = np.array([pairs.get(a, {}).get(b, 0) for b in range(len(counts))])
+        c[1] += counts[a] - c.sum()  # every occurrence is followed by something
+        arcs = w.chance * 10.0 ** (w.gain(c, np.full(len(c), a), w.chance) + w.fall[a])
+        assert math.isclose(arcs.sum() + unknown * 10 ** w.fall[a], 1, rel_tol=1e-12)
+
+
+def test_every_bucket_answers_every_block():
+    w = ngram_lm.Weights(np.array([2, 2]), 4, 2)
+    block = ngram_lm.Block(2, 1)
+    block.add(np.array([1, -1, 0]), np.array([7], dtype=np.uint64), False)
+    sent = list(block.packed(*block.walk()))
+    assert sent and all([b for b, _ in ngram_lm.judged([(9, data), (8, data)], w)] == [9, 8] for _, data in sent)
+
+
+def test_head_takes_part_of_a_level(spark):
+    df = spark.createDataFrame([(bytes(f"w{i}", "ascii"), 5 if i < 3 else 2) for i in range(1000)], "word binary, c long")
+    for most, at_least in ((2, 1), (3, 3), (500, 400), (5000, 1000)):
+        words, own = ngram_lm.commonest(df, most)
+        assert at_least <= len(words) <= most and list(own) == sorted(own, reverse=True)
