@@ -100,6 +100,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones, lengthened until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while any(c.startswith(name) for c in taken):
+            name = f"_{name}"
+        return name
+
+    return [free(n) for n in names]
+
+
 #: A table smaller than this for each core, in fewer files than cores, is dealt out anew.
 SMALL_BYTES = 16 << 20
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import cut
+from dieflow.llm.common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,15 +35,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    loops = now.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    now = cut(now.where("a <> b").distinct(), "edges")
-    seen = None
+    given = cut(now.distinct(), "edges")
+    loops = given.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    now, seen = given.where("a <> b"), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
+        before, seen = now if seen else None, mark
         now = cut(_small_star(_large_star(now)), "edges")
+        if before is not None:
+            discard(before)
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return tied.unionAll(roots).unionAll(loops).groupBy("node").agg(F.min("root").alias("root"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import cut, map_batches, utf8, word_blocks
+from dieflow.llm.common import cut, fresh, map_batches, utf8, word_blocks
 from dieflow.llm.components import connected_components
 
 SEED = 42
@@ -131,20 +131,26 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
     return near.unionAll(far).distinct()
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, radius: int = 2, bucket: int = 256) -> DataFrame:
-    """One row for each row of docs: doc_id, fp (signed long), component_id (the smallest doc_id reachable over links, itself included).
+def placed(rows: DataFrame, roots: DataFrame, of: str) -> DataFrame:
+    """rows, which have doc_id and a vertex, with the vertex's root (itself if roots has none) and component_id, the smallest doc_id at that root."""
+    distinct = rows.groupBy(of).agg(F.min("doc_id").alias("least"))
+    rooted = distinct.join(roots, of, "left").select(of, "least", F.coalesce("root", of).alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select(of, "root", "component_id"), of).select(*rows.columns, "root", "component_id")
+
+
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), size: int = 3, radius: int = 2, bucket: int = 256) -> DataFrame:
+    """One row for each row of docs: doc_id, the kept columns, fp (signed long), root (one for each component) and component_id (the smallest doc_id reachable over links, itself included).
 
     Null and empty texts and texts without words have fingerprint 0 and link like any other.
     Null doc_ids are kept; they count as larger than all others, so a component of nulls alone has a null id.
     Repeated rows stay repeated.  Other columns of docs are ignored, so their names cannot clash.
+    A very long text is read a stretch at a time, at a cost in proportion to its length.
     """
-    printed = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size=size), "fps")
-    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(distinct.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
-    placed = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = placed.join(least, "root").select("fp", "component_id")
-    return printed.join(component, "fp").select("doc_id", "fp", "component_id")
+    given = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"))
+    printed = cut(fingerprints(given, size=size, keep=("doc_id", *keep)), "fps")
+    roots = connected_components(links(printed.select("fp").distinct(), radius, bucket))
+    return placed(printed, roots.withColumnRenamed("node", "fp"), "fp")
 
 
 def hex_digits(fp: str = "fp"):
@@ -153,12 +159,20 @@ def hex_digits(fp: str = "fp"):
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", grouped: Callable[..., DataFrame] = groups, **settings) -> DataFrame:
-    """The rows of docs that stand for their group, as `grouped` finds them: those with the group's smallest id, repeated ids once.
-
-    Rows without an id can't be named by a group and stay.  Texts are dealt out
-    once, by id, and met by a hash of the chosen ids, so they aren't sorted for
-    the join; rows of one id then lie together, and the first of them is kept.
+    """One row of docs for each group, as `grouped` finds them: the one with the group's smallest id.
+
+    A row is known by its id and a hash of all its columns, so of several rows
+    with that id the same one stays whatever their order, rows of one id with
+    different texts stand or fall with their own groups, and equal rows are one.
+    Rows without an id can't stand for a group and all stay; null and empty
+    texts are one group.  Texts are dealt out once, by id, and met by a hash of
+    the chosen rows, so they aren't sorted for the join.
     """
-    chosen = grouped(docs, text, doc_id, **settings).select(F.col("component_id").alias("__kept")).where("__kept is not null").distinct()
-    kept = docs.join(chosen.hint("shuffle_hash"), F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionAll(docs.where(F.col(doc_id).isNull()))
+    mark = F.xxhash64(*docs.columns)
+    given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
+    least = grouped(given, keep=("mark",), **settings).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+    own, hashed = fresh(docs, "kept", "mark")
+    chosen = least.select(F.col("at.doc_id").alias(own), F.col("at.mark").alias(hashed))
+    marked = docs.withColumn(hashed, mark)
+    kept = marked.join(chosen.hint("shuffle_hash").withColumnRenamed(hashed, f"{hashed}_"), (F.col(doc_id) == F.col(own)) & (F.col(hashed) == F.col(f"{hashed}_")), "left_semi")
+    return kept.dropDuplicates([doc_id, hashed]).drop(hashed).unionAll(docs.where(F.col(doc_id).isNull()))
