@@ -61,7 +61,7 @@ class Words(dict):
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word) or self.bpe.pack(self.bpe.merge(word.encode()))
+        ids = self.older.get(word) or WordStream(self.bpe).whole(word.encode())
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.older = dict(self)
@@ -192,6 +192,13 @@ class WordStream:
         ids, self.held = self.bpe.merge(self.held) if self.held else [], b""
         return self.bpe.pack(ids)
 
+    def whole(self, word: bytes) -> bytes:
+        """All of a word at once: fed as far as the transducer reads ahead and no more at a time."""
+        step = 4 * self.bpe.lookahead
+        if len(word) <= step:
+            return self.bpe.pack(self.bpe.merge(word))
+        return b"".join([*(self.feed(word[at : at + step]) for at in range(0, len(word), step)), self.finish()])
+
 
 class Encoder:
     """Text in pieces of any size to packed little-endian 32-bit ids."""
