@@ -24,12 +24,18 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes, A-Z to a-z; bytes.split() then yields exactly the words above.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/dieflow-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again; the files go when the driver ends."""
+    """Write df as Parquet to the shared folder and read it again; the files go when discarded or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dieflow-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     _paths[out := spark.read.schema(df.schema).parquet(path)] = path
     return out
 

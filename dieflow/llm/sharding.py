@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import cut
+from dieflow.llm.common import cut, scratch
 
 SLOTS = 8192
 OVERHEAD = 16
@@ -48,6 +48,13 @@ class SlotMap:
             raise ValueError(f"no version {v} in {path}")
         return SlotMap(v, found[0][2], tuple(r[1] for r in found))
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> SlotMap | None:
+        """The latest version, or None if nothing was saved at path."""
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return SlotMap.load(spark, path) if there else None
+
 
 def assign(loads: Sequence[int], shards: int) -> SlotMap:
     """A first map: heaviest slot first, each to the lightest shard so far."""
@@ -106,22 +113,37 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
     return size, count
 
 
-def shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, given: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Every row with its shard, and the map used: `given` rebalanced over today's loads, or a first one.
+def shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, maps: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Every row with its shard, and the map used, which is the latest version in the table at `maps`.
+
+    The first call writes version 1 there.  A later one takes the latest
+    version if it has as many shards and slots, or else appends a version that
+    is the latest one rebalanced over today's loads.  Rows are placed by what
+    the table then holds.  Without a path the map lives in a table of its own,
+    in the shared folder, until the driver ends.
 
     Columns: doc_id, size, text_crc32, vslot, shard and slot, the row's place
     in its shard, gapless from 0: the slots a shard owns follow one another,
     and a row's place in its slot is numbered by id, checksum and size.
     Repeated rows get places of their own.  No rows give no rows.
     """
+    spark = docs.sparkSession
     rows = cut(slotted(docs, text, doc_id, slots), "slots")
     size, count = slot_loads(rows, slots)
-    used = rebalance(given, size, shards) if given else assign(size, shards)
+    at = maps or scratch(spark, "slotmap")
+    before = SlotMap.latest(spark, at)
+    if before is None:
+        assign(size, shards).save(spark, at)
+    elif before.shards != shards:
+        if len(before.owner) != slots:
+            raise ValueError(f"the map at {at} has {len(before.owner)} slots")
+        rebalance(before, size, shards).save(spark, at)
+    used = SlotMap.load(spark, at)
     start, offsets = [0] * shards, [0] * slots
     for s in range(slots):
         offsets[s] = start[used.owner[s]]
         start[used.owner[s]] += count[s]
-    owners = docs.sparkSession.createDataFrame([(s, used.owner[s], offsets[s]) for s in range(slots) if count[s]], "vslot int, shard int, first long")
+    owners = spark.createDataFrame([(s, used.owner[s], offsets[s]) for s in range(slots) if count[s]], "vslot int, shard int, first long")
     place = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     placed = rows.withColumn("place", place).join(F.broadcast(owners), "vslot")
     return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("place") - 1).alias("slot")), used
