@@ -16,16 +16,15 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import Shared, map_batches
+from dieflow.llm.common import Shared, cut, fresh, map_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -67,34 +66,62 @@ class Postings:
     block_last: list[int]
 
 
+@dataclass
+class Statistics:
+    """Of all items that have words: how many, how many have each term, their words together, and those of the longest."""
+
+    n: int = 0
+    df: Counter[str] = field(default_factory=Counter)
+    total: int = 0
+    longest: int = 0
+
+    def add(self, text: str) -> None:
+        if of := words(text):
+            self.n += 1
+            self.df.update(set(of))
+            self.total += len(of)
+            self.longest = max(self.longest, len(of))
+
+    def within(self, items: Sequence[tuple[int, str]]) -> Statistics:
+        """The same with the terms of some items alone."""
+        return Statistics(self.n, Counter({t: self.df[t] for _, x in items for t in words(x)}), self.total, self.longest)
+
+
 class Index:
-    """An inverted index of (item_id, text) pairs; items without words are left out."""
+    """An inverted index of (item_id, text) pairs; items without words are left out.
 
-    def __init__(self, items: Sequence[tuple[int, str]]) -> None:
+    Weights and windows follow the statistics of the whole benchmark, of which
+    the items may be a part.
+    """
+
+    def __init__(self, items: Sequence[tuple[int, str]], whole: Statistics | None = None) -> None:
+        if whole is None:
+            whole = Statistics()
+            for _, text in items:
+                whole.add(text)
         self.ids, self.parts, counts = [], [], []
         for item_id, text in items:
             if tf := Counter(words(text)):
                 self.ids.append(item_id)
                 self.parts.append(question_and_answer(text))
                 counts.append(tf)
-        n = len(counts)
+        n, df = whole.n, whole.df
         lengths = [sum(tf.values()) for tf in counts]
-        mean = sum(lengths) / n if n else 1
-        df = Counter(t for tf in counts for t in tf)
+        mean = whole.total / n if n else 1
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, tf in enumerate(counts):
             raw = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[i] / mean)) for t, c in tf.items()}
-            whole = sum(raw.values())
+            best = sum(raw.values())
             for t, x in raw.items():
-                lists[t].append((i, float(x / whole)))
+                lists[t].append((i, float(x / best)))
         self.terms = {t: k + 1 for k, t in enumerate(lists)}
         self.postings: list[Postings | None] = [None]
         for entries in lists.values():
             blocks = [entries[k : k + POSTINGS_BLOCK] for k in range(0, len(entries), POSTINGS_BLOCK)]
             self.postings.append(Postings([e[0] for e in entries], [e[1] for e in entries], max(e[1] for e in entries), [max(e[1] for e in b) for b in blocks], [b[-1][0] for b in blocks]))
         #: A window and the next share half their words, so every run of words as long as the longest item lies in one.
-        self.stride = max(32, *lengths) if n else 32
-        self._bound_terms(n, df, lists)
+        self.stride = max(32, whole.longest)
+        self._bound_terms(len(counts), df, lists)
 
     def _bound_terms(self, n: int, df: Counter, lists: dict) -> None:
         """Upper bounds for the first test, by blocks of BOUND_BLOCK items.
@@ -233,46 +260,68 @@ def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> It
         yield block
 
 
+def _indexes(spark: SparkSession, items: DataFrame) -> Iterator[Shared]:
+    """Each block of the benchmark with the statistics of all blocks, sent to the executors when it is asked for."""
+    whole = Statistics()
+    for block in blocks(items):
+        for _, text in block:
+            whole.add(text)
+    for block in blocks(items):
+        yield Shared(spark, (block, whole.within(block)))  # within MAX_ITEMS and MAX_CHARS
+
+
+def _hits(docs: DataFrame, index: Shared, keep: Sequence[str], text: str, threshold: float, overlap: float) -> DataFrame:
+    given = docs.select(*keep, F.col(text).cast("string").alias(*fresh(docs, "query")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[: len(keep)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        of = index.build(lambda x: Index(*x))
+        rows, hits = [], []
+        for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            found = of.leaks(t, threshold, overlap)
+            rows += [k] * len(found)
+            hits += found
+        kept = batch.take(pa.array(rows, pa.int64())).columns[:-1]
+        more = [pa.array([h[i] for h in hits], kind) for i, kind in enumerate((pa.int64(), *[pa.float64()] * 3))]
+        return pa.RecordBatch.from_arrays([*kept, *more], names=[*keep, "item_id", "score", "question_overlap", "answer_overlap"])
+
+    return map_batches(given, run, f"{kinds}, item_id bigint, score double, question_overlap double, answer_overlap double")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """One row for each (row of docs, benchmark item) whose item is found in the text: the kept columns, item_id, score, question_overlap and answer_overlap.
 
     Null and empty texts hold nothing; null items, and items without words, are
     found nowhere; equal items are each found.  Repeated rows of docs come out
-    repeatedly.  An index over the bounds is built and searched block by block.
+    repeatedly.  A benchmark over the bounds is searched block by block, one
+    block at the executors at a time, with the weights of the whole; so what is
+    found doesn't depend on the blocks.  The cost grows with the text's length.
     """
-    spark = docs.sparkSession
-    given = docs.select(*keep, F.col(text).cast("string").alias("__query"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1])
-    schema = f"{kinds}, item_id bigint, score double, question_overlap double, answer_overlap double"
-    out = []
-    for block in blocks(items):
-        shared = Shared(spark, block)  # within MAX_ITEMS and MAX_CHARS
-
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            index = shared.build(Index)
-            rows, hits = [], []
-            for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                found = index.leaks(t, threshold, overlap)
-                rows += [k] * len(found)
-                hits += found
-            kept = batch.take(pa.array(rows, pa.int64())).columns[:-1]
-            more = [pa.array([h[i] for h in hits], kind) for i, kind in enumerate((pa.int64(), *[pa.float64()] * 3))]
-            return pa.RecordBatch.from_arrays([*kept, *more], names=[*keep, "item_id", "score", "question_overlap", "answer_overlap"])
-
-        out.append(map_batches(given, run, schema))
-    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], schema)
+    out = None
+    for index in _indexes(docs.sparkSession, items):
+        hits = _hits(docs, index, keep, text, threshold, overlap)
+        # What earlier blocks found is written, so each block is a pass of its own.
+        out = hits if out is None else cut(out, "hits").unionAll(hits)
+    if out is None:
+        out = _hits(docs.limit(0), Shared(docs.sparkSession, ([], Statistics())), keep, text, threshold, overlap)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of docs whose text holds no item of the benchmark; all columns stay."""
+    """The rows of docs whose text holds no item of the benchmark; all columns stay.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together.
+    Each further block of a benchmark over the bounds searches what the blocks
+    before have left, written in between.
+    """
     at = docs.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for block in blocks(items):
-        shared = Shared(docs.sparkSession, block)
+    left = docs
+    for index in _indexes(docs.sparkSession, items):
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            index = shared.build(Index)
-            return batch.filter(pa.array([not index.leaks(t, threshold, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
+        def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
+            of = index.build(lambda x: Index(*x))
+            return batch.filter(pa.array([not of.leaks(t, threshold, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = map_batches(docs, run, schema)
-    return docs
+        left = map_batches(left if left is docs else cut(left, "clean"), run, schema)
+    return left
