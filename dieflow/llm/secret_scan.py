@@ -2,11 +2,14 @@
 
 Each text is scanned once for assignments, access keys and hex runs, and for
 other tokens that look random.  Hashes of all candidate values are then counted
-over the whole corpus by distinct owners: a value that few owners hold looks
-like a live credential of theirs, one that many hold is a copied example.
-Counting goes by (value, owner) first and by value next, both with map-side
-combining, so a value copied into a third of all rows makes no hot task; the
-join back is a plain equi-join, which adaptive execution splits.
+over the whole corpus by distinct repositories and by distinct owners of those:
+a value that few owners hold, in however many of their repositories, looks like
+a live credential of theirs, one that many hold is a copied example.  Few means
+MAX_OWNERS, and not over MAX_SHARE of all owners where owners are few.
+Counting goes by (value, owner, repository) first, then by (value, owner) and
+by value, each with map-side combining, so a value copied into a third of all
+rows makes no hot task; the join back is a plain equi-join, which adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -14,16 +17,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import cut, map_batches
+from dieflow.llm.common import cut, fresh, map_batches
 
 KINDS = ("assign", "access", "hex", "owned")
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_SHARE = 2, 0.1
 MIN_ENTROPY = 3.2
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,13 +43,24 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def _united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, hash of the value) of every candidate, in code points, sorted; kinds are indexes of KINDS.
 
     The first three kinds are leftmost non-overlapping matches of their own
     pattern and may overlap one another.  The last is any other run of 20 or
     more token characters with letters, digits and enough entropy that touches
-    none of those.
+    none of those.  The cost grows with the text and the number of candidates.
     """
     found = []
     low = text.lower()
@@ -54,50 +69,73 @@ def scan(text: str) -> list[tuple[int, int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
-    base = [(s, e) for s, _, e, _ in found]
+    base, at = _united((s, e) for s, _, e, _ in found), 0
     for m in _TOKEN.finditer(text):
+        while at < len(base) and base[at][1] <= m.start():
+            at += 1
+        if at < len(base) and base[at][0] < m.end():
+            continue
         v = m[0]
-        if not v.isalpha() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(s < m.end() and m.start() < e for s, e in base) and entropy(v) >= MIN_ENTROPY:
+        if not v.isalpha() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= MIN_ENTROPY:
             found.append((m.start(), 3, m.end(), v))
     return sorted((s, k, e, xxhash.xxh64_intdigest(v.encode()) - (1 << 63)) for s, k, e, v in found)
 
 
-def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The kept columns and `found`, an array of struct(start, kind, end, h); null texts have none."""
-    given = docs.select(*keep, F.col(text).cast("string").alias("__scan"))
+_FOUND = "array<struct<start:int,kind:int,end:int,h:bigint>>"
+
+
+def candidates(docs: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
+    """docs and, under a new name, an array of struct(start, kind, end, h); null texts have none."""
+    at = docs.columns.index(text)
     item = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("h", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[dict(zip(("start", "kind", "end", "h"), x)) for x in scan(t or "")] for t in batch.column(batch.num_columns - 1).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(item))], names=[*keep, "found"])
+        found = [[dict(zip(("start", "kind", "end", "h"), x)) for x in scan(t or "")] for t in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(item))], names=[*batch.schema.names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_batches(docs, run, f"{schema}, `{name}` {_FOUND}")
+
+
+def ownership(held: DataFrame) -> DataFrame:
+    """(h, owners, repositories): how many distinct owners, and repositories of theirs, hold each value, from rows (h, owner, repository).
+
+    Rows without an owner or repository count as those of one.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    each = held.select("h", text("owner").alias("owner"), text("repository").alias("repository")).distinct()
+    by_owner = each.groupBy("h", "owner").agg(F.count("*").alias("n"))
+    return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+
+
+def few_owners(owners: DataFrame, most: int = MAX_OWNERS, share: float = MAX_SHARE) -> int:
+    """How many owners a live value may have, given a column of all rows' owners."""
+    return max(1, min(most, int(share * owners.distinct().count())))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1])
-    return map_batches(given, run, f"{schema}, found array<struct<start:int,kind:int,end:int,h:bigint>>")
+_SPANS = "array<struct<start:int,kind:int,end:int,owners:bigint,repositories:bigint,live:boolean>>"
 
 
-def ownership(found: DataFrame, owner: str = "source") -> DataFrame:
-    """(h, owners): how many distinct owners hold each candidate value; rows without an owner count as one owner."""
-    held = found.select(F.explode("found.h").alias("h"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner")).distinct()
-    return held.groupBy("h").agg(F.count("*").alias("owners"))
+def _listed(found: DataFrame, most: int) -> DataFrame:
+    """(row, spans) of the rows that have any, from rows (row, owner, repository, found)."""
+    each = found.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
+    judged = each.select("row", "start", "kind", "end", "h").join(ownership(each), "h").withColumn("live", F.col("owners") <= most)
+    span = F.struct("start", "kind", "end", "owners", "repositories", "live")
+    return judged.where((F.col("kind") < 3) | F.col("live")).groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row for each row of docs: doc_id and `spans`, an array of struct(start, kind, end, owners, live), sorted.
+def secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """One row for each row of docs: doc_id and `spans`, an array of struct(start, kind, end, owners, repositories, live), sorted.
 
     Base kinds are always listed; a span of kind "owned" is listed only if it
-    is live, that is if at most max_owners distinct owners hold its value.
-    Null and empty texts have no spans.  Repeated rows stay repeated, each with
-    the same spans.
+    is live, that is if few enough owners hold its value.  A repository is a
+    document unless a column names it.  Null and empty texts have no spans.
+    Repeated rows stay repeated, each with the same spans.
     """
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("source"), F.col(text).alias("text"))
-    found = cut(candidates(given).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = each.join(ownership(found), "h").withColumn("live", F.col("owners") <= max_owners)
-    listed = judged.where((F.col("kind") < 3) | F.col("live"))
-    span = F.struct("start", "kind", "end", "owners", "live")
-    spans = listed.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,owners:bigint,live:boolean>>)")
-    return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.col(repository or doc_id).alias("repository"), F.col(text).cast("string").alias("text"))
+    found = cut(candidates(given).select("doc_id", "owner", "repository", "found", F.monotonically_increasing_id().alias("row")), "secrets")
+    spans = _listed(found, few_owners(found.select("owner"), max_owners))
+    return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -125,28 +163,41 @@ def mask_spans(text: str, spans: list[tuple[int, int]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS, mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = None, max_owners: int = MAX_OWNERS, mask: str = "[secret]") -> DataFrame:
     """docs with every listed span of `text` replaced by the mask; a column n_chars follows the text.
 
     Base spans go whoever owns them, "owned" ones if they are live.  Null texts
-    stay null; repeated rows stay repeated.  Rows meet their spans by a hash of
-    the text, and equal texts have equal spans.
+    stay null; repeated rows stay repeated.  Rows are numbered in the written
+    table of what was found, and only those with a candidate of kind "owned",
+    whose owners must be counted, are dealt out to meet their spans.
     """
-    key = F.xxhash64(F.col(text))
-    found = secrets(docs.withColumn("__key", key).select("__key", owner, text), text, "__key", owner, max_owners)
-    by_text = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__spans"))
     columns = docs.columns
-    joined = docs.withColumn("__key", key).join(by_text, "__key", "left").select(*columns, "__spans")
+    row, found, live = fresh(docs, "row", "found", "live")
+    scanned = cut(candidates(docs, text, found).withColumn(row, F.monotonically_increasing_id()), "scanned")
+    most = few_owners(scanned.select(owner), max_owners)
+    narrow = scanned.select(F.col(row).alias("row"), F.col(owner).alias("owner"), F.col(repository or doc_id).alias("repository"), F.col(found).alias("found"))
+    owned = narrow.withColumn("found", F.filter("found", lambda f: f["kind"] == 3)).where(F.size("found") > 0)
+    spans = _listed(owned, most).select(F.col("row").alias(row), F.transform("spans", lambda s: s["start"]).alias(live))
+    some = F.exists(found, lambda f: f["kind"] == 3)
+    plain = scanned.where(~some).select(*columns, found, F.expr("cast(array() as array<int>)").alias(live))
+    mixed = scanned.where(some).join(spans, row, "left").select(*columns, found, F.coalesce(live, F.expr("cast(array() as array<int>)")).alias(live))
     at, chars = columns.index(text), columns.index("n_chars") if "n_chars" in columns else -1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
-        out = [mask_spans(t, [(s["start"], s["end"]) for s in x], mask) if x else t for t, x in zip(texts, spans)]
-        arrays = [*batch.columns[:-1]]
+        texts = batch.column(at).to_pylist()
+        out, touched = list(texts), []
+        for i, (f, kept) in enumerate(zip(batch.column(len(columns)).to_pylist(), map(set, batch.column(len(columns) + 1).to_pylist()))):
+            masked = sorted((x["start"], x["end"]) for x in f if x["kind"] < 3 or x["start"] in kept)
+            if masked:
+                out[i] = mask_spans(texts[i], masked, mask)
+                touched.append(i)
+        arrays = [*batch.columns[:-2]]
         arrays[at] = pa.array(out, batch.schema.types[at])
         if chars >= 0:
-            was = batch.column(chars).to_pylist()
-            arrays[chars] = pa.array([len(o) if x else w for o, x, w in zip(out, spans, was)], batch.schema.types[chars])
+            n = batch.column(chars).to_pylist()
+            for i in touched:
+                n[i] = len(out[i])
+            arrays[chars] = pa.array(n, batch.schema.types[chars])
         return pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return map_batches(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_batches(plain.unionAll(mixed), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
