@@ -2,9 +2,12 @@
 
 import hashlib
 import html
+import json
 import math
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +20,7 @@ import corpus_pipeline
 from dieflow.llm import bpe, decontam, html_main, ngram_lm, quality, queries, secret_scan, sharding, simhash, toxicity, urlfilter
 from dieflow.llm.common import word_blocks
 from dieflow.llm.components import connected_components
+from test_near import kept_by_hand
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -213,6 +217,29 @@ def test_bpe_holds_little(pair):
     assert 100 < mine.lookahead < 5000
 
 
+def test_lookahead_of_any_merge_list(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(150):
+        known, rules = [b"a", b"b", b"c"], []
+        for _ in range(rng.randrange(1, 14)):
+            u, v = rng.choice(known), rng.choice(known)
+            if u + v not in known and len(u + v) < 12:
+                known.append(u + v)
+                rules.append((u, v))
+        vocab = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(known[3:])}
+        shown = bpe.byte_alphabet()
+        given = {"model": {"type": "BPE", "vocab": {"".join(shown[b] for b in t): i for t, i in vocab.items()}, "merges": ["".join(shown[b] for b in u) + " " + "".join(shown[b] for b in v) for u, v in rules]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "normalizer": None, "added_tokens": []}
+        mine = bpe.Bpe(json.dumps(given).encode())
+        for _ in range(12):
+            word, stream, at, out = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 90))), bpe.WordStream(mine), 0, []
+            while at < len(word):
+                n = rng.randrange(1, 4)
+                out.append(stream.feed(word[at : at + n]))
+                at += n
+            want = mine.pack(mine.merge(word))
+            assert b"".join([*out, stream.finish()]) == want == bpe.WordStream(mine).whole(word)
+
+
 def test_bpe_documents(odd, none, pair):
     path = queries.tokenizer_path()
     want = Counter()
@@ -228,66 +255,102 @@ def test_bpe_documents(odd, none, pair):
 # --- 4 ---
 
 
+def shards_by_hand(rows, shards, slots):
+    """{row: (vslot, shard)}, shards' bytes, by the slots' owners: heaviest slot first, each to the lightest shard."""
+    size = lambda t: len((t or "").encode()) + 16
+    of = lambda d, t: xxhash.xxh64(struct.pack("<q", d) if d is not None else (t or "").encode(), 42).intdigest() - (1 << 64) * (xxhash.xxh64(struct.pack("<q", d) if d is not None else (t or "").encode(), 42).intdigest() >> 63)
+    slot = [of(d, t) % slots for d, t in rows]
+    load = Counter()
+    for s, (_, t) in zip(slot, rows):
+        load[s] += size(t)
+    total, held, owner = [0] * shards, [0] * shards, {}
+    for s in sorted(range(slots), key=lambda s: (-load[s], s)):
+        k = min(range(shards), key=lambda k: (total[k], held[k], k))
+        owner[s], total[k], held[k] = k, total[k] + load[s], held[k] + 1
+    return Counter((d, size(t), zlib.crc32((t or "").encode()), s, owner[s]) for s, (d, t) in zip(slot, rows)), total
+
+
 def test_sharding(spark, odd, none, docs, tmp_path):
-    for df in (odd, docs):
-        rows = df.select("doc_id", "text").collect()
-        placed, used = sharding.shard(df, 5, slots=512)
+    for k, df in enumerate((odd, docs)):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        placed, used = sharding.shard(df, 5, slots=512, maps=str(tmp_path / f"map{k}"))
         got = placed.collect()
-        size = lambda t: len((t or "").encode()) + 16
-        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, size(r.text), zlib.crc32((r.text or "").encode())) for r in rows)
+        want, total = shards_by_hand(rows, 5, 512)
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.vslot, r.shard) for r in got) == want
         by = defaultdict(list)
-        for r in got:
-            by[r.shard].append(r.slot)
-        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+        for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+            by[r.shard].append((r.slot, r.vslot))
+        assert all([x for x, _ in v] == list(range(len(v))) and [x for _, x in v] == sorted(x for _, x in v) for v in by.values())
+    maps = str(tmp_path / "map1")
+    assert max(total) - min(total) < 0.05 * sum(total) / 5 and sharding.SlotMap.load(spark, maps) == used and used.version == 1
+    # A stored map is used again, and edited when the number of shards changes.
+    assert sharding.shard(docs, 5, slots=512, maps=maps)[1] == used
+    moved, more = sharding.shard(docs, 6, slots=512, maps=maps)
     loads, _ = sharding.slot_loads(sharding.slotted(docs, slots=512), 512)
     total = lambda m: [sum(x for x, o in zip(loads, m.owner) if o == s) for s in range(m.shards)]
-    assert max(total(used)) - min(total(used)) < 0.05 * sum(loads) / 5
-    more = sharding.rebalance(used, loads, 6)
-    moved = [s for s in range(512) if more.owner[s] != used.owner[s]]
-    assert more.version == 2 and max(total(more)) < 1.2 * sum(loads) / 6 and len(moved) < 512 / 3
-    less = sharding.rebalance(more, loads, 4)
-    assert max(less.owner) == 3
-    used.save(spark, str(tmp_path / "map"))
-    more.save(spark, str(tmp_path / "map"))
-    assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == more and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == used
-    assert sharding.shard(none, 5)[0].count() == 0
+    assert more.version == 2 and more == sharding.rebalance(used, loads, 6) and moved.count() == docs.count()
+    assert max(total(more)) < 1.2 * sum(loads) / 6 and sum(a != b for a, b in zip(used.owner, more.owner)) < 512 / 3
+    assert max(sharding.shard(docs, 4, slots=512, maps=maps)[1].owner) == 3
+    assert sharding.SlotMap.load(spark, maps, 1) == used and sharding.SlotMap.load(spark, maps, 2) == more and sharding.SlotMap.latest(spark, maps).version == 3
+    assert sharding.shard(none, 5)[0].count() == 0 and sharding.SlotMap.latest(spark, str(tmp_path / "no map")) is None
 
 
 # --- 5 ---
 
 
-def leaks_by_hand(index, text):
-    w = decontam.words(text)
-    best = {}
-    for s in range(0, max(1, len(w) - index.stride), index.stride):
-        window = w[s : s + 2 * index.stride]
-        score = Counter()
-        for t in set(window) & set(index.terms):
-            p = index.postings[index.terms[t]]
-            for i, x in zip(p.items, p.impacts):
-                score[i] += x
-        for i, x in score.items():
-            q, a = index.overlap(i, window)
-            if x >= decontam.THRESHOLD - 1e-9 and q >= decontam.OVERLAP and a >= decontam.OVERLAP:
-                best[i] = max(best.get(i, (0, 0, 0)), (q, a, x))
-    return {(index.ids[i], round(x, 9)) for i, (_, _, x) in best.items()}
-
-
-def test_decontamination(spark, docs, odd, none):
+def leaks_by_hand(items, text):
+    """{(item_id, score)} by BM25 from its formula, over every window, given all (item_id, text) of the benchmark."""
+    bag = [(i, re.findall(r"\w+", t.lower()), t) for i, t in items if t and i is not None and re.findall(r"\w+", t.lower())]
+    if not bag:
+        return set()
+    n, mean, longest = len(bag), sum(len(b) for _, b, _ in bag) / len(bag), max(len(b) for _, b, _ in bag)
+    df = Counter(t for _, b, _ in bag for t in set(b))
+    idf = {t: math.log(1 + (n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    w, half, best = re.findall(r"\w+", (text or "").lower()), max(32, longest), {}
+    for s in range(0, max(1, len(w) - half), half):
+        window = w[s : s + 2 * half]
+        there, five = set(window), {}
+        for i, b, t in bag:
+            raw = {x: idf[x] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(b) / mean)) for x, c in Counter(b).items()}
+            score = sum(v for x, v in raw.items() if x in there) / sum(raw.values())
+            if score < 0.6 - 1e-9:
+                continue
+            ends = [m.end() for m in re.finditer(r"[.!?\n]\s*(?=\S)", t.strip())]
+            parts = [re.findall(r"\w+", x.lower()) for x in ((t.strip()[: ends[-1]], t.strip()[ends[-1] :]) if ends else ("", t))]
+            question, answer = (parts[0], parts[1]) if parts[0] else (parts[1], [])
+            size = min(5, len(question))
+            grams = lambda of: {tuple(of[k : k + size]) for k in range(len(of) - size + 1)} or {tuple(of)}  # noqa: E731, B023
+            own = grams(question)
+            q = len(own & (five.setdefault(size, grams(window)))) / len(own)
+            a = len(set(answer) & there) / len(set(answer)) if answer else 1.0
+            if q >= 0.8 and a >= 0.8:
+                best[i] = max(best.get(i, (0, 0, 0)), (q, a, score))
+    return {(i, round(x, 7)) for i, (_, _, x) in best.items()}
+
+
+def test_decontamination(spark, docs, odd, none, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    index = decontam.Index([(r.item_id, r.text) for r in items.collect()])
-    got = defaultdict(set)
-    for r in decontam.contaminated(docs, items).collect():
-        got[r.doc_id].add((r.item_id, round(r.score, 9)))
-    assert got and all(got.get(r.doc_id, set()) == leaks_by_hand(index, r.text) for r in docs.collect())
+    every = [(r.item_id, r.text) for r in items.collect()]
+    want = {r.doc_id: leaks_by_hand(every, r.text) for r in docs.collect()}
+
+    def found(df, of):
+        got = defaultdict(set)
+        for r in decontam.contaminated(df, of).collect():
+            got[r.doc_id].add((r.item_id, round(r.score, 7)))
+        return got
+
+    got = found(docs, items)
+    assert got and all(got.get(d, set()) == x for d, x in want.items())
     planted = items.where("length(text) > 60").select((F.col("item_id") + 1000).alias("doc_id"), F.concat(F.lit("Some words before. "), "text", F.lit(" and after.")).alias("text"))
-    found = {(r.doc_id - 1000, r.item_id) for r in decontam.contaminated(planted, items).collect()}
-    assert {(r.doc_id - 1000,) * 2 for r in planted.collect()} <= found
+    assert {(r.doc_id - 1000,) * 2 for r in planted.collect()} <= {(r.doc_id - 1000, r.item_id) for r in decontam.contaminated(planted, items).collect()}
     assert decontam.clean(docs, items).count() == docs.count() - len(got)
     assert decontam.contaminated(odd, items).count() == 0 and decontam.clean(odd, items).count() == len(odd_rows()) and decontam.contaminated(none, items).count() == 0
-    assert decontam.contaminated(odd, items.limit(0)).count() == 0
+    assert decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.clean(odd.withColumn("query", F.lit(1)), items.limit(0)).count() == len(odd_rows())
     holes = spark.createDataFrame([(1, None), (None, "x y z"), (2, "..."), (3, "one"), (3, "one")], "item_id bigint, text string")
     assert {r.item_id for r in decontam.contaminated(spark.createDataFrame([(1, "one two")], "doc_id int, text string"), holes).collect()} == {3}
+    # Blocks of the index change nothing.
+    monkeypatch.setattr(decontam, "MAX_ITEMS", max(2, len(every) // 3))
+    assert found(docs, items) == got and decontam.clean(docs, items).count() == docs.count() - len(got)
 
 
 def test_wand_equals_full_scores(monkeypatch):
@@ -388,6 +451,29 @@ def test_secrets(spark, docs, odd, none):
     assert secret_scan.digest(secret_scan.secrets(none)).count() == 0 and secret_scan.redact(none).count() == 0
 
 
+def test_redaction_by_row(spark):
+    live, copied = "Zx9Qw8Er7Ty6Ui5Op4As", "Example0Example1Key2abc3"
+    names = ("key", "__key", "__spans", "found", "live", "row", "spans", "h")
+    rows = [(k % 3, f"{live} is of s{k % 2} and {copied} of all", f"s{k % 12}" if k % 2 else "s0") for k in range(40)] + [(1, None, None), (None, f"password=abcdefg {copied}", "s1"), (None, "", "s1")]
+    rows += [(7, f"Yy8Kp3Lm9Rt2Q7q6W5w4E3 twice", "s5")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({n: F.lit("x") for n in names}).repartition(4)
+    clean = secret_scan.redact(df)
+    owners = defaultdict(set)
+    for _, t, s in rows:
+        for v in re.findall(r"[A-Za-z0-9]{20,}", t or ""):
+            owners[v].add(s or "")
+    few = max(1, min(2, int(0.1 * len({s for _, _, s in rows}))))
+    mask = lambda t: t and re.sub(r"password=\w+", "[secret]", re.sub(r"[A-Za-z0-9]{20,}", lambda m: "[secret]" if len(owners[m[0]]) <= few else m[0], t))
+    assert clean.columns == df.columns and Counter((r.doc_id, r.text, r.source) for r in clean.collect()) == Counter((d, mask(t), s) for d, t, s in rows)
+
+
+def test_scan_of_many_candidates():
+    text = " ".join(f"token=abcdef{i} Zx9Qw8Er7Ty6Ui5Op{i:06d} {'ab' * 12}" for i in range(30_000))
+    began = time.perf_counter()
+    found = secret_scan.scan(text)
+    assert len(found) == 90_000 and time.perf_counter() - began < 20
+
+
 # --- 9 ---
 
 
@@ -412,11 +498,49 @@ def test_toxicity(spark, odd, none):
         assert 0 <= toxicity.train(rows).score(None) <= 1
 
 
-def test_noisy_or():
-    m = toxicity.Model(-2.0, {"bad": 3.0})
-    p = [1 / (1 + math.exp(2)), 1 / (1 + math.exp(-1))]
-    assert m.score("Good. bad bad!") == pytest.approx(1 - (1 - p[0]) * (1 - p[1]))
-    assert [round(s[2], 6) for s in m.sentences("Good. bad bad!")] == [round(x, 6) for x in p]
+def noisy_or_by_hand(bias, weights, text):
+    """From the weights alone: each sentence's words and prefixes, then the noisy-or with a leak."""
+    sigma = lambda z: 1 / (1 + math.exp(-z))
+    clean = 1 - sigma(bias)
+    for s in re.split(r"[.!?\n]+", text or ""):
+        of = [f for w in set(re.findall(r"\w+", s.lower())) for f in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n)]]
+        z = bias + sum(weights.get(f, 0.0) for f in of)
+        clean *= min(1.0, (1 - sigma(z)) / (1 - sigma(bias)))
+    return 1 - clean
+
+
+def test_noisy_or(docs, odd, spark):
+    m = toxicity.Model(-2.0, {"bad": 3.0, "good": -1.0})
+    leak, p = 1 / (1 + math.exp(2)), 1 / (1 + math.exp(-1))
+    score, found = m.read("Good. bad bad! Fine. BAD")
+    assert score == pytest.approx(1 - (1 - leak) * ((1 - p) / (1 - leak)) ** 2) and [(a, b) for a, b, _ in found] == [(5, 13), (20, 24)]
+    assert [s for _, _, s in found] == pytest.approx([p, p]) and m.score("Good. Fine. " * 10_000) == m.score(None) == pytest.approx(leak)
+    model = toxicity.train(toxicity.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+    for df in (docs, odd):
+        text = Counter((r.doc_id, round(noisy_or_by_hand(model.bias, model.weights, r.text), 6)) for r in df.collect())
+        assert Counter((r.doc_id, round(r.score, 6)) for r in toxicity.score(df, model).collect()) == text
+
+
+def test_gradient():
+    rng = np.random.default_rng(3)
+    document = np.sort(rng.integers(0, 12, 40))
+    sentence, column = rng.integers(0, 40, 120), rng.integers(0, 6, 120)
+    y, gain, w = rng.integers(0, 2, 12).astype(float), rng.random(12) + 0.5, np.append(rng.normal(0, 1, 6), -1.5)
+
+    def loss(w):
+        sigma = lambda z: 1 / (1 + np.exp(-z))
+        out = 0.0
+        for d in range(12):
+            keep = 1 - sigma(w[-1])
+            for s in np.flatnonzero(document == d):
+                keep *= min(1.0, (1 - sigma(w[-1] + w[column[sentence == s]].sum())) / (1 - sigma(w[-1])))
+            out -= gain[d] * math.log(1 - keep if y[d] else keep)
+        return out / 12
+
+    got = toxicity.gradient(w, column, sentence, document, y, gain)
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert got[k] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-6, abs=1e-5)
 
 
 # --- 10 ---
@@ -480,12 +604,11 @@ def test_pipeline(spark, docs):
         assert name == names[-1] or now.columns == docs.columns
     model = toxicity.train(toxicity.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     every = docs.collect()
-    fine = [r for r in every if model.score(r.text) < corpus_pipeline.REJECT]
+    fine = [r for r in every if noisy_or_by_hand(model.bias, model.weights, r.text) < corpus_pipeline.REJECT]
     assert {r.doc_id for r in kept["toxicity"]} == {r.doc_id for r in fine}
-    groups = components_by_hand([(r.doc_id, simhash_by_hand(r.text)) for r in fine])
-    assert {r.doc_id for r in kept["near_duplicates"]} == {d for d, _, c in groups if d == c}
-    index = decontam.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    left = [r for r in kept["near_duplicates"] if not leaks_by_hand(index, r.text)]
+    assert {r.doc_id for r in kept["near_duplicates"]} == kept_by_hand([(r.doc_id, r.text) for r in fine])
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    left = [r for r in kept["near_duplicates"] if not leaks_by_hand(items, r.text)]
     assert {r.doc_id for r in kept["decontamination"]} == {r.doc_id for r in left}
     assert not any(spans_by_hand(r.text) for r in kept["secrets"]) and len(kept["secrets"]) == len(left)
     mine = bpe.Bpe(open(queries.tokenizer_path(), "rb").read())
