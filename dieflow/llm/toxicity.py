@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -46,6 +47,20 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
+class _Known(dict):
+    """Those of a word's features that are in a table, kept for the words in use."""
+
+    def __init__(self, table: dict) -> None:
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) > 1 << 16:
+            self.clear()
+        self[word] = found = [f for f in features(word) if f in self.table]
+        return found
+
+
 @dataclass
 class Model:
     bias: float
@@ -115,29 +130,25 @@ def train(rows: Iterable[tuple[str | None, int]], rounds: int = 120, rate: float
     if not total or positive in (0, total):
         share = min(max(positive / total if total else 0.0, 1e-6), 1 - 1e-6)
         return Model(float(np.log(share / (1 - share))), {})
-    bags = [[set(_WORD.findall(s)) for s in _SENTENCE.findall(t.lower())] or [set()] for t, _ in rows]
-    seen, hits = Counter(), Counter()
-    for bag, (_, y) in zip(bags, rows):
-        of = {f for w in set().union(*bag) for f in features(w)}
-        seen.update(of)
-        if y:
-            hits.update(of)
+    # Three walks over the texts hold counts of a few features; one that kept every text's words would hold them all.
+    hits = Counter(f for t, y in rows if y for f in {f for w in set(_WORD.findall(t.lower())) for f in features(w)})
+    hits = {f: n for f, n in hits.items() if n >= MIN_POSITIVE}
+    of_word = _Known(hits)
+    seen = Counter(f for t, _ in rows for f in {f for w in set(_WORD.findall(t.lower())) for f in of_word[w]})
     # A feature must be commoner among positives than chance explains to say anything for toxicity.
     expected = {f: seen[f] * positive / total for f in hits}
-    names = sorted(f for f, n in hits.items() if n >= MIN_POSITIVE and seen[f] <= MAX_SHARE * total and n - expected[f] > MIN_SURPLUS * math.sqrt(expected[f]))
+    names = sorted(f for f, n in hits.items() if seen[f] <= MAX_SHARE * total and n - expected[f] > MIN_SURPLUS * math.sqrt(expected[f]))
     index = {f: i for i, f in enumerate(names)}
-    of_word: dict[str, list[int]] = defaultdict(list)
-    for w in set().union(*(s for bag in bags for s in bag)):
-        of_word[w] = [index[f] for f in features(w) if f in index]
-    column, sentence, document, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [i for w in s for i in of_word[w]]
-            column += ids
-            sentence += [n] * len(ids)
+    of_word = _Known(index)
+    column, sentence, document, n = array("q"), array("q"), array("q"), 0
+    for d, (t, _) in enumerate(rows):
+        for s in _SENTENCE.findall(t.lower()) or [""]:
+            ids = [index[f] for w in set(_WORD.findall(s)) for f in of_word[w]]
+            column.extend(ids)
+            sentence.extend([n] * len(ids))
             document.append(d)
             n += 1
-    column, sentence, document = np.array(column, dtype=np.int64), np.array(sentence, dtype=np.int64), np.array(document)
+    column, sentence, document = (np.array(x, dtype=np.int64) for x in (column, sentence, document))
     y = np.array([r[1] for r in rows], dtype=float)
     # Few positives: each class counts for half.
     gain = np.where(y == 1, total / (2 * positive), total / (2 * (total - positive)))
@@ -170,11 +181,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     picked = known.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(2 * MAX_TRAINING_ROWS)
     given = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") <= MAX_ROW_CHARS)
-    rows = given.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(MAX_TRAINING_ROWS)
+    rows = given.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id", F.lit(7)), "id")
     out, chars = [], 0
+    # Partition by partition: a limit would gather all rows at the driver at once.
     for r in rows.toLocalIterator():
         chars += len(r.text)
-        if chars > MAX_TRAINING_CHARS:
+        if chars > MAX_TRAINING_CHARS or len(out) == MAX_TRAINING_ROWS:
             break
         out.append((r.text, r.y))
     return out
