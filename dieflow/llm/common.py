@@ -31,11 +31,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again; the files go when discarded or when the driver ends."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _paths[out := spark.read.schema(df.schema).parquet(path)] = path
     return out
 

@@ -1,21 +1,23 @@
 """Main text of web pages by differencing pages with nearby URLs.
 
 Every page is cut into text lines.  Within each host the pages are put in the
-order of their paths, each is paired with the neighbour that shares the longer
-path prefix, the two are aligned by the longest common subsequence of their
-lines, and lines that both have go, as menus, notices and footers do.  Empty
-pages say nothing and are left out, and pages of a host with the very same
-lines count as one, so every neighbour differs.
+order of their paths, each is aligned by the longest common subsequence of
+lines with the pages 1, 2 and 4 places before and after it, and lines that most
+of these have too go, as menus, notices and footers do.  Empty pages say
+nothing and are left out, and pages of a host with the very same lines count as
+one, so every neighbour differs.  A page that would be left with nothing is
+among copies of itself; it is aligned with pages further off instead.
 
 Differencing alone errs in two ways: adverts that rotate differ from page to
-page, and articles that are copied from page to page agree.  A check of the
-markup follows and settles both: lines inside an article or main element stay
-though shared, and lines in landmarks of other kinds go though unshared.  All
-other lines stay if they aren't shared, whether or not the page has an article.
-
-Only hashes of lines travel between pages: the neighbours are found on a table
-of page keys by range-sorting, numbering and two joins on unique numbers, so a
-host with a third of all pages is spread like any other.
+page, and passages that many articles quote agree.  A check of the markup
+settles both: a line inside an article or main element goes only if all of at
+least MANY neighbours have it, and lines in landmarks of other kinds go though
+unshared.
+
+Pages are parsed once, into a table of their lines.  Only hashes of lines
+travel between pages: the table is range-sorted by host and path and numbered,
+and runs of CHUNK numbers, with the few pages beside them, are aligned in a
+group each, so a host with a third of all pages is spread like any other.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
-from os.path import commonprefix
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +39,26 @@ from dieflow.llm.urlfilter import host_of, path_of
 
 #: Fixed values of HTML: elements without content, with raw content, and that never break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select datalist".split())
+RAW = frozenset("script style noscript template textarea title iframe canvas select datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements and ARIA roles that hold something other than the main text, or hold it.
 LANDMARKS = frozenset("nav header footer aside form dialog menu button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary form search dialog alert menu menubar".split())
 MAIN = frozenset(("article", "main"))
-#: Words of class and id names that mark what isn't main text.
+#: Words of class and id names that mark what isn't main text, and words that may stand beside them.  A name marks an element if it has one of the first and no word of neither kind: "share-buttons" does, "share-prices" doesn't.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side aside header masthead topbar footer foot bottom comment comments commentlist disqus replies reply notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar skip tags hidden".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar aside header masthead topbar footer comment comments commentlist disqus replies notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar hidden".split()
 )
+BESIDE = frozenset(
+    "a and bar block bottom box button buttons container desktop first form global group head holder icon icons id inner item items js last left link links list main message mobile module outer page panel policy posts primary reply row secondary section sidebar site slot small stories sticky text top unit user widgets wrap wrapper area right side skip tags the".split()
+)
+#: Places between a page and its neighbours; how many of them must all have a line inside an article for it to go; pages of a group.
+PLACES, MANY, CHUNK = (1, 2, 4), 4, 1024
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORDS = re.compile(r"[^a-z]+")
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -63,7 +71,12 @@ def _aside(tag: str, attributes: str) -> bool:
         return False
     if (m := _ROLE.search(attributes)) and m[1].lower() in ROLES or _HIDDEN.search(attributes):
         return True
-    return any(w in MARKS for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [w for w in _WORDS.split(name) if w]
+            if any(w in MARKS for w in parts) and all(w in MARKS or w in BESIDE for w in parts):
+                return True
+    return False
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
@@ -74,8 +87,9 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     """
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, main, aside
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    main = aside = 0
+    main = aside = strange = 0  # open elements of each kind; strange are those aside but for headers
 
     def flush(heading: bool = False) -> None:
         if text:
@@ -83,14 +97,24 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             text.clear()
             if line:
                 # Inside an article, a header is the article's own: its headings belong to it.
-                own = heading and main and all(not a or t == "header" for t, _, a in stack)
+                own = heading and main and not strange
                 out.append((line, bool(main), bool(aside) and not own))
 
+    def push(name: str, m: bool, a: bool) -> None:
+        nonlocal main, aside, strange
+        stack.append((name, m, a))
+        open_[name] += 1
+        main += m
+        aside += a
+        strange += a and name != "header"
+
     def pop() -> None:
-        nonlocal main, aside
-        _, m, a = stack.pop()
+        nonlocal main, aside, strange
+        name, m, a = stack.pop()
+        open_[name] -= 1
         main -= m
         aside -= a
+        strange -= a and name != "header"
 
     at, n = 0, len(page)
     lower = None
@@ -111,10 +135,10 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name in INLINE and not any(t == name for t, _, _ in stack):
+            if name in INLINE and not open_[name]:
                 continue
             flush(name in HEADINGS)
-            if any(t == name for t, _, _ in stack):
+            if open_[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -136,39 +160,28 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if name in INLINE:
             if off:
                 flush()
-                stack.append((name, False, True))
-                aside += 1
+                push(name, False, True)
             continue
         flush()
         if stack and stack[-1][0] in ("p", "li", "dt", "dd", "td", "th") and stack[-1][0] == name:
             pop()
         # Paragraphs and the like need no end tag; they are followed only where they matter.
         if off or name in MAIN or name in ("div", "section", "ul", "ol", "dl", "table", "body", "figure", "blockquote", "details"):
-            stack.append((name, name in MAIN, off))
-            main += name in MAIN
-            aside += off
+            push(name, name in MAIN, off)
     flush()
     return out
 
 
-def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of a's lines the longest common subsequence with b takes, as a mask (of equal ones, one choice)."""
-    taken = np.zeros(len(a), dtype=bool)
-    head, tail = 0, 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    taken[:head] = True
-    taken[len(a) - tail :] = True
+def _chain(a: list[int], b: list[int]) -> list[int]:
+    """Places in a that a longest common subsequence with b takes, in time that follows the number of equal pairs."""
     where = defaultdict(list)
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where[int(b[j])].append(j)
+    for j in range(len(b) - 1, -1, -1):
+        where[b[j]].append(j)
     # A common subsequence is a chain of matches that rises in both; the last match of each length is kept.
     ends: list[int] = []
     last: list[tuple[int, object]] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(int(a[i]), ()):
+    for i, x in enumerate(a):
+        for j in where.get(x, ()):
             k = bisect_left(ends, j)
             link = (i, last[k - 1] if k else None)
             if k == len(ends):
@@ -176,74 +189,150 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 last.append(link)
             else:
                 ends[k], last[k] = j, link
-    link = last[-1] if last else None
+    out, link = [], last[-1] if last else None
     while link:
-        taken[link[0]] = True
+        out.append(link[0])
         link = link[1]
+    return out[::-1]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of a with each beginning of b, a line of a at a time for all of b."""
+    n = len(b)
+    full = (1 << n) - 1
+    bits = defaultdict(lambda: bytearray((n + 7) // 8))
+    for j, x in enumerate(b):
+        bits[x][j >> 3] |= 1 << (j & 7)
+    at = {x: int.from_bytes(y, "little") for x, y in bits.items()}
+    row = full  # a bit is 0 where the length rises
+    for x in a:
+        if m := at.get(x):
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+    rises = 1 - np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), dtype=np.uint8), bitorder="little", count=n)
+    return np.concatenate([[0], np.cumsum(rises, dtype=np.int64)])
+
+
+def _common(a: list[int], b: list[int]) -> list[int]:
+    """Places in a that a longest common subsequence with b takes.
+
+    Where many lines are equal, a is halved and b cut where the two halves'
+    lengths add up to most, until few equal pairs are left.
+    """
+    seen = Counter(b)
+    equal = sum(seen[x] for x in a)
+    if not equal:
+        return []
+    if equal <= 64 * (len(a) + len(b)) or len(a) == 1:
+        return _chain(a, b)
+    half = len(a) // 2
+    k = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return [*_common(a[:half], b[:k]), *(half + i for i in _common(a[half:], b[k:]))]
+
+
+def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a's lines the longest common subsequence with b takes, as a mask (of equal ones, one choice)."""
+    taken = np.zeros(len(a), dtype=bool)
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
+    tail = int(differ[0]) if len(differ) else n - head
+    taken[:head] = True
+    taken[len(a) - tail :] = True
+    inner = _common(a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist())
+    taken[[head + i for i in inner]] = True
     return taken
 
 
-def main_text(page: str | None, shared: list[bool] | None = None) -> str:
-    """The main text, given which lines the neighbour shares."""
-    found = lines(page or "")
-    shared = shared or [False] * len(found)
-    kept = (t for (t, inside, off), s in zip(found, shared) if not off and (inside or not s))
-    return " ".join(kept)
+def deleted(pages: list[tuple[np.ndarray, np.ndarray]], at: int, first: int, end: int) -> list[int]:
+    """Which of a page's lines outside landmarks go, by their place among these.
 
+    pages are the (lines, flags) of neighbouring pages in order, of which
+    [first, end) are the page's own host's.
+    """
+    lines, flags = pages[at]
+    inside, own = (flags & 1).astype(bool), ~(flags & 2).astype(bool)
+
+    def against(places: Iterable[int]) -> np.ndarray:
+        near = [at + o for p in places for o in (-p, p) if first <= at + o < end]
+        votes = sum((shared_lines(lines, pages[k][0]).astype(int) for k in near), np.zeros(len(lines), dtype=int))
+        return own & (votes > 0) & np.where(inside, (votes == len(near)) & (len(near) >= MANY), 2 * votes > len(near))
 
-def _hashes(page: str | None) -> list[int]:
-    return [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, _ in lines(page or "")]
+    gone = against(PLACES)
+    if gone.any() and gone[own].all():
+        further = [1 << k for k in range(3, CHUNK.bit_length()) if first <= at - (1 << k) or at + (1 << k) < end]
+        gone = against(further) if further else gone
+        if gone[own].all() and inside[own].any():
+            gone &= ~inside
+    return np.flatnonzero(gone[own]).tolist()
 
 
-def _hashed(pages: DataFrame) -> DataFrame:
-    """key, host, path and lines' hashes of every row that has lines."""
-    keyed = pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+def parsed(pages: DataFrame) -> DataFrame:
+    """Columns page_id, url, host and path of pages with html, and each page's texts (of lines outside landmarks), and hashes and flags (1 inside an article, 2 in a landmark) of all its lines."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashed = [_hashes(p) for p in batch.column(3).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashed, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
+        found = [lines(h or "") for h in batch.column(4).to_pylist()]
+        texts = pa.array([[t for t, _, off in x if not off] for x in found], pa.list_(pa.string()))
+        hashes = pa.array([[xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, _ in x] for x in found], pa.list_(pa.int64()))
+        flags = pa.array([bytes(m + 2 * off for _, m, off in x) for x in found], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], texts, hashes, flags], names=["page_id", "url", "host", "path", "texts", "lines", "flags"])
 
-    return map_batches(keyed, run, "key long, host string, path string, lines array<bigint>").where(F.size("lines") > 0)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema[:4])
+    return map_batches(pages, run, f"{kinds}, texts array<string>, lines array<bigint>, flags binary", rows=64)
 
 
-def _ordered(hashed: DataFrame) -> DataFrame:
-    """key, host, path, lines and n, a gapless number in the order of host, path and key."""
+def _numbered(pages: DataFrame) -> DataFrame:
+    """pages in the order of host, path and row, with n, their gapless number in it."""
     part = F.spark_partition_id()
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = cut(hashed.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").select("*", part.alias("part"), place.alias("place")), "pages")
-    counts = placed.groupBy("part").count()  # one row a partition
+    order = ("host", "path", "row")
+    placed = cut(pages.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part.alias("part"), place.alias("place")), "pages")
     first, offsets = 0, []
-    for r in sorted(counts.collect()):
+    for r in sorted(placed.groupBy("part").count().collect()):  # one row a partition
         offsets.append((r[0], first))
         first += r[1]
-    start = hashed.sparkSession.createDataFrame(offsets, "part int, first long")
-    return placed.join(F.broadcast(start), "part").select("key", "host", "path", "lines", (F.col("first") + F.col("place")).alias("n"))
+    start = pages.sparkSession.createDataFrame(offsets, "part int, first long")
+    return placed.join(F.broadcast(start), "part").withColumn("n", F.col("first") + F.col("place")).drop("part", "place", "first")
 
 
-def shared_masks(pages: DataFrame) -> DataFrame:
-    """(key, shared): for each page that has lines, which of them the nearer differing neighbour in its host shares.
+def deletions(pages: DataFrame) -> DataFrame:
+    """(row, gone) of rows (row, host, path, lines, flags) that lose lines outside landmarks: the places of these among such lines.
 
-    Pages of a host with the very same lines are one page, at the first of
-    their paths, before any are numbered; its mask goes to all of them.
+    Pages of a host with the very same lines and flags are one page, at the
+    first of their paths, before any are numbered; what goes goes in all of them.
     """
-    hashed = cut(_hashed(pages), "hashed")
-    least = hashed.groupBy("host", "lines").agg(F.min(F.struct("path", "key")).alias("at"))
-    ordered = _ordered(least.select("at.key", "host", "at.path", "lines"))
-    near = ordered.select("n", "host", "path", "lines")
-    before = near.select((F.col("n") + 1).alias("n"), F.col("host").alias("h0"), F.col("path").alias("p0"), F.col("lines").alias("l0"))
-    after = near.select((F.col("n") - 1).alias("n"), F.col("host").alias("h1"), F.col("path").alias("p1"), F.col("lines").alias("l1"))
-    beside = ordered.join(before, "n", "left").join(after, "n", "left").select("key", "host", "path", "lines", "h0", "p0", "l0", "h1", "p1", "l1")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        masks = []
-        for r in batch.to_pylist():
-            near = [(len(commonprefix([r["path"], r[f"p{k}"]])), -k, r[f"l{k}"]) for k in (0, 1) if r[f"h{k}"] == r["host"]]
-            other = max(near)[2] if near else []
-            masks.append(shared_lines(np.array(r["lines"], dtype=np.int64), np.array(other, dtype=np.int64)).tolist())
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(masks, pa.list_(pa.bool_()))], names=["host", "lines", "shared"])
-
-    masks = map_batches(beside, run, "host string, lines array<bigint>, shared array<boolean>")
-    return hashed.select("key", "host", "lines").join(masks, ["host", "lines"]).select("key", "shared")
+    least = pages.groupBy("host", "lines", "flags").agg(F.min(F.struct("path", "row")).alias("at"))
+    near = _numbered(cut(least.select("at.row", "host", "at.path", "lines", "flags"), "distinct")).drop("path")
+    halo = max(PLACES)
+    own, place = F.floor(F.col("n") / CHUNK), F.pmod("n", F.lit(CHUNK))
+    beside = F.when(place < halo, own - 1).when(place >= CHUNK - halo, own + 1)
+    dealt = near.withColumn("chunk", own).unionAll(near.withColumn("chunk", beside).where("chunk >= 0"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        hosts, ns, chunk = group.column("host").to_pylist(), group.column("n").to_pylist(), group.column("chunk")[0].as_py()
+        held = [(np.array(x, dtype=np.int64), np.frombuffer(f, dtype=np.uint8)) for x, f in zip(group.column("lines").to_pylist(), group.column("flags").to_pylist())]
+        at, gone, start = [], [], 0
+        while start < len(hosts):
+            end = start
+            while end < len(hosts) and hosts[end] == hosts[start]:
+                end += 1
+            for k in range(start, end):
+                if ns[k] // CHUNK == chunk and (found := deleted(held, k, start, end)):
+                    at.append(k)
+                    gone.append(found)
+            start = end
+        few = group.take(pa.array(at, pa.int64()))
+        return pa.table({"host": few.column("host"), "lines": few.column("lines"), "flags": few.column("flags"), "gone": pa.array(gone, pa.list_(pa.int32()))})
+
+    found = cut(dealt.groupBy("chunk").applyInArrow(run, "host string, lines array<bigint>, flags binary, gone array<int>"), "gone")
+    return pages.join(found, ["host", "lines", "flags"]).select("row", "gone")
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page that has no neighbours."""
+    return " ".join(t for t, _, off in lines(page or "") if not off)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str = "page_id") -> DataFrame:
@@ -251,16 +340,14 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str
 
     Null and empty pages have an empty text.  Null urls and urls without ://
     share the empty host.  Repeated rows count as one page for pairing and all
-    come out.
+    come out.  Other columns are ignored, so their names can't clash.  The cost
+    grows with a page's length; pages of very many equal lines cost more, by a
+    64th of the square of their number.
     """
-    key = F.xxhash64(F.col(page_id), F.col(url), F.col(page))
-    given = pages.select(key.alias("key"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
-    masks = shared_masks(given.select("key", "url", "html")).dropDuplicates(["key"])
-    joined = given.join(masks, "key", "left").select("page_id", "url", "html", "shared")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(h, s) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema[:2])
-    return map_batches(joined, run, f"{schema}, text string, n_chars bigint")
+    given = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).cast("string").alias("html"))
+    read = cut(parsed(given).withColumn("row", F.monotonically_increasing_id()), "lines", "zstd")
+    # Written first, so that Spark knows its size when it chooses the join.
+    gone = cut(deletions(read.where(F.size("lines") > 0).select("row", "host", "path", "lines", "flags")), "deletions")
+    kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.array_contains("gone", i)))
+    text = F.array_join(kept, " ")
+    return read.select("page_id", "url", "row", "texts").join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
