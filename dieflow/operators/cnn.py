@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
@@ -48,32 +49,32 @@ class Model:
 
     @staticmethod
     def parse(data: bytes) -> Model:
-        if len(data) < 56 or data[:8] != MAGIC:
-            raise ModelError("not a .wcnn file")
-        version, count, checksum = struct.unpack_from("<IIQ", data, 8)
-        if version != VERSION:
-            raise ModelError("unsupported .wcnn version")
-        if fnv1a64(data[56:]) != checksum:
-            raise ModelError("checksum mismatch: the file is damaged")
-        want = Model.shapes()
-        if count != len(want):
-            raise ModelError(f"expected {len(want)} tensors, found {count}")
-        at, tensors = 56, []
-        for t, shape in enumerate(want):
-            if len(data) - at < 20:
-                raise ModelError(f"tensor {t}: truncated")
-            n, *dims = struct.unpack_from("<5I", data, at)
-            if tuple(dims[: min(n, 4)]) != shape:
-                raise ModelError(f"tensor {t}: unexpected shape")
-            at += 20
-            size = int(np.prod(shape))
-            if len(data) - at < 4 * size:
-                raise ModelError(f"tensor {t}: truncated")
-            tensors.append(np.frombuffer(data, dtype="<f4", count=size, offset=at).reshape(shape))
-            at += 4 * size
-        if at != len(data):
-            raise ModelError("trailing bytes after the last tensor")
-        return Model([(tensors[2 * k], tensors[2 * k + 1]) for k in range(len(CONVS))], tensors[-2], tensors[-1], data[24:56])
+        head = struct.Struct("<8sIIQ32s")
+        if len(data) < head.size:
+            raise ModelError(f"{len(data)} bytes are too few for a model's header")
+        magic, version, count, checksum, sha256 = head.unpack_from(data)
+        body, want = data[head.size :], Model.shapes()
+        for right, why in (
+            (magic == MAGIC, f"begins with {magic!r} and not with {MAGIC!r}"),
+            (version == VERSION, f"has format version {version}; only {VERSION} can be read"),
+            (fnv1a64(body) == checksum, "its bytes don't give the checksum in its header"),
+            (count == len(want), f"has {count} tensors in place of {len(want)}"),
+        ):
+            if not right:
+                raise ModelError(why)
+        tensors, at = [], 0
+        for k, shape in enumerate(want):
+            end = at + 20 + 4 * math.prod(shape)
+            if end > len(body):
+                raise ModelError(f"ends within tensor {k}")
+            rank, *sizes = struct.unpack_from("<5I", body, at)
+            if tuple(sizes[:rank]) != shape:
+                raise ModelError(f"tensor {k} has sizes {sizes[:rank]} in place of {list(shape)}")
+            tensors.append(np.frombuffer(body[at + 20 : end], dtype="<f4").reshape(shape))
+            at = end
+        if at < len(body):
+            raise ModelError(f"goes on for {len(body) - at} bytes after its tensors")
+        return Model([(tensors[2 * k], tensors[2 * k + 1]) for k in range(len(CONVS))], tensors[-2], tensors[-1], sha256)
 
     def serialize(self) -> bytes:
         payload = b"".join(struct.pack("<5I", t.ndim, *t.shape, *[0] * (4 - t.ndim)) + t.astype("<f4").tobytes() for t in self.tensors())
@@ -204,20 +205,21 @@ class Conformal:
 
     @staticmethod
     def parse(text: str) -> Conformal:
-        found: dict[str, object] = {}
+        given: dict[tuple[str, ...], list[str]] = {}
         reported = []
-        for line in text.splitlines():
-            f = line.split()
-            if not f or line.startswith("#"):
-                continue
-            if f[0] == "model_sha256" and len(f) > 1:
-                found["sha"] = f[1]
-            elif f[0] == "thresholds" and len(f) >= 2 + CLASSES:
-                found["10" if f[1] == "0.1" else "05"] = tuple(map(float, f[2 : 2 + CLASSES]))
-            elif f[0] == "accept_confidence" and len(f) > 1:
-                found["accept"] = float(f[1])
-            elif f[0].startswith("reported"):
-                reported.append((" ".join(f[:2]) if f[0] == "reported_coverage" else f[0], tuple(map(float, f[2:] if f[0] == "reported_coverage" else f[1:]))))
-        if len(found) != 4:
-            raise ModelError("incomplete conformal calibration")
+        for f in (line.split() for line in text.splitlines() if not line.startswith("#")):
+            names = 2 if f and f[0] in ("thresholds", "reported_coverage") else 1
+            if f and f[0].startswith("reported"):
+                reported.append((" ".join(f[:names]), tuple(map(float, f[names:]))))
+            elif len(f) > names:
+                given[tuple(f[:names])] = f[names:]
+        found = {
+            "sha": given.get(("model_sha256",), [None])[0],
+            "10": tuple(map(float, given.get(("thresholds", "0.1"), ())[:CLASSES])),
+            "05": tuple(map(float, given.get(("thresholds", "0.05"), ())[:CLASSES])),
+            "accept": float(given.get(("accept_confidence",), ["nan"])[0]),
+        }
+        missing = [k for k, v in found.items() if v is None or v != v or isinstance(v, tuple) and len(v) < CLASSES]
+        if missing:
+            raise ModelError(f"the calibration lacks {', '.join(missing)}")
         return Conformal(found["sha"], found["10"], found["05"], found["accept"], tuple(reported))

@@ -120,23 +120,21 @@ class Classifier:
                 continue
             f = line.split()
             if len(f) < 4 or f[2] not in (">=", "<="):
-                raise RuleError(f"line {n}: expected 'rule signal >=|<= value'")
+                raise RuleError(f"line {n}: a condition has a rule, a signal, >= or <=, and a number; this has {line!r}")
             try:
                 value = float(f[3]) if "_" not in f[3] else math.nan
             except ValueError:
                 value = math.nan
             if not math.isfinite(value):
-                raise RuleError(f"line {n}: bad number '{f[3]}'")
+                raise RuleError(f"line {n}: {f[3]!r} isn't a finite number")
             key = (f[0], f[1], f[2])
             if key in given:
-                raise RuleError(f"line {n}: given twice")
+                raise RuleError(f"line {n}: {' '.join(key)} has a threshold already")
             if key not in where:
-                raise RuleError(f"line {n}: no such rule condition '{f[0]} {f[1]} {f[2]}'")
+                raise RuleError(f"line {n}: the rules have no condition {' '.join(key)}")
             given[key] = value
-        for r in base.rules:
-            for c in r.conditions:
-                if (r.name, c.signal, c.op) not in given:
-                    raise RuleError(f"missing threshold for {r.name} {c.signal}")
+        if lacking := where.keys() - given.keys():
+            raise RuleError(f"{' '.join(min(lacking, key=where.get))} has no threshold")
         return base.with_thresholds([given[r.name, c.signal, c.op] for r in base.rules for c in r.conditions])
 
     @staticmethod

@@ -33,26 +33,32 @@ class WmapError(ValueError):
 
 def check_header(head: bytes, size: int) -> tuple[int, int]:
     """Record count and bytes of bins of a file of that size."""
-    if size < HEADER or len(head) < HEADER:
-        raise WmapError("file shorter than the header")
-    if head[:8] != MAGIC:
-        raise WmapError("not a .wmap file (bad magic)")
-    version, record, count, bins = struct.unpack_from("<IIQQ", head, 8)
-    if version != VERSION:
-        raise WmapError(f"unsupported .wmap version {version}")
-    if record != RECORD:
-        raise WmapError(f"unexpected record size {record}")
-    if count > (size - HEADER) // RECORD or bins != size - HEADER - count * RECORD:
-        raise WmapError("record count and bin size don't match the file size")
+    if len(head) < HEADER:
+        raise WmapError(f"{size} bytes, but the header alone has {HEADER}")
+    magic, version, record, count, bins = struct.unpack_from("<8sIIQQ", head)
+    wanted = HEADER + count * RECORD + bins
+    for right, why in (
+        (magic == MAGIC, f"begins with {magic!r} and not with {MAGIC!r}"),
+        (version == VERSION, f"has format version {version}; only {VERSION} can be read"),
+        (record == RECORD, f"has records of {record} bytes in place of {RECORD}"),
+        (wanted == size, f"{count} records and {bins} bytes of bins make {wanted} bytes, the file has {size}"),
+    ):
+        if not right:
+            raise WmapError(why)
     return count, bins
 
 
 def check_records(records: np.ndarray, bin_bytes: int, first: int = 0) -> None:
+    """The first record that points past the bins, or has a code without a name, is an error."""
     dies = records["rows"].astype(np.uint64) * records["cols"].astype(np.uint64)
-    outside = (records["offset"] > bin_bytes) | (dies > np.uint64(bin_bytes) - np.minimum(records["offset"], np.uint64(bin_bytes)))
-    bad = ((records["truth"] >= len(PATTERNS)) & (records["truth"] != UNKNOWN_CODE)) | (records["split"] >= len(SPLITS))
-    for i in np.flatnonzero(outside | bad)[:1]:
-        raise WmapError(f"record {first + i}: " + ("map outside the bin section" if outside[i] else "bad truth or split code"))
+    room = np.uint64(bin_bytes) - np.minimum(records["offset"], np.uint64(bin_bytes))
+    past = (records["offset"] > bin_bytes) | (dies > room)
+    unnamed = (records["truth"] >= len(PATTERNS)) & (records["truth"] != UNKNOWN_CODE) | (records["split"] >= len(SPLITS))
+    if (past | unnamed).any():
+        i = int(np.argmax(past | unnamed))
+        r = records[i]
+        why = f"bins at {r['offset']} + {dies[i]} of {bin_bytes}" if past[i] else f"truth {r['truth']} or split {r['split']} has no name"
+        raise WmapError(f"record {first + i}: {why}")
 
 
 def name_of(code: int) -> str:

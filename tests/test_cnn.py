@@ -29,7 +29,7 @@ def test_model_files():
     assert all((a == b).all() for a, b in zip(m.tensors(), again.tensors()))
     with pytest.raises(cnn.ModelError, match="checksum"):
         cnn.Model.parse(data[:-1] + bytes([data[-1] ^ 1]))
-    with pytest.raises(cnn.ModelError, match="not a .wcnn"):
+    with pytest.raises(cnn.ModelError, match="begins with"):
         cnn.Model.parse(b"x" * 60)
 
 

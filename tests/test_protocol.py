@@ -106,7 +106,7 @@ def pump(a, b, now, ends=()):
                 q.received(out, now)
                 moved = True
         for i, p in enumerate((a, b)):
-            while (e := p.poll(now)) is not None:
+            for e in p.advance(now):
                 events[i].append(e)
                 if ends:
                     ends[i].on_hsms(e, now)
@@ -114,6 +114,14 @@ def pump(a, b, now, ends=()):
     return events
 
 
+def kinds(p, now):
+    return [e.kind for e in p.advance(now)]
+
+
+def reasons(p, now):
+    return [e.reason for e in p.advance(now)]
+
+
 def test_select_data_and_timers():
     a, b = pair(linktest=30.0)
     ev = pump(a, b, 0.1)
@@ -125,28 +133,28 @@ def test_select_data_and_timers():
     b.reply(ev[1][0].header, b"y")
     assert [(e.kind, e.header.system) for e in pump(a, b, 2.0)[0]] == [("reply", system)]
     a.send(1, 1, True, b"", 3.0)
-    assert a.poll(47.9) is None or True
+    assert kinds(a, 47.9) == [] and kinds(a, 48.0) == ["reply_timeout"]
     a2, b2 = pair()
     pump(a2, b2, 0.0)
     a2.send(1, 1, True, b"", 0.0)
     a2.take_output()
-    assert a2.poll(44.9) is None and a2.poll(45.0).kind == "reply_timeout"
+    assert kinds(a2, 44.9) == [] and kinds(a2, 45.0) == ["reply_timeout"] and a2.counts["reply_timeouts"] == 1
     a3 = hsms.Protocol()
     a3.connected(0.0)
-    assert a3.poll(9.9) is None and a3.poll(10.0).reason == "t7_not_selected" and a3.reconnect_at == 20.0
+    assert kinds(a3, 9.9) == [] and a3.next_deadline() == 10.0 and reasons(a3, 10.0) == ["t7_not_selected"] and a3.reconnect_at == 20.0
     a4 = hsms.Protocol(hsms.Config(active=True))
     a4.connected(0.0)
-    assert a4.poll(5.0).reason == "t6_control"
+    assert reasons(a4, 5.0) == ["t6_control"] and a4.next_deadline() is None
     a5, b5 = pair()
     pump(a5, b5, 0.0)
     b5.received(b"\0\0", 1.0)
-    assert b5.poll(5.9) is None and b5.poll(6.0).reason == "t8_intercharacter"
+    assert kinds(b5, 5.9) == [] and reasons(b5, 6.0) == ["t8_intercharacter"]
 
 
 def test_rejects_separate_and_limits():
     a, b = pair()
     b.received(hsms.frame(hsms.data_header(0, 1, 1, True, 9)), 0.0)
-    assert b.poll(0.0) is None and b.stats["rejects_sent"] == 1
+    assert kinds(b, 0.0) == [] and b.counts["rejects_sent"] == 1
     with pytest.raises(hsms.SendError):
         a.send(1, 1, False, b"", 0.0)
     pump(a, b, 0.0)
@@ -162,7 +170,7 @@ def test_rejects_separate_and_limits():
         p = hsms.Protocol()
         p.connected(0.0)
         p.received(bad, 0.0)
-        assert p.poll(0.0).reason == why
+        assert reasons(p, 0.0) == [why]
 
 
 def test_deselect_and_linktest():
@@ -244,3 +252,85 @@ def test_gem_disabled_and_retry():
     a.close(11.0)
     pump(a, b, 11.0, (host, tool))
     assert host.comm == "not_communicating"
+
+
+def test_late_bytes_beat_a_deadline_and_refusals_close():
+    a, b = pair()
+    pump(a, b, 0.0)
+    system = a.send(1, 1, True, b"", 0.0)
+    a.take_output()
+    a.received(hsms.frame(hsms.data_header(0, 1, 2, False, system), b"late"), 45.0)
+    assert [(e.kind, e.body) for e in a.advance(45.0)] == [("reply", b"late")] and a.next_deadline() is None
+    a.received(hsms.frame(hsms.data_header(0, 1, 2, False, system)), 46.0)
+    assert kinds(a, 46.0) == ["unmatched_reply"]
+    for answer in (hsms.Header(0xFFFF, 0, 3, 0, hsms.SELECT_RSP, 1), hsms.Header(0xFFFF, hsms.SELECT_REQ, 1, 0, hsms.REJECT_REQ, 1)):
+        p = hsms.Protocol(hsms.Config(active=True))
+        p.connected(0.0)
+        p.received(hsms.frame(answer), 1.0)
+        assert reasons(p, 1.0) == ["select_refused"] and p.state == "not_connected"
+    for odd, why in ((hsms.Header(0, ptype=1, system=5), hsms.PTYPE_NOT_SUPPORTED), (hsms.Header(0, stype=8, system=5), hsms.STYPE_NOT_SUPPORTED), (hsms.Header(0, stype=hsms.LINKTEST_RSP, system=5), hsms.TRANSACTION_NOT_OPEN)):
+        b.received(hsms.frame(odd), 47.0)
+        assert kinds(b, 47.0) == [] and hsms.Header.unpack(b.take_output()[4:]).byte3 == why
+    b.received(hsms.frame(hsms.Header(0, 0, 1, 0, hsms.REJECT_REQ, 5)), 48.0)
+    assert kinds(b, 48.0) == ["rejected"] and b.take_output() == b""
+
+
+def test_linktest_repeats():
+    a, b = pair(linktest=30.0)
+    pump(a, b, 0.0)
+    for k in range(1, 4):
+        assert a.next_deadline() == b.next_deadline() == 30.0 * k
+        for _ in range(2):  # the requests go out without an event
+            pump(a, b, 30.0 * k)
+    assert a.counts["linktests_sent"] == b.counts["linktests_sent"] == 3 and a.state == "selected"
+
+
+def test_every_communication_state():
+    a, b, host, tool = ends()
+    host.disable()
+    assert host.comm == "disabled" and host.events[-1].kind == "not_communicating"
+    b.send(1, 13, True, gem.encode_identity("T", "1"), 1.0)
+    b.send(6, 11, True, b"", 1.0)
+    ev = pump(a, b, 1.0, (host, tool))
+    assert host.comm == "disabled" and [(e.header.function, e.header.stream) for e in ev[1] if e.kind == "reply"] == [(14, 1), (0, 6)]
+    host.enable(2.0)
+    pump(a, b, 2.0, (host, tool))
+    assert host.communicating and tool.communicating
+    # A request that is refused, or not answered, is made again after the delay.
+    lone, peer = pair()
+    end = gem.Host(lone)
+    pump(lone, peer, 0.0, (end, gem.Equipment(peer, comm="disabled")))
+    assert end.comm == "wait_delay" and end.rested_at == 10.0
+    end.tick(10.0)
+    assert end.comm == "wait_cra"
+    lone.take_output()
+    for e in lone.advance(55.0):
+        end.on_hsms(e, 55.0)
+    assert end.comm == "wait_delay" and end.rested_at == 65.0
+
+
+def test_every_control_state():
+    a, b, host, tool = ends()
+    host.request_online(0.5)
+    pump(a, b, 0.5, (host, tool))
+    assert host.events[-1].values[1:] == (1, 18, 1) and tool.control == "equipment_offline"
+    host.command("HOLD", "L", 0.6)
+    pump(a, b, 0.6, (host, tool))
+    assert host.events[-1].values[1] == "aborted"
+    tool.go_online(1.0)
+    assert tool.control == "attempt_online" and tool.attempt
+    b.take_output()
+    for e in b.advance(46.0):
+        tool.on_hsms(e, 46.0)
+    assert tool.control == "host_offline"
+    pump(a, b, 46.0, (host, tool))
+    host.request_online(47.0)
+    pump(a, b, 47.0, (host, tool))
+    host.request_online(48.0)
+    pump(a, b, 48.0, (host, tool))
+    assert host.events[-1].values[1:] == (1, 18, 2) and tool.control == "online_remote"
+    tool.go_offline()
+    assert tool.control == "equipment_offline" and not tool.online
+    tool.disable()
+    tool.go_online(49.0)
+    assert tool.control == "host_offline"

@@ -15,12 +15,12 @@ def test_text_round_trip():
 @pytest.mark.parametrize(
     "change,message",
     [
-        (lambda t: t + "near_full density >= 0.7\n", "given twice"),
-        (lambda t: t + "near_full z >= 1\n", "no such rule condition 'near_full z >='"),
-        (lambda t: t + "near_full density\n", "expected 'rule signal >=|<= value'"),
-        (lambda t: t + " \n", "expected"),
-        (lambda t: t.replace("0.35", "inf"), "bad number 'inf'"),
-        (lambda t: t.replace("loc z >= 4\n", "", 1).replace("edge_ring z >= 4\n", ""), "missing threshold for"),
+        (lambda t: t + "near_full density >= 0.7\n", "has a threshold already"),
+        (lambda t: t + "near_full z >= 1\n", "no condition near_full z >="),
+        (lambda t: t + "near_full density\n", "a condition has a rule, a signal"),
+        (lambda t: t + " \n", "a condition has"),
+        (lambda t: t.replace("0.35", "inf"), "'inf' isn't a finite number"),
+        (lambda t: t.replace("loc z >= 4\n", "", 1).replace("edge_ring z >= 4\n", ""), "has no threshold"),
     ],
 )
 def test_bad_texts(change, message):

@@ -16,14 +16,14 @@ def test_round_trip():
 @pytest.mark.parametrize(
     "damage,message",
     [
-        (lambda b: b[:31], "file shorter than the header"),
-        (lambda b: b"WAFERMAX" + b[8:], "bad magic"),
-        (lambda b: b[:8] + struct.pack("<I", 2) + b[12:], "unsupported .wmap version 2"),
-        (lambda b: b[:12] + struct.pack("<I", 33) + b[16:], "unexpected record size 33"),
-        (lambda b: b + b"\0", "don't match the file size"),
-        (lambda b: b[:16] + struct.pack("<Q", 1 << 63) + b[24:], "don't match the file size"),
-        (lambda b: b[: 32 + 16] + struct.pack("<Q", 1 << 60) + b[32 + 24 :], "record 0: map outside the bin section"),
-        (lambda b: b[: 32 + 28] + b"\x09" + b[32 + 29 :], "record 0: bad truth or split code"),
+        (lambda b: b[:31], "header alone has 32"),
+        (lambda b: b"WAFERMAX" + b[8:], "begins with"),
+        (lambda b: b[:8] + struct.pack("<I", 2) + b[12:], "format version 2"),
+        (lambda b: b[:12] + struct.pack("<I", 33) + b[16:], "records of 33 bytes"),
+        (lambda b: b + b"\0", "the file has"),
+        (lambda b: b[:16] + struct.pack("<Q", 1 << 63) + b[24:], "the file has"),
+        (lambda b: b[: 32 + 16] + struct.pack("<Q", 1 << 60) + b[32 + 24 :], "record 0: bins at"),
+        (lambda b: b[: 32 + 28] + b"\x09" + b[32 + 29 :], "record 0: truth 9 or split . has no name"),
     ],
 )
 def test_corruption(damage, message):
