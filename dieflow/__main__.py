@@ -70,7 +70,8 @@ def main(argv: list[str] | None = None) -> None:
         show("wafers by truth and split", tables.truth_by_split(wafers).orderBy("truth"))
         show("commonest shapes", tables.commonest_shapes(wafers))
         sizes = signatures.features(wafers, ("truth",)).withColumn("density", signatures.ratio(F.col("fails"), F.col("dies")))
-        show("medians by truth", sizes.groupBy("truth").agg(*(metrics.median_upper(c).alias(c) for c in ("dies", "fails", "density"))).orderBy("truth"))
+        for c in ("dies", "fails", "density"):
+            show(f"median {c} by truth", metrics.medians(sizes, "truth", c).select("truth", "median_upper").orderBy("truth"))
     elif a.command == "fit":
         rows = signatures.signals(wafers.where("split = 'train'"), KEEP).persist()
         fitted, log = fit.fit(rows, options=fit.FitOptions(candidates=a.candidates, none_weight=a.none_weight))

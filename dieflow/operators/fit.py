@@ -13,9 +13,9 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dieflow.functions.ranks import holds_place, with_ranks
 from dieflow.operators.rules import Classifier
 from dieflow.patterns import PATTERNS, SIGNALS, UNKNOWN
 
@@ -34,17 +34,16 @@ class FitOptions:
 def candidates(signals: DataFrame, count: int, names: tuple[str, ...] = SIGNALS) -> dict[str, list[float]]:
     """For each signal the values at places q (n - 1) div (count - 1) of its sorted order, each once.
 
-    Equal values are counted first, so the ordered step sees distinct values.
+    Equal values are counted first and ranked by slices, so no task orders a signal's values.
     """
     n = signals.count()
     if not n:
         return {s: [] for s in names}
     long = signals.select(F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in names))).alias("x")).select("x.*")
-    seen = F.sum("n").over(W.partitionBy("signal").orderBy("v"))
-    run = long.groupBy("signal", "v").agg(F.count("*").alias("n")).withColumn("end", seen)
+    run = with_ranks(long.groupBy("signal", "v").agg(F.count("*").alias("n")), ["signal"], "v")
     wanted = sorted({q * (n - 1) // (count - 1) for q in range(count)})
     places = F.array(*(F.lit(w).cast("bigint") for w in wanted))
-    hit = run.where(F.exists(places, lambda p: (p < F.col("end")) & (p >= F.col("end") - F.col("n"))))
+    hit = run.where(F.exists(places, holds_place))
     out: dict[str, list[float]] = {s: [] for s in names}
     for r in hit.select("signal", "v").collect():  # at most `count` a signal
         out[r.signal].append(r.v)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dieflow.functions.ranks import holds_place, with_ranks
 from dieflow.patterns import PATTERNS, UNKNOWN
 
 SUB_BITS = 7
@@ -129,12 +130,13 @@ def percentiles(h: DataFrame, ps: tuple[float, ...] = (0.5, 0.99, 0.999), by: tu
     return best.select(*by, "p", F.when(F.col("p") >= 1.0, F.col("most")).otherwise(F.least(bucket_upper(F.col("bucket")), F.col("most"))).alias("value"))
 
 
-def median(column: str) -> Column:
-    """The mean of the two middle values."""
-    return F.median(column)
+def medians(rows: DataFrame, by: str, column: str) -> DataFrame:
+    """(by, median, median_upper): the mean of the two middle values, and the upper of them, for each of a few groups.
 
-
-def median_upper(column: str) -> Column:
-    """The upper of the two middle values."""
-    n = F.count(column)
-    return F.get(F.sort_array(F.collect_list(column)), F.floor(n / 2).cast("int"))
+    Equal values are counted first and ranked by slices, so no task holds a group.  Nulls don't count.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranked = with_ranks(counted, [by], "v")
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = ranked.where(holds_place(low) | holds_place(high)).groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return middle.select(by, ((F.col("low") + F.col("high")) / 2).alias("median"), F.col("high").alias("median_upper"))

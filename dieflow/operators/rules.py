@@ -79,6 +79,10 @@ def short(v: float) -> str:
     return f"{v:.3g}"
 
 
+#: Fixed value: what explains a wafer that no rule takes.
+NO_RULE = "no rule held -> none"
+
+
 class RuleError(ValueError):
     """A rules text that can't be read; the message names the line."""
 
@@ -188,7 +192,7 @@ class Classifier:
 
         if every:
             return "\n".join(map(line, self.rules))
-        return line(self.rules[fired]) if fired >= 0 else "no rule held -> none"
+        return line(self.rules[fired]) if fired >= 0 else NO_RULE
 
     def explain(self, signals: DataFrame, name: str = "why") -> DataFrame:
         """signals plus the line for the rule that fired."""

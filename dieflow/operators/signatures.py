@@ -182,31 +182,8 @@ def join_counts(die: DataFrame, key: str = "wafer_id") -> DataFrame:
 
 
 def join_counts_of_maps(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> DataFrame:
-    """The same within each map's array of bins: a narrow projection, without exploding or shuffling."""
-    names = ("dies", "fails", "joins", "join_pairs", "fail_joins")
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in names))
-    cols = F.col("cols").cast("int")
-
-    def counted(codes: Column) -> Column:
-        def at(i: Column, there: Column) -> Column:
-            return F.when(there, F.coalesce(F.get(codes, i), F.lit(0))).otherwise(0)
-
-        def step(s: Column, i: Column) -> Column:
-            here = F.get(codes, i)
-            south, east = at(i + cols, F.lit(True)), at(i + 1, F.pmod(i, cols) < cols - 1)
-            north, west = at(i - cols, i >= cols), at(i - 1, F.pmod(i, cols) > 0)
-            one = lambda c: c.cast("bigint")
-            after = one(south != 0) + one(east != 0)
-            degree = after + one(north != 0) + one(west != 0)
-            bad = F.when(here >= 2, one(south >= 2) + one(east >= 2)).otherwise(0)
-            more = (F.lit(1), one(here >= 2), after, F.shiftright(degree * (degree - 1), 1), bad)
-            return F.when(here == 0, s).otherwise(F.struct(*((s[n] + m).alias(n) for n, m in zip(names, more))))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step)
-
-    # The array is bound to a lambda's variable, so it is made once a map.
-    found = F.element_at(F.transform(F.array(bin_array()), counted), 1)
-    return wafers.select(*keep, found.alias("j")).select(*keep, *(F.col(f"j.{n}").alias(n) for n in names))
+    """The same in the Arrow pass: narrow, without exploding or shuffling."""
+    return map_signatures(wafers, kernels.join_counts, {n: "bigint" for n in ("dies", "fails", "joins", "join_pairs", "fail_joins")}, keep)
 
 
 def drawn(n: Column, f: Column, count: int) -> Column:

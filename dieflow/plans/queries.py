@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL,
 from dieflow.session import shared_dir
 from dieflow.sources import tables
 from dieflow.streaming.emulator import schedule
-from dieflow.streaming.pipeline import decide
+from dieflow.streaming.pipeline import decide, run_accuracy, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,7 +71,8 @@ def commonest_shapes(spark, sf_dir):
 
 @query(f"WITH {WAFERS_SQL} SELECT truth, list_sort(list(tested_at_us))[count(*) // 2 + 1] AS upper_us, floor(median(tested_at_us))::BIGINT AS middle_us FROM w GROUP BY truth")
 def medians_by_truth(spark, sf_dir):
-    return wafers(spark, sf_dir).groupBy("truth").agg(metrics.median_upper("tested_at_us").alias("upper_us"), F.floor(metrics.median("tested_at_us")).alias("middle_us"))
+    found = metrics.medians(wafers(spark, sf_dir), "truth", "tested_at_us")
+    return found.select("truth", F.col("median_upper").alias("upper_us"), F.floor("median").alias("middle_us"))
 
 
 @query(f"WITH {WAFERS_SQL} SELECT wafer_id, lot_id, truth FROM w WHERE split = 'test'")
@@ -88,6 +90,25 @@ def first_of_each_truth(spark, sf_dir):
     return longs(tables.first_of_each(wafers(spark, sf_dir).select("wafer_id", "truth"), 7, order="wafer_id"))
 
 
+@query(f"WITH {WAFERS_SQL} SELECT wafer_id, tested_at_us, lot_id FROM w ORDER BY tested_at_us DESC, wafer_id LIMIT 25")
+def first_in_order(spark, sf_dir):
+    latest = wafers(spark, sf_dir).select("wafer_id", "lot_id", "tested_at_us", (-F.col("tested_at_us")).alias("back"))
+    return longs(tables.first_in_order(latest, 25, ("back", "wafer_id")).drop("back"))
+
+
+@query("SELECT p_partkey AS wafer_id, ['train', 'val', 'test', 'unsplit'][(p_size % 4 + 1)::INT] AS split FROM part")
+def split_names(spark, sf_dir):
+    numbered = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("wafer_id"), (F.col("p_size") % 4).cast("int").alias("split"))
+    return longs(tables.named_splits(numbered))
+
+
+@query(f"WITH {WAFERS_SQL}, pr AS (SELECT p_partkey AS wafer_id, CASE WHEN p_size % 3 = 0 THEN 'scratch' ELSE 'none' END AS pred FROM part WHERE p_size % 5 <> 0) SELECT truth, pred, count(*) AS n FROM w JOIN pr USING (wafer_id) GROUP BY ALL")
+def predictions_on_records(spark, sf_dir):
+    """Another classifier's predictions joined to the records by wafer and counted by truth."""
+    given = table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("wafer_id"), F.when(F.col("p_size") % 3 == 0, "scratch").otherwise("none").alias("pred"))
+    return tables.join_predictions(wafers(spark, sf_dir), given, strict=False).groupBy("truth", "pred").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {WAFERS_SQL} SELECT printf('LOT-%06d', lot_id) AS lot, count(*) AS n, min(CASE WHEN truth = 'none' THEN 0 ELSE 1 END) AS least FROM w GROUP BY ALL")
 def lot_names(spark, sf_dir):
     least = F.min(pattern_code(F.col("truth")).cast("boolean").cast("bigint"))
@@ -219,8 +240,7 @@ def join_counts_relational(spark, sf_dir):
     return longs(signatures.join_counts(_dies(spark, sf_dir)))
 
 
-_COS, _SIN = geometry.hough_table()
-ANGLES_SQL = "an(angle, co, si) AS (VALUES " + ", ".join(f"({k}, {_COS[k]}, {_SIN[k]})" for k in range(geometry.ANGLES)) + ")"
+ANGLES_SQL = "an AS (SELECT angle, round(cos(angle * pi() / 180) * 16384)::BIGINT AS co, round(sin(angle * pi() / 180) * 16384)::BIGINT AS si FROM (SELECT unnest(range(180)) AS angle))"
 HOUGH_SQL = f"""{ANGLES_SQL},
 vt AS MATERIALIZED (SELECT wafer_id, angle, (x * co + y * si) >> 15 AS rho, count(*) AS votes FROM od, an WHERE bin >= 2 GROUP BY ALL),
 pk AS (SELECT * FROM vt QUALIFY row_number() OVER (PARTITION BY wafer_id ORDER BY votes DESC, angle, rho) = 1),
@@ -329,14 +349,19 @@ def rules_fired(spark, sf_dir):
     return longs(metrics.rules_fired(FITTED.classify(_signals(spark, sf_dir))))
 
 
-@query()
+def _explained(i: int, r: rules.Rule) -> str:
+    parts = " || ', ' || ".join(f"""'{c.signal} ' || printf('%.3g', "{c.signal}") || ' {c.op} {rules.short(c.threshold)}'""" for c in r.conditions)
+    return f"'{r.name} -> {r.pattern}: ' || {parts}"
+
+
+@query(f"{SIGNALS_SQL} SELECT wafer_id, {_case_sql(FITTED, _explained, repr(rules.NO_RULE))} AS why FROM sg")
 def explain(spark, sf_dir):
     return FITTED.explain(_signals(spark, sf_dir)).select("wafer_id", "why")
 
 
-@query()
+@query(f"""{SIGNALS_SQL} SELECT wafer_id, lot_id, split, truth, {PRED_SQL} AS pred, {RULE_SQL} AS rule, {', '.join(f"printf('%.6g', {chr(34)}{s}{chr(34)}) AS {chr(34)}{s}{chr(34)}" for s in SIGNALS)} FROM sg""")
 def signals_csv(spark, sf_dir):
-    return rules.signals_csv(FITTED.classify(_signals(spark, sf_dir)))
+    return longs(rules.signals_csv(FITTED.classify(_signals(spark, sf_dir))))
 
 
 CONFUSION_SQL = "cf AS (SELECT truth, pred, count(*) AS n FROM pr WHERE truth <> 'unknown' GROUP BY ALL)"
@@ -381,6 +406,17 @@ def fit_thresholds(spark, sf_dir):
     return spark.createDataFrame([(r.name, c.signal, c.op, c.threshold) for r in fitted.rules for c in r.conditions], "rule string, signal string, op string, threshold double")
 
 
+@query(f"""{SIGNALS_SQL}, kn AS (SELECT truth, density FROM sg WHERE truth <> 'unknown'), cm AS (SELECT truth AS common FROM kn WHERE truth <> 'none' GROUP BY truth ORDER BY count(*) DESC, truth LIMIT 1),
+cuts AS (SELECT unnest(range(201)) AS k, unnest(quantile_cont(density, {[k / 200 for k in range(201)]})) AS cut FROM kn), tried AS (SELECT k, truth, CASE WHEN density >= cut THEN common ELSE 'none' END AS pred FROM kn, cuts, cm),
+held AS (SELECT k, truth AS p, count(*) AS support, count(*) FILTER (truth = pred) AS hits FROM tried GROUP BY ALL), called AS (SELECT k, pred AS p, count(*) AS predicted FROM tried GROUP BY ALL),
+scores AS (SELECT k, avg(2.0 * hits / (support + coalesce(predicted, 0))) AS macro_f1 FROM held LEFT JOIN called USING (k, p) GROUP BY k)
+SELECT round(max(macro_f1), 6) AS macro_f1, (SELECT common FROM cm) AS pattern FROM scores""")
+def density_baseline(spark, sf_dir):
+    """The best of the trivial classifiers."""
+    threshold, pattern, f1 = fitting.density_baseline(_signals(spark, sf_dir))
+    return longs(spark.createDataFrame([(f1, pattern)], "macro_f1 double, pattern string"))
+
+
 @query("SELECT CASE toxic WHEN 1 THEN 'scratch' ELSE 'none' END AS truth, CASE quality WHEN 0 THEN 'scratch' ELSE 'none' END AS pred, count(*) AS n FROM labels GROUP BY ALL")
 def label_confusion(spark, sf_dir):
     named = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "scratch").otherwise("none").alias("truth"), F.when(F.col("quality") == 0, "scratch").otherwise("none").alias("pred"))
@@ -580,6 +616,16 @@ def sweep(spark, sf_dir):
     return longs(replay.sweep(verdicts(spark, sf_dir), configs, LATENCY_US).select("k", "window", "sorted", "withheld", "holds"))
 
 
+@query()
+def sweep_across_lots(spark, sf_dir):
+    """Totals of replays with the cross-lot rule, for K in 2, 3, 5 and H of one and ten minutes.
+
+    Each replay is one order a tool, by the sequential rule, which SQL can't say.
+    """
+    configs = [hold.HoldConfig(k=3, window=5, lots=1 << 20, tool_k=k, tool_window_us=h * 60_000_000) for k in (2, 3, 5) for h in (1, 10)]
+    return longs(replay.sweep(verdicts(spark, sf_dir), configs, LATENCY_US).select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds"))
+
+
 EVENT0 = "(SELECT min(at_us) FROM v)"
 
 
@@ -671,11 +717,14 @@ def report_nodes(spark, sf_dir):
     return nodes.groupBy("format").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {WAFERS_SQL} SELECT wafer_id, NULL::BIGINT AS length, 'truncated' AS code, 18 + 8 + 10 + 20 + 10 - 1 AS at FROM w WHERE FALSE")
+@query(f"""WITH {WAFERS_SQL} SELECT wafer_id, CASE wafer_id % 4 WHEN 2 THEN 55 + "rows" * cols END::BIGINT AS length, CASE wafer_id % 4 WHEN 1 THEN 'truncated' WHEN 3 THEN 'unknown_format' END AS code,
+  CASE wafer_id % 4 WHEN 1 THEN 52 WHEN 3 THEN 0 END::BIGINT AS at FROM w WHERE wafer_id % 4 <> 0""")
 def invalid_reports(spark, sf_dir):
-    """Reports that fail validation: none, as all are encoded here."""
-    v = _reports(spark, sf_dir).select("wafer_id", messages.validate("body").alias("v"))
-    return longs(v.where("v.code is not null").select("wafer_id", "v.length", "v.code", F.col("v.offset").alias("at")))
+    """Reports that fail validation or go on after their item: of four, one is whole, one is cut short by a byte, one a byte too long, and one begins with a format that doesn't exist."""
+    n = F.octet_length("body")
+    damaged = F.when(F.col("wafer_id") % 4 == 1, F.substring("body", F.lit(1), n - 1)).when(F.col("wafer_id") % 4 == 2, F.concat("body", F.unhex(F.lit("00")))).when(F.col("wafer_id") % 4 == 3, F.concat(F.unhex(F.lit("0D")), "body")).otherwise(F.col("body"))
+    v = _reports(spark, sf_dir).select("wafer_id", damaged.alias("body")).withColumn("v", messages.validate("body"))
+    return longs(v.where("v.code is not null or v.length <> octet_length(body)").select("wafer_id", "v.length", "v.code", F.col("v.offset").alias("at")))
 
 
 @query()
@@ -703,6 +752,28 @@ def verdicts_on_schedule(spark, sf_dir):
     return v.join(sent, "wafer_id").select("pos", "scheduled_us", (F.col("pattern") != "none").alias("says"))
 
 
+def _timed(spark, sf_dir):
+    at = F.col("at_us")
+    v = verdicts(spark, sf_dir).withColumns({"scheduled_us": at, "received_us": at + F.col("pos") % 97, "analysed_us": at + F.col("pos") % 97 + F.col("pos") % 31, "decided_us": at + F.col("pos") % 97 + F.col("pos") % 31 + 1})
+    return v.withColumn("held_us", F.when(F.col("pattern") == "scratch", F.col("decided_us") + 5))
+
+
+@query(f"""WITH {VERDICTS_SQL}, t AS (SELECT pos % 97 AS a, pos % 31 AS b, pattern FROM v), s AS (SELECT 'to_host' AS stage, a AS us FROM t UNION ALL SELECT 'analyse', b FROM t UNION ALL SELECT 'decide', 1 FROM t UNION ALL SELECT 'total', a + b + 1 FROM t UNION ALL SELECT 'hold', a + b + 6 FROM t WHERE pattern = 'scratch')
+SELECT stage, count(*) AS n, sum(us * 1000)::BIGINT AS ns, max(us * 1000) AS most FROM s GROUP BY stage""")
+def latency_stages(spark, sf_dir):
+    """How long verdicts take from stage to stage of their way."""
+    each = stages(_timed(spark, sf_dir))
+    return longs(each.groupBy("stage").agg(F.count("*").alias("n"), F.sum("latency_ns").alias("ns"), F.max("latency_ns").alias("most")))
+
+
+@query(f"""WITH {VERDICTS_SQL}, x AS (SELECT CASE pos % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN 'donut' ELSE pattern END AS truth, pattern, CASE WHEN pos % 4 = 0 THEN 'unknown' WHEN pos % 3 = 0 THEN 'none' ELSE pattern END AS second FROM v)
+SELECT count(*) FILTER (truth <> 'unknown') AS scored, count(*) FILTER (truth <> 'unknown' AND truth = pattern) AS correct, count(*) FILTER (second <> 'unknown') AS paired, count(*) FILTER (second <> 'unknown' AND second = pattern) AS agree FROM x""")
+def accuracy_in_run(spark, sf_dir):
+    v = verdicts(spark, sf_dir).withColumn("second", F.expr("CASE WHEN pos % 4 = 0 THEN 'unknown' WHEN pos % 3 = 0 THEN 'none' ELSE pattern END"))
+    truths = v.select("wafer_id", F.expr("CASE pos % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN 'donut' ELSE pattern END").alias("truth"))
+    return run_accuracy(v.select("wafer_id", "pattern", "second"), truths)
+
+
 @query(f"WITH {WAFERS_SQL}, {SCORED_SQL} SELECT w.wafer_id, w.truth, list_position(l, list_max(l)) - 1 AS pred FROM w LEFT JOIN s ON w.wafer_id = s.id")
 def wafers_with_logits(spark, sf_dir):
     logits = scored(spark, sf_dir).select(F.col("id").alias("wafer_id"), "logits")
@@ -712,9 +783,16 @@ def wafers_with_logits(spark, sf_dir):
 
 @query('SELECT n, i, least(floor(i * (1.0::DOUBLE / (64.0::DOUBLE / n)))::BIGINT, n - 1) AS source FROM (SELECT unnest(range(1, 513)) AS n), (SELECT unnest(range(64)) AS i)')
 def nearest_index(spark, sf_dir):
-    """Where each of 64 places of a resize reads, for sizes 1 to 512."""
-    grid = spark.range(1, 513).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("i"))
-    return grid.select("n", "i", F.least(F.floor(F.col("i") * (1.0 / (F.lit(64.0) / F.col("n")))), F.col("n") - 1).alias("source"))
+    """Where each of 64 places of a resize reads, for sizes 1 to 512, by the network's own preprocessing."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(0).to_pylist()
+            n, i = np.repeat(sizes, cnn.SIDE), np.tile(np.arange(cnn.SIDE), len(sizes))
+            source = np.concatenate([cnn.nearest(x) for x in sizes]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(i), pa.array(source)], names=["n", "i", "source"])
+
+    return spark.range(1, 513).mapInArrow(run, "n bigint, i bigint, source bigint")
 
 
 @query()

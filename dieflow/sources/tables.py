@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dieflow.patterns import PATTERNS, UNKNOWN
+from dieflow.functions.ranks import with_ranks
+from dieflow.patterns import PATTERNS, SPLITS, UNKNOWN
 
 LOGITS_MAGIC = b"WCNNLOGT"
 
@@ -60,9 +62,43 @@ def import_fab(maps: DataFrame, lots: DataFrame, excursions: DataFrame, wafer_ex
 
 
 def dense_lots(maps: DataFrame, name: str = "lot_name") -> DataFrame:
-    """maps plus lot_id, 0 up in the order of lot names.  Lots are numbered as a table of distinct names."""
-    ids = maps.select(name).distinct().withColumn("lot_id", F.dense_rank().over(W.orderBy(name)) - 1)
-    return maps.join(ids, name)
+    """maps plus lot_id, 0 up in the order of lot names.
+
+    Lots are numbered as a table of distinct names, in slices by the six bytes
+    after what all names begin with; names that agree in these share a slice.
+    """
+    names = maps.where(F.col(name).isNotNull()).select(name).distinct()
+    ends = names.agg(F.min(name), F.max(name)).first()
+    same = len(os.path.commonprefix([(x or "").encode() for x in ends]))
+    bytes_ = F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), same + 1, 6)), 12, "0")
+    ranked = with_ranks(names.select(name, F.conv(bytes_, 16, 10).cast("bigint").alias("at"), F.lit(1).alias("n")), [], "at", (name,))
+    return maps.join(ranked.select(name, F.col("before").alias("lot_id")), name)
+
+
+def named_splits(maps: DataFrame, split: str = "split") -> DataFrame:
+    """maps with the names of split numbers; a number without a name is an error when its row is read."""
+    names = F.get(F.array(*map(F.lit, SPLITS)), F.col(split))
+    return maps.withColumn(split, F.coalesce(names, F.raise_error(F.format_string("no split %d", F.col(split).cast("int"))).cast("string")))
+
+
+def first_in_order(wafers: DataFrame, n: int, order: tuple[str, ...] = ("tested_at_us", "wafer_id")) -> DataFrame:
+    """The first n rows of all; each task passes on its own first n."""
+    return wafers.orderBy(*order).limit(n)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(wafer_id, pred) of a signals file with a header; a name that is no pattern is an error.  The last of equal wafers holds."""
+    rows = spark.read.csv(path, header=True).select(F.col("wafer_id").cast("int").alias("wafer_id"), F.col("pred"), F.monotonically_increasing_id().alias("line"))
+    named = F.when(F.col("pred").isin(*PATTERNS), F.col("pred")).otherwise(F.raise_error(F.concat(F.lit("no pattern "), F.coalesce("pred", F.lit("")))).cast("string"))
+    return rows.select("wafer_id", named.alias("pred"), "line").groupBy("wafer_id").agg(F.max_by("pred", "line").alias("pred"))
+
+
+def join_predictions(wafers: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
+    """wafers with their predicted pattern; strict makes a wafer without one an error when the row is read."""
+    if not strict:
+        return wafers.join(predictions, "wafer_id")
+    missing = F.raise_error(F.format_string("wafer %d: no prediction", "wafer_id")).cast("string")
+    return wafers.join(predictions, "wafer_id", "left").withColumn("pred", F.coalesce("pred", missing))
 
 
 def first_of_each(wafers: DataFrame, n: int, by: str = "truth", order: str = "pos") -> DataFrame:

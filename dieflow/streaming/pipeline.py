@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dieflow.operators import messages
 from dieflow.operators.hold import HoldConfig, HoldRule, holds_in_order
 from dieflow.operators.rules import Classifier
 from dieflow.operators.signatures import signals
-from dieflow.patterns import MAX_DIES, MAX_LOT_CHARS
+from dieflow.patterns import MAX_DIES, MAX_LOT_CHARS, PATTERNS, UNKNOWN
 
 #: A detector turns wafers (with rows, cols and bins) into the same rows with `pattern` and `rule`.
 Detector = Callable[[DataFrame], DataFrame]
@@ -137,29 +137,89 @@ def decide(verdicts: DataFrame, config: HoldConfig) -> DataFrame:
     return given.groupBy("tool").applyInPandasWithState(run, HOLDS, "rule string", "append", GroupStateTimeout.NoTimeout)
 
 
-def lifecycle(hold: str, answer: int | None, sent: bool) -> str:
-    """waiting until a command is sent, then sent, and acked or failed by its answer (HCACK; done, later and already count as acked)."""
-    if answer is not None:
-        return "acked" if answer in (0, 4, 5) else "failed"
-    return "sent" if sent else "waiting"
-
+#: Answers (HCACK) after which a lot counts as held: done, will be done, was so already.
+ACKED = (0, 4, 5)
+#: What send() gives for a command that is out and will be answered later.
+PENDING = -1
+RECORD = "tool string, lot string, at_us bigint, seq bigint, pattern string, state string, hcack int, tries int, batch bigint"
+
+
+def lifecycle(answer: int | None) -> str:
+    """waiting until a command is sent, then sent until it is answered, then acked or failed."""
+    return {None: "waiting", PENDING: "sent"}.get(answer) or ("acked" if answer in ACKED else "failed")
+
+
+class HoldRecord:
+    """Every hold's state, in a folder that outlives the query: one file a batch, in which a later state replaces an earlier one."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, batch: int, rows: list[tuple]) -> None:
+        """The states that a batch brought; the batch run again replaces them."""
+        self.spark.createDataFrame([(*r, batch) for r in rows], RECORD).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch:012d}")
+
+    def states(self, before: int | None = None) -> DataFrame:
+        """The latest state of each hold, or the latest of the batches before one."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            return self.spark.createDataFrame([], RECORD)
+        rows = self.spark.read.schema(RECORD).option("recursiveFileLookup", "true").parquet(self.path)
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        key = ("tool", "lot", "at_us", "seq")
+        last = rows.groupBy(*key).agg(F.max(F.struct("batch", F.col("state").isin("acked", "failed").alias("over"), "pattern", "state", "hcack", "tries")).alias("x"))
+        return last.select(*key, "x.pattern", "x.state", "x.hcack", "x.tries", "x.batch")
+
+    def send(self, holds: DataFrame, batch: int, send: Callable[[str, bytes], int | None]) -> None:
+        """Send HOLD for what earlier batches left waiting and for the given holds, in order, and record what came of each.
+
+        send(tool, body) gives an HCACK, PENDING, or None when the tool's window
+        is full; that tool's holds then wait for the next batch.  Few lots are held
+        in a batch, and their commands go out from the driver, where the links are.
+        """
+        from dieflow.protocol.gem import HOLD, encode_lot_command
+
+        waiting = self.states(batch).where("state = 'waiting'").select("tool", "lot", "at_us", "seq", "pattern", "tries")
+        due = waiting.unionByName(holds.select("tool", "lot", "at_us", "seq", "pattern", F.lit(0).alias("tries"))).orderBy("at_us", "seq")
+        full, rows = set(), []
+        for r in due.collect():
+            answer = None if r.tool in full else send(r.tool, encode_lot_command(HOLD, r.lot))
+            tried = r.tries + (r.tool not in full)
+            if answer is None:
+                full.add(r.tool)
+            rows.append((r.tool, r.lot, r.at_us, r.seq, r.pattern, lifecycle(answer), None if answer == PENDING else answer, tried))
+        if rows:
+            self.write(batch, rows)
+
+    def answered(self, batch: int, answers: dict[tuple[str, str], int]) -> None:
+        """Record answers, by tool and lot, to commands that were sent; batch is the number of the last one that was."""
+        open_ = self.states().where("state = 'sent'").collect()
+        rows = [(r.tool, r.lot, r.at_us, r.seq, r.pattern, lifecycle(answers[r.tool, r.lot]), answers[r.tool, r.lot], r.tries, batch) for r in open_ if (r.tool, r.lot) in answers]
+        if rows:
+            self.spark.createDataFrame(rows, RECORD).coalesce(1).write.mode("append").parquet(f"{self.path}/answers")
+
+
+def send_holds(holds: DataFrame, send: Callable[[str, bytes], int | None], checkpoint: str, record: str) -> StreamingQuery:
+    """Send a HOLD command for every hold and keep its state in the folder `record`; see HoldRecord.
+
+    A hold that finds no free window stays waiting and goes out with a later
+    batch, before that batch's own.  A batch that runs again after a failure
+    sends its commands again; a lot held already answers so, which counts.
+    """
+    ledger = HoldRecord(holds.sparkSession, record)
+    return holds.writeStream.foreachBatch(lambda df, batch: ledger.send(df, batch, send)).option("checkpointLocation", checkpoint).start()
 
-def send_holds(holds: DataFrame, send: Callable[[str, bytes], int | None], checkpoint: str, retries: int = 3) -> StreamingQuery:
-    """Send a HOLD command for every hold through send(tool, body), which gives an HCACK or None when no window is free.
 
-    A hold that gets none is tried again, up to `retries` times in its batch.
-    The few rows of a batch are sent from the driver, where the links are.
-    """
-    from dieflow.protocol.gem import HOLD, encode_lot_command
+def paced(writer: DataStreamWriter, deadline_ms: int) -> DataStreamWriter:
+    """A writer whose batches close after a time, full or not; file_drop and frame_drop bound their size."""
+    return writer.trigger(processingTime=f"{deadline_ms} milliseconds")
 
-    def batch(df: DataFrame, _: int) -> None:
-        for r in df.orderBy("at_us", "seq").toLocalIterator():
-            body = encode_lot_command(HOLD, r.lot)
-            for _try in range(1 + retries):
-                if send(r.tool, body) is not None:
-                    break
 
-    return holds.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+def tally(verdicts: DataFrame, counters: str) -> DataFrame:
+    """verdicts, with `verdicts` and one counter a pattern observed under a name."""
+    counts = [F.count("*").alias("verdicts"), *(F.count_if(F.col("pattern") == p).alias(p) for p in PATTERNS)]
+    return verdicts.observe(counters, *counts) if verdicts.isStreaming else verdicts.observe(Observation(counters), *counts)
 
 
 class Counters(StreamingQueryListener):
@@ -183,3 +243,24 @@ class Counters(StreamingQueryListener):
 def latency(verdicts: DataFrame, since: str, until: str) -> DataFrame:
     """verdicts plus latency_ns of two microsecond columns, at least 0."""
     return verdicts.withColumn("latency_ns", F.greatest(F.lit(0).cast("bigint"), (F.col(until) - F.col(since)) * 1000))
+
+
+#: What passes between the times of a wafer's way: (stage, from, until).
+STAGES = (("to_host", "scheduled_us", "received_us"), ("analyse", "received_us", "analysed_us"), ("decide", "analysed_us", "decided_us"), ("total", "scheduled_us", "decided_us"), ("hold", "scheduled_us", "held_us"))
+
+
+def stages(verdicts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(kept columns, stage, latency_ns) of every stage whose two times a verdict has, at least 0."""
+    each = F.array(*(F.struct(F.lit(n).alias("stage"), F.when(F.col(b) >= F.col(a), F.col(b) - F.col(a)).when(F.col(b) < F.col(a), 0).cast("bigint").alias("us")) for n, a, b in STAGES))
+    return verdicts.select(*keep, F.explode(each).alias("s")).where("s.us is not null").select(*keep, "s.stage", (F.col("s.us") * 1000).alias("latency_ns"))
+
+
+def run_accuracy(verdicts: DataFrame, truths: DataFrame) -> DataFrame:
+    """(scored, correct, paired, agree) of a run in one row: verdicts (wafer_id, pattern, second) beside truths (wafer_id, truth).
+
+    Unknown truths aren't scored; verdicts without a known second opinion aren't paired.
+    """
+    both = verdicts.join(truths, "wafer_id")
+    known, paired = F.col("truth") != UNKNOWN, F.col("second") != UNKNOWN
+    same = lambda a: F.col("pattern") == F.col(a)
+    return both.agg(F.count_if(known).alias("scored"), F.count_if(known & same("truth")).alias("correct"), F.count_if(paired).alias("paired"), F.count_if(paired & same("second")).alias("agree"))

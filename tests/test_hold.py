@@ -2,6 +2,7 @@ import pytest
 
 from dieflow.operators import hold, replay
 from dieflow.operators.hold import HoldConfig, HoldRule
+from dieflow.plans import queries
 from dieflow.plans.derive import verdicts
 from dieflow.streaming.emulator import Replay
 
@@ -94,3 +95,32 @@ def test_emulator_replay():
     assert r.next(100_000) == (20, 100_000) and r.next(1_000_000) == (21, 200_000)
     assert r.next(2_000_000) is None and r.withheld == 3 and r.finished
     assert r.release("1") == "done" and r.release("1") == "already_in_condition"
+
+
+def test_sweep_across_lots_equals_brute_force(spark):
+    rows = sorted(verdicts(spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.at_us, r.pos))
+    want = set()
+    for k in (2, 3, 5):
+        for minutes in (1, 10):
+            lands, recent, arrivals, counts = {}, {}, {}, [0, 0, 0, 0]
+            for r in rows:
+                if r.lot in lands and r.at_us > lands[r.lot]:
+                    counts[1] += 1
+                    continue
+                counts[0] += 1
+                says = r.pattern not in ("none", "unknown")
+                if says:
+                    arrivals.setdefault(r.pattern, []).append(r.at_us)
+                recent.setdefault(r.lot, []).append(r.pattern)
+                if r.lot in lands or not says:
+                    continue
+                last = arrivals[r.pattern][-k:]
+                across = len(last) == k and r.at_us - last[0] <= minutes * 60_000_000
+                within = recent[r.lot][-5:].count(r.pattern) >= 3
+                if within or across:
+                    lands[r.lot] = r.at_us + queries.LATENCY_US
+                    counts[2] += 1
+                    counts[3] += not within
+            want.add((k, minutes * 60_000_000, *counts))
+    got = queries.sweep_across_lots(spark, "/root/testdata/sf0.001").select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds")
+    assert {tuple(r) for r in got.collect()} == want

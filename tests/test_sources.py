@@ -1,7 +1,9 @@
+import random
 import struct
 
 import pytest
 
+from dieflow.operators import metrics
 from dieflow.plans.derive import wafers
 from dieflow.sources import tables, wmap
 
@@ -95,3 +97,38 @@ def test_conflicts(spark):
     tables.check_conflicts(e, spark.createDataFrame([(9, 1), (9, 3)], "wafer_id int, excursion_id int"))
     with pytest.raises(tables.TableError, match="wafer 9"):
         tables.check_conflicts(e, spark.createDataFrame([(9, 1), (9, 2)], "wafer_id int, excursion_id int"))
+
+
+def test_predictions(spark, tmp_path):
+    w = wafers(spark, "/root/testdata/sf0.001").where("wafer_id < 3")
+    (tmp_path / "p.csv").write_text("wafer_id,lot_id,pred\n0,1,center\n1,1,none\n0,1,donut\n9,1,loc\n")
+    given = tables.read_predictions(spark, str(tmp_path / "p.csv"))
+    assert {(r.wafer_id, r.pred) for r in tables.join_predictions(w, given, strict=False).collect()} == {(0, "donut"), (1, "none")}
+    with pytest.raises(Exception, match="wafer 2: no prediction"):
+        tables.join_predictions(w, given).collect()
+    (tmp_path / "p.csv").write_text("wafer_id,pred\n0,centre\n")
+    with pytest.raises(Exception, match="no pattern centre"):
+        tables.read_predictions(spark, str(tmp_path / "p.csv")).collect()
+
+
+def test_splits_and_dense_lots(spark):
+    df = spark.createDataFrame([(0,), (3,)], "split int")
+    assert [r.split for r in tables.named_splits(df).collect()] == ["train", "unsplit"]
+    with pytest.raises(Exception, match="no split 4"):
+        tables.named_splits(spark.createDataFrame([(4,)], "split int")).collect()
+    rng = random.Random(1)
+    names = [f"LOT-{rng.randrange(500):0{rng.choice((3, 6, 9))}d}{rng.choice(('', 'é', '-b'))}" for _ in range(2000)] + ["LOT-"]
+    want = {n: i for i, n in enumerate(sorted(set(names), key=str.encode))}
+    got = tables.dense_lots(spark.createDataFrame([(n,) for n in names], "lot_name string")).collect()
+    assert len(got) == len(names) and all(r.lot_id == want[r.lot_name] for r in got)
+    assert tables.dense_lots(spark.createDataFrame([("x",)], "lot_name string")).first().lot_id == 0
+    assert tables.dense_lots(spark.createDataFrame([], "lot_name string")).count() == 0
+
+
+def test_medians(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.choice((rng.randrange(50), rng.random(), None))) for _ in range(3000)] + [("d", 1.0), ("e", None)]
+    rows = [(a, None if v is None else float(v)) for a, v in rows]
+    got = {r.k: (r.median, r.median_upper) for r in metrics.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    by = {k: sorted(v for a, v in rows if a == k and v is not None) for k in "abcd"}
+    assert got == {k: ((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, v[len(v) // 2]) for k, v in by.items()}

@@ -61,10 +61,59 @@ def test_admit(spark):
 
 
 def test_lifecycle_and_latency(spark):
-    assert [pipeline.lifecycle("h", *x) for x in ((None, False), (None, True), (0, True), (5, True), (2, True))] == ["waiting", "sent", "acked", "acked", "failed"]
+    assert [pipeline.lifecycle(x) for x in (None, pipeline.PENDING, 0, 5, 2)] == ["waiting", "sent", "acked", "acked", "failed"]
     df = spark.createDataFrame([(10, 5), (10, 12)], "a bigint, b bigint")
     assert [r.latency_ns for r in pipeline.latency(df, "a", "b").collect()] == [0, 2000]
 
 
 def test_lot_names(spark):
     assert spark.range(7, 8).select(lot_name(F.col("id"))).first()[0] == "LOT-000007"
+
+
+def test_holds_are_sent_and_recorded(spark, tmp_path):
+    schema = "tool string, lot string, at_us bigint, seq bigint, pattern string, by_tool boolean, evictions bigint"
+    for k in range(3):
+        spark.createDataFrame([(t, f"{t}{k}", 10 * k + i, k, "scratch", False, 0) for i, t in enumerate("abc")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    sent, free = [], {"a": 9, "b": 1, "c": 9}
+
+    def send(tool, body):
+        command, parameters = gem.decode_host_command(body)
+        assert command == "HOLD"
+        if not free[tool]:
+            return None
+        free[tool] -= 1
+        sent.append(parameters["LOTID"].text())
+        return {"a": 0, "b": pipeline.PENDING, "c": 2}[tool]
+
+    holds = pipeline.file_drop(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    q = pipeline.send_holds(holds, send, str(tmp_path / "cp"), str(tmp_path / "record"))
+    q.processAllAvailable()
+    q.stop()
+    record = pipeline.HoldRecord(spark, str(tmp_path / "record"))
+    state = lambda: {r.lot: (r.state, r.hcack, r.tries) for r in record.states().collect()}
+    assert state() == {**{f"a{k}": ("acked", 0, 1) for k in range(3)}, **{f"c{k}": ("failed", 2, 1) for k in range(3)}, "b0": ("sent", None, 1), "b1": ("waiting", None, 2), "b2": ("waiting", None, 0)}
+    # The window frees: what waited goes first, and nothing is sent twice.
+    free["b"] = 5
+    last = record.states().agg(F.max("batch")).first()[0]
+    record.send(spark.createDataFrame([], schema), last + 1, send)
+    assert sent[-2:] == ["b1", "b2"] and len(sent) == len(set(sent)) == 9
+    record.answered(last + 1, {("b", "b0"): 5, ("b", "b1"): 3})
+    assert [state()[x] for x in ("b0", "b1", "b2")] == [("acked", 5, 1), ("failed", 3, 3), ("sent", None, 1)]
+
+
+def test_tally_and_pace(spark, tmp_path):
+    v = spark.createDataFrame([("center",), ("none",), ("center",)], "pattern string")
+    v.write.parquet(str(tmp_path / "in"))
+    listener = pipeline.Counters()
+    spark.streams.addListener(listener)
+    counted = pipeline.tally(pipeline.file_drop(spark, str(tmp_path / "in"), "pattern string"), "patterns")
+    q = pipeline.paced(counted.writeStream.format("memory").queryName("tallied"), 50).start()
+    q.processAllAvailable()
+    for _ in range(100):
+        if listener.total.get("verdicts") == 3:
+            break
+        time.sleep(0.1)
+    q.stop()
+    spark.streams.removeListener(listener)
+    assert (listener.total["verdicts"], listener.total["center"], listener.total["none"], listener.total["donut"]) == (3, 2, 1, 0)
