@@ -28,41 +28,50 @@ def tokenizer_path() -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; null and empty texts have fingerprint 0, repeated rows stay."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base measures, base_failed and kept of every document; null and empty texts have no words and fail."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", *(F.col(f"quality.{n}") for n in names))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every document; null texts are empty, repeated rows stay."""
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, checksum, shard and place under the law `bytes`, placed by a slot map that is stored and read back; null texts have no bytes."""
     placed, _ = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it; null and empty texts hold none, repeated rows come out repeatedly."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base score and the automaton's score of every document; null and empty texts are their end alone, repeated rows count repeatedly."""
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page; null urls and urls without :// have neither host nor path and no rule."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of base spans, and all spans, of every document; null and empty texts have none, repeated rows the same."""
     return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out, score, predicted and the offending sentences of every document, by a model of the labelled rows that aren't held out; null and empty texts score the leak."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.training_rows(docs, labels))
     scored = toxicity.score(docs, model, sentences=True)
@@ -70,6 +79,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, main text and its length of every page; null and empty pages have an empty text, repeated rows come out repeatedly."""
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 

@@ -115,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     data = Index.build(rules)
     if len(data) > MAX_INDEX_BYTES:
         spark = pages.sparkSession
-        return judge_by_join(given, spark.createDataFrame(rules, "verdict string, host string, path string"), keep, default)
+        return judge_by_join(given, spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "verdict string, host string, path string, place bigint"), keep, default)
     name = f"urls-{xxhash.xxh64_hexdigest(data)}.idx"
     _publish(pages.sparkSession, name, data)
 
@@ -138,7 +138,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
 
 
 def judge_by_join(given: DataFrame, rules: DataFrame, keep: tuple[str, ...], default: str = "allow") -> DataFrame:
-    """The same for rule tables of any size: candidates are listed by page and joined on the full string."""
+    """judge() for rule tables (verdict, host, path, place) of any size: candidates are listed by page and joined on the full string.
+
+    Of equal rules the one with the highest place holds.  Null rules, hosts or
+    paths fit nothing; repeated pages stay repeated.
+    """
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # at most as many as a path is long
     rows = given.withColumn("__row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
@@ -146,7 +150,7 @@ def judge_by_join(given: DataFrame, rules: DataFrame, keep: tuple[str, ...], def
     cuts = F.array(*(F.lit(n) for n in lengths))
     keys = rows.where("host <> ''").select("__row", F.explode(hosts).alias("h"), "path").select("__row", "h", F.explode(F.filter(cuts, lambda n: n <= F.length("path"))).alias("n"), "path")
     keyed = keys.select("__row", F.concat("h", F.expr("left(path, n)")).alias("rule"), F.length("h").alias("h"), "n")
-    table = rules.groupBy(F.concat("host", "path").alias("rule")).agg(F.last("verdict").alias("verdict"))
+    table = rules.groupBy(F.concat("host", "path").alias("rule")).agg(F.max_by("verdict", "place").alias("verdict"))
     best = keyed.join(table, "rule").groupBy("__row").agg(F.max_by(F.struct("rule", "verdict"), F.struct("h", "n")).alias("best"))
     out = rows.join(best, "__row", "left")
     return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
