@@ -7,6 +7,8 @@ what SQL can check, and they take geometries of the caller's own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,15 +23,20 @@ COUNTS = ("dies", "fails", "joins", "join_pairs", "fail_joins", "angle", "rho",
 ARRAYS = ("zone_dies", "zone_fails", "sector_dies", "sector_fails", "ring_dies", "ring_fails")
 
 
-def _by_shape(batch: pa.RecordBatch, at: int, fn) -> dict[str, list]:
-    """fn over the maps of each shape, put back in the batch's order."""
+def _shapes(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The maps of each shape as one array, and their places in the batch; rows, cols and bins are columns from `at` on."""
     rows, cols, bins = (batch.column(at + k).to_pylist() for k in range(3))
     groups: dict[tuple[int, int], list[int]] = {}
     for i, key in enumerate(zip(rows, cols)):
         groups.setdefault(key, []).append(i)
-    out: dict[str, np.ndarray] = {}
     for (r, c), members in groups.items():
-        maps = np.frombuffer(b"".join(bins[i] for i in members), dtype=np.uint8).reshape(len(members), r, c)
+        yield np.array(members), np.frombuffer(b"".join(bins[i] for i in members), dtype=np.uint8).reshape(len(members), r, c)
+
+
+def _by_shape(batch: pa.RecordBatch, at: int, fn) -> dict[str, list]:
+    """fn over the maps of each shape, put back in the batch's order."""
+    out: dict[str, np.ndarray] = {}
+    for members, maps in _shapes(batch, at):
         for name, values in fn(maps).items():
             if name not in out:
                 out[name] = np.zeros((batch.num_rows, *values.shape[1:]), dtype=values.dtype)
@@ -37,9 +44,13 @@ def _by_shape(batch: pa.RecordBatch, at: int, fn) -> dict[str, list]:
     return out
 
 
+def _given(wafers: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return wafers.select(*keep, F.col("rows").cast("int").alias("__rows"), F.col("cols").cast("int").alias("__cols"), F.col("bins").alias("__bins"))
+
+
 def map_signatures(wafers: DataFrame, fn, names: dict[str, str], keep: tuple[str, ...], rows: int = 512) -> DataFrame:
     """The kept columns and columns of fn, which takes an array of equal-shaped maps; names give Spark types."""
-    given = wafers.select(*keep, F.col("rows").cast("int").alias("__rows"), F.col("cols").cast("int").alias("__cols"), F.col("bins").alias("__bins"))
+    given = _given(wafers, keep)
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
 
     def run(batches):
@@ -71,22 +82,27 @@ def hough_lines(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> Dat
     return map_signatures(wafers, kernels.hough, {n: "bigint" for n in ("angle", "rho", "votes", "line_dies")}, keep)
 
 
-def cluster_rows(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> DataFrame:
+def cluster_rows(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",), rows: int = 512) -> DataFrame:
     """One row a cluster: the kept columns, its place in its map and its moments."""
+    given = _given(wafers, keep)
 
-    def listed(maps):
-        c = kernels.clusters(maps)
-        rows = np.empty(len(maps), dtype=object)
-        for i in range(len(maps)):
-            rows[i] = []
-        for k, i in enumerate(c["map"]):
-            rows[i] += [int(c[n][k]) for n in CLUSTER_FIELDS]
-        return {"flat": rows}
-
-    flat = map_signatures(wafers, listed, {"flat": "array<bigint>"}, keep)
-    n = len(CLUSTER_FIELDS)
-    each = flat.where(F.size("flat") > 0).select(*keep, "flat", F.explode(F.expr(f"sequence(0, size(flat) div {n} - 1)")).alias("place"))
-    return each.select(*keep, "place", *(F.get("flat", F.col("place") * n + k).alias(f) for k, f in enumerate(CLUSTER_FIELDS)))
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                of, found = [], []
+                for members, maps in _shapes(batch, len(keep)):
+                    c = kernels.clusters(maps)
+                    first = np.searchsorted(c["map"], c["map"], side="left")
+                    of.append(members[c["map"]])
+                    found.append([np.arange(len(first)) - first, *(c[n] for n in CLUSTER_FIELDS)])
+                if of:
+                    kept = batch.take(pa.array(np.concatenate(of))).columns[: len(keep)]
+                    more = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)]
+                    yield pa.RecordBatch.from_arrays([*kept, *more], names=[*keep, "place", *CLUSTER_FIELDS])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[: len(keep)]]
+    return given.mapInArrow(run, ", ".join([*kinds, "place bigint", *(f"`{n}` bigint" for n in CLUSTER_FIELDS)]))
 
 
 # --- the same from exploded dies ---
