@@ -21,10 +21,13 @@ from dieflow.operators.hold import HoldConfig, HoldRule, holds
 HOUR_US = 3_600_000_000
 
 
-def replay(wafers: DataFrame, config: HoldConfig, latency_us: int) -> DataFrame:
-    """wafers plus withheld, holds (this verdict held the lot), by_tool and lands_us (of the lot's hold, or null)."""
+def replay(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None) -> DataFrame:
+    """wafers plus withheld, holds (this verdict held the lot), by_tool and lands_us (of the lot's hold, or null).
+
+    The cross-lot rule looks at the lots of one `key`, such as a tool; without one, all lots are one order and one task.
+    """
     if config.tool_k:
-        return replay_in_order(wafers, config, latency_us)
+        return replay_in_order(wafers, config, latency_us, key)
     held = holds(wafers, config).select("lot", F.col("pos").alias("held_pos"), (F.col("at_us") + latency_us).alias("lands_us"))
     both = wafers.join(held, "lot", "left")
     return both.select(*wafers.columns, F.coalesce(F.col("at_us") > F.col("lands_us"), F.lit(False)).alias("withheld"), F.coalesce(F.col("pos") == F.col("held_pos"), F.lit(False)).alias("holds"), F.lit(False).alias("by_tool"), "lands_us")
@@ -91,11 +94,11 @@ def totals(replayed: DataFrame, excursion_of: DataFrame | None = None) -> DataFr
     return kept.crossJoin(replayed.agg(F.count_if("withheld").alias("withheld")))  # one row each
 
 
-def sweep(wafers: DataFrame, configs: Sequence[HoldConfig], latency_us: int) -> DataFrame:
+def sweep(wafers: DataFrame, configs: Sequence[HoldConfig], latency_us: int, key: str | None = None) -> DataFrame:
     """totals() of every config: columns k, window, tool_k, tool_window_us and the totals."""
     out = None
     for c in configs:
-        row = totals(replay(wafers, c, latency_us)).select(F.lit(c.k).alias("k"), F.lit(c.window).alias("window"), F.lit(c.tool_k).alias("tool_k"), F.lit(c.tool_window_us).cast("bigint").alias("tool_window_us"), "*")
+        row = totals(replay(wafers, c, latency_us, key)).select(F.lit(c.k).alias("k"), F.lit(c.window).alias("window"), F.lit(c.tool_k).alias("tool_k"), F.lit(c.tool_window_us).cast("bigint").alias("tool_window_us"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

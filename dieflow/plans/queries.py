@@ -18,7 +18,7 @@ from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL,
 from dieflow.session import shared_dir
 from dieflow.sources import tables
 from dieflow.streaming.emulator import schedule
-from dieflow.streaming.pipeline import decide, run_accuracy, stages
+from dieflow.streaming.pipeline import HOLDS, decide, run_accuracy, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,17 +517,23 @@ def holds_both_rules(spark, sf_dir):
     return hold.holds(verdicts(spark, sf_dir), TOOL)
 
 
-ORACLE_SQL["holds_in_order"] = f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot OR tool')} SELECT lot, at_us, pos, pattern, by_tool, 0 AS evictions FROM hd"
+#: Ten tools: a lot's last digit says which has it.
+BY_TOOL_SQL = TOOL_SQL.replace("PARTITION BY pattern", "PARTITION BY right(lot, 1), pattern")
 
 
-@query(ORACLE_SQL["holds_in_order"])
+def _at_tools(spark, sf_dir):
+    return verdicts(spark, sf_dir).withColumn("tool", F.right("lot", F.lit(1)))
+
+
+@query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {BY_TOOL_SQL}, {_holds_sql('in_lot OR tool')} SELECT right(lot, 1) AS tool, lot, at_us, pos, pattern, by_tool, 0 AS evictions FROM hd")
 def holds_in_order(spark, sf_dir):
-    return hold.holds_in_order(verdicts(spark, sf_dir), TOOL)
+    return hold.holds_in_order(_at_tools(spark, sf_dir), TOOL, "tool")
 
 
 @query()
 def holds_forgetting(spark, sf_dir):
-    return hold.holds_in_order(verdicts(spark, sf_dir), hold.HoldConfig(k=3, window=5, lots=64, tool_k=3, tool_window_us=600_000_000))
+    """The sequential rule at ten tools, each of which remembers five lots; SQL can't say which lot is forgotten."""
+    return hold.holds_in_order(_at_tools(spark, sf_dir), hold.HoldConfig(k=3, window=5, lots=5, tool_k=3, tool_window_us=600_000_000), "tool")
 
 
 @query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot')} SELECT v.lot, count(*) AS n FROM v SEMI JOIN hd ON v.lot = hd.lot GROUP BY v.lot")
@@ -579,12 +585,13 @@ ORACLE_SQL["replay_in_order"] = f"WITH {REPLAY_SQL} SELECT pos, withheld, holds
 
 @query(ORACLE_SQL["replay_in_order"])
 def replay_in_order(spark, sf_dir):
-    return replay.replay_in_order(verdicts(spark, sf_dir), HOLD, LATENCY_US).select("pos", "withheld", "holds")
+    return replay.replay_in_order(_at_tools(spark, sf_dir), HOLD, LATENCY_US, "tool").select("pos", "withheld", "holds")
 
 
 @query()
 def replay_both_rules(spark, sf_dir):
-    return replay.replay(verdicts(spark, sf_dir), TOOL, LATENCY_US).select("pos", "withheld", "holds", "by_tool", "evictions")
+    """Both rules at ten tools: what a hold withholds changes what others see, which SQL can't say."""
+    return replay.replay(_at_tools(spark, sf_dir), TOOL, LATENCY_US, "tool").select("pos", "withheld", "holds", "by_tool", "evictions")
 
 
 @query(f"WITH {REPLAY_SQL} SELECT * FROM oc")
@@ -623,7 +630,7 @@ def sweep_across_lots(spark, sf_dir):
     Each replay is one order a tool, by the sequential rule, which SQL can't say.
     """
     configs = [hold.HoldConfig(k=3, window=5, lots=1 << 20, tool_k=k, tool_window_us=h * 60_000_000) for k in (2, 3, 5) for h in (1, 10)]
-    return longs(replay.sweep(verdicts(spark, sf_dir), configs, LATENCY_US).select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds"))
+    return longs(replay.sweep(_at_tools(spark, sf_dir), configs, LATENCY_US, "tool").select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds"))
 
 
 EVENT0 = "(SELECT min(at_us) FROM v)"
@@ -733,15 +740,15 @@ def report_text(spark, sf_dir):
 
 
 
-@query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot OR tool')} SELECT lot, at_us, pos AS seq, pattern, by_tool FROM hd")
+@query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {BY_TOOL_SQL}, {_holds_sql('in_lot OR tool')} SELECT lot, at_us, pos AS seq, pattern, by_tool FROM hd")
 def holds_streamed(spark, sf_dir):
     """The stateful stream over the events file, run until it has read all of it; its holds are the result."""
     given = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
-    stream = verdicts_of(given).select(F.lit("tool").alias("tool"), "lot", "pattern", "at_us", F.col("pos").alias("seq"))
-    name = f"holds_{uuid.uuid4().hex}"
-    q = decide(stream, TOOL).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    stream = verdicts_of(given).select(F.right("lot", F.lit(1)).alias("tool"), "lot", "pattern", "at_us", F.col("pos").alias("seq"))
+    at = f"{shared_dir(spark)}/holds_{uuid.uuid4().hex}"
+    q = decide(stream, TOOL).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/holds").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("lot", "at_us", "seq", "pattern", "by_tool")
+    return spark.read.schema(HOLDS).parquet(f"{at}/holds").select("lot", "at_us", "seq", "pattern", "by_tool")
 
 
 @query(f"WITH {VERDICTS_SQL}, s AS (SELECT wafer_id, pos, (round((row_number() OVER (ORDER BY at_us, pos) - 1) * 1e6 / 1000.0))::BIGINT AS scheduled_us FROM v WHERE pattern <> 'unknown') SELECT v.pos, s.scheduled_us, v.pattern <> 'none' AS says FROM v JOIN s USING (wafer_id)")

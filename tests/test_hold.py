@@ -97,30 +97,64 @@ def test_emulator_replay():
     assert r.release("1") == "done" and r.release("1") == "already_in_condition"
 
 
-def test_sweep_across_lots_equals_brute_force(spark):
-    rows = sorted(verdicts(spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.at_us, r.pos))
+def run_by_hand(rows, k, window, lots, tool_k, within_us, latency_us=None):
+    """Each verdict's (withheld, holds, by_tool, evictions so far), tool by tool: lists of all a lot showed, and a list of lots from the oldest to the newest."""
+    out = {}
+    for tool in {r.lot[-1] for r in rows}:
+        shown, order, lands, said, held, gone = {}, [], {}, {}, set(), 0
+        for r in rows:
+            if r.lot[-1] != tool:
+                continue
+            if latency_us is not None and r.at_us > lands.get(r.lot, r.at_us):
+                out[r.pos] = (True, False, False, gone)
+                continue
+            if r.lot in order:
+                order.remove(r.lot)
+            elif len(order) == lots:
+                old = order.pop(0)
+                held.discard(old)
+                shown.pop(old)
+                gone += 1
+            order.append(r.lot)
+            shown.setdefault(r.lot, []).append(r.pattern)
+            says = r.pattern not in ("none", "unknown")
+            if says:
+                said.setdefault(r.pattern, []).append(r.at_us)
+            fires = across = False
+            if says and r.lot not in held:
+                last = said[r.pattern][-tool_k:]
+                inside = shown[r.lot][-window:].count(r.pattern) >= k
+                across = not inside and len(last) == tool_k and r.at_us - last[0] <= within_us
+                fires = inside or across
+            if fires:
+                held.add(r.lot)
+                lands[r.lot] = r.at_us + (latency_us or 0)
+            out[r.pos] = (False, fires, across, gone)
+    return out
+
+
+@pytest.fixture(scope="module")
+def ordered(spark):
+    return sorted(verdicts(spark, "/root/testdata/sf0.01").collect(), key=lambda r: (r.at_us, r.pos))
+
+
+def test_forgetting_equals_brute_force(spark, ordered):
+    want = {p: (x[2], x[3]) for p, x in run_by_hand(ordered, 3, 5, 5, 3, 600_000_000).items() if x[1]}
+    got = {r.pos: (r.by_tool, r.evictions) for r in queries.holds_forgetting(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and any(e for _, e in got.values())
+
+
+def test_replay_of_both_rules_equals_brute_force(spark, ordered):
+    want = run_by_hand(ordered, 3, 5, 1 << 20, 3, 600_000_000, queries.LATENCY_US)
+    got = {r.pos: (r.withheld, r.holds, r.by_tool, r.evictions) for r in queries.replay_both_rules(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and any(x[2] for x in got.values())
+
+
+def test_sweep_across_lots_equals_brute_force(spark, ordered):
     want = set()
     for k in (2, 3, 5):
         for minutes in (1, 10):
-            lands, recent, arrivals, counts = {}, {}, {}, [0, 0, 0, 0]
-            for r in rows:
-                if r.lot in lands and r.at_us > lands[r.lot]:
-                    counts[1] += 1
-                    continue
-                counts[0] += 1
-                says = r.pattern not in ("none", "unknown")
-                if says:
-                    arrivals.setdefault(r.pattern, []).append(r.at_us)
-                recent.setdefault(r.lot, []).append(r.pattern)
-                if r.lot in lands or not says:
-                    continue
-                last = arrivals[r.pattern][-k:]
-                across = len(last) == k and r.at_us - last[0] <= minutes * 60_000_000
-                within = recent[r.lot][-5:].count(r.pattern) >= 3
-                if within or across:
-                    lands[r.lot] = r.at_us + queries.LATENCY_US
-                    counts[2] += 1
-                    counts[3] += not within
-            want.add((k, minutes * 60_000_000, *counts))
-    got = queries.sweep_across_lots(spark, "/root/testdata/sf0.001").select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds")
+            of = run_by_hand(ordered, 3, 5, 1 << 20, k, minutes * 60_000_000, queries.LATENCY_US).values()
+            want.add((k, minutes * 60_000_000, sum(not x[0] for x in of), sum(x[0] for x in of), sum(x[1] for x in of), sum(x[2] for x in of)))
+    got = queries.sweep_across_lots(spark, "/root/testdata/sf0.01").select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds")
     assert {tuple(r) for r in got.collect()} == want
