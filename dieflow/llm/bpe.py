@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import Shared, map_batches
+from dieflow.llm.common import Shared, fresh, map_batches
 
 #: Fixed value: the word split of the byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -295,7 +295,7 @@ def _shared(docs: DataFrame, path: str) -> Shared:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs plus `ids`, an array of long token ids; null texts encode as empty.  An existing column of that name is replaced."""
+    """docs plus `ids`, an array of long token ids; null texts encode as empty.  An existing column of that name is replaced; repeated rows stay."""
     shared = _shared(docs, path)
     kept = docs.drop(ids)
 
@@ -305,11 +305,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], ids])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(kept.withColumn("__encode", F.col(text).cast("string")), run, f"{schema}, `{ids}` array<bigint>")
+    return map_batches(kept.withColumn(*fresh(kept, "encode"), F.col(text).cast("string")), run, f"{schema}, `{ids}` array<bigint>")
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """docs plus `text`, decoded from an array of token ids; null ids decode as empty."""
+    """docs plus `text`, decoded from an array of token ids; null ids decode as empty, repeated rows stay."""
     shared = _shared(docs, path)
     kept = docs.drop(text)
 
@@ -319,7 +319,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], text])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(kept.withColumn("__decode", F.col(ids)), run, f"{schema}, `{text}` string")
+    return map_batches(kept.withColumn(*fresh(kept, "decode"), F.col(ids)), run, f"{schema}, `{text}` string")
 
 
 def digest_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:

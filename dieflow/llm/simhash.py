@@ -168,7 +168,7 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts are one group.  Texts are dealt out once, by id, and met by a hash of
     the chosen rows, so they aren't sorted for the join.
     """
-    mark = F.xxhash64(*docs.columns)
+    mark = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
     least = grouped(given, keep=("mark",), **settings).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
     own, hashed = fresh(docs, "kept", "mark")
