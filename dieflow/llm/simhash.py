@@ -139,18 +139,29 @@ def placed(rows: DataFrame, roots: DataFrame, of: str) -> DataFrame:
     return rows.join(rooted.join(least, "root").select(of, "root", "component_id"), of).select(*rows.columns, "root", "component_id")
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), size: int = 3, radius: int = 2, bucket: int = 256) -> DataFrame:
+def firsts(rows: DataFrame, roots: DataFrame, of: str) -> DataFrame:
+    """(root, at) for every root: at is the smallest struct of the other columns of rows, doc_id before all.
+
+    Rows are aggregated by vertex before roots are joined, so many copies of one
+    vertex never meet in a task.
+    """
+    own = rows.groupBy(of).agg(F.min(F.struct("doc_id", *(c for c in rows.columns if c not in ("doc_id", of)))).alias("at"))
+    return own.join(roots, of, "left").groupBy(F.coalesce("root", of).alias("root")).agg(F.min("at").alias("at"))
+
+
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), size: int = 3, radius: int = 2, bucket: int = 256, place: Callable[..., DataFrame] = placed) -> DataFrame:
     """One row for each row of docs: doc_id, the kept columns, fp (signed long), root (one for each component) and component_id (the smallest doc_id reachable over links, itself included).
 
     Null and empty texts and texts without words have fingerprint 0 and link like any other.
     Null doc_ids are kept; they count as larger than all others, so a component of nulls alone has a null id.
     Repeated rows stay repeated.  Other columns of docs are ignored, so their names cannot clash.
     A very long text is read a stretch at a time, at a cost in proportion to its length.
+    With place=firsts the result is one row a group instead.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"))
     printed = cut(fingerprints(given, size=size, keep=("doc_id", *keep)), "fps")
     roots = connected_components(links(printed.select("fp").distinct(), radius, bucket))
-    return placed(printed, roots.withColumnRenamed("node", "fp"), "fp")
+    return place(printed, roots.withColumnRenamed("node", "fp"), "fp")
 
 
 def hex_digits(fp: str = "fp"):
@@ -170,7 +181,7 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     mark = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
-    least = grouped(given, keep=("mark",), **settings).groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+    least = grouped(given, keep=("mark",), place=firsts, **settings)
     own, hashed = fresh(docs, "kept", "mark")
     chosen = least.select(F.col("at.doc_id").alias(own), F.col("at.mark").alias(hashed))
     marked = docs.withColumn(hashed, mark)
