@@ -81,47 +81,64 @@ def hough(bins: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def labels(bins: np.ndarray) -> np.ndarray:
-    """The first die (row-major index) of each failing die's 8-connected cluster; -1 elsewhere.
-
-    Every die takes the least label around it and then the label its label has,
-    which shortens chains.  Maps in which nothing changes any more drop out.
-    """
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex of each of n vertices' components, for edges (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+        # Edges are lifted to the roots they now join; those within one are done.
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _runs(bins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of failing dies within rows, in the order of maps and dies: map, row, first column, length, and the first run of the 8-connected cluster."""
     m, rows, cols = bins.shape
-    far = rows * cols
-    kind = np.int16 if far < 1 << 15 else np.int32
-    bad = bins >= 2
-    out = np.where(bad, np.arange(far, dtype=kind).reshape(rows, cols), kind(far))
-    active = np.flatnonzero(bad.any(axis=(1, 2)))
-    while len(active):
-        now = out[active]
-        pad = np.full((len(active), rows + 2, cols + 2), far, dtype=kind)
-        pad[:, 1:-1, 1:-1] = now
-        least = np.minimum(np.minimum(pad[:, :, :-2], pad[:, :, 1:-1]), pad[:, :, 2:])
-        least = np.minimum(np.minimum(least[:, :-2], least[:, 1:-1]), least[:, 2:])
-        new = np.where(bad[active], least, kind(far)).reshape(len(active), far)
-        # One place more in each row, so that `far` refers to itself.
-        reach = np.full((len(active), far + 1), far, dtype=kind)
-        reach[:, :far] = new
-        new = reach.ravel()[new + np.arange(len(active))[:, None] * (far + 1)].reshape(now.shape)
-        moved = (new != now).any(axis=(1, 2))
-        out[active] = new
-        active = active[moved]
-    return np.where(bad, out, -1).astype(np.int64)
+    width = cols + 1
+    # A row before each map and a column after each row stay empty, so that neither runs nor neighbours cross.
+    on = np.zeros((m, rows + 1, width), dtype=bool)
+    on[:, 1:, :cols] = bins >= 2
+    on = on.ravel()
+    ends = np.flatnonzero(on[1:] != on[:-1]) + 1
+    start, end = ends[::2], ends[1::2]
+    # The runs that touch one from the row above follow one another.
+    low = np.searchsorted(end, start - width - 1, side="right")
+    touching = np.searchsorted(start, end - width, side="right") - low
+    below = np.repeat(np.arange(len(start)), touching)
+    above = np.arange(len(below)) + np.repeat(low - (np.cumsum(touching) - touching), touching)
+    line, column = np.divmod(start, width)
+    of, row = np.divmod(line, rows + 1)
+    return of, row - 1, column, end - start, _roots(below, above, len(start))
+
+
+def labels(bins: np.ndarray) -> np.ndarray:
+    """The first die (row-major index) of each failing die's 8-connected cluster; -1 elsewhere."""
+    _, row, column, length, root = _runs(bins)
+    out = np.full(bins.shape, -1, dtype=np.int64)
+    out[bins >= 2] = np.repeat((row * bins.shape[2] + column)[root], length)
+    return out
 
 
 def clusters(bins: np.ndarray) -> dict[str, np.ndarray]:
     """One row a cluster, in the order of maps and first dies: map, first, size, moments and bounding box."""
-    m, rows, cols = bins.shape
-    lab = labels(bins).reshape(m, -1)
-    i, die = np.nonzero(lab >= 0)
-    key, inverse = np.unique(i * (rows * cols) + lab[i, die], return_inverse=True)
-    r, c = np.divmod(die, cols)
-    n = len(key)
-    out = {"map": key // (rows * cols), "first": key % (rows * cols), "size": np.bincount(inverse, minlength=n)}
-    for name, x in (("sum_r", r), ("sum_c", c), ("sum_rr", r * r), ("sum_cc", c * c), ("sum_rc", r * c)):
+    _, rows, cols = bins.shape
+    of, r, c, length, root = _runs(bins)
+    own = root == np.arange(len(root))
+    inverse, n = (np.cumsum(own) - 1)[root], int(own.sum())
+    last = c + length - 1
+    sum_c = length * (c + last) // 2
+    sum_cc = (last * (last + 1) * (2 * last + 1) - (c - 1) * c * (2 * c - 1)) // 6
+    out = {"map": of[own], "first": (r * cols + c)[own]}
+    for name, x in (("size", length), ("sum_r", r * length), ("sum_c", sum_c), ("sum_rr", r * r * length), ("sum_cc", sum_cc), ("sum_rc", r * sum_c)):
         out[name] = np.bincount(inverse, x, minlength=n).astype(np.int64)
-    for name, x, take, start in (("min_r", r, np.minimum, rows), ("max_r", r, np.maximum, -1), ("min_c", c, np.minimum, cols), ("max_c", c, np.maximum, -1)):
+    for name, x, take, start in (("min_r", r, np.minimum, rows), ("max_r", r, np.maximum, -1), ("min_c", c, np.minimum, cols), ("max_c", last, np.maximum, -1)):
         out[name] = np.full(n, start)
         take.at(out[name], inverse, x)
     return out
