@@ -74,6 +74,28 @@ def test_labels_equal_flood_fill(shape):
     assert (K.labels(m) == np.stack([flood(x) for x in m])).all()
 
 
+def test_winding_clusters_and_borders():
+    m = np.ones((3, 21, 21), dtype=np.uint8)
+    m[0, ::2] = 2  # rows joined at alternate ends: one cluster
+    m[0, 1::4, 20] = m[0, 3::4, 0] = 2
+    m[1, :, [0, 20]] = 2  # ends of rows and of maps touch nothing beyond
+    m[2, :, ::2] = 2  # columns that meet in the last row only
+    m[2, 20] = 2
+    assert (K.labels(m) == np.stack([flood(x) for x in m])).all()
+    c = K.clusters(m)
+    assert c["map"].tolist() == [0, 1, 1, 2] and c["first"].tolist() == [0, 0, 20, 0]
+    for i, (of, first) in enumerate(zip(c["map"], c["first"])):
+        y, x = np.nonzero(flood(m[of]) == first)
+        own = {"size": len(y), "sum_r": y.sum(), "sum_c": x.sum(), "sum_rr": (y * y).sum(), "sum_cc": (x * x).sum(), "sum_rc": (x * y).sum(), "min_r": y.min(), "max_r": y.max(), "min_c": x.min(), "max_c": x.max()}
+        assert {n: c[n][i] for n in own} == own
+
+
+@pytest.mark.parametrize("shape", [(0, 5, 5), (2, 1, 1), (3, 4, 4)])
+def test_no_clusters(shape):
+    c = K.clusters(np.ones(shape, dtype=np.uint8))
+    assert all(len(v) == 0 for v in c.values()) and (K.largest(c, shape[0])["clusters"] == 0).all()
+
+
 def test_cluster_sizes_and_largest():
     m = np.ones((1, 8, 8), dtype=np.uint8)
     m[0, 0, 0] = m[0, 1, 1] = 2
