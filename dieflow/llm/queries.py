@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dieflow.llm import bpe, decontam, html_main, ngram_lm, quality, secret_scan, sharding, simhash, toxicity, urlfilter
+from dieflow.llm import bpe, decontam, filter_audit, html_main, ngram_lm, quality, secret_scan, sharding, simhash, toxicity, urlfilter
 from dieflow.llm.common import table
 
 SHARDS = 40
@@ -83,8 +83,13 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every step of every filter order, 600 rows a language; null languages are the empty one, null texts empty."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_sharding, op5_decontamination, op6_backoff_lm, op7_urls, op8_secrets, op9_toxicity, op10_pages)
+    f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_sharding, op5_decontamination, op6_backoff_lm, op7_urls, op8_secrets, op9_toxicity, op10_pages, op11_filters)
 }
 
 
@@ -123,4 +128,27 @@ b AS (SELECT s.n, arg_max(r.h || r.p, length(r.h) * 10000 + length(r.p)) AS rule
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN b ON s.n = b.n"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": _quality_sql(), "op7_urls": _urls_sql()}
+_FILTERS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(least < w.doc_id, FALSE)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum([0] || bits[1:step - 1])::INT AS applied FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, bit,
+             sum(n) FILTER (mask & applied = 0 AND mask & bit = 0) AS kept, sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0) AS removed,
+             sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+             sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0 AND good = 1) AS good_lost, sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0 AND toxic = 1) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": _quality_sql(), "op7_urls": _urls_sql(), "op11_filters": _FILTERS_SQL}
