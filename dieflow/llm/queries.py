@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dieflow.llm import bpe, decontam, filter_audit, html_main, ngram_lm, quality, secret_scan, sharding, simhash, toxicity, urlfilter
+from dieflow.llm import bpe, conversation, decontam, filter_audit, html_main, ngram_lm, quality, secret_scan, sharding, simhash, toxicity, urlfilter
 from dieflow.llm.common import table
 
 SHARDS = 40
@@ -88,8 +88,13 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every conversation after damage; null roles and texts are one space, repeated rows are duplicates."""
+    return conversation.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_sharding, op5_decontamination, op6_backoff_lm, op7_urls, op8_secrets, op9_toxicity, op10_pages, op11_filters)
+    f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_sharding, op5_decontamination, op6_backoff_lm, op7_urls, op8_secrets, op9_toxicity, op10_pages, op11_filters, op12_conversations)
 }
 
 
@@ -151,4 +156,42 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 FROM r"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": _quality_sql(), "op7_urls": _urls_sql(), "op11_filters": _FILTERS_SQL}
+#: Edits as pieces: up to two rows made up, then a row deleted, kept or given a role.  States: 0 start, 1 system, 2 user, 3 assistant.
+_CONVERSATIONS_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([j::BIGINT FOR j IN range(8)], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) AS t(i))),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS b FROM conversations),
+coded AS (SELECT * EXCLUDE (b), xor(list_reduce(b, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS code FROM given, tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+         FROM coded, (SELECT unnest([1, 2]) AS copy) WHERE code <> 0 AND (copy = 1 OR code = 3)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+                regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final FROM ordered),
+faulty AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM seen),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+made AS (SELECT * FROM (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)) AS t(state, ins, mid)),
+edits AS (SELECT state, ins, mid, 'D' AS op, NULL::VARCHAR AS needs, mid AS goes, 4 AS cost FROM made
+          UNION ALL SELECT state, ins, mid, 'R', NULL, CASE mid WHEN 2 THEN 3 ELSE 2 END, 3 FROM made
+          UNION ALL SELECT state, ins, mid, 'K', k.needs, k.goes, 0 FROM made JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS k(st, needs, goes) ON k.st = mid),
+walk AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS best FROM counts
+         UNION ALL
+         SELECT w.conv_id, f.pos, e.goes, min({'cost': (w.best.cost + 3 * e.ins + e.cost + CASE WHEN f.fault = 'truncated' AND e.op <> 'D' THEN 3 ELSE 0 END)::BIGINT, 'audit': w.best.audit || repeat('I', e.ins) || e.op})
+         FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN edits e ON e.state = w.state
+         WHERE e.op = 'D' OR coalesce(f.fault, '') NOT IN ('blank', 'duplicate') AND (e.needs IS NULL OR e.needs = f.initial)
+         GROUP BY w.conv_id, f.pos, e.goes),
+ended AS (SELECT w.conv_id, min({'cost': w.best.cost + 3 * m.ins, 'audit': w.best.audit || repeat('I', m.ins)}) AS best
+          FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.pos JOIN made m ON m.state = w.state AND m.mid IN (0, 3) GROUP BY w.conv_id),
+letters AS (SELECT conv_id, i, best.audit[i] AS op FROM ended, LATERAL (SELECT unnest(range(1, length(best.audit) + 1)) AS i)),
+placed AS (SELECT *, count(*) FILTER (op <> 'I') OVER w AS pos, count(*) FILTER (op <> 'D') OVER w AS line FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+joined AS (SELECT p.*, f.role, f.text, f.initial, max((op = 'K' AND line = 1 AND f.initial = 's')::INT) OVER (PARTITION BY p.conv_id) AS sys
+           FROM placed p LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos AND op <> 'I' WHERE op <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (line - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS body FROM joined GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": _quality_sql(), "op7_urls": _urls_sql(), "op11_filters": _FILTERS_SQL, "op12_conversations": _CONVERSATIONS_SQL}
