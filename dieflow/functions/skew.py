@@ -47,13 +47,13 @@ def _is(on: Sequence[str], key: tuple) -> Column:
     return reduce(Column.__and__, (F.col(c) == F.lit(v) for c, v in zip(on, key)))
 
 
-def salted(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Sequence[tuple[tuple, int]], salt: str = _SALT) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt: rows of left that have a hot key are dealt out by a hash of the whole row, and right's row of that key is there once a salt.
+def salted(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Sequence[tuple[tuple, int]], salt: str = _SALT, by: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: rows of left that have a hot key are dealt out by a hash of the row (of its columns `by`, if given), and right's row of that key is there once a salt.
 
     Rows of left with a null in the key match nothing and are dealt out too.
     The hash depends on the row alone, so a task that runs again deals alike.
     """
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in left.columns))
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in by or left.columns))
     spread = F.lit(0)
     for key, salts in hot:
         spread = F.when(_is(on, key), F.pmod(row, F.lit(salts))).otherwise(spread)
@@ -66,13 +66,14 @@ def salted(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Sequence[t
     return left.withColumn(salt, spread), here
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", counted: DataFrame | None = None, slots: int | None = None, least: int = LEAST_ROWS) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", counted: DataFrame | None = None, slots: int | None = None, least: int = LEAST_ROWS, by: Sequence[str] | None = None) -> DataFrame:
     """left joined with right on equal keys, no key's rows of left all in one task.
 
     how is inner, left, left_semi or left_anti.  right should have few rows a
     key: those of a hot key are copied, once for each 1/slots of all rows that
     the key holds in left.  counted (keys and `count`) saves a count of left's
-    keys where the caller has one.  Same rows as left.join(right, on, how).
+    keys where the caller has one; `by` names
+    columns that tell left's rows apart, to save a hash of wide ones.  Same rows as left.join(right, on, how).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} keeps rows of right: it can't be salted")
@@ -80,5 +81,5 @@ def hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "i
     salt = _SALT
     while salt in left.columns or salt in right.columns:
         salt = f"_{salt}"
-    a, b = salted(left, right, on, hot, salt)
+    a, b = salted(left, right, on, hot, salt, by)
     return a.join(b, [*on, salt], how).drop(salt)
