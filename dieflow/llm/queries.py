@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dieflow.llm import bpe, conversation, decontam, filter_audit, html_main, ngram_lm, quality, secret_scan, sharding, simhash, toxicity, urlfilter
+from dieflow.llm import bpe, conversation, decontam, filter_audit, html_main, ngram_lm, quality, secret_scan, sharding, simhash, toxicity, urlfilter, warc
 from dieflow.llm.common import table
 
 SHARDS = 40
@@ -93,8 +93,13 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, digest, type and original of every page, written as ARC, converted to WARC and read back; null pages are empty payloads."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_sharding, op5_decontamination, op6_backoff_lm, op7_urls, op8_secrets, op9_toxicity, op10_pages, op11_filters, op12_conversations)
+    f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_sharding, op5_decontamination, op6_backoff_lm, op7_urls, op8_secrets, op9_toxicity, op10_pages, op11_filters, op12_conversations, op13_warc)
 }
 
 
@@ -167,7 +172,9 @@ hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS r
          FROM coded, (SELECT unnest([1, 2]) AS copy) WHERE code <> 0 AND (copy = 1 OR code = 3)),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM hurt),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
-                regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final FROM ordered),
+                regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS final FROM ordered),
 faulty AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM seen),
 counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
@@ -194,4 +201,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": _quality_sql(), "op7_urls": _urls_sql(), "op11_filters": _FILTERS_SQL, "op12_conversations": _CONVERSATIONS_SQL}
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY t) AS best FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN n >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND k > 1 THEN best END AS refers_to FROM r"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": _quality_sql(), "op7_urls": _urls_sql(), "op11_filters": _FILTERS_SQL, "op12_conversations": _CONVERSATIONS_SQL, "op13_warc": _WARC_SQL}
