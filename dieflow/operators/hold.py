@@ -3,8 +3,8 @@
 Verdicts are rows (lot, pattern, at_us, pos); pos breaks ties of time.  Without
 forgetting, both rules are windows.  The cross-lot rule looks back over at most
 H, so its rows are windowed by (pattern, time slice of H) with the slice before
-as context: no pattern, however common, is one task.  Forgetting lots is a
-matter of one order over all of them; the sequential rule does that.
+as context: no pattern, however common, is one task.  Forgetting lots is in
+forgetting.py; the sequential rule here says what both must give.
 """
 
 from __future__ import annotations
@@ -84,20 +84,24 @@ def in_lot(verdicts: DataFrame, config: HoldConfig) -> DataFrame:
     return verdicts.withColumn("same", same_in_window(config)).withColumn("in_lot", patterned(F.col("pattern")) & (F.col("same") >= config.k))
 
 
-def across_lots(verdicts: DataFrame, config: HoldConfig) -> DataFrame:
-    """verdicts plus tool: whether this is the K-th arrival of its pattern within H, over all lots."""
+def across_lots(verdicts: DataFrame, config: HoldConfig, by: tuple[str, ...] = (), name: str = "tool") -> DataFrame:
+    """verdicts plus a boolean `name`: whether this is the K-th arrival of its pattern within H, over all lots, or those of equal `by`."""
     if not config.tool_k:
-        return verdicts.withColumn("tool", F.lit(False))
+        return verdicts.withColumn(name, F.lit(False))
     if config.tool_k == 1:
-        return verdicts.withColumn("tool", patterned(F.col("pattern")))
-    width = max(1, config.tool_window_us)
-    slice_ = F.floor(F.col("at_us") / F.lit(width))
-    says = verdicts.where(patterned(F.col("pattern"))).select("lot", "pos", "pattern", "at_us", slice_.alias("slice"))
-    both = says.select("lot", "pos", "pattern", "at_us", "slice", F.explode(F.array(F.col("slice"), F.col("slice") + 1)).alias("seen_in"))
-    w = W.partitionBy("pattern", "seen_in").orderBy("at_us", "pos")
+        return verdicts.withColumn(name, patterned(F.col("pattern")))
+    hits = arrivals_in_time(verdicts.where(patterned(F.col("pattern"))).select(*by, "lot", "pos", "pattern", "at_us"), config, by)
+    return verdicts.join(hits.select(*by, "lot", "pos", F.lit(True).alias("hit")), [*by, "lot", "pos"], "left").withColumn(name, F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def arrivals_in_time(says: DataFrame, config: HoldConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of says that are the K-th arrival of their pattern within H, K of 2 or more: windows over (pattern, slice of H), the slice before being context."""
+    slice_ = F.floor(F.col("at_us") / F.lit(max(1, config.tool_window_us)))
+    sliced = says.withColumn("slice", slice_)
+    both = sliced.withColumn("seen_in", F.explode(F.array(F.col("slice"), F.col("slice") + 1)))
+    w = W.partitionBy(*by, "pattern", "seen_in").orderBy("at_us", "pos")
     due = both.withColumn("since", F.col("at_us") - F.lag("at_us", config.tool_k - 1).over(w)).where(F.col("seen_in") == F.col("slice"))
-    hits = due.where(F.col("since") <= config.tool_window_us).select("lot", "pos", F.lit(True).alias("hit"))
-    return verdicts.join(hits, ["lot", "pos"], "left").withColumn("tool", F.coalesce("hit", F.lit(False))).drop("hit")
+    return due.where(F.col("since") <= config.tool_window_us).select(*says.columns)
 
 
 def firing(verdicts: DataFrame, config: HoldConfig) -> DataFrame:

@@ -4,7 +4,7 @@ Wafers are rows (wafer_id, lot, at_us, pos, pattern), pattern being the verdict.
 A hold lands `latency_us` after its verdict; the lot's later wafers are then
 withheld and never observed.  Without the cross-lot rule lots don't affect one
 another and everything is a window; with it one lot's hold changes what others
-see, and the sequential replay runs, one task a tool.
+see, and holds are supposed and found anew until they agree.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dieflow.operators.hold import HoldConfig, HoldRule, holds
+from dieflow.operators.hold import HoldConfig, HoldRule, arrivals_in_time, holds
+from dieflow.patterns import patterned
+from dieflow.scratch import written
 
 HOUR_US = 3_600_000_000
 
@@ -24,15 +26,83 @@ HOUR_US = 3_600_000_000
 def replay(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None) -> DataFrame:
     """wafers plus withheld, holds (this verdict held the lot), by_tool and lands_us (of the lot's hold, or null).
 
-    The cross-lot rule looks at the lots of one `key`, such as a tool; without one, all lots are one order and one task.
+    The cross-lot rule looks at the lots of one `key`, such as a tool; without one, at all lots.
+    With that rule there is evictions too, the lots forgotten so far.  Lots are
+    forgotten only where a key has more than config.lots; then each key is one
+    order, and one task.
     """
     if config.tool_k:
-        return replay_in_order(wafers, config, latency_us, key)
+        tool = F.col(key).cast("string") if key else F.lit("")
+        most = wafers.groupBy(tool.alias("tool")).agg(F.countDistinct("lot").alias("n")).agg(F.max("n")).first()[0] or 0
+        return replay_in_order(wafers, config, latency_us, key) if most > config.lots else replay_to_fixed_point(wafers, config, latency_us, key)[0]
     held = holds(wafers, config).select("lot", F.col("pos").alias("held_pos"), (F.col("at_us") + latency_us).alias("lands_us"))
     both = wafers.join(held, "lot", "left")
     return both.select(*wafers.columns, F.coalesce(F.col("at_us") > F.col("lands_us"), F.lit(False)).alias("withheld"), F.coalesce(F.col("pos") == F.col("held_pos"), F.lit(False)).alias("holds"), F.lit(False).alias("by_tool"), "lands_us")
 
 
+def replay_to_fixed_point(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None, most_rounds: int = 1000) -> tuple[DataFrame, int]:
+    """The replay with both rules where nothing is forgotten, in parallel; and how many rounds it took.
+
+    A round supposes when each lot's hold lands, and finds from the wafers
+    observed then when each lot is first held.  What the rule within a lot says
+    depends on no other lot, so only arrivals of the cross-lot rule are found
+    anew.  A hold changes nothing before it lands, so all holds up to the first
+    landing that two rounds disagree about are final: the next round reads only
+    what comes after, and one rule's reach before it.  That time grows with
+    every round, by one hold at least; when a round changes nothing, the
+    supposition is the sequential rule's result.
+
+    An error is raised after most_rounds.  A null key counts as the empty one.
+    """
+    names = wafers.columns
+    tool = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")
+    keyed = wafers.withColumn("__tool", tool)
+    narrow = keyed.select(F.col("__tool").alias("tool"), "lot", "pattern", F.col("at_us").cast("bigint").alias("at_us"), F.col("pos").cast("bigint").alias("pos"))
+    w = W.partitionBy("tool", "lot").orderBy("at_us", "pos").rowsBetween(1 - config.window, 0)
+    same = F.size(F.filter(F.collect_list("pattern").over(w), lambda p: p == F.col("pattern")))
+    says = written(narrow.withColumn("in_lot", same >= config.k).where(patterned(F.col("pattern"))), "says")
+    held, since, rounds = None, None, 0
+    while True:
+        if rounds == most_rounds:
+            raise RuntimeError(f"no fixed point after {rounds} rounds, final up to {since}")
+        new = written(_first_holds(says, held, since, config, latency_us), "held")
+        rounds += 1
+        since = _first_change(held, new, latency_us)
+        held = new
+        if since is None:
+            break
+    mine = held.select(F.col("tool").alias("__tool"), "lot", F.col("pos").alias("__pos"), F.col("by_tool").alias("__by"), (F.col("at_us") + latency_us).alias("lands_us"))
+    both = keyed.join(mine, ["__tool", "lot"], "left")
+    here = F.coalesce(F.col("pos") == F.col("__pos"), F.lit(False))
+    return both.select(*names, F.coalesce(F.col("at_us") > F.col("lands_us"), F.lit(False)).alias("withheld"), here.alias("holds"), (here & F.coalesce("__by", F.lit(False))).alias("by_tool"), "lands_us", F.lit(0).cast("bigint").alias("evictions")), rounds
+
+
+def _first_holds(says: DataFrame, held: DataFrame | None, since: int | None, config: HoldConfig, latency_us: int) -> DataFrame:
+    """(tool, lot, at_us, pos, by_tool) of each lot's first hold, given the holds supposed so far, of which those up to `since` are final."""
+    rows = says if since is None else says.where(F.col("at_us") > since - config.tool_window_us)
+    if held is not None:
+        lands = held.select("tool", "lot", (F.col("at_us") + latency_us).alias("lands_us"))
+        rows = rows.join(lands, ["tool", "lot"], "left").where(F.col("lands_us").isNull() | (F.col("at_us") <= F.col("lands_us"))).drop("lands_us")
+    across = rows if config.tool_k == 1 else arrivals_in_time(rows, config, ("tool",))
+    fires = across.unionAll(rows.where("in_lot"))
+    columns = ("tool", "lot", "at_us", "pos", (~F.col("in_lot")).alias("by_tool"))
+    found = fires.select(*columns)
+    if since is not None:
+        found = found.where(F.col("at_us") > since).unionAll(held.where(F.col("at_us") <= since))
+    return found.groupBy("tool", "lot").agg(F.min(F.struct("at_us", "pos", "by_tool")).alias("f")).select("tool", "lot", "f.*")
+
+
+def _first_change(before: DataFrame | None, after: DataFrame, latency_us: int) -> int | None:
+    """The first landing that one of two suppositions has and the other hasn't; None if there is none."""
+    if before is None:
+        found = after
+    else:
+        columns = ["tool", "lot", "at_us", "pos", "by_tool"]
+        found = before.select(*columns, F.lit(1).alias("n")).unionAll(after.select(*columns, F.lit(-1).alias("n"))).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
+    first = found.agg(F.min("at_us")).first()[0]
+    return None if first is None else first + latency_us
+
+
 def replay_in_order(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None) -> DataFrame:
     """The same one wafer after the other, with forgetting and the cross-lot rule; adds evictions, the count at that wafer."""
     names = wafers.columns

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dieflow.functions import geometry
 from dieflow.operators import fit as fitting
-from dieflow.operators import cnn, hold, messages, metrics, replay, rules, signatures
+from dieflow.operators import cnn, forgetting, hold, messages, metrics, replay, rules, signatures
 from dieflow.patterns import PATTERNS, SIGNALS, guard, lot_name, pattern_code, pattern_name
 from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL, scored, table, verdicts, verdicts_of, wafers
 from dieflow.session import shared_dir
@@ -530,10 +530,22 @@ def holds_in_order(spark, sf_dir):
     return hold.holds_in_order(_at_tools(spark, sf_dir), TOOL, "tool")
 
 
-@query()
+#: A lot is new to its tool at its first visit and after five other lots.
+FORGETTING_SQL = f"""{VERDICTS_SQL},
+r0 AS (SELECT *, right(lot, 1) AS tool, row_number() OVER (PARTITION BY right(lot, 1) ORDER BY at_us, pos) AS rk FROM v),
+r1 AS (SELECT *, lag(rk) OVER (PARTITION BY tool, lot ORDER BY rk) AS prev FROM r0),
+r2 AS (SELECT a.tool, a.rk, count(DISTINCT b.lot) AS others FROM r1 a JOIN r1 b ON a.tool = b.tool AND b.rk > a.prev AND b.rk < a.rk GROUP BY a.tool, a.rk),
+r3 AS (SELECT r1.*, (prev IS NULL OR coalesce(others, 0) >= 5)::INT AS fresh FROM r1 LEFT JOIN r2 ON r1.tool = r2.tool AND r1.rk = r2.rk),
+r4 AS (SELECT *, sum(fresh) OVER (PARTITION BY tool, lot ORDER BY rk) AS episode, greatest(0, sum(fresh) OVER (PARTITION BY tool ORDER BY rk) - 5) AS evictions FROM r3),
+r5 AS (SELECT *, len(list_filter(list(pattern) OVER (PARTITION BY tool, lot, episode ORDER BY rk ROWS 4 PRECEDING), lambda x: x = pattern)) >= 3 AS in_lot FROM r4),
+r6 AS (SELECT tool, pos, at_us - lag(at_us, 2) OVER (PARTITION BY tool, pattern ORDER BY at_us, pos) <= 600000000 AS across FROM r4 WHERE pattern NOT IN ('none', 'unknown')),
+r7 AS (SELECT r5.*, row_number() OVER (PARTITION BY r5.tool, lot, episode ORDER BY rk) AS first FROM r5 JOIN r6 ON r5.tool = r6.tool AND r5.pos = r6.pos WHERE in_lot OR across)"""
+
+
+@query(f"WITH {FORGETTING_SQL} SELECT tool, lot, at_us, pos, pattern, NOT in_lot AS by_tool, evictions::BIGINT AS evictions FROM r7 WHERE first = 1")
 def holds_forgetting(spark, sf_dir):
-    """The sequential rule at ten tools, each of which remembers five lots; SQL can't say which lot is forgotten."""
-    return hold.holds_in_order(_at_tools(spark, sf_dir), hold.HoldConfig(k=3, window=5, lots=5, tool_k=3, tool_window_us=600_000_000), "tool")
+    """Both rules at ten tools, each of which remembers five lots; which lot is forgotten follows from reuse distances."""
+    return forgetting.holds_forgetting(_at_tools(spark, sf_dir), hold.HoldConfig(k=3, window=5, lots=5, tool_k=3, tool_window_us=600_000_000), "tool")
 
 
 @query(f"WITH {VERDICTS_SQL}, {SAME_SQL}, {TOOL_SQL}, {_holds_sql('in_lot')} SELECT v.lot, count(*) AS n FROM v SEMI JOIN hd ON v.lot = hd.lot GROUP BY v.lot")
@@ -588,9 +600,26 @@ def replay_in_order(spark, sf_dir):
     return replay.replay_in_order(_at_tools(spark, sf_dir), HOLD, LATENCY_US, "tool").select("pos", "withheld", "holds")
 
 
-@query()
+def _both_rules_sql(configs: list[tuple[int, int]], rounds: int = 40) -> str:
+    """hd: first holds (tk, h, lot, at_us, pos, by_tool) of replays with both rules at ten tools; holds are supposed and found anew, so many times."""
+    values = ", ".join(f"({k}, {h})" for k, h in configs)
+    return f"""{VERDICTS_SQL}, t AS (SELECT *, right(lot, 1) AS tool FROM v),
+sm AS (SELECT *, len(list_filter(list(pattern) OVER (PARTITION BY lot ORDER BY at_us, pos ROWS 4 PRECEDING), lambda x: x = pattern)) >= 3 AS in_lot FROM t),
+sy AS (SELECT sm.*, c.tk, c.h FROM sm, (VALUES {values}) AS c(tk, h) WHERE pattern NOT IN ('none', 'unknown')),
+j AS (SELECT 0 AS round, NULL::INT AS tk, NULL::INT AS h, NULL::VARCHAR AS lot, NULL::BIGINT AS at_us, NULL::BIGINT AS pos, NULL::BOOLEAN AS by_tool
+  UNION ALL SELECT round + 1, tk, h, lot, f.at_us, f.pos, f.by_tool FROM (
+    SELECT round, tk, h, lot, min({{'at_us': at_us, 'pos': pos, 'by_tool': NOT in_lot}}) AS f FROM (
+      SELECT sy.*, r.round, sy.at_us - lag(sy.at_us, sy.tk - 1) OVER (PARTITION BY sy.tk, sy.h, tool, pattern ORDER BY sy.at_us, sy.pos) <= sy.h AS across
+      FROM sy CROSS JOIN (SELECT max(round) AS round FROM j) AS r LEFT JOIN (SELECT tk, h, lot, at_us + {LATENCY_US} AS lands FROM j) AS g ON g.tk = sy.tk AND g.h = sy.h AND g.lot = sy.lot
+      WHERE lands IS NULL OR sy.at_us <= lands) AS x
+    WHERE in_lot OR across GROUP BY round, tk, h, lot) AS y WHERE round < {rounds}),
+hd AS (SELECT * FROM j WHERE round = {rounds})"""
+
+
+@query(f"""WITH RECURSIVE {_both_rules_sql([(3, 600_000_000)])}
+SELECT v.pos, coalesce(v.at_us > hd.at_us + {LATENCY_US}, FALSE) AS withheld, coalesce(v.pos = hd.pos, FALSE) AS holds, coalesce(v.pos = hd.pos AND by_tool, FALSE) AS by_tool, 0::BIGINT AS evictions FROM v LEFT JOIN hd ON v.lot = hd.lot""")
 def replay_both_rules(spark, sf_dir):
-    """Both rules at ten tools: what a hold withholds changes what others see, which SQL can't say."""
+    """Both rules at ten tools: what a hold withholds changes what others see."""
     return replay.replay(_at_tools(spark, sf_dir), TOOL, LATENCY_US, "tool").select("pos", "withheld", "holds", "by_tool", "evictions")
 
 
@@ -623,13 +652,15 @@ def sweep(spark, sf_dir):
     return longs(replay.sweep(verdicts(spark, sf_dir), configs, LATENCY_US).select("k", "window", "sorted", "withheld", "holds"))
 
 
-@query()
-def sweep_across_lots(spark, sf_dir):
-    """Totals of replays with the cross-lot rule, for K in 2, 3, 5 and H of one and ten minutes.
+SWEPT = [(k, h * 60_000_000) for k in (2, 3, 5) for h in (1, 10)]
 
-    Each replay is one order a tool, by the sequential rule, which SQL can't say.
-    """
-    configs = [hold.HoldConfig(k=3, window=5, lots=1 << 20, tool_k=k, tool_window_us=h * 60_000_000) for k in (2, 3, 5) for h in (1, 10)]
+
+@query(f"""WITH RECURSIVE {_both_rules_sql(SWEPT)},
+x AS (SELECT c.tk, c.h, coalesce(v.at_us > hd.at_us + {LATENCY_US}, FALSE) AS withheld, coalesce(v.pos = hd.pos, FALSE) AS holds, by_tool FROM v CROSS JOIN (SELECT DISTINCT tk, h FROM sy) AS c LEFT JOIN hd ON v.lot = hd.lot AND c.tk = hd.tk AND c.h = hd.h)
+SELECT tk::BIGINT AS tool_k, h::BIGINT AS tool_window_us, count(*) FILTER (NOT withheld) AS sorted, count(*) FILTER (withheld) AS withheld, count(*) FILTER (holds) AS holds, count(*) FILTER (holds AND by_tool) AS tool_holds FROM x GROUP BY tk, h""")
+def sweep_across_lots(spark, sf_dir):
+    """Totals of replays with the cross-lot rule, for K in 2, 3, 5 and H of one and ten minutes."""
+    configs = [hold.HoldConfig(k=3, window=5, lots=1 << 20, tool_k=k, tool_window_us=h) for k, h in SWEPT]
     return longs(replay.sweep(_at_tools(spark, sf_dir), configs, LATENCY_US, "tool").select("tool_k", "tool_window_us", "sorted", "withheld", "holds", "tool_holds"))
 
 
