@@ -23,6 +23,7 @@ from dieflow.operators.hold import HoldConfig, HoldRule, holds_in_order
 from dieflow.operators.rules import Classifier
 from dieflow.operators.signatures import signals
 from dieflow.patterns import MAX_DIES, MAX_LOT_CHARS, PATTERNS, UNKNOWN
+from dieflow.streaming.capture import BLOCK, live_frames, read_captures, tool_of
 
 #: A detector turns wafers (with rows, cols and bins) into the same rows with `pattern` and `rule`.
 Detector = Callable[[DataFrame], DataFrame]
@@ -86,14 +87,22 @@ def file_drop(spark: SparkSession, path: str, schema: str, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def frame_drop(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Wafer reports (tool, lot, wafer_id, seq, at_us, rows, cols, bins) from captured byte streams as they appear.
+def frame_drop(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Wafer reports (tool, lot, wafer_id, seq, at_us, rows, cols, bins) from captured byte streams as they grow; see capture.py, also for its options.
 
-    tool is the file's name up to its first dash; at_us the file's time.
+    tool is the file's name up to its first dash; at_us the file's time when its frames were found.
     """
-    given = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    named = given.select(F.regexp_extract("path", r"([^/]*?)(-[^/]*)?$", 1).alias("tool"), F.unix_micros("modificationTime").alias("at_us"), "content")
-    each = messages.frames(named, "content", ("tool", "at_us")).select("tool", "at_us", "place", *messages.header_fields(F.col("header")), "body")
+    return wafer_reports_of(live_frames(spark, path, **options))
+
+
+def capture_reports(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """The same from captures that are complete, of any size, read in blocks."""
+    return wafer_reports_of(read_captures(spark, path, block))
+
+
+def wafer_reports_of(frames: DataFrame) -> DataFrame:
+    """(tool, at_us, seq, lot, wafer_id, rows, cols, bins) of the frames that are wafer reports."""
+    each = frames.select(tool_of().alias("tool"), F.col("modified_us").alias("at_us"), *messages.header_fields(F.col("header")), "body")
     reports = each.where((F.col("stype") == 0) & (F.col("stream") == 6) & (F.col("function") == 11)).select("tool", "at_us", F.col("system").alias("seq"), messages.wafer_reports("body").alias("r"))
     return reports.where(F.col("r.lot").isNotNull()).select("tool", "at_us", "seq", F.col("r.lot").alias("lot"), F.col("r.wafer").cast("int").alias("wafer_id"), F.col("r.rows").alias("rows"), F.col("r.cols").alias("cols"), F.col("r.bins").alias("bins"))
 

@@ -38,7 +38,7 @@ def test_frames_to_holds(spark, tmp_path):
         data = b"".join(hsms.frame(hsms.data_header(0, 6, 11, True, r.wafer_id), gem.encode_wafer_report(gem.WaferReport(r.wafer_id, f"LOT-{r.lot_id:06d}", r.wafer_id, r.rows, r.cols, bytes(r.bins)))) for r in w[k * 30 : k * 30 + 30])
         (captures / f"toolA-{k}.bin").write_bytes(data + b"\0\0")
     detect = pipeline.detector("rules", classifier=Classifier.fitted())
-    seen = pipeline.frame_drop(spark, str(captures), files_per_trigger=1)
+    seen = pipeline.frame_drop(spark, str(captures), bytesPerBatch="9000")
     listener = pipeline.Counters()
     spark.streams.addListener(listener)
     q = detect(pipeline.admit(seen, "front")).writeStream.format("memory").queryName("verdicts").start()
