@@ -32,11 +32,12 @@ def heavy_hitters(counted: DataFrame, on: Sequence[str], n: str = "count", slots
     the rows it holds.
     """
     slots = slots or pieces(counted)
-    total = counted.agg(F.sum(n)).first()[0] or 0
-    floor = max(least, total // slots)
     known = reduce(Column.__and__, (F.col(c).isNotNull() for c in on))
-    hot = counted.where(known).groupBy(*on).agg(F.sum(n).alias("__n")).where(F.col("__n") > floor)
-    return [(tuple(r)[:-1], -(-r["__n"] // floor)) for r in hot.collect()]
+    most = counted.where(known).groupBy(*on).agg(F.sum(n).alias("__n")).where(F.col("__n") > least).orderBy(F.desc("__n")).limit(slots).collect()
+    if not most:
+        return []
+    floor = max(least, counted.agg(F.sum(n)).first()[0] // slots)
+    return [(tuple(r)[:-1], -(-r["__n"] // floor)) for r in most if r["__n"] > floor]
 
 
 def count_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
