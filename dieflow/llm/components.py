@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins on vertex keys.  Minima are
-aggregated before any join, so the only skewed exchange is a plain equi-join
-that adaptive execution can split.  Nothing but two numbers a round reaches
-the driver.
+aggregated before any join, and the edges of a vertex that has many are dealt
+out over salts to meet its minimum (see functions/skew.py).  Nothing but two
+numbers a round and those few vertices reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,23 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dieflow.functions.skew import LEAST_ROWS, hot_join
 from dieflow.llm.common import cut, discard
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _met(edges: DataFrame, least: DataFrame, slots: int | None, hot: int) -> DataFrame:
+    """edges with m, the least neighbour of their a; least has a row (a, m, count) a vertex."""
+    return hot_join(edges, least.select("a", "m"), ["a"], counted=least.select("a", "count"), slots=slots, least=hot)
+
+
+def _large_star(edges: DataFrame, slots: int | None = None, hot: int = LEAST_ROWS) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count")).select("a", F.least("a", "m").alias("m"), "count")
+    return _met(both.where("b > a"), least, slots, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, slots: int | None = None, hot: int = LEAST_ROWS) -> DataFrame:
     """edges point from the larger vertex a to the smaller vertex b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count"))
+    moved = _met(edges, least, slots, hot).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", slots: int | None = None, hot: int = LEAST_ROWS) -> DataFrame:
     """(node, root) for every vertex of an edge table; root is the component's smallest vertex.
 
     Self-loops and repeated edges are harmless; null ends are ignored; an empty
@@ -43,7 +49,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark == seen or mark[0] == 0:
             break
         before, seen = now if seen else None, mark
-        now = cut(_small_star(_large_star(now)), "edges")
+        few = mark[0] <= hot  # then no vertex has more edges, and none need be counted
+        starred = _large_star(now, slots, 1 << 62 if few else hot)
+        # Large-star leaves no more edges than it found, so the same holds for the second half.
+        now = cut(_small_star(starred if few else cut(starred, "stars"), slots, 1 << 62 if few else hot), "edges")
         if before is not None:
             discard(before)
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -3,13 +3,14 @@
 Each text is scanned once for assignments, access keys and hex runs, and for
 other tokens that look random.  Hashes of all candidate values are then counted
 over the whole corpus by distinct repositories and by distinct owners of those:
-a value that few owners hold, in however many of their repositories, looks like
-a live credential of theirs, one that many hold is a copied example.  Few means
-MAX_OWNERS, and not over MAX_SHARE of all owners where owners are few.
+a value that few owners hold, in not too many of their repositories, looks like
+a live credential of theirs; one that many hold is a copied example, and so is
+one that an owner's template puts everywhere.  Few means MAX_OWNERS, and not
+over MAX_SHARE of all owners where owners are few, and MAX_REPOSITORIES.
 Counting goes by (value, owner, repository) first, then by (value, owner) and
 by value, each with map-side combining, so a value copied into a third of all
-rows makes no hot task; the join back is a plain equi-join, which adaptive
-execution splits.
+rows makes no hot task; where counts are joined back, rows of such a value are
+dealt out over salts (see functions/skew.py).
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dieflow.functions.skew import LEAST_ROWS, hot_join
 from dieflow.llm.common import cut, fresh, map_batches
 
 KINDS = ("assign", "access", "hex", "owned")
 MAX_OWNERS, MAX_SHARE = 2, 0.1
+MAX_REPOSITORIES = 100
 MIN_ENTROPY = 3.2
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -116,30 +119,31 @@ def few_owners(owners: DataFrame, most: int = MAX_OWNERS, share: float = MAX_SHA
 _SPANS = "array<struct<start:int,kind:int,end:int,owners:bigint,repositories:bigint,live:boolean>>"
 
 
-def _listed(found: DataFrame, most: int) -> DataFrame:
+def _listed(found: DataFrame, most: int, repositories: int, slots: int | None = None, least: int = LEAST_ROWS) -> DataFrame:
     """(row, spans) of the rows that have any, from rows (row, owner, repository, found)."""
     each = found.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    judged = each.select("row", "start", "kind", "end", "h").join(ownership(each), "h").withColumn("live", F.col("owners") <= most)
+    met = hot_join(each.select("h", "row", "start", "kind", "end"), ownership(each), ["h"], slots=slots, least=least, by=["row", "start", "kind"])
+    judged = met.withColumn("live", (F.col("owners") <= most) & (F.col("repositories") <= repositories))
     span = F.struct("start", "kind", "end", "owners", "repositories", "live")
     return judged.where((F.col("kind") < 3) | F.col("live")).groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row for each row of docs: doc_id and `spans`, an array of struct(start, kind, end, owners, repositories, live), sorted.
 
-    Base kinds are always listed; a span of kind "owned" is listed only if it
-    is live, that is if few enough owners hold its value.  A repository is a
-    document unless a column names it.  Null and empty texts have no spans.
+    Base kinds are always listed, live or not; a span of kind "owned" is listed
+    only if it is live, that is if few enough owners and repositories hold its
+    value.  A repository is a document unless a column names it.  Null and empty texts have no spans.
     Repeated rows stay repeated, each with the same spans.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.col(repository or doc_id).alias("repository"), F.col(text).cast("string").alias("text"))
     found = cut(candidates(given).select("doc_id", "owner", "repository", "found", F.monotonically_increasing_id().alias("row")), "secrets")
-    spans = _listed(found, few_owners(found.select("owner"), max_owners))
+    spans = _listed(found, few_owners(found.select("owner"), max_owners), max_repositories)
     return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans, as strings kind:start:end joined by commas."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans, as strings kind:start:end joined by commas; live has those that look live."""
     kinds = F.array(*(F.lit(k) for k in KINDS))
 
     def joined(of):
@@ -150,7 +154,7 @@ def digest(spans: DataFrame) -> DataFrame:
 
     counts = [count(k) for k in range(3)]
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), joined(F.filter("spans", lambda s: s["live"])).alias("live"))
 
 
 def mask_spans(text: str, spans: list[tuple[int, int]], mask: str) -> str:
@@ -163,7 +167,7 @@ def mask_spans(text: str, spans: list[tuple[int, int]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = None, max_owners: int = MAX_OWNERS, mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: str | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, mask: str = "[secret]") -> DataFrame:
     """docs with every listed span of `text` replaced by the mask; a column n_chars follows the text.
 
     Base spans go whoever owns them, "owned" ones if they are live.  Null texts
@@ -177,7 +181,7 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: s
     most = few_owners(scanned.select(owner), max_owners)
     narrow = scanned.select(F.col(row).alias("row"), F.col(owner).alias("owner"), F.col(repository or doc_id).alias("repository"), F.col(found).alias("found"))
     owned = narrow.withColumn("found", F.filter("found", lambda f: f["kind"] == 3)).where(F.size("found") > 0)
-    spans = _listed(owned, most).select(F.col("row").alias(row), F.transform("spans", lambda s: s["start"]).alias(live))
+    spans = _listed(owned, most, max_repositories).select(F.col("row").alias(row), F.transform("spans", lambda s: s["start"]).alias(live))
     some = F.exists(found, lambda f: f["kind"] == 3)
     plain = scanned.where(~some).select(*columns, found, F.expr("cast(array() as array<int>)").alias(live))
     mixed = scanned.where(some).join(spans, row, "left").select(*columns, found, F.coalesce(live, F.expr("cast(array() as array<int>)")).alias(live))

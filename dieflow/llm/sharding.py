@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dieflow.functions.skew import LEAST_ROWS
 from dieflow.llm.common import cut, scratch
 
 SLOTS = 8192
 OVERHEAD = 16
+#: A slot with so many times the mean of rows is numbered in so many parts.
+HOT, PARTS = 16, 64
 
 
 @dataclass(frozen=True)
@@ -113,7 +116,7 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
     return size, count
 
 
-def shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, maps: str | None = None) -> tuple[DataFrame, SlotMap]:
+def shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, maps: str | None = None, least: int = LEAST_ROWS) -> tuple[DataFrame, SlotMap]:
     """Every row with its shard, and the map used, which is the latest version in the table at `maps`.
 
     The first call writes version 1 there.  A later one takes the latest
@@ -126,9 +129,13 @@ def shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_i
     in its shard, gapless from 0: the slots a shard owns follow one another,
     and a row's place in its slot is numbered by id, checksum and size.
     Repeated rows get places of their own.  No rows give no rows.
+
+    A slot with over HOT times the mean of rows, as one id in a third of them
+    makes it, is numbered in PARTS parts, by the partition its rows were
+    written from, so that no task sorts it all.
     """
     spark = docs.sparkSession
-    rows = cut(slotted(docs, text, doc_id, slots), "slots")
+    rows = cut(slotted(docs, text, doc_id, slots).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))), "slots")
     size, count = slot_loads(rows, slots)
     at = maps or scratch(spark, "slotmap")
     before = SlotMap.latest(spark, at)
@@ -139,11 +146,17 @@ def shard(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_i
             raise ValueError(f"the map at {at} has {len(before.owner)} slots")
         rebalance(before, size, shards).save(spark, at)
     used = SlotMap.load(spark, at)
-    start, offsets = [0] * shards, [0] * slots
-    for s in range(slots):
-        offsets[s] = start[used.owner[s]]
-        start[used.owner[s]] += count[s]
-    owners = spark.createDataFrame([(s, used.owner[s], offsets[s]) for s in range(slots) if count[s]], "vslot int, shard int, first long")
-    place = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    placed = rows.withColumn("place", place).join(F.broadcast(owners), "vslot")
+    hot = {s for s in range(slots) if count[s] > max(least, HOT * sum(count) // slots)}
+    part = F.when(F.col("vslot").isin(*sorted(hot)), F.col("part")).otherwise(0) if hot else F.lit(0)
+    parted = rows.withColumn("part", part)
+    pieces = {(s, 0): count[s] for s in range(slots) if count[s] and s not in hot}
+    if hot:  # fewer than slots / HOT, PARTS rows each
+        pieces |= {(r.vslot, r.part): r["count"] for r in parted.where(F.col("vslot").isin(*sorted(hot))).groupBy("vslot", "part").count().collect()}
+    start, offsets = [0] * shards, []
+    for (s, p), n in sorted(pieces.items()):
+        offsets.append((s, p, used.owner[s], start[used.owner[s]]))
+        start[used.owner[s]] += n
+    owners = spark.createDataFrame(offsets, "vslot int, part int, shard int, first long")
+    place = F.row_number().over(W.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    placed = parted.withColumn("place", place).join(F.broadcast(owners), ["vslot", "part"])
     return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("place") - 1).alias("slot")), used

@@ -19,14 +19,16 @@ radius, and a key has at most 2^r of them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dieflow.functions.skew import LEAST_ROWS, count_keys, heavy_hitters
 from dieflow.llm.common import cut, fresh, map_batches, utf8, word_blocks
 from dieflow.llm.components import connected_components
 
@@ -169,7 +171,7 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", grouped: Callable[..., DataFrame] = groups, **settings) -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", grouped: Callable[..., DataFrame] = groups, hot_rows: int = LEAST_ROWS, **settings) -> DataFrame:
     """One row of docs for each group, as `grouped` finds them: the one with the group's smallest id.
 
     A row is known by its id and a hash of all its columns, so of several rows
@@ -177,13 +179,19 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     different texts stand or fall with their own groups, and equal rows are one.
     Rows without an id can't stand for a group and all stay; null and empty
     texts are one group.  Texts are dealt out once, by id, and met by a hash of
-    the chosen rows, so they aren't sorted for the join.
+    the chosen rows, so they aren't sorted for the join.  Rows that are there
+    so often that they would fill a task are counted beforehand, without their
+    texts, and made one where they lie.
     """
     mark = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
     least = grouped(given, keep=("mark",), place=firsts, **settings)
     own, hashed = fresh(docs, "kept", "mark")
     chosen = least.select(F.col("at.doc_id").alias(own), F.col("at.mark").alias(hashed))
-    marked = docs.withColumn(hashed, mark)
-    kept = marked.join(chosen.hint("shuffle_hash").withColumnRenamed(hashed, f"{hashed}_"), (F.col(doc_id) == F.col(own)) & (F.col(hashed) == F.col(f"{hashed}_")), "left_semi")
+    marked = docs.where(F.col(doc_id).isNotNull()).withColumn(hashed, mark)
+    hot = [k for k, _ in heavy_hitters(count_keys(marked, [doc_id, hashed]), [doc_id, hashed], least=hot_rows)]
+    often = reduce(Column.__or__, ((F.col(doc_id) == F.lit(i)) & (F.col(hashed) == F.lit(h)) for i, h in hot), F.lit(False))
+    # Partial aggregation leaves one of them a task before any exchange.
+    rows = marked.where(~often).unionAll(marked.where(often).dropDuplicates([doc_id, hashed])) if hot else marked
+    kept = rows.join(chosen.hint("shuffle_hash").withColumnRenamed(hashed, f"{hashed}_"), (F.col(doc_id) == F.col(own)) & (F.col(hashed) == F.col(f"{hashed}_")), "left_semi")
     return kept.dropDuplicates([doc_id, hashed]).drop(hashed).unionAll(docs.where(F.col(doc_id).isNull()))
