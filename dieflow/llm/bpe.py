@@ -3,11 +3,13 @@
 Merging in rank order only ever removes boundaries, and whether the boundary
 before a right operand v goes is settled by v's own bytes and by whether a
 better-ranked rule takes a suffix token of v rightwards first.  Chains of such
-rules have falling ranks, so the longest one, in bytes, is the merge list's
-sufficient lookahead: a boundary with that many bytes after it is final
-whatever follows.  The encoder therefore emits every token that ends that far
-from the end of what it has seen, and keeps the rest.  Splitting into words
-before merging has a lookahead of a few characters of its own.
+rules have falling ranks, so the longest one that starts from a left operand,
+in bytes, is that operand's reach, and the longest of all the merge list's
+sufficient lookahead: a boundary with as many bytes after it as the operands
+that may end there reach is final, whatever follows.  Every word goes through
+the encoder in pieces of STEP bytes; it emits the tokens before the last final
+boundary and keeps the rest.  Splitting into words before merging has a
+lookahead of a few characters of its own.
 
 The decoder turns ids into bytes and bytes into text with an incremental
 UTF-8 state machine; malformed bytes become U+FFFD.
@@ -39,6 +41,8 @@ RUNS = {"L": r"\p{L}+", "N": r"\p{N}+", "O": r"[^\s\p{L}\p{N}]+", "S": r"\s+(?!\
 SPLIT_LOOKAHEAD = 4
 BLOCK = 1 << 16
 MAX_MODEL_BYTES = 64 << 20
+#: Bytes of a word fed at a time; shorter words are one piece.
+STEP = 16
 
 
 def byte_alphabet() -> list[str]:
@@ -98,23 +102,33 @@ class Bpe:
         self.lengths = np.array([len(t) for t in table], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.lookahead = self._lookahead()
+        self.sizes = self.lengths.tolist()
+        self.reach = self._reaches()
+        self.lookahead, self.longest = max(self.reach.values(), default=0), max(map(len, self.reach), default=0)
         self.split, self.runs = regex.compile(SPLIT), {k: regex.compile(p) for k, p in RUNS.items()}
         self.words = Words(self)
 
-    def _lookahead(self) -> int:
-        """Bytes after a boundary that settle it: the longest chain of rules of falling rank, each of which may keep the one before from applying."""
+    def _reaches(self) -> dict[bytes, int]:
+        """By left operand, the bytes after it that settle whether a rule takes it: the longest chain of rules of falling rank, each of which may keep the one before from applying."""
         made = {u + v: v for u, v in reversed(self.rules)}
         reach: dict[bytes, int] = {}
-        most = 0
         for u, v in self.rules:
             far, t = 0, v
             while t is not None:
                 far = max(far, reach.get(t, 0))
                 t = made.get(t)
             reach[u] = max(reach.get(u, 0), len(v) + far)
-            most = max(most, reach[u])
-        return most
+        return reach
+
+    def settled(self, held: bytes, ids: list[int]) -> tuple[int, int]:
+        """How many of held's tokens, and of its bytes, lie before the last boundary that no byte to come can remove."""
+        get, end = self.reach.get, len(held)
+        for n in range(len(ids) - 1, 0, -1):
+            end -= self.sizes[ids[n]]
+            after = len(held) - end
+            if after >= self.lookahead or all(get(held[end - k : end], 0) <= after for k in range(1, min(end, self.longest) + 1)):
+                return n, end
+        return 0, 0
 
     @staticmethod
     def pack(ids: Iterable[int]) -> bytes:
@@ -172,32 +186,31 @@ class Bpe:
 
 
 class WordStream:
-    """Encodes one word given in pieces; holds no more than the lookahead, a token and a piece."""
+    """Encodes one word given in pieces; holds no more than twice the lookahead, a token and a piece."""
 
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe, self.held = bpe, b""
+        self.bpe, self.held, self.due = bpe, b"", STEP
 
     def feed(self, piece: bytes) -> bytes:
         self.held += piece
-        if len(self.held) < 2 * self.bpe.lookahead:
+        if len(self.held) < self.due:
             return b""
         ids = self.bpe.merge(self.held)
-        ends = np.cumsum(self.bpe.lengths[ids])
-        n = int(np.searchsorted(ends, len(self.held) - self.bpe.lookahead, side="right"))
-        if n:
-            self.held = self.held[int(ends[n - 1]) :]
+        n, end = self.bpe.settled(self.held, ids)
+        self.held = self.held[end:]
+        # What isn't settled is merged again once there is as much more of it, or enough for any rule.
+        self.due = len(self.held) + max(STEP, min(len(self.held), self.bpe.lookahead))
         return self.bpe.pack(ids[:n])
 
     def finish(self) -> bytes:
-        ids, self.held = self.bpe.merge(self.held) if self.held else [], b""
+        ids, self.held, self.due = self.bpe.merge(self.held) if self.held else [], b"", STEP
         return self.bpe.pack(ids)
 
     def whole(self, word: bytes) -> bytes:
-        """All of a word at once: fed as far as the transducer reads ahead and no more at a time."""
-        step = 4 * self.bpe.lookahead
-        if len(word) <= step:
-            return self.bpe.pack(self.bpe.merge(word))
-        return b"".join([*(self.feed(word[at : at + step]) for at in range(0, len(word), step)), self.finish()])
+        """All of a word, fed in pieces."""
+        if len(word) < STEP:
+            return self.feed(word) + self.finish()
+        return b"".join([*(self.feed(word[at : at + STEP]) for at in range(0, len(word), STEP)), self.finish()])
 
 
 class Encoder:

@@ -230,6 +230,7 @@ def test_lookahead_of_any_merge_list(monkeypatch):
         shown = bpe.byte_alphabet()
         given = {"model": {"type": "BPE", "vocab": {"".join(shown[b] for b in t): i for t, i in vocab.items()}, "merges": ["".join(shown[b] for b in u) + " " + "".join(shown[b] for b in v) for u, v in rules]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "normalizer": None, "added_tokens": []}
         mine = bpe.Bpe(json.dumps(given).encode())
+        monkeypatch.setattr(bpe, "STEP", rng.randrange(1, 5))
         for _ in range(12):
             word, stream, at, out = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 90))), bpe.WordStream(mine), 0, []
             while at < len(word):
@@ -240,6 +241,28 @@ def test_lookahead_of_any_merge_list(monkeypatch):
             assert b"".join([*out, stream.finish()]) == want == bpe.WordStream(mine).whole(word)
 
 
+def test_every_word_goes_through_the_transducer(pair, docs, monkeypatch):
+    mine, theirs = bpe.Bpe(open(queries.tokenizer_path(), "rb").read()), pair[1]
+    fed, early = Counter(), Counter()
+    feed = bpe.WordStream.feed
+
+    def spied(self, piece):
+        out = feed(self, piece)
+        fed[piece] += 1
+        early["tokens"] += len(out) // 4
+        return out
+
+    monkeypatch.setattr(bpe.WordStream, "feed", spied)
+    monkeypatch.setattr(bpe, "STEP", 4)
+    words = set()
+    for r in docs.select("text").collect():
+        want = theirs.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(bpe.encode(mine, bpe.pieces(r.text or ""))), dtype="<u4").tolist() == want
+        words |= {w.encode() for w in mine.split.findall(r.text or "")}
+    assert all(w[at : at + 4] in fed for w in words for at in range(0, len(w), 4))
+    assert early["tokens"] > 0.05 * len(words)  # tokens that came before their word had ended
+
+
 def test_bpe_documents(odd, none, pair):
     path = queries.tokenizer_path()
     want = Counter()
