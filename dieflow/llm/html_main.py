@@ -297,7 +297,7 @@ def _numbered(pages: DataFrame) -> DataFrame:
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """(row, gone) of rows (row, host, path, lines, flags) that lose lines outside landmarks: the places of these among such lines.
+    """(row, gone) of rows (row, host, path, lines, flags) that lose lines outside landmarks: whether each of such lines goes.
 
     Pages of a host with the very same lines and flags are one page, at the
     first of their paths, before any are numbered; what goes goes in all of them.
@@ -320,13 +320,15 @@ def deletions(pages: DataFrame) -> DataFrame:
                 end += 1
             for k in range(start, end):
                 if ns[k] // CHUNK == chunk and (found := deleted(held, k, start, end)):
+                    mask = np.zeros(int((held[k][1] & 2 == 0).sum()), dtype=bool)
+                    mask[found] = True
                     at.append(k)
-                    gone.append(found)
+                    gone.append(mask)
             start = end
         few = group.take(pa.array(at, pa.int64()))
-        return pa.table({"host": few.column("host"), "lines": few.column("lines"), "flags": few.column("flags"), "gone": pa.array(gone, pa.list_(pa.int32()))})
+        return pa.table({"host": few.column("host"), "lines": few.column("lines"), "flags": few.column("flags"), "gone": pa.array(gone, pa.list_(pa.bool_()))})
 
-    found = cut(dealt.groupBy("chunk").applyInArrow(run, "host string, lines array<bigint>, flags binary, gone array<int>"), "gone")
+    found = cut(dealt.groupBy("chunk").applyInArrow(run, "host string, lines array<bigint>, flags binary, gone array<boolean>"), "gone")
     return pages.join(found, ["host", "lines", "flags"]).select("row", "gone")
 
 
@@ -348,6 +350,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", page_id: str
     read = cut(parsed(given).withColumn("row", F.monotonically_increasing_id()), "lines", "zstd")
     # Written first, so that Spark knows its size when it chooses the join.
     gone = cut(deletions(read.where(F.size("lines") > 0).select("row", "host", "path", "lines", "flags")), "deletions")
-    kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.array_contains("gone", i)))
+    staying = F.transform(F.filter(F.arrays_zip("texts", "gone"), lambda x: ~x["gone"]), lambda x: x["texts"])
+    kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(staying)
     text = F.array_join(kept, " ")
     return read.select("page_id", "url", "row", "texts").join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

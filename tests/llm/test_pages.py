@@ -143,3 +143,16 @@ def test_halving_finds_a_longest_one():
         places = html_main._common(a, b)
         rest = iter(b)
         assert len(places) == len(lcs_by_hand(a, b)) and all(any(a[i] == y for y in rest) for i in places) and places == sorted(set(places))
+
+
+def test_many_shared_lines_cost_in_proportion(spark):
+    def took(n):
+        menu = "".join(f"<p>line {i}</p>" for i in range(n))
+        rows = [(k, f"http://h/{k}", f"<body>{menu}<p>Story {k}</p></body>") for k in range(2)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        began = time.perf_counter()
+        assert {r.page_id: r.text for r in html_main.extract(df).collect()} == {0: "Story 0", 1: "Story 1"}
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(80_000) < 20
