@@ -22,9 +22,10 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dieflow.llm.common import map_batches
+from dieflow.llm.common import fresh, map_batches
 
 MAX_INDEX_BYTES = 512 << 20
+RESULTS = ("host", "path", "rule", "verdict")
 UPPER, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,24 +44,26 @@ def path_of(url: Column) -> Column:
 
 
 class Index:
-    """n, then n sorted digests, n + 1 string offsets, n verdicts, n path lengths, and the strings."""
+    """n, then n sorted digests, n + 1 string offsets, n verdicts, n lengths of hosts and n of paths, and the strings."""
 
     @staticmethod
     def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
         """From (verdict, host, path) rules; the last of equal rules holds."""
-        rules = {f"{host}{path}": (verdict, len(path)) for verdict, host, path in rules}
-        rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), v == "allow", n) for k, (v, n) in rules.items())
+        rules = {f"{host}{path}": (verdict, len(host), len(path)) for verdict, host, path in rules}
+        rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), v == "allow", h, n) for k, (v, h, n) in rules.items())
         ends = np.cumsum([0, *(len(r[1]) for r in rows)])
-        parts = (np.array([len(rows)], dtype="<u8"), np.array([r[0] for r in rows], dtype="<u8"), ends.astype("<u8"), np.array([r[2] for r in rows], dtype="<u8"), np.array([r[3] for r in rows], dtype="<u8"))
-        return b"".join([*(p.tobytes() for p in parts), *(r[1] for r in rows)])
+        words = ([len(rows)], [r[0] for r in rows], ends, *([r[i] for r in rows] for i in (2, 3, 4)))
+        return b"".join([*(np.array(w, dtype="<u8").tobytes() for w in words), *(r[1] for r in rows)])
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, dtype=np.uint8, mode="r")
         n = int(raw[:8].view("<u8")[0])
-        words = raw[8 : 8 * (4 * n + 2)].view("<u8")
-        self.digests, self.ends, self.allow, self.lengths = words[:n], words[n : 2 * n + 1], words[2 * n + 1 : 3 * n + 1], words[3 * n + 1 :]
-        self.strings = raw[8 * (4 * n + 2) :]
-        self.path_lengths = sorted(int(x) for x in np.unique(self.lengths))
+        words = raw[8 : 8 * (5 * n + 2)].view("<u8")
+        self.digests, self.ends, self.allow = words[:n], words[n : 2 * n + 1], words[2 * n + 1 : 3 * n + 1]
+        self.strings = raw[8 * (5 * n + 2) :]
+        shapes = np.unique(np.stack([words[3 * n + 1 : 4 * n + 1], words[4 * n + 1 :]]), axis=1).T.tolist() if n else []
+        #: (length of host, lengths of paths) that rules have, longest first.
+        self.shapes = [(h, sorted((p for x, p in shapes if x == h), reverse=True)) for h in sorted({h for h, _ in shapes}, reverse=True)]
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """The rule of each key, or -1."""
@@ -95,12 +98,13 @@ def _publish(spark: SparkSession, name: str, data: bytes) -> None:
         spark.sparkContext.addFile(at)
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Every string a fitting rule can have, the longest host and then the longest path first."""
-    if not host:
-        return []
-    labels = host.split(".")
-    return [f"{'.'.join(labels[k:])}{path[:n]}".encode() for k in range(len(labels)) for n in reversed(lengths) if n <= len(path)]
+def _candidates(host: str, path: str, shapes: list[tuple[int, list[int]]]) -> list[bytes]:
+    """Every string that a fitting rule of these lengths can have, the longest host and then the longest path first: as many as rules have lengths, however long a url is."""
+    out = []
+    for h, lengths in shapes:
+        if host and (h == len(host) or h < len(host) and host[len(host) - h - 1] == "."):
+            out += [f"{host[len(host) - h :]}{path[:n]}".encode() for n in lengths if n <= len(path)]
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
@@ -109,8 +113,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     rules are (verdict, host, path) with verdict allow or block; the longest
     fitting host and then the longest path wins, and `default` holds where none
     fits.  Null urls and urls without :// have an empty host and path, which no
-    rule fits.  Repeated rows stay repeated.
+    rule fits.  Repeated rows stay repeated.  A kept column that is called like
+    a result is replaced by it.
     """
+    keep = tuple(k for k in keep if k.lower() not in RESULTS)
     given = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     data = Index.build(rules)
     if len(data) > MAX_INDEX_BYTES:
@@ -124,7 +130,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
         hosts, paths = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         keys, rows = [], []
         for i, (h, p) in enumerate(zip(hosts, paths)):
-            more = _candidates(h, p, index.path_lengths)
+            more = _candidates(h, p, index.shapes)
             keys += more
             rows += [i] * len(more)
         found = index.find(keys)
@@ -141,16 +147,20 @@ def judge_by_join(given: DataFrame, rules: DataFrame, keep: tuple[str, ...], def
     """judge() for rule tables (verdict, host, path, place) of any size: candidates are listed by page and joined on the full string.
 
     Of equal rules the one with the highest place holds.  Null rules, hosts or
-    paths fit nothing; repeated pages stay repeated.
+    paths fit nothing; repeated pages stay repeated.  Kept columns may have any
+    name but those of the results.  A page has at most as many candidates as
+    rules have pairs of lengths.
     """
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # at most as many as a path is long
-    rows = given.withColumn("__row", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    cuts = F.array(*(F.lit(n) for n in lengths))
-    keys = rows.where("host <> ''").select("__row", F.explode(hosts).alias("h"), "path").select("__row", "h", F.explode(F.filter(cuts, lambda n: n <= F.length("path"))).alias("n"), "path")
-    keyed = keys.select("__row", F.concat("h", F.expr("left(path, n)")).alias("rule"), F.length("h").alias("h"), "n")
-    table = rules.groupBy(F.concat("host", "path").alias("rule")).agg(F.max_by("verdict", "place").alias("verdict"))
-    best = keyed.join(table, "rule").groupBy("__row").agg(F.max_by(F.struct("rule", "verdict"), F.struct("h", "n")).alias("best"))
-    out = rows.join(best, "__row", "left")
-    return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    row, cut, short = fresh(given, "row", "cut", "short")
+    # Lengths of hosts and paths: a few hundred at most, as long as hosts and paths are.
+    shapes = [tuple(r) for r in rules.select(F.length("host").alias("h"), F.length("path").alias("n")).dropna().distinct().collect()]
+    rows = given.withColumn(row, F.monotonically_increasing_id())
+    size = F.length("host")
+    fits = lambda h: (h == size) | ((h < size) & (F.substring("host", size - h, F.lit(1)) == "."))
+    cuts = F.array(*(F.struct(F.lit(h).alias("h"), F.lit(n).alias("n")) for h, n in shapes)) if shapes else F.expr("cast(array() as array<struct<h:int,n:int>>)")
+    keys = rows.where("host <> ''").select(row, "host", "path", F.explode(F.filter(cuts, lambda c: fits(c["h"]) & (c["n"] <= F.length("path")))).alias(cut))
+    keyed = keys.select(row, F.concat(F.right("host", F.col(f"{cut}.h")), F.left("path", F.col(f"{cut}.n"))).alias(short), F.col(cut))
+    table = rules.groupBy(F.concat("host", "path").alias(short)).agg(F.max_by("verdict", "place").alias("verdict"))
+    best = keyed.join(table, short).groupBy(row).agg(F.max_by(F.struct(F.col(short).alias("rule"), "verdict"), F.col(cut)).alias(cut))
+    out = rows.join(best, row, "left")
+    return out.select(*keep, "host", "path", F.col(f"{cut}.rule").alias("rule"), F.coalesce(f"{cut}.verdict", F.lit(default)).alias("verdict"))

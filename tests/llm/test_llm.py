@@ -490,6 +490,21 @@ def test_redaction_by_row(spark):
     assert clean.columns == df.columns and Counter((r.doc_id, r.text, r.source) for r in clean.collect()) == Counter((d, mask(t), s) for d, t, s in rows)
 
 
+def test_urls_of_very_many_labels(spark, monkeypatch):
+    long = "a." * 100_000
+    rows = [(1, f"http://{long}example.com/en/7"), (2, f"http://{long}com/en/"), (3, f"http://{long}org/" + "x" * 100_000), (4, "http://xcom/en/"), (5, "http://com./en/"), (6, "http://net/de/")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string").withColumns({c: F.lit(7) for c in ("rule", "__row", "short", "h", "n")})
+    want = {1: "example.com/en/7", 2: "com/en/", 3: None, 4: None, 5: None, 6: "net/"}
+    rules = [*queries.URL_RULES, ("block", "net", "/")]
+    want[6] = "net/de/"
+    for _ in range(2):
+        began = time.perf_counter()
+        got = urlfilter.judge(df, rules, keep=("page_id", "rule", "__row", "short"))
+        assert {r.page_id: r.rule for r in got.collect()} == want and got.columns == ["page_id", "__row", "short", "host", "path", "rule", "verdict"]
+        assert time.perf_counter() - began < 30
+        monkeypatch.setattr(urlfilter, "MAX_INDEX_BYTES", 1)
+
+
 def test_scan_of_many_candidates():
     text = " ".join(f"token=abcdef{i} Zx9Qw8Er7Ty6Ui5Op{i:06d} {'ab' * 12}" for i in range(30_000))
     began = time.perf_counter()
