@@ -23,10 +23,18 @@ outside the head.  A bucket thus has all there is to know of its pairs and
 words: it counts them over the training texts and adds up what each text gains.
 A second exchange, by block, brings the sums back to their texts.
 
-The largest group that can't be split is a pair outside the dense table or a
-word outside the head: under 1 / CACHED or 1 / HEAD of all tokens.  Words
-outside the head, and pairs with them, are told apart by 64 bits of hash, words
-over MAX_WORD_BYTES everywhere by 128 bits.
+A pair of head tokens outside the dense table may still be common: up to
+1 / CACHED of all tokens.  If a word that the table leaves out is common enough
+for that, pairs are looked for in a SAMPLE of texts, those found are counted
+exactly in the pass that counts the table's, and their gains travel too, in a
+sorted list beside it.  What the sample misses takes the exchange like any
+other: it says where a pair is counted, never whether.
+
+So the largest groups that aren't split are pairs of head tokens with about
+`hot` occurrences (a quarter of a bucket, or 1 / MAX_HOT of all tokens), and
+words outside the head with under 1 / HEAD of all tokens.  Words outside the
+head, and pairs with them, are told apart by 64 bits of hash, words over
+MAX_WORD_BYTES everywhere by 128 bits.
 """
 
 from __future__ import annotations
@@ -57,6 +65,8 @@ END = b""
 FLUSH = 1 << 19
 #: Tokens of a block of texts, texts of one at most, and tokens of a bucket on average: raise the first and the last with the memory of a task.
 BLOCK, BLOCK_TEXTS, BUCKET = 1 << 20, 1 << 16, 1 << 22
+#: One in so many texts is looked through for hot pairs, and one in so many of all tokens makes a pair hot in any case.
+SAMPLE, MAX_HOT = 64, 1 << 20
 #: Bytes of a pair of head tokens: two ids of 20 bits.
 ID_BITS, PAIR_BYTES = 20, 5
 
@@ -140,30 +150,76 @@ class Reader:
         return np.concatenate([*parts, np.zeros(1, dtype=np.int64)]), np.array(hashes, dtype=np.uint64)
 
 
-def count_arcs(texts: DataFrame, head: Shared, states: int) -> DataFrame:
-    """(arc, c): how often each pair of the `states` commonest tokens follows one another, as from * states + to; a text starts in the end's state."""
+def hot_pairs(texts: DataFrame, head: Shared, states: int, least: int) -> np.ndarray:
+    """Pairs of head tokens, not both among the `states` commonest, that occur `least` times or more in a sample, as from << ID_BITS | to, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = head.build(Reader)
-        total, held, n = np.zeros(states * states, dtype=np.int64), [], 0
+        reader, held, n = head.build(Reader), [], 0
+
+        def passed() -> pa.RecordBatch:
+            pairs, c = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(c, pa.int64())], names=["pair", "c"])
+
         for batch in batches:
             for text in utf8(batch.column(0)):
                 ids = reader.read(text)[0]
                 before = np.concatenate([[0], ids[:-1]])
-                both = (before >= 0) & (before < states) & (ids >= 0) & (ids < states)
-                held.append(before[both] * states + ids[both])
+                at = (before >= 0) & (ids >= 0) & ((before >= states) | (ids >= states))
+                held.append(before[at] << ID_BITS | ids[at])
                 n += len(held[-1])
+                if n > FLUSH:
+                    yield passed()
+                    n = 0
+        yield passed()
+
+    counted = small_batches(texts).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return np.sort(counted.where(F.col("c") >= least).select("pair").toArrow().column(0).to_numpy())  # at most tokens of the sample / least rows
+
+
+def found_in(pairs: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each pair in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(pairs), -1)
+    at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
+    return np.where(table[at] == pairs, at, -1)
+
+
+def count_arcs(texts: DataFrame, head: Shared, states: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each pair of the `states` commonest tokens follows one another, as arcs from * states + to and counts, and the counts of the hot pairs; a text starts in the end's state."""
+    table = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, hot = head.build(Reader), table.value
+        size = states * states + len(hot)
+        total, held, n = np.zeros(size, dtype=np.int64), [], 0
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                ids = reader.read(text)[0]
+                before = np.concatenate([[0], ids[:-1]])
+                known = (before >= 0) & (ids >= 0)
+                both = known & (before < states) & (ids < states)
+                held.append(before[both] * states + ids[both])
+                if len(hot):
+                    at = found_in(before[known & ~both] << ID_BITS | ids[known & ~both], hot)
+                    held.append(states * states + at[at >= 0])
+                n += len(ids)
                 if n > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=states * states)
+                    total += np.bincount(np.concatenate(held), minlength=size)
                     held, n = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=states * states)
+            total += np.bincount(np.concatenate(held), minlength=size)
         found = np.flatnonzero(total)
         for at in range(0, len(found), 1 << 16):
             part = found[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["arc", "c"])
 
-    return small_batches(texts).mapInArrow(run, "arc long, c long").groupBy("arc").agg(F.sum("c").alias("c"))
+    arcs = small_batches(texts).mapInArrow(run, "arc long, c long").groupBy("arc").agg(F.sum("c").alias("c")).toArrow()  # at most states squared and the hot pairs
+    at, often = arcs.column("arc").to_numpy(), arcs.column("c").to_numpy()
+    dense = at < states * states
+    counts = np.zeros(len(hot), dtype=np.int64)
+    counts[at[~dense] - states * states] = often[~dense]
+    return at[dense], often[dense], counts
 
 
 class Weights:
@@ -212,8 +268,8 @@ class Block:
     #: Bytes of the columns of each kind, the text's number in the block last.
     WIDTHS = ((PAIR_BYTES, 2), (8, 3, 2), (8, 8, 3, 2))
 
-    def __init__(self, buckets: int, cached: int) -> None:
-        self.buckets, self.cached = buckets, cached
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
         self.ids, self.hashes, self.sizes, self.held = [], [], [], []
         self.tokens = 0
 
@@ -235,15 +291,15 @@ class Block:
         before[np.cumsum(sizes)[:-1]] = 0  # a text starts in the end's state
         return to, before, np.repeat(np.arange(len(sizes)), sizes)
 
-    def packed(self, to: np.ndarray, before: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(bucket, data) of all pairs that the dense table doesn't hold."""
+    def packed(self, to: np.ndarray, before: np.ndarray, text: np.ndarray, done: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, data) of all pairs but those of head tokens that are done, for the tables hold them."""
         name = np.zeros(len(to), dtype=np.uint64)
         name[to < 0] = np.concatenate(self.hashes)
         name_before = np.concatenate([np.zeros(1, dtype=np.uint64), name[:-1]])
         u = np.uint64
         kinds = []
         head = (before >= 0) & (to >= 0)
-        at = np.flatnonzero(head & ((before >= self.cached) | (to >= self.cached)))
+        at = np.flatnonzero(head & ~done)
         pair = (before[at].astype(u) << u(ID_BITS)) | to[at].astype(u)
         kinds.append((_mix(pair), [pair, text[at]]))
         at = np.flatnonzero((before < 0) & (to >= 0))
@@ -329,7 +385,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list
         yield held
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD, cached: int = CACHED, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_words: int = HEAD, cached: int = CACHED, buckets: int | None = None, hot: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from the rows that aren't held out.  base_score adds the
@@ -354,11 +410,15 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_word
     discard(counts)
     head = Shared(spark, words)
     w = Weights(np.concatenate([[ends], own]), total, distinct)
-    arcs = count_arcs(train, head, cached).toArrow()  # at most `cached` squared rows
-    at, often = arcs.column("arc").to_numpy(), arcs.column("c").to_numpy()
+    hot = hot or max(BUCKET // 4, total // MAX_HOT)
+    # A pair outside the table has a word outside it, and is no commoner than that.
+    sample = given.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)).select("text")
+    pairs = hot_pairs(sample, head, cached, max(1, hot // (2 * SAMPLE))) if len(own) >= cached and own[cached - 1] >= hot else np.zeros(0, dtype=np.int64)
+    at, often, counts = count_arcs(train, head, cached, pairs)
     dense = np.zeros(cached * cached, dtype=np.float32)
     dense[at] = w.gain(often, at // cached, w.chance[at % cached])
-    automaton = spark.sparkContext.broadcast((w, dense.reshape(cached, cached), ends > 0))
+    gains = w.gain(counts, pairs >> ID_BITS, w.chance[pairs & ((1 << ID_BITS) - 1)])
+    automaton = spark.sparkContext.broadcast((w, dense.reshape(cached, cached), ends > 0, pairs, gains))
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = buckets or max(parts, -(-total // BUCKET))
@@ -367,7 +427,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_word
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = head.build(Reader)
-        w, dense, ended = automaton.value
+        w, dense, ended, pairs, gains = automaton.value
         root, fall = np.log10(w.chance), w.fall
         task, n = TaskContext.get().partitionId(), 0
 
@@ -380,25 +440,32 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", head_word
             both = known & (before >= 0) & (before < cached) & (to < cached)
             alone = np.bincount(text[known], root[own], minlength=texts)
             weight = np.bincount(text[known], root[own] + fall[own], minlength=texts) + np.bincount(text[both], dense[before[both], to[both]], minlength=texts)
+            done = both
+            if len(pairs):
+                place = np.full(len(to), -1)
+                rest = known & (before >= 0) & ~both
+                place[rest] = found_in(before[rest] << ID_BITS | to[rest], pairs)
+                weight += np.bincount(text[place >= 0], gains[place[place >= 0]], minlength=texts)
+                done = both | (place >= 0)
             sizes = np.bincount(text, minlength=texts)
             has = np.bincount(text[known], minlength=texts) - (not ended)
             sent = 0
             schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("parts", pa.int32()), ("data", pa.binary()), ("texts", pa.list_(pa.struct([("doc_id", ids[0].type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("alone", pa.float64()), ("weight", pa.float64())])))])
-            for k, data in block.packed(to, before, text):
+            for k, data in block.packed(to, before, text, done):
                 sent += 1
                 yield pa.RecordBatch.from_pylist([{"bucket": k, "block": name, "parts": None, "data": data, "texts": None}], schema)
             listed = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(block.held, pa.bool_()), *map(pa.array, (sizes, has, alone, weight))], fields=list(schema.field("texts").type.value_type))
             row = [pa.array([name % buckets]), pa.array([name]), pa.array([sent], pa.int32()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, texts], pa.int32()), listed)]
             yield pa.RecordBatch.from_arrays(row, schema=schema)
 
-        block, ids = Block(buckets, cached), []
+        block, ids = Block(buckets), []
         for batch in batches:
             for i, (t, h) in enumerate(zip(utf8(batch.column(2)), batch.column(1).to_pylist())):
                 block.add(*reader.read(t, named=True), h)
                 ids.append(batch.column(0).slice(i, 1))
                 if block.full():
                     yield from closed(block, ids)
-                    block, ids, n = Block(buckets, cached), [], n + 1
+                    block, ids, n = Block(buckets), [], n + 1
         if ids:
             yield from closed(block, ids)
 

@@ -88,9 +88,9 @@ def test_states_sum_to_one():
 
 def test_every_bucket_answers_every_block():
     w = ngram_lm.Weights(np.array([2, 2]), 4, 2)
-    block = ngram_lm.Block(2, 1)
+    block = ngram_lm.Block(2)
     block.add(np.array([1, -1, 0]), np.array([7], dtype=np.uint64), False)
-    sent = list(block.packed(*block.walk()))
+    sent = list(block.packed(*block.walk(), np.zeros(3, dtype=bool)))
     assert sent and all([b for b, _ in ngram_lm.judged([(9, data), (8, data)], w)] == [9, 8] for _, data in sent)
 
 
@@ -99,3 +99,30 @@ def test_head_takes_part_of_a_level(spark):
     for most, at_least in ((2, 1), (3, 3), (500, 400), (5000, 1000)):
         words, own = ngram_lm.commonest(df, most)
         assert at_least <= len(words) <= most and list(own) == sorted(own, reverse=True)
+
+
+@pytest.mark.parametrize("sample", [1, 3])
+def test_hot_pairs_are_counted_beside_the_table(spark, monkeypatch, sample):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["alpha beta", "of", "of", "the", "the", *(f"r{rng.randrange(300)}" for _ in range(5))]) for _ in range(40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(ngram_lm, "SAMPLE", sample)
+    words = [w for w, _ in Counter(w for d, t in rows if not is_out(d) for w in tokens(t)).most_common() if w]
+    head = ngram_lm.Shared(spark, [w.encode() for w in words])
+    train = df.where(~ngram_lm.held_out(df.doc_id)).select("text")
+    pairs = ngram_lm.hot_pairs(train, head, 3, 300)
+    names = ["", *words]
+    counts = Counter(p for d, t in rows if not is_out(d) for p in zip(["", *tokens(t)], tokens(t)))
+    want = {p: n for p, n in counts.items() if n >= 300 and max(map(names.index, p)) >= 3}
+    shown = [(names[p >> ngram_lm.ID_BITS], names[p & (1 << ngram_lm.ID_BITS) - 1]) for p in pairs.tolist()]
+    assert dict.fromkeys(shown) == dict.fromkeys(want, None) and ("alpha", "beta") in want
+    assert dict(zip(shown, ngram_lm.count_arcs(train, head, 3, pairs)[2].tolist())) == want
+    same(ngram_lm.score(df, cached=3, hot=60, buckets=4), scores_by_hand(rows, set(words)))
+    # A block sends no occurrence of a pair that the tables hold.
+    block = ngram_lm.Block(1)
+    ids = np.array([names.index(w) for w in ["alpha", "beta"] * 50 + [""]])
+    block.add(ids, np.array([], dtype=np.uint64), False)
+    to, before, text = block.walk()
+    done = ngram_lm.found_in(before << ngram_lm.ID_BITS | to, pairs) >= 0
+    sent = sum(len(data) for _, data in block.packed(to, before, text, done))
+    assert done.sum() >= 50 and sent < sum(len(data) for _, data in block.packed(to, before, text, np.zeros(len(to), dtype=bool)))
