@@ -334,3 +334,48 @@ def test_every_control_state():
     tool.disable()
     tool.go_online(49.0)
     assert tool.control == "host_offline"
+
+
+def test_linktest_comes_after_a_refused_deselect():
+    a, b = pair(linktest=30.0)
+    pump(a, b, 0.0)
+    began = a.next_deadline()
+    a.deselect(began - 1)
+    list(a.advance(began))  # the linktest's time, while the deselect is open
+    assert a.counts["linktests_sent"] == 0
+    (asked, _), = hsms.split_frames(a.take_output())
+    a.received(hsms.frame(hsms.Header(0xFFFF, 0, 1, 0, hsms.DESELECT_RSP, asked.system)), began + 1)
+    list(a.advance(began + 1))
+    assert a.state == "selected" and a.counts["linktests_sent"] == 1
+    (test, _), = hsms.split_frames(a.take_output())
+    assert test.stype == hsms.LINKTEST_REQ
+    a.received(hsms.frame(hsms.Header(0xFFFF, 0, 0, 0, hsms.LINKTEST_RSP, test.system)), began + 2)
+    list(a.advance(began + 2))
+    assert a.next_deadline() == began + 32
+
+
+def test_no_linktest_is_owed_once_deselected():
+    a, b = pair(linktest=30.0)
+    pump(a, b, 0.0)
+    began = a.next_deadline()
+    a.deselect(began - 1)
+    list(a.advance(began))
+    (asked, _), = hsms.split_frames(a.take_output())
+    a.received(hsms.frame(hsms.Header(0xFFFF, 0, 0, 0, hsms.DESELECT_RSP, asked.system)), began + 1)
+    list(a.advance(began + 1))
+    assert a.state == "not_selected" and a.counts["linktests_sent"] == 0
+
+
+def test_items_nested_as_deep_as_may_be():
+    deep = b"\x01\x01" * secs.MAX_DEPTH + b"\x41\x01x"
+    assert secs.validate(deep) == len(deep) and len(secs.nodes(deep)) == secs.MAX_DEPTH + 1
+    item = secs.decode(deep)
+    for _ in range(secs.MAX_DEPTH):
+        item = item.at(0)
+    assert item.text() == "x"
+    for read in (secs.validate, secs.decode, secs.nodes):
+        with pytest.raises(secs.SecsError, match="too_deep at 128"):
+            read(b"\x01\x01" + deep)
+    assert secs.decode(b"\x01\x01" * secs.MAX_DEPTH + b"\x01\x00").format == "L"
+    with pytest.raises(secs.SecsError, match="truncated at 4"):
+        secs.validate(b"\x03\xff\xff\xff")
