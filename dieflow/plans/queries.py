@@ -18,7 +18,8 @@ from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL,
 from dieflow.session import shared_dir
 from dieflow.sources import tables
 from dieflow.streaming.emulator import schedule
-from dieflow.streaming.pipeline import HOLDS, decide, run_accuracy, stages
+from dieflow.streaming.measures import accuracy_windows, latency_windows
+from dieflow.streaming.pipeline import decide, run_accuracy, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -776,10 +777,20 @@ def holds_streamed(spark, sf_dir):
     """The stateful stream over the events file, run until it has read all of it; its holds are the result."""
     given = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     stream = verdicts_of(given).select(F.right("lot", F.lit(1)).alias("tool"), "lot", "pattern", "at_us", F.col("pos").alias("seq"))
-    at = f"{shared_dir(spark)}/holds_{uuid.uuid4().hex}"
-    q = decide(stream, TOOL).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/holds").trigger(availableNow=True).start()
+    return _read_out(decide(stream, TOOL)).select("lot", "at_us", "seq", "pattern", "by_tool")
+
+
+def _read_out(stream: DataFrame) -> DataFrame:
+    """What a stream has written once it has read all there is."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/streamed_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(HOLDS).parquet(f"{at}/holds").select("lot", "at_us", "seq", "pattern", "by_tool")
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def _event_stream(spark, sf_dir):
+    return verdicts_of(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet"))
 
 
 @query(f"WITH {VERDICTS_SQL}, s AS (SELECT wafer_id, pos, (round((row_number() OVER (ORDER BY at_us, pos) - 1) * 1e6 / 1000.0))::BIGINT AS scheduled_us FROM v WHERE pattern <> 'unknown') SELECT v.pos, s.scheduled_us, v.pattern <> 'none' AS says FROM v JOIN s USING (wafer_id)")
@@ -790,17 +801,17 @@ def verdicts_on_schedule(spark, sf_dir):
     return v.join(sent, "wafer_id").select("pos", "scheduled_us", (F.col("pattern") != "none").alias("says"))
 
 
-def _timed(spark, sf_dir):
+def _timed(v: DataFrame) -> DataFrame:
     at = F.col("at_us")
-    v = verdicts(spark, sf_dir).withColumns({"scheduled_us": at, "received_us": at + F.col("pos") % 97, "analysed_us": at + F.col("pos") % 97 + F.col("pos") % 31, "decided_us": at + F.col("pos") % 97 + F.col("pos") % 31 + 1})
-    return v.withColumn("held_us", F.when(F.col("pattern") == "scratch", F.col("decided_us") + 5))
+    timed = v.withColumns({"scheduled_us": at, "received_us": at + F.col("pos") % 97, "analysed_us": at + F.col("pos") % 97 + F.col("pos") % 31, "decided_us": at + F.col("pos") % 97 + F.col("pos") % 31 + 1})
+    return timed.withColumn("held_us", F.when(F.col("pattern") == "scratch", F.col("decided_us") + 5))
 
 
 @query(f"""WITH {VERDICTS_SQL}, t AS (SELECT pos % 97 AS a, pos % 31 AS b, pattern FROM v), s AS (SELECT 'to_host' AS stage, a AS us FROM t UNION ALL SELECT 'analyse', b FROM t UNION ALL SELECT 'decide', 1 FROM t UNION ALL SELECT 'total', a + b + 1 FROM t UNION ALL SELECT 'hold', a + b + 6 FROM t WHERE pattern = 'scratch')
 SELECT stage, count(*) AS n, sum(us * 1000)::BIGINT AS ns, max(us * 1000) AS most FROM s GROUP BY stage""")
 def latency_stages(spark, sf_dir):
     """How long verdicts take from stage to stage of their way."""
-    each = stages(_timed(spark, sf_dir))
+    each = stages(_timed(verdicts(spark, sf_dir)))
     return longs(each.groupBy("stage").agg(F.count("*").alias("n"), F.sum("latency_ns").alias("ns"), F.max("latency_ns").alias("most")))
 
 
@@ -812,6 +823,27 @@ def accuracy_in_run(spark, sf_dir):
     return run_accuracy(v.select("wafer_id", "pattern", "second"), truths)
 
 
+#: An hour's windows that end before the last event's time less the lateness are closed when the stream ends.
+CLOSED_SQL = "w + 3600000000 <= (SELECT max(at_us) FROM v) - 600000000"
+
+
+@query(f"""WITH {VERDICTS_SQL}, t AS (SELECT at_us // 3600000000 * 3600000000 AS w, pos % 97 AS a, pos % 31 AS b, pattern FROM v), s AS (SELECT w, 'to_host' AS stage, a AS us FROM t UNION ALL SELECT w, 'analyse', b FROM t UNION ALL SELECT w, 'decide', 1 FROM t UNION ALL SELECT w, 'total', a + b + 1 FROM t UNION ALL SELECT w, 'hold', a + b + 6 FROM t WHERE pattern = 'scratch')
+SELECT w AS window_us, stage, count(*) AS n, min(us * 1000)::BIGINT AS low, max(us * 1000)::BIGINT AS high FROM s WHERE {CLOSED_SQL} GROUP BY w, stage""")
+def latency_streamed(spark, sf_dir):
+    """Latency histograms of each hour and stage from the stream, their buckets merged."""
+    windows = _read_out(latency_windows(_timed(_event_stream(spark, sf_dir)), "1 hour"))
+    return windows.groupBy("window_us", "stage").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query(f"""WITH {VERDICTS_SQL}, x AS (SELECT at_us // 3600000000 * 3600000000 AS w, CASE pos % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN 'donut' ELSE pattern END AS truth, pattern, CASE WHEN pos % 4 = 0 THEN 'unknown' WHEN pos % 3 = 0 THEN 'none' ELSE pattern END AS second FROM v)
+SELECT w AS window_us, count(*) FILTER (truth <> 'unknown') AS scored, count(*) FILTER (truth <> 'unknown' AND truth = pattern) AS correct, count(*) FILTER (second <> 'unknown') AS paired, count(*) FILTER (second <> 'unknown' AND second = pattern) AS agree FROM x WHERE {CLOSED_SQL} GROUP BY w""")
+def accuracy_streamed(spark, sf_dir):
+    """The counts of accuracy_in_run by the hour, from a stream of verdicts joined to one of truths, which come seconds later."""
+    v = _event_stream(spark, sf_dir).withColumn("second", F.expr("CASE WHEN pos % 4 = 0 THEN 'unknown' WHEN pos % 3 = 0 THEN 'none' ELSE pattern END"))
+    t = _event_stream(spark, sf_dir).select("wafer_id", F.expr("CASE pos % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN 'donut' ELSE pattern END").alias("truth"), (F.col("at_us") + F.col("pos") % 60 * 1_000_000).alias("at_us"))
+    return _read_out(accuracy_windows(v, t, "1 hour", apart="2 minutes"))
+
+
 @query(f"WITH {WAFERS_SQL}, {SCORED_SQL} SELECT w.wafer_id, w.truth, list_position(l, list_max(l)) - 1 AS pred FROM w LEFT JOIN s ON w.wafer_id = s.id")
 def wafers_with_logits(spark, sf_dir):
     logits = scored(spark, sf_dir).select(F.col("id").alias("wafer_id"), "logits")

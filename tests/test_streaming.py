@@ -117,3 +117,24 @@ def test_tally_and_pace(spark, tmp_path):
     q.stop()
     spark.streams.removeListener(listener)
     assert (listener.total["verdicts"], listener.total["center"], listener.total["none"], listener.total["donut"]) == (3, 2, 1, 0)
+
+
+def test_histograms_of_windows_merge(spark, tmp_path):
+    from dieflow.operators.metrics import histogram, merge, percentiles
+    from dieflow.streaming.measures import latency_windows
+
+    schema = "wafer_id long, scheduled_us long, received_us long, analysed_us long, decided_us long, held_us long"
+    rows = [(i, i * 1_000_000, i * 1_000_000 + i % 700, i * 1_000_000 + i % 700 + 3, None if i % 5 == 0 else i * 1_000_000 + 900, None) for i in range(900)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 300 : k * 300 + 300], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    given = pipeline.file_drop(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    q = latency_windows(given, "1 minute", "1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    windows = spark.read.parquet(str(tmp_path / "out"))
+    closed = [r for r in rows if r[1] // 60_000_000 * 60_000_000 + 60_000_000 <= rows[-1][1] - 60_000_000]
+    want = histogram(pipeline.stages(spark.createDataFrame(closed, schema)), "latency_ns", ("stage",))
+    got = merge(windows.drop("window_us"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and windows.select("window_us").distinct().count() > 5
+    assert percentiles(got, by=("stage",)).count() > 0
