@@ -5,6 +5,10 @@
     python -m dieflow eval FILE RULES [--split S]       evaluation report; --signals DIR writes the signals table
     python -m dieflow explain FILE RULES WAFER          why a wafer got its pattern
     python -m dieflow cnn FILE MODEL [--precision P]    evaluation of a CNN
+    python -m dieflow verify FILE MODEL LOGITS          the model's logits beside those of a file; ends with 1 if a class differs
+    python -m dieflow layers FILE MODEL                 how far a precision is from fp32, layer by layer
+    python -m dieflow calibrate FILE MODEL OUT          int8 scales of the val split
+    python -m dieflow conformal FILE MODEL TEXT         coverage of a calibration; --write calibrates on the split and writes it
     python -m dieflow closedloop FILE EXCURSIONS [--detector truth|rules] [--rules RULES] [--alarms CSV] ...
 """
 
@@ -15,7 +19,7 @@ import argparse
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dieflow.operators import cnn, fit, metrics, replay, signatures
+from dieflow.operators import cnn, conformal, fit, metrics, replay, signatures
 from dieflow.operators.hold import HoldConfig
 from dieflow.operators.rules import Classifier, signals_csv
 from dieflow.patterns import SPLITS, lot_name, pattern_name
@@ -41,7 +45,7 @@ def report(classified: DataFrame) -> None:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="dieflow", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
-    commands = {name: sub.add_parser(name) for name in ("maps", "fit", "eval", "explain", "cnn", "closedloop")}
+    commands = {name: sub.add_parser(name) for name in ("maps", "fit", "eval", "explain", "cnn", "verify", "layers", "calibrate", "conformal", "closedloop")}
     for c in commands.values():
         c.add_argument("file")
         c.add_argument("--master", default=None)
@@ -52,8 +56,13 @@ def main(argv: list[str] | None = None) -> None:
     commands["eval"].add_argument("--split", choices=(*SPLITS, "all"), default="test")
     commands["eval"].add_argument("--signals")
     commands["explain"].add_argument("wafer", type=int)
-    commands["cnn"].add_argument("model")
-    commands["cnn"].add_argument("--precision", choices=("fp32", "fp16", "int8"), default="fp32")
+    for name in ("cnn", "verify", "layers", "calibrate", "conformal"):
+        commands[name].add_argument("model")
+        commands[name].add_argument("--precision", choices=("fp32", "fp16", "int8"), default="fp16" if name == "layers" else "fp32")
+    for name, more in (("verify", "logits"), ("calibrate", "out"), ("conformal", "text")):
+        commands[name].add_argument(more)
+    commands["conformal"].add_argument("--split", choices=(*SPLITS, "all"), default="val")
+    commands["conformal"].add_argument("--write", action="store_true")
     loop = commands["closedloop"]
     loop.add_argument("excursions")
     loop.add_argument("--detector", choices=("truth", "rules"), default="rules")
@@ -91,14 +100,45 @@ def main(argv: list[str] | None = None) -> None:
         if row is None:
             raise SystemExit(f"no wafer {a.wafer}")
         print(row.why)
-    elif a.command == "cnn":
+    elif a.command in ("cnn", "verify", "layers", "calibrate", "conformal"):
         with open(a.model, "rb") as f:
-            model = cnn.Model.parse(f.read())
-        scales = cnn.calibrate(wafers.where("split = 'val'"), model, 1000) if a.precision == "int8" else None
+            neural(spark, wafers, cnn.Model.parse(f.read()), a)
+    else:
+        closed_loop(spark, wafers, a)
+
+
+def neural(spark, wafers: DataFrame, model: cnn.Model, a: argparse.Namespace) -> None:
+    if a.command == "calibrate":
+        with open(a.out, "w", encoding="utf-8") as f:
+            f.write(cnn.scales_text(cnn.calibrate(wafers.where("split = 'val'"), model, 1000)))
+        return
+    scales = cnn.calibrate(wafers.where("split = 'val'"), model, 1000) if a.precision == "int8" else None
+    if a.command == "cnn":
         scored = cnn.logits(wafers, model, KEEP, a.precision, scales)
         report(scored.withColumn("pred", pattern_name(metrics.argmax(F.col("logits")))))
+    elif a.command == "layers":
+        show(f"{a.precision} beside fp32", conformal.layer_differences(wafers, model, a.precision, scales).orderBy("layer"))
+    elif a.command == "verify":
+        found = conformal.verify(wafers, model, tables.read_logits(spark, a.logits), a.precision, scales).persist()
+        show("logits beside the file's", found)
+        row = found.first()
+        if row.missing or row.same_class < row.n:
+            raise SystemExit(1)
     else:
-        closed_loop(spark, wafers, a)
+        given = wafers if a.split == "all" else wafers.where(F.col("split") == a.split)
+        scored = conformal.probabilities(given, model, a.precision, scales).persist()
+        sha = model.sha256.hex()
+        if a.write:
+            with open(a.text, "w", encoding="utf-8") as f:
+                f.write(conformal.to_text(conformal.calibrate(scored, sha)))
+        with open(a.text, encoding="utf-8") as f:
+            c = cnn.Conformal.parse(f.read())
+        if c.model_sha256 != sha:
+            raise SystemExit("the calibration is of another model")
+        for name, q in (("10", c.thresholds_10), ("5", c.thresholds_05)):
+            show(f"misses of {name} %", metrics.conformal_metrics(scored.withColumn("set", metrics.prediction_set(F.col("p"), list(q))), c.accept_confidence))
+        for name, values in c.reported:
+            print(name, *values)
 
 
 def closed_loop(spark, wafers: DataFrame, a: argparse.Namespace) -> None:

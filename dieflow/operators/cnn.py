@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -124,8 +125,8 @@ def _quantised(t: np.ndarray, scale: np.ndarray | float) -> np.ndarray:
     return (np.clip(np.rint(t / s), -127, 127) * s).astype(np.float32)
 
 
-def forward(model: Model, x: np.ndarray, precision: str = "fp32", scales: list[float] | None = None) -> np.ndarray:
-    """Logits.  fp16 rounds weights and activations to halves; int8 to 127 steps of each channel's and layer's maximum."""
+def layers(model: Model, x: np.ndarray, precision: str = "fp32", scales: list[float] | None = None) -> Iterator[np.ndarray]:
+    """What comes out of each convolution, before any pooling; what pooling leaves of the last comes last."""
     for k, (weight, bias) in enumerate(model.convs):
         if precision == "fp16":
             weight, x = weight.astype(np.float16).astype(np.float32), x.astype(np.float16).astype(np.float32)
@@ -134,20 +135,27 @@ def forward(model: Model, x: np.ndarray, precision: str = "fp32", scales: list[f
             if k:
                 x = _quantised(x, scales[k - 1] / 127)
         x = conv_relu(x, weight, bias)
+        yield x
         if k % 2:
             x = pool(x)
+    yield x
+
+
+def forward(model: Model, x: np.ndarray, precision: str = "fp32", scales: list[float] | None = None) -> np.ndarray:
+    """Logits.  fp16 rounds weights and activations to halves; int8 to 127 steps of each channel's and layer's maximum."""
+    *_, x = layers(model, x, precision, scales)
     return x.mean(axis=(2, 3)) @ model.weight.T + model.bias
 
 
+def activations_compared(model: Model, x: np.ndarray, precision: str, scales: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(maps, layers) twice: the largest activation of each convolution in fp32, and the largest distance from it in another precision."""
+    pairs = list(zip(layers(model, x), layers(model, x, precision, scales)))[: len(model.convs)]
+    return np.stack([a.max(axis=(1, 2, 3)) for a, _ in pairs], axis=1), np.stack([np.abs(a - b).max(axis=(1, 2, 3)) for a, b in pairs], axis=1)
+
+
 def layer_maxima(model: Model, x: np.ndarray) -> np.ndarray:
     """(maps, layers): the largest activation after each convolution."""
-    out = []
-    for k, (weight, bias) in enumerate(model.convs):
-        x = conv_relu(x, weight, bias)
-        out.append(x.max(axis=(1, 2, 3)))
-        if k % 2:
-            x = pool(x)
-    return np.stack(out, axis=1)
+    return np.stack([y.max(axis=(1, 2, 3)) for y in layers(model, x)][: len(model.convs)], axis=1)
 
 
 def _scored(wafers: DataFrame, model: Model, fn, name: str, keep: tuple[str, ...], rows: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dieflow.functions import geometry
 from dieflow.operators import fit as fitting
-from dieflow.operators import cnn, forgetting, hold, messages, metrics, replay, rules, signatures
+from dieflow.operators import cnn, conformal, forgetting, hold, messages, metrics, replay, rules, signatures
 from dieflow.patterns import PATTERNS, SIGNALS, guard, lot_name, pattern_code, pattern_name
 from dieflow.plans.derive import DIE_SQL, SCORED_SQL, VERDICTS_SQL, WAFERS_SQL, scored, table, verdicts, verdicts_of, wafers
 from dieflow.session import shared_dir
@@ -453,6 +453,14 @@ def conformal_metrics(spark, sf_dir):
     return longs(metrics.conformal_metrics(_scored(spark, sf_dir), ACCEPT))
 
 
+@query(f"""WITH {SCORED_SQL}, c AS (SELECT truth_code, 1.0 - p[truth_code + 1] AS s FROM p WHERE truth_code < 9),
+r AS (SELECT truth_code, s, row_number() OVER (PARTITION BY truth_code ORDER BY s) AS k, count(*) OVER (PARTITION BY truth_code) AS n FROM c)
+SELECT truth_code::BIGINT AS truth_code, max(n) AS n, round(coalesce(max(s) FILTER (k = ceil((n + 1) * 0.9)), 1.0), 6) AS threshold FROM r GROUP BY truth_code""")
+def conformal_thresholds(spark, sf_dir):
+    """Each class's finite-sample quantile of 1 - p for misses of 10 %."""
+    return longs(conformal.class_thresholds(_scored(spark, sf_dir), 0.1))
+
+
 @query(f"WITH {SCORED_SQL}, b AS (SELECT l, list_transform(embedding[2:10], lambda x: x::DOUBLE) AS m FROM s JOIN embeddings ON id = vec_id), a AS (SELECT list_position(l, list_max(l)) = list_position(m, list_max(m)) AS same, list_max(list_transform(range(1, 10), lambda i: abs(l[i] - m[i]))) AS gap FROM b) SELECT count(*) AS n, round(avg(same::INT), 6) AS agree, count(*) FILTER (NOT same) AS changed, round(max(gap), 6) AS max_diff FROM a")
 def model_agreement(spark, sf_dir):
     a = scored(spark, sf_dir).select(F.col("id").alias("wafer_id"), "logits")

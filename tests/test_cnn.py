@@ -72,3 +72,63 @@ def test_batch_norm_folding():
     pad = lambda wt, bs: cnn.conv_relu(x, wt, bs + 100) - 100
     want = (pad(w, b) - mu[None, :, None, None]) / np.sqrt(va + 1e-5)[None, :, None, None] * g[None, :, None, None] + be[None, :, None, None]
     assert np.abs(pad(fw, fb.astype(np.float32)) - want).max() < 1e-3
+
+
+def test_thresholds_are_finite_sample_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    from dieflow.operators import conformal, metrics
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, n in enumerate((1, 9, 10, 200, 57)):
+        for _ in range(n):
+            p = rng.dirichlet(np.ones(9) * 0.4).round(2)
+            rows.append((k if k < 4 else 255, p.tolist()))
+    scored = spark.createDataFrame(rows, "truth_code int, p array<double>").repartition(3)
+    for miss in (0.1, 0.05):
+        got = {r.truth_code: (r.n, r.threshold) for r in conformal.class_thresholds(scored, miss).collect()}
+        want = {}
+        for k in range(4):
+            s = sorted(1.0 - p[k] for c, p in rows if c == k)
+            place = int(np.ceil((len(s) + 1) * (1.0 - miss)))
+            want[k] = (len(s), s[place - 1] if place <= len(s) else 1.0)
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    c = conformal.calibrate(scored, "00ff", error=0.3)
+    again = cnn.Conformal.parse(conformal.to_text(c))
+    assert again == c and c.thresholds_10[7] == 1.0
+    kept = [(t, p) for t, p in rows if t < 9 and max(p) >= c.accept_confidence]
+    assert kept and sum(int(np.argmax(p)) != t for t, p in kept) <= 0.3 * len(kept)
+    covered = metrics.conformal_metrics(scored.withColumn("set", metrics.prediction_set(F.col("p"), list(c.thresholds_10))), c.accept_confidence).first()
+    assert covered.coverage >= 0.9 and dict(c.reported)["reported_coverage 0.1"][0] == covered.coverage
+
+
+def test_verify_layers_and_commands(spark, tmp_path, capsys):
+    from dieflow import __main__ as cli
+    from dieflow.operators import conformal
+    from dieflow.sources import tables, wmap
+
+    m = model(7)
+    w = wafers(spark, "/root/testdata/sf0.001").where("wafer_id < 8")
+    own = [(r.wafer_id, list(r.logits)) for r in cnn.logits(w, m).collect()]
+    given = spark.createDataFrame([*own, (99, [0.0] * 9)], "wafer_id int, logits array<float>")
+    row = conformal.verify(w, m, given).first()
+    assert (row.n, row.missing, row.same_class, row.max_diff) == (len(own) + 1, 1, len(own), 0.0)
+    layers = {r.layer: r for r in conformal.layer_differences(w, m, "fp16").collect()}
+    x = [cnn.preprocess(np.frombuffer(bytes(r.bins), np.uint8).reshape(1, r.rows, r.cols)) for r in w.collect()]
+    most = max(cnn.layer_maxima(m, a)[0, 7] for a in x)
+    assert sorted(layers) == list(range(1, 9)) and abs(layers[8].largest - most) < 1e-6 and all(0 < r.max_diff < 0.1 * r.largest for r in layers.values())
+    wmap.register(spark)
+    w.coalesce(1).write.format("wmap").mode("append").save(str(tmp_path / "maps"))
+    (tmp_path / "m.wcnn").write_bytes(m.serialize())
+    (tmp_path / "l.bin").write_bytes(tables.serialize_logits(own))
+    maps, file = str(tmp_path / "maps"), str(tmp_path / "m.wcnn")
+    cli.main(["verify", maps, file, str(tmp_path / "l.bin")])
+    cli.main(["layers", maps, file])
+    cli.main(["calibrate", maps, file, str(tmp_path / "scales.txt")])
+    cli.main(["conformal", maps, file, str(tmp_path / "c.txt"), "--split", "all", "--write"])
+    assert len(cnn.parse_scales((tmp_path / "scales.txt").read_text())) == 8
+    assert cnn.Conformal.parse((tmp_path / "c.txt").read_text()).model_sha256 == m.sha256.hex()
+    (tmp_path / "l.bin").write_bytes(tables.serialize_logits([(i, x[::-1]) for i, x in own]))
+    with pytest.raises(SystemExit):
+        cli.main(["verify", maps, file, str(tmp_path / "l.bin")])
