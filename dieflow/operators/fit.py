@@ -9,6 +9,7 @@ thousand rows however many maps there are.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -133,13 +134,30 @@ def fit(rows: DataFrame, start: Classifier | None = None, options: FitOptions |
     return now, log
 
 
+def percentiles(rows: DataFrame, column: str, count: int) -> list[float]:
+    """`count` exact percentiles at even distances from the least to the greatest value, between two values in proportion.
+
+    Equal values are counted first and ranked by slices, so no buffer holds the column.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return []
+    at = [(n - 1) * (q / (count - 1)) for q in range(count)]
+    wanted = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
+    places = F.array(*(F.lit(w).cast("bigint") for w in wanted))
+    hit = with_ranks(counted, [], "v").where(F.exists(places, holds_place)).select("before", "n", "v").collect()  # at most two a percentile
+    value = {w: r.v for r in hit for w in wanted if r.before <= w < r.before + r.n}
+    return [value[math.floor(x)] if x == int(x) else (math.ceil(x) - x) * value[math.floor(x)] + (x - math.floor(x)) * value[math.ceil(x)] for x in at]
+
+
 def density_baseline(rows: DataFrame, thresholds: int = 201) -> tuple[float, str, float]:
     """The trivial classifier: density at or over a threshold means the commonest defect.  (threshold, pattern, macro-F1)."""
     rows = rows.where(F.col("truth") != UNKNOWN)
     common = rows.where("truth <> 'none'").groupBy("truth").count().orderBy(F.desc("count"), "truth").first()
     if common is None:
         return 0.0, "none", 0.0
-    cuts = rows.agg(F.percentile("density", F.array(*(F.lit(q / (thresholds - 1)) for q in range(thresholds))))).first()[0]
+    cuts = percentiles(rows, "density", thresholds)
     passed = F.size(F.filter(F.array(*(F.lit(float(v)) for v in cuts)), lambda v: v <= F.col("density")))
     table = rows.groupBy("truth", passed.alias("passed")).count().collect()
     best = (0.0, common.truth, -1.0)

@@ -52,3 +52,12 @@ def test_query_fits_until_nothing_improves(spark):
     got = Q.QUERIES["fit_thresholds"](spark, SF).collect()
     assert np.allclose([r.threshold for r in got], fitted_by_hand(rows), rtol=0, atol=1e-12)
     assert (fit.FitOptions().candidates, fit.FitOptions().sweeps) == (200, 8)
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 57, 400):
+        v = rng.choice(rng.random(30), n) if n > 50 else rng.random(n)
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        assert np.allclose(fit.percentiles(df, "v", 21), np.percentile(v, np.linspace(0, 100, 21)), rtol=0, atol=1e-12)
+    assert fit.percentiles(df.limit(0), "v", 5) == []
