@@ -774,7 +774,9 @@ def invalid_reports(spark, sf_dir):
     return longs(v.where("v.code is not null or v.length <> octet_length(body)").select("wafer_id", "v.length", "v.code", F.col("v.offset").alias("at")))
 
 
-@query()
+@query(f"""WITH {DIE_SQL}, b AS (SELECT wafer_id, lot_id, "rows", cols, string_agg(bin::VARCHAR, ' ' ORDER BY r, c) AS bins FROM die GROUP BY ALL)
+SELECT wafer_id, array_to_string(['<L [3]', '  <U4 ' || (wafer_id + 1) || '>', '  <U4 100>', '  <L [1]', '    <L [2]', '      <U4 10>', '      <L [5]', '        <A "' || printf('LOT-%06d', lot_id) || '">',
+  '        <U4 ' || wafer_id || '>', '        <U2 ' || "rows" || '>', '        <U2 ' || cols || '>', '        <U1 ' || bins || '>', '      >', '    >', '  >', '>'], chr(10)) AS sml FROM b""")
 def report_text(spark, sf_dir):
     return _reports(spark, sf_dir).select("wafer_id", messages.to_sml("body").alias("sml"))
 
