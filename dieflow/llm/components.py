@@ -15,18 +15,20 @@ from dieflow.functions.skew import LEAST_ROWS, hot_join
 from dieflow.llm.common import cut, discard
 
 
-def _met(edges: DataFrame, least: DataFrame, slots: int | None, hot: int) -> DataFrame:
-    """edges with m, the least neighbour of their a; least has a row (a, m, count) a vertex."""
+def _met(edges: DataFrame, least: DataFrame, slots: int | None, hot: int | None) -> DataFrame:
+    """edges with m, the least neighbour of their a; least has a row (a, m, count) a vertex.  Without `hot` no vertex can have many edges."""
+    if hot is None:
+        return edges.join(least.select("a", "m"), "a")
     return hot_join(edges, least.select("a", "m"), ["a"], counted=least.select("a", "count"), slots=slots, least=hot)
 
 
-def _large_star(edges: DataFrame, slots: int | None = None, hot: int = LEAST_ROWS) -> DataFrame:
+def _large_star(edges: DataFrame, slots: int | None = None, hot: int | None = LEAST_ROWS) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count")).select("a", F.least("a", "m").alias("m"), "count")
     return _met(both.where("b > a"), least, slots, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, slots: int | None = None, hot: int = LEAST_ROWS) -> DataFrame:
+def _small_star(edges: DataFrame, slots: int | None = None, hot: int | None = LEAST_ROWS) -> DataFrame:
     """edges point from the larger vertex a to the smaller vertex b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count"))
     moved = _met(edges, least, slots, hot).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -50,9 +52,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", slots: in
             break
         before, seen = now if seen else None, mark
         few = mark[0] <= hot  # then no vertex has more edges, and none need be counted
-        starred = _large_star(now, slots, 1 << 62 if few else hot)
+        starred = _large_star(now, slots, None if few else hot)
         # Large-star leaves no more edges than it found, so the same holds for the second half.
-        now = cut(_small_star(starred if few else cut(starred, "stars"), slots, 1 << 62 if few else hot), "edges")
+        now = cut(_small_star(starred if few else cut(starred, "stars"), slots, None if few else hot), "edges")
         if before is not None:
             discard(before)
     tied = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
