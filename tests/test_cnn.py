@@ -22,6 +22,44 @@ def test_conv_and_pool_by_hand():
     assert cnn.pool(np.arange(16, dtype=np.float32).reshape(1, 1, 4, 4)).ravel().tolist() == [5, 7, 13, 15]
 
 
+@pytest.mark.parametrize("shape", [(64, 64), (7, 5), (4, 9), (1, 1)])
+def test_tiles_give_what_taps_give(shape):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3, 5, *shape)).astype(np.float32)
+    w, b = rng.normal(size=(6, 5, 3, 3)).astype(np.float32), rng.normal(size=6).astype(np.float32)
+    pad = np.pad(x.astype(np.float64), ((0, 0), (0, 0), (1, 1), (1, 1)))
+    want = sum(np.einsum("mchw,oc->mohw", pad[:, :, i : i + shape[0], j : j + shape[1]], w[:, :, i, j]) for i in range(3) for j in range(3))
+    want = np.maximum(want + b[:, None, None], 0)
+    tiles = cnn.conv_relu_by_tiles(np.ascontiguousarray(x.transpose(2, 3, 0, 1)), cnn.tile_weights(w), b).transpose(2, 3, 0, 1)
+    assert np.abs(cnn.conv_relu(x, w, b) - want).max() < 1e-4 and np.abs(tiles - want).max() < 1e-4
+
+
+@pytest.mark.parametrize("precision", ["fp32", "fp16", "int8"])
+def test_layers_give_what_plain_convolutions_give_with_few_products(precision, monkeypatch):
+    m, x = model(4), cnn.preprocess(np.random.default_rng(3).integers(0, 6, (3, 25, 27)).astype(np.uint8))
+    scales, products, matmul = [1.5] * 8, [], np.matmul
+
+    def counted(a, b, **more):
+        products.append(a.size * b.shape[-1])
+        return matmul(a, b, **more)
+
+    with monkeypatch.context() as p:
+        p.setattr(np, "matmul", counted)
+        got = [*cnn.layers(m, x, precision, scales)]
+    assert products and sum(products) < 0.4 * 3 * sum(9 * i * o * (64 >> k // 2) ** 2 for k, (i, o) in enumerate(cnn.CONVS))
+    for k, (weight, bias) in enumerate(m.convs):
+        given = got[k - 1] if k else x
+        given = cnn.pool(given) if k and k % 2 == 0 else given
+        if precision == "fp16":
+            weight, given = weight.astype(np.float16).astype(np.float32), given.astype(np.float16).astype(np.float32)
+        elif precision == "int8":
+            weight = cnn._quantised(weight, np.abs(weight).max(axis=(1, 2, 3), keepdims=True) / 127)
+            given = cnn._quantised(given, scales[k - 1] / 127) if k else given
+        want = cnn.conv_relu(given, weight, bias)
+        assert np.abs(got[k] - want).max() < 1e-5 * max(1, want.max())
+    assert (got[8] == cnn.pool(got[7])).all()
+
+
 def test_model_files():
     m = model(3)
     data = m.serialize()
