@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dieflow.functions import kernels
-from dieflow.functions.geometry import RINGS, SECTORS, ZONES, _div, hough_angles, rho, with_buckets
+from dieflow.functions.geometry import FRACTION_BITS, RINGS, SECTORS, ZONES, _div, doubled, hough_angles, hough_table, rho, with_buckets
 from dieflow.patterns import SIGNALS
 
 CLUSTER_FIELDS = ("first", "size", "sum_r", "sum_c", "sum_rr", "sum_cc", "sum_rc", "min_r", "max_r", "min_c", "max_c")
@@ -108,16 +108,36 @@ def cluster_rows(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",), rows:
 # --- the same from exploded dies ---
 
 
-def bin_array(bins: str = "bins") -> Column:
-    """The bins of a map as an array of bigint."""
-    return F.transform(F.sequence(F.lit(1), F.octet_length(bins)), lambda i: F.conv(F.hex(F.substring(bins, i, F.lit(1))), 16, 10).cast("bigint"))
+#: Maps whose dies are in one task at once.
+TASK_MAPS = 2048
+
+
+def bin_arrays(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> DataFrame:
+    """The kept columns, rows and cols (bigint) and codes, the bins of the map as an array."""
+    given = _given(wafers, keep)
+
+    def run(batches):
+        for batch in batches:
+            maps = batch.column(len(keep) + 2)
+            data = [b or b"" for b in maps.to_pylist()]
+            codes = pa.array(np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int16))
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, data)]), pa.int32()), codes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(batch.column(len(keep) + k).cast(pa.int64()) for k in range(2)), listed], names=[*keep, "rows", "cols", "codes"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema[: len(keep)])
+    return given.mapInArrow(run, f"{kinds}rows bigint, cols bigint, codes array<smallint>")
 
 
 def dies(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> DataFrame:
-    """One row a grid position: the kept columns, rows, cols, r, c and bin, all bigint."""
-    codes = bin_array()
-    each = wafers.select(*keep, F.col("rows").cast("bigint"), F.col("cols").cast("bigint"), F.posexplode(codes).alias("i", "bin"))
-    return each.select(*keep, "rows", "cols", _div(F.col("i").cast("bigint"), F.col("cols")).alias("r"), F.pmod(F.col("i").cast("bigint"), F.col("cols")).alias("c"), "bin")
+    """One row a grid position: the kept columns, rows, cols, r, c and bin, all bigint.
+
+    Maps are dealt out by the first kept column, TASK_MAPS of them to a task,
+    while they are bytes: what groups or joins dies by it moves none of them.
+    """
+    tasks = max(wafers.sparkSession.sparkContext.defaultParallelism, -(-wafers.count() // TASK_MAPS))
+    dealt = bin_arrays(wafers, keep).repartition(tasks, keep[0])
+    each = dealt.select(*keep, "rows", "cols", F.posexplode("codes").alias("i", "bin"))
+    return each.select(*keep, "rows", "cols", _div(F.col("i").cast("bigint"), F.col("cols")).alias("r"), F.pmod(F.col("i").cast("bigint"), F.col("cols")).alias("c"), F.col("bin").cast("bigint").alias("bin"))
 
 
 def on_wafer(bin_: Column) -> Column:
@@ -158,20 +178,57 @@ def densities(f: DataFrame) -> DataFrame:
     return out.withColumns(more).withColumns({"center_ratio": F.col("zone_ratio_0"), "edge_ratio": F.col(f"zone_ratio_{ZONES - 1}")})
 
 
+def _accumulated(die: DataFrame, key: str, peaks: bool) -> DataFrame:
+    """(key, angle, rho, votes) of every bin that has fails, or of each map's peak.
+
+    A map's fails come together as one row, and its votes are counted in place:
+    180 rows for each fail are never made.
+    """
+    x, y = doubled(F.col("r"), F.col("c"), F.col("rows"), F.col("cols"))
+    given = die.where(is_fail(F.col("bin"))).groupBy(key).agg(F.collect_list(F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))).alias("at"))
+    cos, sin = (t.astype(np.int32) for t in hough_table())
+
+    def run(batches):
+        for batch in batches:
+            keys, listed = batch.column(0), batch.column(1)
+            x, y = (f.to_numpy() for f in listed.flatten().flatten())
+            ends = np.cumsum(listed.value_lengths().to_numpy())
+            of, found = [], []
+            for k, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                # Sizes are 16 bits in wafer files and cosines have 15: a product of a larger map may not fit 32 bits.
+                kind = np.int32 if max(np.abs(x[start:end]).max(), np.abs(y[start:end]).max()) < 1 << 15 else np.int64
+                place = np.multiply.outer(cos.astype(kind), x[start:end].astype(kind))
+                place += np.multiply.outer(sin.astype(kind), y[start:end].astype(kind))
+                place >>= FRACTION_BITS + 1
+                low = int(place.min())
+                wide = int(place.max()) - low + 1
+                place += (np.arange(len(cos), dtype=kind) * wide - low)[:, None]
+                n = np.bincount(place.ravel())
+                at = n.argmax(keepdims=True) if peaks else np.flatnonzero(n)
+                of.append(np.full(len(at), k, dtype=np.int32))
+                found.append((at // wide, at % wide + low, n[at]))
+            kinds = (pa.int16(), pa.int32(), pa.int32())
+            for first in range(0, len(of), 16 if not peaks else len(of)):  # some maps a batch: a map has thousands of bins
+                part = slice(first, first + 16 if not peaks else None)
+                own = keys.take(pa.array(np.concatenate(of[part])))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(v), kind) for v, kind in zip(zip(*found[part]), kinds))], names=[key, "angle", "rho", "votes"])
+
+    each = given.mapInArrow(run, f"`{key}` {given.schema[key].dataType.simpleString()}, angle smallint, rho int, votes int")
+    return each.select(key, *(F.col(c).cast("bigint").alias(c) for c in ("angle", "rho", "votes")))
+
+
 def hough_votes(die: DataFrame, key: str = "wafer_id") -> DataFrame:
     """The accumulator: (key, angle, rho, votes) of every bin that has fails."""
-    angles = F.broadcast(hough_angles(die.sparkSession))  # 180 rows
-    bad = with_buckets(die.where(is_fail(F.col("bin")))).select(key, "x", "y")
-    voted = bad.join(angles).select(key, "angle", rho(F.col("x"), F.col("y"), F.col("cos"), F.col("sin")).alias("rho"))
-    return voted.groupBy(key, "angle", "rho").agg(F.count("*").alias("votes"))
+    return _accumulated(die, key, peaks=False)
 
 
 def hough_peaks(die: DataFrame, key: str = "wafer_id") -> DataFrame:
     """(key, angle, rho, votes, line_dies) of the peak: most votes, then the lower angle, then the lower rho."""
-    best = hough_votes(die, key).groupBy(key).agg(F.max(F.struct("votes", (-F.col("angle")).alias("a"), (-F.col("rho")).alias("o"))).alias("b"))
-    peak = best.select(key, (-F.col("b.a")).alias("angle"), (-F.col("b.o")).alias("rho"), F.col("b.votes").alias("votes"))
+    peak = _accumulated(die, key, peaks=True)
     tables = F.broadcast(hough_angles(die.sparkSession))
-    at = with_buckets(die.where(on_wafer(F.col("bin")))).select(key, "x", "y").join(peak.join(tables, "angle"), key)
+    x, y = doubled(F.col("r"), F.col("c"), F.col("rows"), F.col("cols"))
+    on = die.where(on_wafer(F.col("bin"))).select(key, x.alias("x"), y.alias("y"))
+    at = on.join(peak.join(tables, "angle").hint("shuffle_hash"), key)  # a row a map: its dies needn't be sorted
     own = at.where(rho(F.col("x"), F.col("y"), F.col("cos"), F.col("sin")) == F.col("rho"))
     return own.groupBy(key, "angle", "rho", "votes").agg(F.count("*").alias("line_dies"))
 
