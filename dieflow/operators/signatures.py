@@ -149,17 +149,20 @@ def is_fail(bin_: Column) -> Column:
 
 
 def count_features(die: DataFrame, key: str = "wafer_id", geometry: DataFrame | None = None) -> DataFrame:
-    """dies, fails and the counts by bucket (zone_dies_0 and so on) in one aggregate.
+    """dies, fails and the counts by bucket (zone_dies_0 and so on).
 
     With a geometry table (rows, cols, r, c, zone, sector, ring) its buckets
-    count; without one they are computed in place and nothing is joined.
+    count; without one they are computed in place and nothing is joined.  The
+    table goes to every task, as it has a few shapes however many maps there are.
+    Dies are counted by all three buckets first: 48 conditions for each die take
+    longer than all else.
     """
-    given = die.join(geometry, ["rows", "cols", "r", "c"]) if geometry is not None else with_buckets(die)
-    on, bad = on_wafer(F.col("bin")), is_fail(F.col("bin"))
-    out = [F.count_if(on).alias("dies"), F.count_if(bad).alias("fails")]
+    given = die.join(F.broadcast(geometry), ["rows", "cols", "r", "c"]) if geometry is not None else with_buckets(die)
+    cell = given.groupBy(key, "zone", "sector", "ring").agg(F.count_if(on_wafer(F.col("bin"))).alias("dies"), F.count_if(is_fail(F.col("bin"))).alias("fails"))
+    out = [F.sum(what).alias(what) for what in ("dies", "fails")]
     for name, n in (("zone", ZONES), ("sector", SECTORS), ("ring", RINGS)):
-        out += [F.count_if(m & (F.col(name) == k)).alias(f"{name}_{what}_{k}") for what, m in (("dies", on), ("fails", bad)) for k in range(n)]
-    return given.groupBy(key).agg(*out)
+        out += [F.sum(F.when(F.col(name) == k, F.col(what)).otherwise(0)).alias(f"{name}_{what}_{k}") for what in ("dies", "fails") for k in range(n)]
+    return cell.groupBy(key).agg(*out)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -72,3 +72,21 @@ def test_tasks_grow_with_the_maps(spark, maps, monkeypatch):
     assert die.rdd.getNumPartitions() == len(rows) + 1
     got = Counter((d.wafer_id, d.r, d.c, d.bin) for d in die.collect())
     assert got == Counter((k, i // c, i % c, b) for k, r, c, bins in [*rows, (99, 2, 2, b"\0\1\1\0")] for i, b in enumerate(bins))
+
+
+def test_dies_stay_with_any_geometry_and_meet_few_conditions(spark):
+    from dieflow.functions import geometry
+
+    w = wafers(spark, SF)
+    table = geometry.geometry_table(spark, w.select("rows", "cols"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = signatures.count_features(signatures.dies(w), geometry=table)
+        text = plan(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    first = [x for x in text.splitlines() if "HashAggregate(keys=[wafer_id" in x and "zone" in x.split("functions=")[0]]
+    assert first and all(x.count("count(") + x.count("count_if(") <= 2 for x in first)
+    assert sorted(joined.collect()) == sorted(signatures.count_features(signatures.dies(w)).collect())
