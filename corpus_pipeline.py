@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a five-word shingle similarity of 0.8 or more, the one with the smallest id; rows without an id stay.
 
-    SimHash's own representatives() picks the rows; near.groups() stands in for
-    its fingerprints, which can't tell similarities of 0.8 (see near.py).
+    SimHash's covering tables propose the copies whose fingerprints are close;
+    its fingerprints can't tell all similarities of 0.8, so near.groups() adds
+    proposals by minimum hashes and whole sets decide about both (see near.py).
     """
     return simhash.representatives(docs, grouped=near.groups)
 

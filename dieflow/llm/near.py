@@ -1,8 +1,11 @@
 """Near-duplicate groups by the Jaccard similarity of five-word shingles.
 
-SimHash can't find these pairs: at a similarity of 0.8 two 64-bit fingerprints
-differ in about ten bits, for which a covering family has over a thousand masks.
-So this stage proposes pairs by minimum hashes, and whole sets decide.
+SimHash comes first: every set has a fingerprint, and fingerprints that the
+covering family links at RADIUS or fewer differing bits propose their sets.
+It can't find all: at a similarity of 0.8 two 64-bit fingerprints differ in
+about ten bits, for which a covering family has over a thousand masks.  So
+minimum hashes propose the pairs that lie further apart, and whole sets decide
+about the proposals of both.
 
 Every text becomes its set of shingles, each by 32 bits of hash; texts with
 equal sets are one vertex.  BANDS keys of ROWS minimum hashes each propose
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 
 from dieflow.llm.common import cut, discard, map_batches, utf8, word_blocks
 from dieflow.llm.components import connected_components
+from dieflow.llm import simhash
 from dieflow.llm.simhash import placed
 
 SIZE, SIMILARITY = 5, 0.8
+RADIUS = 2
 BANDS, ROWS = 16, 4
 BUCKET, WAYS, SLICE = 16, 2, 512
 SEED = 42
@@ -83,6 +88,15 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return _mix((least.reshape(len(sets), BANDS, ROWS) * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is set where over half the hashes set it; the empty set gives 0."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(shingles), STRETCH):
+        h = _mix(_mix((shingles[at : at + STRETCH].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8")[0])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Shared over all shingles of two sorted sets."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -90,20 +104,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _read(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns, id (equal for equal sets), keys and set of every row; texts without words have no keys."""
+    """The kept columns, id (equal for equal sets), fp (its SimHash), keys and set of every row; texts without words have no keys."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in utf8(batch.column(batch.num_columns - 1))]
         ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+        fps = np.array([fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
         full = [s for s in sets if len(s)]
         keys = bands(full).view(np.int64).ravel() if full else np.zeros(0, dtype=np.int64)
         listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS * (len(s) > 0) for s in sets)]), pa.int32()), pa.array(keys))
         data = pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids), listed, data], names=[*keep, "id", "keys", "set"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids), pa.array(fps), listed, data], names=[*keep, "id", "fp", "keys", "set"])
 
     given = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1])
-    return map_batches(given, run, f"{kinds}, id long, keys array<bigint>, `set` binary", rows=64)
+    return map_batches(given, run, f"{kinds}, id long, fp long, keys array<bigint>, `set` binary", rows=64)
 
 
 def shared_keys(sets: DataFrame) -> DataFrame:
@@ -132,9 +147,20 @@ def pairs(met: DataFrame, bucket: int = BUCKET, ways: int = WAYS) -> DataFrame:
     return near.unionAll(deals[0]).unionAll(deals[1]).unionAll(first).distinct()
 
 
-def links(read: DataFrame, met: DataFrame, bucket: int = BUCKET, ways: int = WAYS) -> DataFrame:
-    """Edges (a, b) between ids of proposed sets whose similarity is at least SIMILARITY."""
-    proposed = cut(pairs(met, bucket, ways), "proposed")
+def by_fingerprints(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Proposals (a, b), a < b, of distinct ids whose fingerprints SimHash links at up to `radius` bits; one id stands for each fingerprint and is paired with its others."""
+    least = cut(sets.groupBy("fp").agg(F.min("id").alias("least")), "fps")
+    linked = simhash.links(least.select("fp"), radius)
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")
+    between = linked.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    equal = sets.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return between.unionAll(equal)
+
+
+def links(read: DataFrame, met: DataFrame, bucket: int = BUCKET, ways: int = WAYS, more: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between ids of sets, proposed by keys or by `more`, whose similarity is at least SIMILARITY."""
+    proposed = pairs(met, bucket, ways)
+    proposed = cut(proposed if more is None else proposed.unionAll(more).distinct(), "proposed")
     sets = _sets(read, proposed.select(F.explode(F.array("a", "b")).alias("id")))
     both = proposed.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
@@ -211,8 +237,10 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tu
     """
     given = _read(docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text")), ("doc_id", *keep))
     read = cut(given.withColumn("row", F.monotonically_increasing_id()), "shingles")
-    met = shared_keys(read.where(F.size("keys") > 0).select("id", "keys").dropDuplicates(["id"]))
-    found = links(read, met, bucket, ways)
+    each = cut(read.where(F.size("keys") > 0).select("id", "fp", "keys").dropDuplicates(["id"]), "each")
+    met = shared_keys(each.select("id", "keys"))
+    found = links(read, met, bucket, ways, by_fingerprints(each.select("id", "fp")))
+    discard(each)
     roots = cut(connected_components(found), "roots")
     if not met.where(F.col("n") > bucket).isEmpty():
         found = cut(found.unionAll(rest(read, met, roots, bucket)), "links")
