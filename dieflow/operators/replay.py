@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,29 +104,38 @@ def _first_change(before: DataFrame | None, after: DataFrame, latency_us: int) -
 
 
 def replay_in_order(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None) -> DataFrame:
-    """The same one wafer after the other, with forgetting and the cross-lot rule; adds evictions, the count at that wafer."""
+    """The same one wafer after the other, with forgetting and the cross-lot rule; adds evictions, the count at that wafer.
+
+    Spark sorts each key's wafers, and they are read a batch at a time: a task
+    holds what the rule remembers and the held lots, however many wafers a key has.
+    """
     names = wafers.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wafers.schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="__tool").sort_values(["at_us", "pos"], kind="stable").reset_index(drop=True)
-        rule, lands, rows = HoldRule(config), {}, []
-        for lot, pattern, at in zip(pdf["lot"], pdf["pattern"], pdf["at_us"]):
-            if lot in lands and at > lands[lot]:
-                rows.append((True, False, False, rule.evictions))
-                continue
-            before = rule.tool_holds
-            hit = rule.observe(lot, pattern, int(at))
-            if hit:
-                lands[lot] = int(at) + latency_us
-            rows.append((False, hit is not None, rule.tool_holds > before, rule.evictions))
-        more = pd.DataFrame(rows, columns=["withheld", "holds", "by_tool", "evictions"])
-        out = pd.concat([pdf, more], axis=1)
-        out["lands_us"] = pd.array([lands.get(x) for x in pdf["lot"]], dtype="Int64")
-        return out[[*names, "withheld", "holds", "by_tool", "lands_us", "evictions"]]
+    at_column = names.index("at_us")
+
+    def run(batches):
+        tool, rule, lands = object(), None, {}
+        for batch in batches:
+            rows = []
+            for own, lot, pattern, at in zip(*(batch.column(c).to_pylist() for c in (len(names), names.index("lot"), names.index("pattern"), at_column))):
+                if own != tool:
+                    tool, rule, lands = own, HoldRule(config), {}
+                if lot in lands and at > lands[lot]:
+                    rows.append((True, False, False, rule.evictions))
+                    continue
+                before = rule.tool_holds
+                hit = rule.observe(lot, pattern, at)
+                if hit:
+                    lands[lot] = at + latency_us
+                rows.append((False, hit is not None, rule.tool_holds > before, rule.evictions))
+            more = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "__tool", "withheld", "holds", "by_tool", "evictions"])
 
     keyed = wafers.withColumn("__tool", F.col(key).cast("string") if key else F.lit(""))
-    return keyed.groupBy("__tool").applyInPandas(run, f"{kinds}, withheld boolean, holds boolean, by_tool boolean, lands_us bigint, evictions bigint")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    seen = keyed.repartition("__tool").sortWithinPartitions("__tool", "at_us", "pos").mapInArrow(run, f"{kinds}, withheld boolean, holds boolean, by_tool boolean, evictions bigint")
+    # A lot that was forgotten may be held again: its last hold counts.
+    lands = (F.max(F.when(F.col("holds"), F.col("at_us"))).over(W.partitionBy("__tool", "lot")) + latency_us).cast("bigint")
+    return seen.select(*names, "withheld", "holds", "by_tool", lands.alias("lands_us"), "evictions")
 
 
 def outcomes(replayed: DataFrame, excursion_of: DataFrame, excursions: DataFrame) -> DataFrame:
