@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dieflow.functions import kernels
-from dieflow.functions.geometry import FRACTION_BITS, RINGS, SECTORS, ZONES, _div, doubled, hough_angles, hough_table, rho, with_buckets
+from dieflow.functions.geometry import FRACTION_BITS, RINGS, SECTORS, ZONES, _div, hough_table, with_buckets
 from dieflow.patterns import SIGNALS
 
 CLUSTER_FIELDS = ("first", "size", "sum_r", "sum_c", "sum_rr", "sum_cc", "sum_rc", "min_r", "max_r", "min_c", "max_c")
@@ -128,13 +128,16 @@ def bin_arrays(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> Data
     return given.mapInArrow(run, f"{kinds}rows bigint, cols bigint, codes array<smallint>")
 
 
-def dies(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> DataFrame:
+def dies(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",), maps: int | None = None) -> DataFrame:
     """One row a grid position: the kept columns, rows, cols, r, c and bin, all bigint.
 
     Maps are dealt out by the first kept column, TASK_MAPS of them to a task,
     while they are bytes: what groups or joins dies by it moves none of them.
+    Who knows how many maps there are gives `maps`; else they are counted, which
+    makes each once more.
     """
-    tasks = max(wafers.sparkSession.sparkContext.defaultParallelism, -(-wafers.count() // TASK_MAPS))
+    maps = wafers.count() if maps is None else maps
+    tasks = max(wafers.sparkSession.sparkContext.defaultParallelism, -(-maps // TASK_MAPS))
     dealt = bin_arrays(wafers, keep).repartition(tasks, keep[0])
     each = dealt.select(*keep, "rows", "cols", F.posexplode("codes").alias("i", "bin"))
     return each.select(*keep, "rows", "cols", _div(F.col("i").cast("bigint"), F.col("cols")).alias("r"), F.pmod(F.col("i").cast("bigint"), F.col("cols")).alias("c"), F.col("bin").cast("bigint").alias("bin"))
@@ -181,43 +184,75 @@ def densities(f: DataFrame) -> DataFrame:
     return out.withColumns(more).withColumns({"center_ratio": F.col("zone_ratio_0"), "edge_ratio": F.col(f"zone_ratio_{ZONES - 1}")})
 
 
+#: Columns in a word of dies.
+WORD = 32
+
+
+def words(die: DataFrame, key: str = "wafer_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, more, r, w, on, bad): a map's rows by words of WORD columns; bit c - WORD * w is the die at c, if on the wafer and if failing.
+
+    A die costs one update of an aggregate here; what follows has some thirty
+    rows a map, not hundreds.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(c & {WORD - 1} as int))")
+    on = die.where(on_wafer(F.col("bin")))
+    return on.groupBy(key, *more, "r", F.shiftright("c", WORD.bit_length() - 1).alias("w")).agg(F.bit_or(bit).alias("on"), F.bit_or(F.when(is_fail(F.col("bin")), bit).otherwise(0)).alias("bad"))
+
+
+def _offsets(of: dict[str, np.ndarray], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Doubled offsets x and y of the dies set in a map's words."""
+    word, at = np.divmod(np.flatnonzero(np.unpackbits(of[name].astype("<u4").view(np.uint8), bitorder="little")), WORD)
+    return 2 * (of["w"][word] * WORD + at) - (of["cols"][word] - 1), (of["rows"][word] - 1) - 2 * of["r"][word]
+
+
 def _accumulated(die: DataFrame, key: str, peaks: bool) -> DataFrame:
-    """(key, angle, rho, votes) of every bin that has fails, or of each map's peak.
+    """(key, angle, rho, votes) of every bin that has fails, or of each map's peak, with line_dies.
 
-    A map's fails come together as one row, and its votes are counted in place:
-    180 rows for each fail are never made.
+    A map's words come together as one row, and its votes are counted in place:
+    180 rows for each fail are never made, and dies are read once.
     """
-    x, y = doubled(F.col("r"), F.col("c"), F.col("rows"), F.col("cols"))
-    given = die.where(is_fail(F.col("bin"))).groupBy(key).agg(F.collect_list(F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))).alias("at"))
+    fields = ("rows", "cols", "r", "w", "on", "bad")
+    given = words(die, key, ("rows", "cols")).groupBy(key).agg(F.collect_list(F.struct(*(F.col(f).cast("bigint").alias(f) for f in fields))).alias("at"))
     cos, sin = (t.astype(np.int32) for t in hough_table())
+    kinds = {"angle": pa.int16(), "rho": pa.int32(), "votes": pa.int32()} | ({"line_dies": pa.int64()} if peaks else {})
 
     def run(batches):
         for batch in batches:
             keys, listed = batch.column(0), batch.column(1)
-            x, y = (f.to_numpy() for f in listed.flatten().flatten())
+            every = dict(zip(fields, (f.to_numpy() for f in listed.flatten().flatten())))
             ends = np.cumsum(listed.value_lengths().to_numpy())
             of, found = [], []
             for k, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                own = {f: v[start:end] for f, v in every.items()}
+                x, y = _offsets(own, "bad")
+                if not len(x):
+                    continue
                 # Sizes are 16 bits in wafer files and cosines have 15: a product of a larger map may not fit 32 bits.
-                kind = np.int32 if max(np.abs(x[start:end]).max(), np.abs(y[start:end]).max()) < 1 << 15 else np.int64
-                place = np.multiply.outer(cos.astype(kind), x[start:end].astype(kind))
-                place += np.multiply.outer(sin.astype(kind), y[start:end].astype(kind))
+                kind = np.int32 if max(np.abs(x).max(), np.abs(y).max()) < 1 << 15 else np.int64
+                place = np.multiply.outer(cos.astype(kind), x.astype(kind))
+                place += np.multiply.outer(sin.astype(kind), y.astype(kind))
                 place >>= FRACTION_BITS + 1
                 low = int(place.min())
                 wide = int(place.max()) - low + 1
                 place += (np.arange(len(cos), dtype=kind) * wide - low)[:, None]
                 n = np.bincount(place.ravel())
                 at = n.argmax(keepdims=True) if peaks else np.flatnonzero(n)
+                values = [at // wide, at % wide + low, n[at]]
+                if peaks:
+                    x, y = _offsets(own, "on")
+                    line = (x * int(cos[values[0][0]]) + y * int(sin[values[0][0]])) >> (FRACTION_BITS + 1)
+                    values.append(np.count_nonzero(line == values[1], keepdims=True))
                 of.append(np.full(len(at), k, dtype=np.int32))
-                found.append((at // wide, at % wide + low, n[at]))
-            kinds = (pa.int16(), pa.int32(), pa.int32())
-            for first in range(0, len(of), 16 if not peaks else len(of)):  # some maps a batch: a map has thousands of bins
-                part = slice(first, first + 16 if not peaks else None)
-                own = keys.take(pa.array(np.concatenate(of[part])))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(v), kind) for v, kind in zip(zip(*found[part]), kinds))], names=[key, "angle", "rho", "votes"])
+                found.append(values)
+            step = max(1, len(of)) if peaks else 16  # some maps a batch: a map has thousands of bins
+            for first in range(0, len(of), step):
+                part = slice(first, first + step)
+                mine = keys.take(pa.array(np.concatenate(of[part])))
+                yield pa.RecordBatch.from_arrays([mine, *(pa.array(np.concatenate(v), kind) for v, kind in zip(zip(*found[part]), kinds.values()))], names=[key, *kinds])
 
-    each = given.mapInArrow(run, f"`{key}` {given.schema[key].dataType.simpleString()}, angle smallint, rho int, votes int")
-    return each.select(key, *(F.col(c).cast("bigint").alias(c) for c in ("angle", "rho", "votes")))
+    more = ", line_dies bigint" if peaks else ""
+    each = given.mapInArrow(run, f"`{key}` {given.schema[key].dataType.simpleString()}, angle smallint, rho int, votes int{more}")
+    return each.select(key, *(F.col(c).cast("bigint").alias(c) for c in kinds))
 
 
 def hough_votes(die: DataFrame, key: str = "wafer_id") -> DataFrame:
@@ -227,13 +262,7 @@ def hough_votes(die: DataFrame, key: str = "wafer_id") -> DataFrame:
 
 def hough_peaks(die: DataFrame, key: str = "wafer_id") -> DataFrame:
     """(key, angle, rho, votes, line_dies) of the peak: most votes, then the lower angle, then the lower rho."""
-    peak = _accumulated(die, key, peaks=True)
-    tables = F.broadcast(hough_angles(die.sparkSession))
-    x, y = doubled(F.col("r"), F.col("c"), F.col("rows"), F.col("cols"))
-    on = die.where(on_wafer(F.col("bin"))).select(key, x.alias("x"), y.alias("y"))
-    at = on.join(peak.join(tables, "angle").hint("shuffle_hash"), key)  # a row a map: its dies needn't be sorted
-    own = at.where(rho(F.col("x"), F.col("y"), F.col("cos"), F.col("sin")) == F.col("rho"))
-    return own.groupBy(key, "angle", "rho", "votes").agg(F.count("*").alias("line_dies"))
+    return _accumulated(die, key, peaks=True)
 
 
 def join_counts(die: DataFrame, key: str = "wafer_id") -> DataFrame:

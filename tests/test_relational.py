@@ -96,3 +96,15 @@ def test_imported_maps_are_listed_once(spark):
     from dieflow.plans import queries as Q
 
     assert "conv(" not in plan(Q.QUERIES["fab_import"](spark, SF))
+
+
+def test_dies_are_read_once_for_peaks(spark):
+    text = plan(signatures.hough_peaks(signatures.dies(wafers(spark, SF))))
+    assert text.count("hashpartitioning(wafer_id") == 1 and "Join" not in text
+
+
+def test_known_counts_make_no_map_twice(spark):
+    w = wafers(spark, SF)
+    spark.sparkContext.setJobGroup("dealt", "")
+    signatures.dies(w, maps=200)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("dealt")
