@@ -266,24 +266,27 @@ def hough_peaks(die: DataFrame, key: str = "wafer_id") -> DataFrame:
 
 
 def join_counts(die: DataFrame, key: str = "wafer_id") -> DataFrame:
-    """(key, dies, fails, joins, join_pairs, fail_joins), by listing each die under its neighbours' places.
+    """(key, dies, fails, joins, join_pairs, fail_joins), by listing each word of dies under its neighbours' places.
 
-    One aggregate brings a place and its neighbours together, so there is no
-    self-join: a die sends itself to the places west, north, east and south.
+    One aggregate brings a word and its neighbours together, so there is no
+    self-join: a word sends itself to the places west, north, east and south.
     """
-    on = die.where(on_wafer(F.col("bin"))).select(key, "r", "c", is_fail(F.col("bin")).cast("bigint").alias("bad"))
-    places = F.array(*(F.struct(F.lit(d).alias("d"), (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for d, dr, dc in (("own", 0, 0), ("from_n", 1, 0), ("from_w", 0, 1), ("from_s", -1, 0), ("from_e", 0, -1))))
-    sent = on.select(key, "bad", F.explode(places).alias("p")).select(key, "bad", "p.d", "p.r", "p.c")
-    own = F.col("d") == "own"
-    before = F.col("d").isin("from_n", "from_w")
-    met = sent.groupBy(key, "r", "c").agg(
-        F.max(F.when(own, F.col("bad"))).alias("bad"),
-        F.count_if(~own).alias("degree"),
-        F.count_if(before).alias("joins"),
-        F.coalesce(F.sum(F.when(before, F.col("bad"))), F.lit(0)).alias("bad_before"),
-    ).where("bad is not null")
-    pairs = F.expr("degree * (degree - 1) div 2")
-    return met.groupBy(key).agg(F.count("*").alias("dies"), F.sum("bad").alias("fails"), F.sum("joins").alias("joins"), F.sum(pairs).alias("join_pairs"), F.sum(F.col("bad") * F.col("bad_before")).alias("fail_joins"))
+    sides = (("own", 0, 0), ("from_n", 1, 0), ("from_w", 0, 1), ("from_s", -1, 0), ("from_e", 0, -1))
+    places = F.array(*(F.struct(F.lit(d).alias("d"), (F.col("r") + dr).alias("r"), (F.col("w") + dw).alias("w")) for d, dr, dw in sides))
+    sent = words(die, key).select(key, "on", "bad", F.explode(places).alias("p")).select(key, "on", "bad", "p.*")
+    of = lambda d, what: F.max(F.when(F.col("d") == d, F.col(what)))
+    zero = F.lit(0).cast("bigint")
+    met = sent.groupBy(key, "r", "w").agg(
+        of("own", "on").alias("on"), of("own", "bad").alias("bad"),
+        *(F.coalesce(of(f"from_{d}", what), zero).alias(f"{d}_{what}") for d, what in (("n", "on"), ("n", "bad"), ("w", "on"), ("w", "bad"), ("s", "on"), ("e", "on"))),
+    ).where("`on` is not null")
+    # Within a word the neighbour west is a bit lower, and bit 0 has its own in the word west.
+    west = lambda what: F.shiftleft(what, 1).bitwiseAND((1 << WORD) - 1).bitwiseOR(F.shiftright(f"w_{what}", WORD - 1))
+    east = F.shiftright("on", 1).bitwiseOR(F.shiftleft(F.col("e_on").bitwiseAND(1), WORD - 1))
+    met = met.select(key, "on", "bad", *(c.bitwiseAND(F.col("on")).alias(d) for d, c in (("n", F.col("n_on")), ("w", west("on")), ("s", F.col("s_on")), ("e", east))), F.col("n_bad").bitwiseAND(F.col("bad")).alias("bad_n"), west("bad").bitwiseAND(F.col("bad")).alias("bad_w"))
+    bits = lambda *names: sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
+    pairs = bits(*(F.col(a).bitwiseAND(F.col(b)) for a, b in ("nw", "ns", "ne", "ws", "we", "se")))
+    return met.groupBy(key).agg(F.sum(bits("on")).alias("dies"), F.sum(bits("bad")).alias("fails"), F.sum(bits("n", "w")).alias("joins"), F.sum(pairs).alias("join_pairs"), F.sum(bits("bad_n", "bad_w")).alias("fail_joins"))
 
 
 def join_counts_of_maps(wafers: DataFrame, keep: tuple[str, ...] = ("wafer_id",)) -> DataFrame:

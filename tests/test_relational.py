@@ -103,6 +103,27 @@ def test_dies_are_read_once_for_peaks(spark):
     assert text.count("hashpartitioning(wafer_id") == 1 and "Join" not in text
 
 
+def test_places_are_not_listed_die_by_die(spark):
+    """What the joins' Generate copies is a word of dies: dies are counted into words below it."""
+    text = plan(signatures.join_counts(signatures.dies(wafers(spark, SF))))
+    assert "bit_or" in text.split("explode(array(")[1]
+
+
+def test_joins_across_words(spark):
+    """Maps wider than a word, and with empty places at its ends."""
+    rng = np.random.default_rng(3)
+    maps = {k: rng.choice([0, 1, 2, 7], (r, c), p=[0.2, 0.3, 0.3, 0.2]) for k, (r, c) in enumerate([(3, 31), (3, 32), (4, 33), (2, 64), (5, 97), (70, 1)])}
+    rows = [(k, *m.shape, r, c, int(m[r, c])) for k, m in maps.items() for r, c in np.ndindex(m.shape)]
+    got = {j.wafer_id: (j.dies, j.fails, j.joins, j.join_pairs, j.fail_joins) for j in signatures.join_counts(spark.createDataFrame(rows, "wafer_id int, rows bigint, cols bigint, r bigint, c bigint, bin bigint")).collect()}
+    want = {}
+    for k, m in maps.items():
+        on = {at for at in np.ndindex(m.shape) if m[at]}
+        near = {(r, c): [at for at in ((r - 1, c), (r, c - 1), (r + 1, c), (r, c + 1)) if at in on] for r, c in on}
+        pairs = [(a, b) for a, n in near.items() for b in n if a < b]
+        want[k] = (len(on), sum(m[at] >= 2 for at in on), len(pairs), sum(len(n) * (len(n) - 1) // 2 for n in near.values()), sum(m[a] >= 2 and m[b] >= 2 for a, b in pairs))
+    assert got == want
+
+
 def test_known_counts_make_no_map_twice(spark):
     w = wafers(spark, SF)
     spark.sparkContext.setJobGroup("dealt", "")
