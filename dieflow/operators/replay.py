@@ -10,9 +10,10 @@ see, and holds are supposed and found anew until they agree.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,14 +33,17 @@ def replay(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | No
     order, and one task.
     """
     if config.tool_k:
-        tool = F.col(key).cast("string") if key else F.lit("")
-        most = wafers.groupBy(tool.alias("tool")).agg(F.countDistinct("lot").alias("n")).agg(F.max("n")).first()[0] or 0
-        return replay_in_order(wafers, config, latency_us, key) if most > config.lots else replay_to_fixed_point(wafers, config, latency_us, key)[0]
+        return replay_in_order(wafers, config, latency_us, key) if _most_lots(wafers, key) > config.lots else replay_to_fixed_point(wafers, config, latency_us, key)[0]
     held = holds(wafers, config).select("lot", F.col("pos").alias("held_pos"), (F.col("at_us") + latency_us).alias("lands_us"))
     both = wafers.join(held, "lot", "left")
     return both.select(*wafers.columns, F.coalesce(F.col("at_us") > F.col("lands_us"), F.lit(False)).alias("withheld"), F.coalesce(F.col("pos") == F.col("held_pos"), F.lit(False)).alias("holds"), F.lit(False).alias("by_tool"), "lands_us")
 
 
+def _most_lots(wafers: DataFrame, key: str | None) -> int:
+    tool = F.col(key).cast("string") if key else F.lit("")
+    return wafers.groupBy(tool.alias("tool")).agg(F.countDistinct("lot").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def replay_to_fixed_point(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None, most_rounds: int = 1000) -> tuple[DataFrame, int]:
     """The replay with both rules where nothing is forgotten, in parallel; and how many rounds it took.
 
@@ -54,27 +58,49 @@ def replay_to_fixed_point(wafers: DataFrame, config: HoldConfig, latency_us: int
 
     An error is raised after most_rounds.  A null key counts as the empty one.
     """
-    names = wafers.columns
+    keyed, held, rounds = _fixed_points(wafers, [config], latency_us, key, most_rounds)
+    mine = held.select(F.col("tool").alias("__tool"), "lot", F.col("pos").alias("__pos"), F.col("by_tool").alias("__by"), (F.col("at_us") + latency_us).alias("lands_us"))
+    both = keyed.join(mine, ["__tool", "lot"], "left")
+    return both.select(*wafers.columns, *_seen("__pos", "__by", "lands_us"), "lands_us", F.lit(0).cast("bigint").alias("evictions")), rounds[0]
+
+
+def _seen(pos: str, by_tool: str, lands_us: str) -> list[Column]:
+    """withheld, holds and by_tool of a wafer whose lot is first held so, or never where these are null."""
+    here = F.coalesce(F.col("pos") == F.col(pos), F.lit(False))
+    return [F.coalesce(F.col("at_us") > F.col(lands_us), F.lit(False)).alias("withheld"), here.alias("holds"), (here & F.coalesce(by_tool, F.lit(False))).alias("by_tool")]
+
+
+def _fixed_points(wafers: DataFrame, configs: Sequence[HoldConfig], latency_us: int, key: str | None, most_rounds: int = 1000) -> tuple[DataFrame, DataFrame, list[int]]:
+    """wafers plus __tool, the first holds (config, tool, lot, at_us, pos, by_tool) by the config's place, and the rounds of each config.
+
+    The configs have one k and one window: what the rule within a lot says is
+    found once for all, and a round is one job for all that still change.  A
+    lot is held by that rule at the latest, whatever the other says, so its
+    wafers after that hold has landed are never observed and are left out.
+    """
+    k, window = configs[0].k, configs[0].window
     tool = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")
     keyed = wafers.withColumn("__tool", tool)
     narrow = keyed.select(F.col("__tool").alias("tool"), "lot", "pattern", F.col("at_us").cast("bigint").alias("at_us"), F.col("pos").cast("bigint").alias("pos"))
-    w = W.partitionBy("tool", "lot").orderBy("at_us", "pos").rowsBetween(1 - config.window, 0)
-    same = F.size(F.filter(F.collect_list("pattern").over(w), lambda p: p == F.col("pattern")))
-    says = written(narrow.withColumn("in_lot", same >= config.k).where(patterned(F.col("pattern"))), "says")
-    held, since, rounds = None, None, 0
-    while True:
-        if rounds == most_rounds:
-            raise RuntimeError(f"no fixed point after {rounds} rounds, final up to {since}")
-        new = written(_first_holds(says, held, since, config, latency_us), "held")
-        rounds += 1
-        since = _first_change(held, new, latency_us)
-        held = new
-        if since is None:
-            break
-    mine = held.select(F.col("tool").alias("__tool"), "lot", F.col("pos").alias("__pos"), F.col("by_tool").alias("__by"), (F.col("at_us") + latency_us).alias("lands_us"))
-    both = keyed.join(mine, ["__tool", "lot"], "left")
-    here = F.coalesce(F.col("pos") == F.col("__pos"), F.lit(False))
-    return both.select(*names, F.coalesce(F.col("at_us") > F.col("lands_us"), F.lit(False)).alias("withheld"), here.alias("holds"), (here & F.coalesce("__by", F.lit(False))).alias("by_tool"), "lands_us", F.lit(0).cast("bigint").alias("evictions")), rounds
+    order = W.partitionBy("tool", "lot").orderBy("at_us", "pos")
+    same = F.size(F.filter(F.collect_list("pattern").over(order.rowsBetween(1 - window, 0)), lambda p: p == F.col("pattern")))
+    told = narrow.withColumn("in_lot", (same >= k) & patterned(F.col("pattern")))
+    told = told.withColumn("latest_us", F.min(F.when(F.col("in_lot"), F.col("at_us") + max(0, latency_us))).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    says = written(told.where(patterned(F.col("pattern")) & (F.col("latest_us").isNull() | (F.col("at_us") <= F.col("latest_us")))).drop("latest_us"), "says")
+    held, since, rounds, active = None, {}, [0] * len(configs), list(range(len(configs)))
+    while active:
+        if rounds[active[0]] == most_rounds:
+            raise RuntimeError(f"no fixed point after {most_rounds} rounds, final up to {min(since.values())}")
+        of = lambda i: None if held is None else held.where(F.col("config") == i).drop("config")  # noqa: B023, E731
+        parts = [_first_holds(says, of(i), since.get(i), configs[i], latency_us).select(F.lit(i).alias("config"), "*") for i in active]
+        if len(active) < len(configs):
+            parts.append(held.where(~F.col("config").isin(active)))
+        new = written(reduce(DataFrame.unionByName, parts), "held")
+        for i in active:
+            rounds[i] += 1
+        since = _first_changes(held, new, latency_us)
+        held, active = new, [i for i in active if i in since]
+    return keyed, held, rounds
 
 
 def _first_holds(says: DataFrame, held: DataFrame | None, since: int | None, config: HoldConfig, latency_us: int) -> DataFrame:
@@ -92,15 +118,15 @@ def _first_holds(says: DataFrame, held: DataFrame | None, since: int | None, con
     return found.groupBy("tool", "lot").agg(F.min(F.struct("at_us", "pos", "by_tool")).alias("f")).select("tool", "lot", "f.*")
 
 
-def _first_change(before: DataFrame | None, after: DataFrame, latency_us: int) -> int | None:
-    """The first landing that one of two suppositions has and the other hasn't; None if there is none."""
+def _first_changes(before: DataFrame | None, after: DataFrame, latency_us: int) -> dict[int, int]:
+    """By config, the first landing that one of two suppositions has and the other hasn't; those without any are left out."""
     if before is None:
         found = after
     else:
-        columns = ["tool", "lot", "at_us", "pos", "by_tool"]
+        columns = ["config", "tool", "lot", "at_us", "pos", "by_tool"]
         found = before.select(*columns, F.lit(1).alias("n")).unionAll(after.select(*columns, F.lit(-1).alias("n"))).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
-    first = found.agg(F.min("at_us")).first()[0]
-    return None if first is None else first + latency_us
+    first = found.groupBy("config").agg(F.min("at_us").alias("at_us")).where("at_us is not null")
+    return {r.config: r.at_us + latency_us for r in first.collect()}
 
 
 def replay_in_order(wafers: DataFrame, config: HoldConfig, latency_us: int, key: str | None = None) -> DataFrame:
@@ -157,29 +183,53 @@ def outcomes(replayed: DataFrame, excursion_of: DataFrame, excursions: DataFrame
     return excursions.join(by, excursions["id"] == by["excursion_id"], "left").select("id", "pattern", *zero, "first_sorted_us", "hold_us")
 
 
-def totals(replayed: DataFrame, excursion_of: DataFrame | None = None) -> DataFrame:
-    """(sorted, withheld, holds, false_holds, tool_holds, lots, min_lot_gap_us) in one row."""
+def totals(replayed: DataFrame, excursion_of: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(sorted, holds, false_holds, tool_holds, lots, min_lot_gap_us, withheld) in one row, or one for each `by`."""
     known = replayed.join(excursion_of.select("wafer_id", F.lit(True).alias("__known")).distinct(), "wafer_id", "left") if excursion_of is not None else replayed.withColumn("__known", F.lit(None).cast("boolean"))
-    gap = F.col("at_us") - F.lag("at_us").over(W.partitionBy("lot").orderBy("at_us", "pos"))
-    gaps = known.where(~F.col("withheld")).select(F.lit(True).alias("s"), "lot", "holds", "by_tool", "__known", gap.alias("gap"))
-    kept = gaps.agg(
-        F.count("*").alias("sorted"),
-        F.count_if("holds").alias("holds"),
-        F.count_if(F.col("holds") & F.col("__known").isNull()).alias("false_holds"),
-        F.count_if("by_tool").alias("tool_holds"),
-        F.countDistinct("lot").alias("lots"),
-        F.min("gap").alias("min_lot_gap_us"),
+    gap = F.col("at_us") - F.lag("at_us").over(W.partitionBy(*by, "lot", "withheld").orderBy("at_us", "pos"))
+    rows = known.select(*by, "lot", "withheld", "holds", "by_tool", "__known", gap.alias("gap"))
+    seen = ~F.col("withheld")
+    return rows.groupBy(*by).agg(
+        F.count_if(seen).alias("sorted"),
+        F.count_if(seen & F.col("holds")).alias("holds"),
+        F.count_if(seen & F.col("holds") & F.col("__known").isNull()).alias("false_holds"),
+        F.count_if(seen & F.col("by_tool")).alias("tool_holds"),
+        F.countDistinct(F.when(seen, F.col("lot"))).alias("lots"),
+        F.min(F.when(seen, F.col("gap"))).alias("min_lot_gap_us"),
+        F.count_if("withheld").alias("withheld"),
     )
-    return kept.crossJoin(replayed.agg(F.count_if("withheld").alias("withheld")))  # one row each
 
 
 def sweep(wafers: DataFrame, configs: Sequence[HoldConfig], latency_us: int, key: str | None = None) -> DataFrame:
-    """totals() of every config: columns k, window, tool_k, tool_window_us and the totals."""
-    out = None
+    """totals() of every config: columns k, window, tool_k, tool_window_us and the totals.
+
+    Configs with the cross-lot rule that forget nothing are replayed together, as many as have one k and window.
+    """
+    most = _most_lots(wafers, key) if any(c.tool_k for c in configs) else 0
+    together: dict[tuple[int, int], list[HoldConfig]] = {}
+    rows = []
     for c in configs:
-        row = totals(replay(wafers, c, latency_us, key)).select(F.lit(c.k).alias("k"), F.lit(c.window).alias("window"), F.lit(c.tool_k).alias("tool_k"), F.lit(c.tool_window_us).cast("bigint").alias("tool_window_us"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+        if c.tool_k and most <= c.lots:
+            together.setdefault((c.k, c.window), []).append(c)
+        else:
+            rows.append(totals(replay(wafers, c, latency_us, key)).select(F.lit(c.k).alias("k"), F.lit(c.window).alias("window"), F.lit(c.tool_k).alias("tool_k"), F.lit(c.tool_window_us).cast("bigint").alias("tool_window_us"), "*"))
+    return reduce(DataFrame.unionByName, [*rows, *(_sweep_together(wafers, own, latency_us, key) for own in together.values())])
+
+
+def _sweep_together(wafers: DataFrame, configs: Sequence[HoldConfig], latency_us: int, key: str | None) -> DataFrame:
+    keyed, held, _ = _fixed_points(wafers, configs, latency_us, key)
+    hold = F.struct(F.col("pos").alias("p"), F.col("by_tool").alias("b"), (F.col("at_us") + latency_us).alias("lands_us"))
+    # A lot's holds under all configs are one row, so the wafers are joined once.
+    by_lot = held.groupBy(F.col("tool").alias("__tool"), "lot").agg(*(F.max(F.when(F.col("config") == i, hold)).alias(f"__h{i}") for i in range(len(configs))))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("config"), *(F.col(f"__h{i}.{f}").alias(f) for f in ("p", "b", "lands_us"))) for i in range(len(configs))))).alias("h")
+    both = keyed.join(by_lot.hint("shuffle_hash"), ["__tool", "lot"], "left").select("lot", "at_us", "pos", each)
+    replayed = both.select(F.col("h.config").alias("__config"), "lot", "at_us", "pos", *_seen("h.p", "h.b", "h.lands_us"))
+    names = ("k", "window", "tool_k")
+    rows = (F.struct(F.lit(i).alias("__config"), *(F.lit(getattr(c, n)).alias(n) for n in names), F.lit(c.tool_window_us).cast("bigint").alias("tool_window_us")) for i, c in enumerate(configs))
+    given = wafers.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    counts = totals(replayed, by=("__config",))
+    zero = [c if c == "min_lot_gap_us" else F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns[1:]]
+    return given.join(counts, "__config", "left").select("k", "window", "tool_k", "tool_window_us", *zero)
 
 
 def report(outcome: DataFrame, excursions: DataFrame, alarms: DataFrame, wafers: DataFrame, excursion_of: DataFrame) -> DataFrame:
