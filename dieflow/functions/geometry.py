@@ -39,10 +39,10 @@ def _div(a: Column, b: Column) -> Column:
 
 def ring(num: Column, den: Column) -> Column:
     """Equal-width rings, 0 to 9: how many k from 1 to 9 have (k / 10)^2 at most the squared radius."""
-    out = F.lit(0).cast("bigint")
-    for k in range(1, RINGS):
-        out = out + F.when(k * k * den <= RINGS * RINGS * num, 1).otherwise(0)
-    return out
+    # The root's floor, put right by one step, is exact, and it is one condition a side instead of nine.
+    k = F.least(F.floor(RINGS * F.sqrt(num / den)), F.lit(RINGS - 1).cast("bigint"))
+    scaled = RINGS * RINGS * num
+    return k + F.when((k < RINGS - 1) & ((k + 1) * (k + 1) * den <= scaled), 1).otherwise(0) - F.when(k * k * den > scaled, 1).otherwise(0)
 
 
 def sector(x: Column, y: Column, rows: Column, cols: Column) -> Column:
@@ -91,7 +91,9 @@ def with_buckets(die):
     x, y = doubled(F.col("r"), F.col("c"), rows, cols)
     die = die.withColumn("x", x).withColumn("y", y)
     num, den = radius(F.col("x"), F.col("y"), rows, cols)
-    return die.withColumns({"zone": zone(num, den), "sector": sector(F.col("x"), F.col("y"), rows, cols), "ring": ring(num, den)})
+    die = die.withColumns({"__num": num, "__den": den})
+    num, den = F.col("__num"), F.col("__den")
+    return die.withColumns({"zone": zone(num, den), "sector": sector(F.col("x"), F.col("y"), rows, cols), "ring": ring(num, den)}).drop("__num", "__den")
 
 
 @lru_cache(maxsize=512)

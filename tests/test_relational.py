@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dieflow.functions.geometry import hough_table
 from dieflow.operators import signatures
@@ -129,3 +130,16 @@ def test_known_counts_make_no_map_twice(spark):
     spark.sparkContext.setJobGroup("dealt", "")
     signatures.dies(w, maps=200)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("dealt")
+
+
+def test_a_ring_is_two_conditions(spark):
+    from dieflow.functions import geometry
+
+    shapes = spark.createDataFrame([(1, 1), (2, 7), (20, 20), (25, 27), (60, 40)], "rows int, cols int")
+    table = geometry.geometry_table(spark, shapes)
+    for s in ((1, 1), (2, 7), (20, 20), (25, 27), (60, 40)):
+        of = geometry.tables(*s)
+        got = table.where((F.col("rows") == s[0]) & (F.col("cols") == s[1])).orderBy("r", "c").select("ring", "zone").collect()
+        assert [tuple(g) for g in got] == list(zip(of["ring"].tolist(), of["zone"].tolist()))
+    num, den = F.col("num"), F.col("den")
+    assert str(geometry.ring(num, den)).upper().count("WHEN") <= 2
