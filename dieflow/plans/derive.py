@@ -29,10 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan dealt out anew if it has fewer partitions than the session has cores."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame, a_core: int = 1) -> DataFrame:
+    """A scan dealt out anew if it has fewer partitions than the session has cores, or some a core."""
+    parts = scan.sparkSession.sparkContext.defaultParallelism * a_core
+    return scan.repartition(parts) if scan.rdd.getNumPartitions() < parts else scan
 
 
 def hash_of(wafer: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -55,8 +55,8 @@ def paint(ids: np.ndarray, rows: int, cols: int) -> np.ndarray:
     return np.where(num > den, 0, np.where(h < limit, 2 + h % 4, 1)).astype(np.uint8)
 
 
-def wafers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wafer a part, in the schema of wafer files."""
+def wafers(spark: SparkSession, sf_dir: str, a_core: int = 1) -> DataFrame:
+    """One wafer a part, in the schema of wafer files; in at least some partitions a core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +81,7 @@ def wafers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     )
 
     # Ids are a few bytes and become maps of hundreds: they are spread before, if the scan gives few tasks.
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), a_core)
     return parts.mapInArrow(run, WAFERS)
 
 

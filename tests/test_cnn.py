@@ -60,6 +60,61 @@ def test_layers_give_what_plain_convolutions_give_with_few_products(precision, m
     assert (got[8] == cnn.pool(got[7])).all()
 
 
+@pytest.mark.parametrize("precision", ["fp32", "fp16", "int8"])
+@pytest.mark.parametrize("shape", [(24, 24), (25, 27), (1, 1), (32, 5), (33, 7)])
+def test_scores_are_those_of_plain_convolutions(shape, precision):
+    m, scales = model(4), [1.5] * 8
+    bins = np.random.default_rng(6).integers(0, 4, (3, *shape)).astype(np.uint8)
+    x = cnn.preprocess(bins)
+    for k, (weight, bias) in enumerate(m.convs):
+        if precision == "fp16":
+            weight, x = weight.astype(np.float16).astype(np.float32), x.astype(np.float16).astype(np.float32)
+        elif precision == "int8":
+            weight = cnn._quantised(weight, np.abs(weight).max(axis=(1, 2, 3), keepdims=True) / 127)
+            x = cnn._quantised(x, scales[k - 1] / 127) if k else x
+        x = cnn.conv_relu(x, weight, bias)
+        x = cnn.pool(x) if k % 2 else x
+    want = x.mean(axis=(2, 3)) @ m.weight.T + m.bias
+    most = {"fp32": 2e-6, "fp16": 2e-4, "int8": 2e-3}[precision]  # a sum on the edge of two steps may round either way
+    for _ in range(2):  # anew, and from what is known
+        assert np.abs(cnn.scores(m, bins, precision, scales) - want).max() < most
+    assert np.abs(cnn.forward(m, cnn.preprocess(bins), precision, scales) - want).max() < most
+
+
+def test_scoring_looks_up_the_first_convolutions(monkeypatch):
+    from dieflow.plans.derive import paint
+
+    m, products, matmul = model(4), [], np.matmul
+
+    def counted(a, b, **more):
+        products.append(a.size * b.shape[-1])
+        return matmul(a, b, **more)
+
+    maps = [paint(np.arange(k, k + 96, 3), 24, 24).reshape(-1, 24, 24) for k in range(0, 960, 96)]
+    for bins in maps[:-1]:
+        cnn.scores(m, bins)
+    monkeypatch.setattr(np, "matmul", counted)
+    got = cnn.scores(m, maps[-1])
+    direct = [9 * i * o * (64 >> k // 2) ** 2 for k, (i, o) in enumerate(cnn.CONVS)]
+    assert sum(products) < 32 * (0.26 * sum(direct[2:]) + 0.1 * sum(direct[:2]))
+    monkeypatch.undo()
+    again = model(4)
+    monkeypatch.setattr(cnn, "CONTEXTS", 20_000)  # too few for all of them
+    monkeypatch.setattr(cnn, "FEW", 3)
+    for bins in maps:
+        last = cnn.scores(again, bins)
+    assert np.abs(last - got).max() < 1e-6 and again.made["fp32", None].known <= 20_000
+
+
+def test_interleaved_layers_keep_their_own_arrays():
+    m = model(4)
+    x, other = (cnn.preprocess(np.random.default_rng(k).integers(0, 4, (2, 24, 24)).astype(np.uint8)) for k in (1, 2))
+    want = [*cnn.layers(m, x)]
+    for a, b, c in zip(want, cnn.layers(m, x), cnn.layers(m, other)):
+        cnn.forward(m, other)
+        assert (a == b).all() and a.shape == c.shape
+
+
 def test_model_files():
     m = model(3)
     data = m.serialize()
